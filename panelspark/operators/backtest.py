@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.functions.costs import total_cost
 from panelspark.schemas import BacktestConfig
+from panelspark.scratch import materialise
 
 RUN_SCHEMA = ("run_id STRING, schedule_id STRING, capital DOUBLE, rate_pct DOUBLE, min_fee DOUBLE, sst DOUBLE, "
               "spread_bps DOUBLE, max_positions INT")
@@ -137,8 +138,11 @@ def run_backtests(study: DataFrame, cal: DataFrame, runs: DataFrame, decisions:
         weights = rescale(weights.join(live, ["decision_date", "ticker"], "left_semi"))
     targets = weights.join(run_steps.select("run_id", "step", "decision_date"), ["run_id", "decision_date"]).select(
         "run_id", "step", "ticker", "weight")
+    # runs x rebalances x positions: small, and everything below reads it several times,
+    # so the factor windows and ranks behind it run once
+    targets = materialise(targets, "targets")
     changes = weight_changes(targets, run_steps)
-    steps = equity_steps(changes, run_steps, runs)
+    steps = materialise(equity_steps(changes, run_steps, runs), "steps")
 
     traded = changes.groupBy("run_id", "step").agg(F.sum("delta").alias("turnover"))
     turnover = (steps.select("run_id", "step", "exec_date").join(traded, ["run_id", "step"], "left")

@@ -13,6 +13,7 @@ from panelspark.operators.factors import Strategy, composite_scores, factor_valu
 from panelspark.operators.literals import rows
 from panelspark.operators.ordering import exact_quantiles, ordinal
 from panelspark.schemas import BacktestConfig
+from panelspark.scratch import materialise
 
 
 def schedule_specs(cal: DataFrame, rules: list[str]) -> DataFrame:
@@ -71,8 +72,8 @@ def scored_from(returns: DataFrame, start: str | None) -> DataFrame:
 def random_backtests(study: DataFrame, cfg: BacktestConfig, n_names: int, n_trials: int, seed: int,
                      largest: int | None = None) -> BacktestResult:
     spark = study.sparkSession
-    cal = calendar(study)
-    decisions = schedules(cal, schedule_specs(cal, [cfg.rebalance]))
+    cal = materialise(calendar(study), "calendar")
+    decisions = materialise(schedules(cal, schedule_specs(cal, [cfg.rebalance])), "decisions")
     live = eligible_on(study, decisions)
     row = run_row("", cfg.rebalance, cfg)
     runs = _trial_runs(spark, n_trials, row, n_names)
@@ -97,8 +98,8 @@ def baseline_runs(study: DataFrame, strategy: Strategy, cfg: BacktestConfig, n_r
                   seed: int = 0, largest: int | None = None) -> BacktestResult:
     """Strategy, buy and hold, equal weight and all random trials as one job."""
     spark = study.sparkSession
-    cal = calendar(study)
-    decisions = schedules(cal, schedule_specs(cal, sorted({cfg.rebalance, "YE"})))
+    cal = materialise(calendar(study), "calendar")
+    decisions = materialise(schedules(cal, schedule_specs(cal, sorted({cfg.rebalance, "YE"}))), "decisions")
     breadth = broker_breadth(cfg.capital, cfg.broker)
     base = run_row("", cfg.rebalance, cfg)
     named = rows(spark, RUN_SCHEMA, [
@@ -119,8 +120,8 @@ def baseline_table(study: DataFrame, strategy: Strategy, cfg: BacktestConfig = B
     """Four rows: strategy, two baskets, median of random; and the strategy's percentile among the random."""
     result = baseline_runs(study, strategy, cfg, n_random, n_names, seed, largest)
     shown = ["total_return", "cagr", "vol", "sharpe", "max_dd"]
-    stats = metrics.summarise(result.returns).select("run_id", *shown).join(
-        result.summary.select("run_id", "avg_turnover", "cost_drag"), "run_id")
+    stats = materialise(metrics.summarise(result.returns).select("run_id", *shown).join(
+        result.summary.select("run_id", "avg_turnover", "cost_drag"), "run_id"), "stats")  # one row per run
     is_random = F.col("run_id").startswith("random_")
     randoms = stats.filter(is_random)
     median = None

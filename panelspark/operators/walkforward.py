@@ -12,6 +12,7 @@ from panelspark.operators.baselines import strategy_signals
 from panelspark.operators.calendar import calendar, schedules
 from panelspark.operators.literals import rows
 from panelspark.schemas import BacktestConfig
+from panelspark.scratch import materialise
 
 MIN_DATES = 100
 MIN_TRAIN, MIN_TEST, MIN_HOLDOUT = 60, 10, 20
@@ -76,7 +77,7 @@ def _runs(folds: DataFrame, strategies, cfg: BacktestConfig, key: Column) -> Dat
 def _backtest(study: DataFrame, cal: DataFrame, windows: DataFrame, runs: DataFrame, strategies,
               cfg: BacktestConfig, largest: int | None):
     """Factors once for all windows; a decision needs its history inside its own window."""
-    decisions = schedules(cal, windows)
+    decisions = materialise(schedules(cal, windows), "decisions")
     signals = strategy_signals(study, strategies, decisions.select(F.col("decision_date").alias("date"), "first_idx"), largest)
     mine = runs.select("run_id", "schedule_id", "strategy").join(
         decisions.select("schedule_id", "decision_date", "first_idx"), "schedule_id")
@@ -89,14 +90,15 @@ def walk_forward(study: DataFrame, strategies, cfg: BacktestConfig = BacktestCon
                  train_months: int = 24, test_months: int = 6, expanding: bool = True, holdout_months: int = 12,
                  largest: int | None = None) -> WalkForward:
     """Every strategy on every training window in one job, the chosen ones through their test windows in a second."""
-    cal = calendar(study)
-    folds = usable_folds(cal, make_splits(cal, n_folds, train_months, test_months, expanding, holdout_months))
+    cal = materialise(calendar(study), "calendar")
+    splits = make_splits(cal, n_folds, train_months, test_months, expanding, holdout_months)
+    folds = materialise(usable_folds(cal, splits), "folds")
     train = _runs(folds, strategies, cfg, F.lit("train"))
     windows = train.select("schedule_id", F.lit(cfg.rebalance).alias("rule"), F.col("train_start").alias("start"),
                            F.col("train_end").alias("end")).distinct()
     fitted = metrics.summarise(_backtest(study, cal, windows, train, strategies, cfg, largest).returns)
-    candidates = train.select("run_id", "fold", "strategy").join(fitted, "run_id").select(
-        "fold", "strategy", F.col("sharpe").alias("train_sharpe"), F.col("total_return").alias("train_return"))
+    candidates = materialise(train.select("run_id", "fold", "strategy").join(fitted, "run_id").select(
+        "fold", "strategy", F.col("sharpe").alias("train_sharpe"), F.col("total_return").alias("train_return")), "candidates")
     best = W.partitionBy("fold").orderBy(F.col("train_sharpe").desc_nulls_last(), "strategy")
     chosen = candidates.withColumn("_p", F.row_number().over(best)).filter("_p = 1").drop("_p")
 
@@ -107,8 +109,8 @@ def walk_forward(study: DataFrame, strategies, cfg: BacktestConfig = BacktestCon
         F.concat_ws("|", F.lit("test"), "fold").alias("schedule_id"), F.lit(cfg.rebalance).alias("rule"),
         F.col("_first").alias("start"), F.col("test_end").alias("end"))
     out = _backtest(study, cal, through, test, strategies, cfg, largest).returns
-    scored = (out.join(test.select("run_id", "fold", "test_start"), "run_id").filter(F.col("date") >= F.col("test_start"))
-              .select("run_id", "fold", "date", "ret"))
+    scored = materialise(out.join(test.select("run_id", "fold", "test_start"), "run_id").filter(F.col("date") >= F.col("test_start"))
+              .select("run_id", "fold", "date", "ret"), "oos")
     oos_stats = metrics.summarise(scored).join(test.select("run_id", "fold"), "run_id").select(
         "fold", F.col("sharpe").alias("oos_sharpe"), F.col("total_return").alias("oos_return"), F.col("max_dd").alias("oos_maxdd"))
     table = folds.join(chosen, "fold").join(oos_stats, "fold").select(
@@ -132,7 +134,7 @@ def _summary(folds: DataFrame, stitched: DataFrame) -> DataFrame:
 def evaluate_holdout(study: DataFrame, strategy, cfg: BacktestConfig = BacktestConfig(), holdout_months: int = 12,
                      n_trials: int = 1, largest: int | None = None) -> DataFrame:
     """One strategy over all history, scored on the final months only."""
-    cal = calendar(study)
+    cal = materialise(calendar(study), "calendar")
     last = cal.agg(F.max("date").alias("_l"), F.min("date").alias("_f")).select(
         F.add_months("_l", -holdout_months).alias("holdout_start"), F.col("_f"))
     held = cal.crossJoin(F.broadcast(last)).filter(F.col("date") >= F.col("holdout_start"))  # one row

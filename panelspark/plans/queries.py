@@ -10,6 +10,7 @@ from panelspark.functions import costs, prices, symbols
 from panelspark.operators import (backtest, baselines, baserates, calendar as cal_ops, concentration, factors, metrics,
                                   ordering, positions, quality, reconcile, repair, universe, walkforward)
 from panelspark.operators.literals import rows
+from panelspark.scratch import materialise
 from panelspark.schemas import BANK_LOW, BROKERS, BacktestConfig, ContestConfig
 from panelspark.sources import ingest, listtext, payload, tables
 from panelspark.streaming import bars as stream_bars, quotes as stream_quotes
@@ -39,12 +40,12 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def study(spark: SparkSession, sf: str) -> DataFrame:
-    return factors.study_panel(tables.stored_screen(spark, sf))
+    return tables.stored_study(spark, sf)
 
 
 def names_bound(spark: SparkSession, sf: str) -> int:
     """Most names on any date of the stored panel: a scan of one column."""
-    return ordering.largest_group(tables.stored_screen(spark, sf), ["date"])
+    return ordering.largest_group(tables.stored_study(spark, sf), ["date"])
 
 
 # ---- scans, ingest, sinks
@@ -397,17 +398,17 @@ def screen_summary(spark, sf):
 
 @query
 def rejections(spark, sf):
-    return rounded(universe.rejection_reasons(tables.stored_screen(spark, sf)).drop("close"), "median_dtv")
+    return rounded(universe.rejection_reasons(tables.stored_study(spark, sf)).drop("close"), "median_dtv")
 
 
 @query
 def eligibility(spark, sf):
-    return rounded(universe.eligibility_report(tables.stored_screen(spark, sf)), "detail")
+    return rounded(universe.eligibility_report(tables.stored_study(spark, sf)), "detail")
 
 
 @query
 def latest_tradable(spark, sf):
-    return universe.freshness(tables.stored_screen(spark, sf), "2001-12-01", 30, 5)
+    return universe.freshness(tables.stored_study(spark, sf), "2001-12-01", 30, 5)
 
 
 @query
@@ -467,7 +468,7 @@ def forward_returns(spark, sf):
 
 
 def _bucketed(spark, sf):
-    ready = baserates.forward_returns(baserates.add_factor(tables.stored_screen(spark, sf)))
+    ready = baserates.forward_returns(baserates.add_factor(tables.stored_study(spark, sf)))
     return baserates.bucket_cross_sectionally(ready, 10, names_bound(spark, sf))
 
 
@@ -486,12 +487,12 @@ def base_rates(spark, sf):
 
 @query
 def base_rates_volatility(spark, sf):
-    panel = tables.stored_screen(spark, sf)
+    panel = tables.stored_study(spark, sf)
     return rounded(baserates.base_rates(panel, "volatility", largest_date=names_bound(spark, sf)), *RATES)
 
 
 def _today(spark, sf):
-    panel = tables.stored_screen(spark, sf)
+    panel = tables.stored_study(spark, sf)
     return baserates.current_buckets(panel, universe.latest_tradable(panel, 5), largest=names_bound(spark, sf))
 
 
@@ -519,8 +520,8 @@ def rebalance_dates(spark, sf):
 def _backtest(spark, sf) -> backtest.BacktestResult:
     """All presets traded monthly as one job."""
     panel = study(spark, sf)
-    cal = cal_ops.calendar(panel)
-    decisions = cal_ops.schedules(cal, baselines.schedule_specs(cal, ["ME"]))
+    cal = materialise(cal_ops.calendar(panel), "calendar")
+    decisions = materialise(cal_ops.schedules(cal, baselines.schedule_specs(cal, ["ME"])), "decisions")
     runs = rows(spark, backtest.RUN_SCHEMA, [backtest.run_row(s.name, "ME", TRADING) for s in factors.PRESETS])
     signals = baselines.strategy_signals(panel, factors.PRESETS, decisions.select(F.col("decision_date").alias("date"), "first_idx"),
                                          names_bound(spark, sf))

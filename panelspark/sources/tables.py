@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from panelspark.operators.factors import study_panel
 from panelspark.operators.literals import rows
 from panelspark.operators.universe import screen
 from panelspark.scratch import stored_by_ticker
@@ -109,13 +110,13 @@ def screened_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screen(weekly_bars(spark, sf_dir), WEEKLY_SCREEN, membership(spark, sf_dir))
 
 
-def stored_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The screened panel as a table bucketed by ticker, built once per application.
+def stored_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The screened panel with calendar index and return, bucketed by ticker, built once per application.
 
     Studies read it many times; building it inside each would repeat the scan,
     the framed median and the as-of join.
     """
-    return stored_by_ticker(spark, ("screened", sf_dir), lambda: screened_weekly(spark, sf_dir))
+    return stored_by_ticker(spark, ("study", sf_dir), lambda: study_panel(screened_weekly(spark, sf_dir)))
 
 
 def arrival_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,11 @@ def r6(*names: str) -> str:
     return ", ".join(f"{q6(n)} AS {n}" for n in names)
 
 
+def log_of(x: str, name: str, plus: str = "1 + ") -> str:
+    wealth = f"{plus}({x})"
+    return f"{q6(f'CASE WHEN {wealth} > 0 THEN ln({wealth}) END')} AS {name}"
+
+
 def sql(name: str, ctes: str, select: str) -> None:
     ORACLES[name] = f"WITH RECURSIVE {ctes}\n{select}" if ctes else select
 
@@ -433,7 +438,7 @@ sql("backtest_costs", PICKS, f"SELECT run_id, step, exec_date, {r6('equity_befor
 sql("trades", PICKS, f"""SELECT run_id, step, exec_date, ticker, {r6('from_w', 'to_w')}, {q6('delta * equity_before')} AS notional,
   {q6(COST.replace('d * eq', 'delta * equity_before'))} AS cost FROM ch JOIN st USING (run_id, step) WHERE delta > 1e-9""")
 sql("gross_returns", PICKS, f"SELECT run_id, date, {r6('ret')} FROM dy")
-sql("equity_curve", PICKS, f"""SELECT run_id, date, {q6(f'CASE WHEN over THEN 0 ELSE {TRADING.capital} * e END')} AS equity FROM (
+sql("equity_curve", PICKS, f"""SELECT run_id, date, {log_of(f'CASE WHEN over THEN 0 ELSE {TRADING.capital} * e END', 'log_equity', '')} FROM (
   SELECT *, product(1 + ret) OVER (PARTITION BY run_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM dy)""")
 sql("backtest_summary", PICKS, f"SELECT run_id, n_rebalances, {r6('cost_drag', 'avg_turnover')}, ruined_on FROM sm")
 OWN = BARS + """, own AS (SELECT ticker AS run_id, date, adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM bars)""" + metrics("own")
@@ -467,7 +472,7 @@ rsig AS (SELECT run_id, decision_date, ticker, 1.0::DOUBLE AS weight, ticker AS
 RANDOM = STUDY + schedule(WHOLE.format("('ME')")) + "," + random_sig(7) + f""",
 runs AS (SELECT 'random_' || trial AS run_id, 'ME' AS schedule_id, {N_NAMES} AS maxp FROM range({N_RANDOM}) x(trial)), sig AS (SELECT * FROM rsig)""" + trade()
 sql("random_trials", RANDOM + ", sc AS (SELECT * FROM dy WHERE date >= DATE '1998-01-05')" + metrics("sc"),
-    f"SELECT CAST(substr(run_id, 8) AS INT) AS trial, {r6('total_return', 'cagr', 'sharpe', 'max_dd', 'vol')} FROM mt")
+    f"SELECT CAST(substr(run_id, 8) AS INT) AS trial, {log_of('total_return', 'log_growth')}, {log_of('cagr', 'log_cagr')}, {r6('sharpe', 'max_dd', 'vol')} FROM mt")
 _breadth = max(1, min(int(TRADING.capital * 0.01 / _B.min_fee), 200))
 BASE = SCORES + schedule(WHOLE.format("('ME'), ('YE')")) + "," + random_sig(7) + f""",
 runs AS (SELECT * FROM (VALUES ('momentum', 'ME', {TRADING.max_positions}), ('buy & hold', 'YE', {_breadth}), ('equal weight', 'ME', {_breadth})) v(run_id, schedule_id, maxp)
@@ -476,11 +481,11 @@ sig AS (SELECT strategy AS run_id, date AS decision_date, ticker, 1.0::DOUBLE AS
   UNION ALL SELECT run_id, d.decision_date, ticker, 1.0, ticker FROM runs r JOIN dec d USING (schedule_id) JOIN study s ON s.date = d.decision_date
     WHERE eligible AND run_id IN ('buy & hold', 'equal weight')
   UNION ALL SELECT * FROM rsig)""" + trade() + metrics("dy")
-_cols = ["total_return", "cagr", "vol", "sharpe", "max_dd"]
-sql("baseline_table", BASE, f"""SELECT run_id AS strategy, {r6(*_cols)}, {r6('avg_turnover', 'cost_drag')},
+_cols = ["vol", "sharpe", "max_dd"]
+sql("baseline_table", BASE, f"""SELECT run_id AS strategy, {log_of('total_return', 'log_growth')}, {log_of('cagr', 'log_cagr')}, {r6(*_cols)}, {r6('avg_turnover', 'cost_drag')},
   CASE WHEN run_id = 'momentum' THEN {q6("(SELECT avg(CAST(x.sharpe < mt.sharpe AS INT)) * 100 FROM mt x WHERE x.run_id LIKE 'random%')")} END AS pctile_vs_random
   FROM mt JOIN sm USING (run_id) WHERE run_id NOT LIKE 'random%'
-UNION ALL SELECT 'random entry (median)', {', '.join(f"{q6(f'quantile_cont({c}, 0.5)')}" for c in _cols)}, NULL, NULL, NULL FROM mt WHERE run_id LIKE 'random%'""")
+UNION ALL SELECT 'random entry (median)', {log_of('quantile_cont(total_return, 0.5)', 'log_growth')}, {log_of('quantile_cont(cagr, 0.5)', 'log_cagr')}, {', '.join(f"{q6(f'quantile_cont({c}, 0.5)')}" for c in _cols)}, NULL, NULL, NULL FROM mt WHERE run_id LIKE 'random%'""")
 
 # ---- walk-forward
 
@@ -529,12 +534,12 @@ oos AS (SELECT date, arg_min(ret, fold) AS ret FROM scored GROUP BY date)""")
 
 ALL_TOP = ", wtop AS (SELECT 0 AS first_i, strategy, date, ticker, place FROM top)"
 WALK = walk(SCORES, WF["train_months"], True, [s.name for s in factors.PRESETS], ALL_TOP)
-sql("wf_candidates", WALK, f"SELECT fold, strategy, {r6('train_sharpe', 'train_return')} FROM cand")
-FOLD6 = "fold, train_start, train_end, test_start, test_end, chosen, " + r6("is_sharpe", "oos_sharpe", "oos_return", "oos_maxdd")
+sql("wf_candidates", WALK, f"SELECT fold, strategy, {r6('train_sharpe')}, {log_of('train_return', 'train_log_growth')} FROM cand")
+FOLD6 = "fold, train_start, train_end, test_start, test_end, chosen, " + r6("is_sharpe", "oos_sharpe", "oos_maxdd") + ", " + log_of("oos_return", "oos_log_growth")
 sql("wf_folds", WALK, f"SELECT {FOLD6} FROM ft")
 sql("wf_oos", WALK, f"SELECT date, {r6('ret')} FROM oos")
 sql("wf_summary", WALK + ", os AS (SELECT 'oos' AS run_id, * FROM oos)" + metrics("os", "c_"), f"""SELECT {r6('mean_is', 'mean_oos')}, one AS always_same_choice,
-  {q6('CASE WHEN mean_is >= 0.2 THEN mean_oos / mean_is END')} AS degradation, {q6('sharpe')} AS stitched_sharpe, {q6('total_return')} AS stitched_return,
+  {q6('CASE WHEN mean_is >= 0.2 THEN mean_oos / mean_is END')} AS degradation, {q6('sharpe')} AS stitched_sharpe, {log_of('total_return', 'stitched_log_growth')},
   {q6('max_dd')} AS stitched_maxdd FROM (SELECT avg(is_sharpe) AS mean_is, avg(oos_sharpe) AS mean_oos, count(DISTINCT chosen) = 1 AS one FROM ft), c_mt""")
 ROLL = """, need(factor, h) AS (VALUES ('momentum', 147), ('reversal', 22), ('volatility', 65), ('low_vol', 65), ('volume_surge', 64)),
 wd AS (SELECT DISTINCT decision_date AS date, first_i, i FROM (SELECT * FROM a_dec UNION ALL SELECT * FROM b_dec)),
@@ -551,7 +556,7 @@ sql("holdout", SCORES + schedule(WHOLE.format("('ME')")) + f""",
 runs AS (SELECT 'momentum' AS run_id, 'ME' AS schedule_id, {TRADING.max_positions} AS maxp),
 sig AS (SELECT strategy AS run_id, date AS decision_date, ticker, 1.0::DOUBLE AS weight, printf('%06d', place) AS ord FROM top WHERE strategy = 'momentum')"""
     + trade() + """, hs AS (SELECT CAST(max(date) - INTERVAL 12 MONTHS AS DATE) AS h FROM cal), sc AS (SELECT dy.* FROM dy, hs WHERE date >= h)""" + metrics("sc"),
-    f"""SELECT (SELECT min(date) FROM sc) AS start, (SELECT max(date) FROM sc) AS "end", run_id AS strategy, {r6('sharpe', 'total_return', 'max_dd')},
+    f"""SELECT (SELECT min(date) FROM sc) AS start, (SELECT max(date) FROM sc) AS "end", run_id AS strategy, {r6('sharpe', 'max_dd')}, {log_of('total_return', 'log_growth')},
   {q6(psr_z(3))} AS dsr_z, 3 AS n_trials_declared FROM mt""")
 
 # ---- concentrated portfolios

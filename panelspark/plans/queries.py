@@ -39,6 +39,13 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: q6(F.col(n)) for n in names})
 
 
+def logged(df: DataFrame, **columns: str) -> DataFrame:
+    """Growth as logarithms: derived prices are noise, and compounding them overflows six decimals."""
+    for old, new in columns.items():
+        df = df.withColumn(old, F.when(F.col(old) > -1, F.log(1 + F.col(old)))).withColumnRenamed(old, new)
+    return df
+
+
 def study(spark: SparkSession, sf: str) -> DataFrame:
     return tables.stored_study(spark, sf)
 
@@ -558,7 +565,8 @@ def gross_returns(spark, sf):
 
 @query
 def equity_curve(spark, sf):
-    return rounded(_backtest(spark, sf).returns.select("run_id", "date", "equity"), "equity")
+    equity = F.when(F.col("equity") > 0, F.log("equity")).alias("log_equity")
+    return rounded(_backtest(spark, sf).returns.select("run_id", "date", equity), "log_equity")
 
 
 @query
@@ -597,14 +605,15 @@ def deflated_sharpe_probability(spark, sf):
 
 @query
 def random_trials(spark, sf):
-    return rounded(baselines.random_trials(study(spark, sf), TRADING, N_NAMES, N_RANDOM, 7, "1998-01-05", names_bound(spark, sf)),
-                   "total_return", "cagr", "sharpe", "max_dd", "vol")
+    out = baselines.random_trials(study(spark, sf), TRADING, N_NAMES, N_RANDOM, 7, "1998-01-05", names_bound(spark, sf))
+    return rounded(logged(out, total_return="log_growth", cagr="log_cagr"), "log_growth", "log_cagr", "sharpe", "max_dd", "vol")
 
 
 @query
 def baseline_table(spark, sf):
     table = baselines.baseline_table(study(spark, sf), factors.PRESETS[1], TRADING, N_RANDOM, N_NAMES, 7, names_bound(spark, sf))
-    return rounded(table, "total_return", "cagr", "vol", "sharpe", "max_dd", "avg_turnover", "cost_drag", "pctile_vs_random")
+    return rounded(logged(table, total_return="log_growth", cagr="log_cagr"), "log_growth", "log_cagr", "vol", "sharpe", "max_dd",
+                   "avg_turnover", "cost_drag", "pctile_vs_random")
 
 
 # ---- walk-forward
@@ -620,12 +629,12 @@ def wf_splits(spark, sf):
 
 @query
 def wf_candidates(spark, sf):
-    return rounded(_walk(spark, sf).candidates, "train_sharpe", "train_return")
+    return rounded(logged(_walk(spark, sf).candidates, train_return="train_log_growth"), "train_sharpe", "train_log_growth")
 
 
 @query
 def wf_folds(spark, sf):
-    return rounded(_walk(spark, sf).folds, "is_sharpe", "oos_sharpe", "oos_return", "oos_maxdd")
+    return rounded(logged(_walk(spark, sf).folds, oos_return="oos_log_growth"), "is_sharpe", "oos_sharpe", "oos_log_growth", "oos_maxdd")
 
 
 @query
@@ -635,20 +644,21 @@ def wf_oos(spark, sf):
 
 @query
 def wf_summary(spark, sf):
-    return rounded(_walk(spark, sf).summary, "mean_is", "mean_oos", "degradation", "stitched_sharpe", "stitched_return", "stitched_maxdd")
+    return rounded(logged(_walk(spark, sf).summary, stitched_return="stitched_log_growth"), "mean_is", "mean_oos", "degradation",
+                   "stitched_sharpe", "stitched_log_growth", "stitched_maxdd")
 
 
 @query
 def wf_rolling(spark, sf):
     walk = walkforward.walk_forward(study(spark, sf), factors.PRESETS[1:2], TRADING, expanding=False,
                                     largest=names_bound(spark, sf), **{**WF, "train_months": 48})
-    return rounded(walk.folds, "is_sharpe", "oos_sharpe", "oos_return", "oos_maxdd")
+    return rounded(logged(walk.folds, oos_return="oos_log_growth"), "is_sharpe", "oos_sharpe", "oos_log_growth", "oos_maxdd")
 
 
 @query
 def holdout(spark, sf):
     out = walkforward.evaluate_holdout(study(spark, sf), factors.PRESETS[1], TRADING, 12, 3, names_bound(spark, sf))
-    return rounded(out.drop("dsr"), "sharpe", "total_return", "max_dd", "dsr_z")
+    return rounded(logged(out.drop("dsr"), total_return="log_growth"), "sharpe", "log_growth", "max_dd", "dsr_z")
 
 
 # ---- concentrated portfolios

@@ -26,7 +26,7 @@ def schedule_specs(cal: DataFrame, rules: list[str]) -> DataFrame:
 def strategy_signals(study: DataFrame, strategies, dates: DataFrame, largest: int | None = None) -> DataFrame:
     """Equal weight across each strategy's top names on the decision dates (date, first_idx)."""
     names = sorted({f for s in strategies for f, _ in s.weights})
-    ranked = percentile_ranks(factor_values(study, names, dates), largest)
+    ranked = percentile_ranks(factor_values(study, names, dates), names, largest)
     picks = top_n(composite_scores(ranked, strategies), strategies)
     return picks.select("strategy", "first_idx", F.col("date").alias("decision_date"), "ticker", F.lit(1.0).alias("weight"),
                         F.format_string("%06d", "place").alias("signal_rank"))

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.functions.prices import at_calendar_offset, change, row_return
 from panelspark.operators.calendar import calendar
-from panelspark.operators.literals import rows
-from panelspark.operators.ordering import average_rank_pct
+from panelspark.operators.ordering import average_rank_pcts
 from panelspark.schemas import PERIODS_PER_YEAR
 
 
@@ -112,7 +111,7 @@ def with_factors(study: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 
 def factor_values(study: DataFrame, names: list[str], dates: DataFrame | None = None) -> DataFrame:
-    """Eligible names' factor values in long form: first_idx, date, ticker, factor, raw.
+    """Eligible names' factors, one column each: first_idx, date, ticker, factor columns.
 
     ``dates`` (date, first_idx) keeps only the dates a decision is made on, before
     any ranking.  ``first_idx`` is where the history a decision may use begins; a
@@ -124,55 +123,60 @@ def factor_values(study: DataFrame, names: list[str], dates: DataFrame | None =
     else:
         wide = wide.join(dates.select("date", "first_idx").distinct(), "date")
     seen = F.col("date_idx") - F.col("first_idx") + 1
-    pairs = F.array(*[F.struct(F.lit(n).alias("factor"), F.when(seen >= HISTORY[n], F.col(n)).alias("raw"))
-                      for n in names])
-    return (wide.select("first_idx", "date", "ticker", F.explode(pairs).alias("p"))
-            .select("first_idx", "date", "ticker", "p.*").filter(F.col("raw").isNotNull()))
+    return wide.select("first_idx", "date", "ticker", *[F.when(seen >= HISTORY[n], F.col(n)).alias(n) for n in names])
 
 
-def percentile_ranks(values: DataFrame, largest: int | None = None) -> DataFrame:
-    return average_rank_pct(values, ["first_idx", "date", "factor"], "raw", "pct", largest)
+CROSS_SECTION = ["first_idx", "date"]
 
 
-def _weights(values: DataFrame, strategies) -> DataFrame:
-    flat = [(s.name, f, w / sum(x for _, x in s.weights)) for s in strategies for f, w in s.weights]
-    return rows(values.sparkSession, "strategy STRING, factor STRING, weight DOUBLE", flat)
+def percentile_ranks(values: DataFrame, names: list[str], largest: int | None = None) -> DataFrame:
+    """Add pct_<factor> and n_<factor>, the number of names that have it that date.
+
+    All factors rank on the date, so one exchange serves them all.
+    """
+    return average_rank_pcts(values, CROSS_SECTION, names, largest)
+
+
+def long_ranks(ranked: DataFrame, names: list[str]) -> DataFrame:
+    pairs = F.array(*[F.struct(F.lit(n).alias("factor"), F.col(n).alias("raw"), F.col(f"pct_{n}").alias("pct")) for n in names])
+    return (ranked.select("date", "ticker", F.explode(pairs).alias("p")).select("date", "ticker", "p.*")
+            .filter(F.col("raw").isNotNull()))
 
 
-def composite_parts(ranked: DataFrame, strategies) -> DataFrame:
-    """Percentile, raw value and weighted contribution per strategy, date, ticker and factor."""
-    return ranked.join(_weights(ranked, strategies), "factor").withColumn("contrib", F.col("pct") * F.col("weight"))
+def _shares(strategy: Strategy) -> list[tuple[str, float]]:
+    total = sum(w for _, w in strategy.weights)
+    return sorted((f, w / total) for f, w in strategy.weights)
 
 
 def composite_scores(ranked: DataFrame, strategies=PRESETS) -> DataFrame:
     """Weighted score of the names that have every factor anyone has that date."""
-    parts = composite_parts(ranked, strategies)
-    per_name = parts.groupBy("strategy", "first_idx", "date", "ticker").agg(
-        F.sum("contrib").alias("score"), F.count("*").alias("_k"),
-        F.collect_set("factor").alias("_f"))
-    live = ranked.groupBy("first_idx", "date").agg(F.collect_set("factor").alias("_live"))  # at most one entry per factor
-    used = rows(ranked.sparkSession, "strategy STRING, _used ARRAY<STRING>",
-                [(s.name, [f for f, _ in s.weights]) for s in strategies])
-    joined = per_name.join(live, ["first_idx", "date"]).join(used, "strategy")
-    return (joined.filter(F.col("_k") == F.size(F.array_intersect("_live", "_used")))
-            .select("strategy", "first_idx", "date", "ticker", "score"))
+    scored = []
+    for s in strategies:
+        total, whole, any_live = F.lit(0.0), F.lit(True), F.lit(False)
+        for f, share in _shares(s):
+            live, has = F.col(f"n_{f}") > 0, F.col(f"pct_{f}").isNotNull()
+            total = total + F.when(live & has, F.col(f"pct_{f}") * share).otherwise(0.0)
+            whole, any_live = whole & (has | ~live), any_live | live
+        scored.append(F.struct(F.lit(s.name).alias("strategy"), F.when(whole & any_live, total).alias("score")))
+    return (ranked.select(*CROSS_SECTION, "ticker", F.explode(F.array(*scored)).alias("s"))
+            .select("s.strategy", *CROSS_SECTION, "ticker", "s.score").filter(F.col("score").isNotNull()))
 
 
 def composite_components(ranked: DataFrame, strategy: Strategy) -> DataFrame:
     """Raw, percentile and contribution columns per factor, and their sum without nulls."""
-    parts = composite_parts(ranked, [strategy])
-    cols = []
-    for f, _ in strategy.weights:
-        mine = F.col("factor") == f
-        cols += [F.max(F.when(mine, F.col(c))).alias(f"{p}_{f}") for p, c in
-                 (("raw", "raw"), ("pct", "pct"), ("contrib", "contrib"))]
-    return parts.groupBy("first_idx", "date", "ticker").agg(*cols, F.sum("contrib").alias("score"))
+    cols, total, some = [], F.lit(0.0), F.lit(False)
+    for f, share in _shares(strategy):
+        contrib = F.col(f"pct_{f}") * share
+        cols += [F.col(f).alias(f"raw_{f}"), F.col(f"pct_{f}"), contrib.alias(f"contrib_{f}")]
+        total, some = total + F.coalesce(contrib, F.lit(0.0)), some | F.col(f).isNotNull()
+    return ranked.filter(some).select(*CROSS_SECTION, "ticker", *cols, total.alias("score"))
 
 
 def top_n(scores: DataFrame, strategies=PRESETS) -> DataFrame:
     """The names each strategy holds, best first; the limit runs before the shuffle too."""
     most = max(s.top_n for s in strategies)
-    place = F.row_number().over(W.partitionBy("strategy", "first_idx", "date").orderBy(F.col("score").desc(), "ticker"))
-    limits = rows(scores.sparkSession, "strategy STRING, top_n INT", [(s.name, s.top_n) for s in strategies])
-    picked = scores.withColumn("place", place).filter(F.col("place") <= most).join(limits, "strategy")
-    return picked.filter(F.col("place") <= F.col("top_n")).select("strategy", "first_idx", "date", "ticker", "score", "place")
+    place = F.row_number().over(W.partitionBy("strategy", *CROSS_SECTION).orderBy(F.col("score").desc(), "ticker"))
+    mine = F.lit(0)
+    for s in strategies:
+        mine = F.when(F.col("strategy") == s.name, s.top_n).otherwise(mine)
+    return scores.withColumn("place", place).filter(F.col("place") <= most).filter(F.col("place") <= mine)

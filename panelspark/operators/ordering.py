@@ -78,26 +78,36 @@ def ordinal(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
     return out.withColumn(position, F.col("_before") + 1).drop("_before")
 
 
-def average_rank_pct(df: DataFrame, group: Sequence[str], value: str, out: str,
-                     largest: int | None = None) -> DataFrame:
-    """Percentile rank 0-100 with ties sharing their average rank; null values get null."""
+def average_rank_pcts(df: DataFrame, group: Sequence[str], values: Sequence[str],
+                      largest: int | None = None) -> DataFrame:
+    """Percentile ranks 0-100 of several columns, ties sharing their average rank.
+
+    Adds pct_<value> (null for a null value) and n_<value>, the non-null count.
+    """
     group = list(group)
     if largest is None:
         largest = largest_group(df, group)
+    keys = [F.col(g) for g in group]
     if largest <= window_rows(df):
-        keys = [F.col(g) for g in group]
-        by_value = W.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
-        ties = F.count("*").over(W.partitionBy(*keys, value))
-        rank = F.rank().over(by_value) + (ties - 1) / 2
-        return df.withColumn(out, F.when(
-            F.col(value).isNotNull(),
-            rank / F.count(value).over(W.partitionBy(*keys)) * 100))
-    # ties collapse before any ordering, so one value held by many rows is one row here
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    ranked = running_sum(counts, group, [F.col(value)], F.col("_n"), "_below", "_all", largest)
-    ranked = ranked.select(*group, value, (
-        (F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_all") * 100).alias(out))
-    return df.join(ranked, [*group, value], "left").select(*df.columns, out)
+        cols = []
+        for v in values:
+            # first and last rank of a tie come from one ordered window
+            upto = W.partitionBy(*keys).orderBy(F.col(v).asc_nulls_last())
+            last = F.count(v).over(upto.rangeBetween(W.unboundedPreceding, W.currentRow))
+            n = F.count(v).over(W.partitionBy(*keys))
+            pct = (F.rank().over(upto) + last) / 2 / n * 100
+            cols += [F.when(F.col(v).isNotNull(), pct).alias(f"pct_{v}"), n.alias(f"n_{v}")]
+        return df.select("*", *cols)
+    df = materialise(df, "ranked")
+    sizes = df.groupBy(*group).agg(*[F.count(v).alias(f"n_{v}") for v in values])
+    out = df.join(sizes, group)
+    for v in values:
+        # ties collapse before any ordering, so one value held by many rows is one row here
+        counts = df.filter(F.col(v).isNotNull()).groupBy(*group, v).agg(F.count("*").alias("_n"))
+        placed = running_sum(counts, group, [F.col(v)], F.col("_n"), "_below", "_all", largest)
+        pct = (F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_all") * 100
+        out = out.join(placed.select(*group, v, pct.alias(f"pct_{v}")), [*group, v], "left")
+    return out.select(*df.columns, *[c for v in values for c in (f"pct_{v}", f"n_{v}")])
 
 
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,

@@ -442,13 +442,13 @@ _factor("factor_surge", "volume_surge")
 
 
 def _ranked(spark, sf, names=None):
-    values = factors.factor_values(study(spark, sf), names or list(factors.FACTORS))
-    return factors.percentile_ranks(values, names_bound(spark, sf))
+    names = names or list(factors.FACTORS)
+    return factors.percentile_ranks(factors.factor_values(study(spark, sf), names), names, names_bound(spark, sf))
 
 
 @query
 def pct_rank(spark, sf):
-    return rounded(_ranked(spark, sf).select(*KEY, "factor", "pct"), "pct")
+    return rounded(factors.long_ranks(_ranked(spark, sf), list(factors.FACTORS)).drop("raw"), "pct")
 
 
 @query

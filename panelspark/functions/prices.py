@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-BY_TICKER = W.partitionBy("ticker").orderBy("date")
+def by_ticker():
+    return W.partitionBy("ticker").orderBy("date")
 
 
 def change(new: Column, old: Column) -> Column:
@@ -15,7 +16,7 @@ def change(new: Column, old: Column) -> Column:
 
 def row_return(price: str = "adj_close") -> Column:
     """Return over the ticker's own previous bar."""
-    return change(F.col(price), F.lag(price).over(BY_TICKER))
+    return change(F.col(price), F.lag(price).over(by_ticker()))
 
 
 def add_returns(panel: DataFrame, price: str = "adj_close") -> DataFrame:

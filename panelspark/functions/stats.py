@@ -24,11 +24,15 @@ def expected_max_sharpe(n_trials: int, variance: Column) -> Column:
     return F.sqrt(variance) * F.lit(expected_max_normal(n_trials))
 
 
-@F.pandas_udf("double")
-def normal_cdf(z: pd.Series) -> pd.Series:
+def _phi(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if pd.isna(x) else 0.5 * math.erfc(-x / math.sqrt(2.0)))
 
 
+def normal_cdf(z: Column) -> Column:
+    """Arrow-batched; applied to one row per return series."""
+    return F.pandas_udf(_phi, "double")(z)
+
+
 def required_vol(gap: Column, confidence: float = 0.33) -> Column:
     """Volatility that closes a gap with the given probability; 0 when already ahead."""
     z = NormalDist().inv_cdf(1.0 - confidence)

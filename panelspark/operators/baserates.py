@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.functions.prices import BY_TICKER, change, row_return
+from panelspark.functions.prices import by_ticker, change, row_return
 from panelspark.operators.ordering import exact_quantiles, largest_group, ordinal
 
 THIN = 100
@@ -15,10 +15,10 @@ def add_factor(panel: DataFrame, factor: str = "momentum", lookback: int = 60, p
     """A factor from the ticker's own last bars."""
     p = F.col(price)
     if factor in ("momentum", "reversal"):
-        value = change(p, F.lag(price, lookback).over(BY_TICKER))
+        value = change(p, F.lag(price, lookback).over(by_ticker()))
         return panel.withColumn("factor", value if factor == "momentum" else -value)
     if factor in ("volatility", "high_vol"):
-        w = BY_TICKER.rowsBetween(-(lookback - 1), 0)
+        w = by_ticker().rowsBetween(-(lookback - 1), 0)
         returns = panel.withColumn("_r", row_return(price))
         full = F.count("_r").over(w) == lookback
         return returns.withColumn("factor", F.when(full, F.stddev_samp("_r").over(w))).drop("_r")
@@ -27,7 +27,7 @@ def add_factor(panel: DataFrame, factor: str = "momentum", lookback: int = 60, p
 
 def forward_returns(panel: DataFrame, horizon: int = 21, price: str = "adj_close") -> DataFrame:
     """Return from the next bar to ``horizon`` bars after it."""
-    entry, leave = F.lead(price, 1).over(BY_TICKER), F.lead(price, 1 + horizon).over(BY_TICKER)
+    entry, leave = F.lead(price, 1).over(by_ticker()), F.lead(price, 1 + horizon).over(by_ticker())
     return panel.withColumn("fwd_return", change(leave, entry))
 
 

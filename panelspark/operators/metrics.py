@@ -7,13 +7,14 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from panelspark.functions.stats import expected_max_sharpe, normal_cdf
 from panelspark.schemas import PERIODS_PER_YEAR
 
-_SO_FAR = W.partitionBy("run_id").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+def _so_far():
+    return W.partitionBy("run_id").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
 
 
 def drawdowns(returns: DataFrame, start: float = 1.0) -> DataFrame:
     """Equity and drawdown per date; the peak starts at the first equity value."""
-    eq = returns.withColumn("equity", F.lit(start) * F.product(1.0 + F.coalesce("ret", F.lit(0.0))).over(_SO_FAR))
-    return eq.withColumn("drawdown", F.col("equity") / F.max("equity").over(_SO_FAR) - 1.0)
+    eq = returns.withColumn("equity", F.lit(start) * F.product(1.0 + F.coalesce("ret", F.lit(0.0))).over(_so_far()))
+    return eq.withColumn("drawdown", F.col("equity") / F.max("equity").over(_so_far()) - 1.0)
 
 
 def probabilistic_z(sr: Column, benchmark: Column, n: Column, skew: Column, kurt: Column) -> Column:
@@ -54,7 +55,7 @@ def deflate(stats: DataFrame, n_trials: int, periods: int = PERIODS_PER_YEAR) ->
     sr = F.col("sharpe") / F.sqrt(F.lit(float(periods)))
     z = probabilistic_z(sr, expected_max_sharpe(n_trials, 1.0 / (n - 1)), n, F.col("skew"), F.col("kurt"))
     z = F.when(n >= 3, z)
-    return stats.withColumn("dsr_z", z).withColumn("dsr", F.coalesce(normal_cdf("dsr_z"), F.lit(0.0)))
+    return stats.withColumn("dsr_z", z).withColumn("dsr", F.coalesce(normal_cdf(F.col("dsr_z")), F.lit(0.0)))
 
 
 def compare(stats: DataFrame, turnover: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from panelspark.functions.prices import BY_TICKER, row_return
+from panelspark.functions.prices import by_ticker, row_return
 from panelspark.schemas import PRICE_COLUMNS
 
 # Check thresholds and the moves a missed split would leave.
@@ -82,7 +82,7 @@ def extreme_moves(panel: DataFrame) -> DataFrame:
 
 
 def calendar_gaps(panel: DataFrame, max_gap_days: int = MAX_GAP_DAYS) -> DataFrame:
-    gap = F.date_diff("date", F.lag("date").over(BY_TICKER))
+    gap = F.date_diff("date", F.lag("date").over(by_ticker()))
     return panel.withColumn("gap_days", gap).filter(F.col("gap_days") > max_gap_days)
 
 

@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from panelspark.functions.prices import BY_TICKER, row_return
+from panelspark.functions.prices import by_ticker, row_return
 from panelspark.operators.quality import bad_brackets, is_true, not_positive
 from panelspark.schemas import PRICE_COLUMNS
 
@@ -69,13 +69,13 @@ def locate_recorded_splits(panel: DataFrame, events: DataFrame, tol: float = 0.3
 
 def split_candidates(panel: DataFrame) -> DataFrame:
     """Large adjusted moves with the diagnostics that tell a split from a move."""
-    prior = BY_TICKER.rowsBetween(-20, -1)
+    prior = by_ticker().rowsBetween(-20, -1)
     usual = F.when(F.count("volume").over(prior) >= 5, F.percentile("volume", F.lit(0.5)).over(prior))
     out = panel.select(
         "ticker", "date", row_return().alias("move"),
         F.try_divide(F.col("volume"), usual).alias("vol_x"),
-        (F.try_divide(F.lead("adj_close", DRIFT_BARS).over(BY_TICKER), F.col("adj_close")) - 1.0).alias("drift_after"),
-        F.lag("adj_close").over(BY_TICKER).alias("prev_close"))
+        (F.try_divide(F.lead("adj_close", DRIFT_BARS).over(by_ticker()), F.col("adj_close")) - 1.0).alias("drift_after"),
+        F.lag("adj_close").over(by_ticker()).alias("prev_close"))
     big = out.filter(F.abs("move") > SPLIT_MIN_MOVE)
     ratio = F.when(F.col("move") < 0, F.try_divide(F.lit(1.0), 1.0 + F.col("move"))).otherwise(1.0 + F.col("move"))
     big = big.withColumn("ratio", ratio)

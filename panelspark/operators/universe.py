@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from panelspark.functions.prices import BY_TICKER
+from panelspark.functions.prices import by_ticker
 from panelspark.operators.quality import is_true
 from panelspark.schemas import ScreenConfig
 
@@ -43,13 +43,13 @@ def add_membership(panel: DataFrame, lists: DataFrame, backfill: bool = False) -
 
 def add_liquidity(panel: DataFrame, cfg: ScreenConfig = ScreenConfig()) -> DataFrame:
     """Traded value, its median over the bars before this one, and bars so far."""
-    prior = BY_TICKER.rowsBetween(-cfg.lookback_bars, -1)
+    prior = by_ticker().rowsBetween(-cfg.lookback_bars, -1)
     out = panel.withColumn("dtv", F.col("close") * F.col("volume"))
     return out.select(
         "*",
         F.when(F.count("dtv").over(prior) >= cfg.lookback_bars // 2,
                F.percentile("dtv", F.lit(0.5)).over(prior)).alias("median_dtv"),
-        (F.row_number().over(BY_TICKER) - 1).alias("bars_available"))
+        (F.row_number().over(by_ticker()) - 1).alias("bars_available"))
 
 
 def screen(panel: DataFrame, cfg: ScreenConfig = ScreenConfig(), lists: DataFrame | None = None) -> DataFrame:

@@ -57,3 +57,9 @@ def stored_by_ticker(spark: SparkSession, key: tuple, build) -> DataFrame:
          .saveAsTable(name))
         _stored[full_key] = name
     return spark.table(name)
+
+
+def forget_stored(spark: SparkSession) -> None:
+    """Drop this application's stored panels from the catalog, so the next use builds them anew."""
+    for key in [k for k in _stored if k[0] == spark.sparkContext.applicationId]:
+        spark.sql(f"DROP TABLE IF EXISTS {_stored.pop(key)}")

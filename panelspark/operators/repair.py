@@ -23,6 +23,7 @@ MIN_TICKS_MOVED = 20
 CONFIRM_DAYS = 45
 SMALLEST_STEP = 0.03
 MIN_LOCATE_BARS = 5
+UNADJUSTED_TOL = 1e-9
 
 
 class RepairResult(NamedTuple):
@@ -49,7 +50,9 @@ def _ratio(value: Column) -> Column:
 
 def locate_recorded_splits(panel: DataFrame, events: DataFrame, tol: float = 0.35) -> DataFrame:
     """For each recorded action, the bar within 45 days whose step fits it best."""
-    bars = panel.select(
+    # most tickers have no event: they leave before the windows
+    acted = panel.join(events.select("ticker").distinct(), "ticker", "left_semi")
+    bars = acted.select(
         "ticker", "date", row_return().alias("adj_ret"),
         F.count("*").over(W.partitionBy("ticker")).alias("_n"))
     bars = bars.filter((F.col("_n") >= MIN_LOCATE_BARS) & F.col("adj_ret").isNotNull())
@@ -128,7 +131,7 @@ def apply_split_adjustment(panel: DataFrame, splits: DataFrame) -> DataFrame:
     return scaled.select("ticker", "date", *[new.get(c, F.col(f"_bar.{c}")).alias(c) for c in rest]).select(*panel.columns)
 
 
-def find_unadjusted(panel: DataFrame, tol: float = 1e-9) -> DataFrame:
+def find_unadjusted(panel: DataFrame, tol: float = UNADJUSTED_TOL) -> DataFrame:
     return (panel.groupBy("ticker").agg(F.max(F.abs(F.col("close") - F.col("adj_close"))).alias("max_gap"))
             .filter(F.col("max_gap") <= tol))
 
@@ -165,12 +168,17 @@ def repair(panel: DataFrame, events: DataFrame | None = None, fix_splits: bool =
             out = apply_split_adjustment(out, fixed)
     unadjusted = find_unadjusted(out)
     quarantined = unadjusted if quarantine_unadjusted else unadjusted.limit(0)
+    # flags on the ticker partitioning the adjustment leaves behind: no further exchange
+    # and no second pass, where anti joins would read the adjusted panel again
+    kept = out.select("*", F.max(F.abs(F.col("close") - F.col("adj_close"))).over(W.partitionBy("ticker")).alias("_gap"),
+                      (bad_brackets() | not_positive()).alias("_bad"))
     if quarantine_unadjusted:
-        out = out.join(quarantined.select("ticker"), "ticker", "left_anti")
-    bad = find_bad_bars(out)
+        kept = kept.filter(~is_true(F.col("_gap") <= UNADJUSTED_TOL))
+    bad = kept.filter("_bad").drop("_gap", "_bad")
     if drop_bad:
-        out = drop_bad_bars(out)
-    return RepairResult(out.select(*panel.columns), located, fixed, suspects, unadjusted, quarantined, bad)
+        key_bad = F.max("_bad").over(W.partitionBy("ticker", "date"))
+        kept = kept.withColumn("_key_bad", key_bad).filter(~F.col("_key_bad"))
+    return RepairResult(kept.select(*panel.columns), located, fixed, suspects, unadjusted, quarantined, bad)
 
 
 def repair_report(result: RepairResult) -> DataFrame:

@@ -74,43 +74,64 @@ def _runs(folds: DataFrame, strategies, cfg: BacktestConfig, key: Column) -> Dat
         "schedule_id", F.concat_ws("|", key, "fold"))
 
 
-def _backtest(study: DataFrame, cal: DataFrame, windows: DataFrame, runs: DataFrame, strategies,
-              cfg: BacktestConfig, largest: int | None):
-    """Factors once for all windows; a decision needs its history inside its own window."""
+class _Choices(NamedTuple):
+    """Decisions of every window and what each strategy would hold on them."""
+
+    cal: DataFrame
+    decisions: DataFrame
+    signals: DataFrame
+
+
+def _choices(study: DataFrame, cal: DataFrame, windows: DataFrame, strategies, largest: int | None) -> _Choices:
+    """Factors and ranks once for all windows; a decision needs its history inside its own window."""
     decisions = materialise(schedules(cal, windows), "decisions")
-    signals = strategy_signals(study, strategies, decisions.select(F.col("decision_date").alias("date"), "first_idx"), largest)
+    dates = decisions.select(F.col("decision_date").alias("date"), "first_idx")
+    return _Choices(cal, decisions, materialise(strategy_signals(study, strategies, dates, largest), "signals"))
+
+
+def _backtest(study: DataFrame, choices: _Choices, runs: DataFrame, cfg: BacktestConfig):
     mine = runs.select("run_id", "schedule_id", "strategy").join(
-        decisions.select("schedule_id", "decision_date", "first_idx"), "schedule_id")
-    chosen = mine.join(signals, ["strategy", "decision_date", "first_idx"]).select(
+        choices.decisions.select("schedule_id", "decision_date", "first_idx"), "schedule_id")
+    chosen = mine.join(choices.signals, ["strategy", "decision_date", "first_idx"]).select(
         "run_id", "decision_date", "ticker", "weight", "signal_rank")
-    return run_backtests(study, cal, runs.select(*RUN_COLUMNS), decisions, chosen, cfg.max_positions, check_eligible=False)
+    return run_backtests(study, choices.cal, runs.select(*RUN_COLUMNS), choices.decisions, chosen, cfg.max_positions,
+                         check_eligible=False)
+
+
+def _window(folds: DataFrame, key: str, rule: str, start: str, end: Column) -> DataFrame:
+    return folds.select(F.concat_ws("|", F.lit(key), "fold").alias("schedule_id"), F.lit(rule).alias("rule"),
+                        F.col(start).alias("start"), end.alias("end"))
 
 
 def walk_forward(study: DataFrame, strategies, cfg: BacktestConfig = BacktestConfig(), n_folds: int = 5,
                  train_months: int = 24, test_months: int = 6, expanding: bool = True, holdout_months: int = 12,
                  largest: int | None = None) -> WalkForward:
-    """Every strategy on every training window in one job, the chosen ones through their test windows in a second."""
+    """Every strategy on every training window in one job, the chosen ones through their test windows in a second.
+
+    With rolling windows the history a factor may use starts with the window; the
+    zero returns of a name's dates before its first bar in the window are the one
+    thing not restarted.
+    """
     cal = materialise(calendar(study), "calendar")
     splits = make_splits(cal, n_folds, train_months, test_months, expanding, holdout_months)
     folds = materialise(usable_folds(cal, splits), "folds")
+    first = cal.agg(F.min("date").alias("_first"))
+    windows = _window(folds, "train", cfg.rebalance, "train_start", F.col("train_end")).unionByName(
+        _window(folds.crossJoin(F.broadcast(first)), "test", cfg.rebalance, "_first", F.col("test_end")))  # one row
+    choices = _choices(study, cal, windows, strategies, largest)
+
     train = _runs(folds, strategies, cfg, F.lit("train"))
-    windows = train.select("schedule_id", F.lit(cfg.rebalance).alias("rule"), F.col("train_start").alias("start"),
-                           F.col("train_end").alias("end")).distinct()
-    fitted = metrics.summarise(_backtest(study, cal, windows, train, strategies, cfg, largest).returns)
+    fitted = metrics.summarise(_backtest(study, choices, train, cfg).returns)
     candidates = materialise(train.select("run_id", "fold", "strategy").join(fitted, "run_id").select(
         "fold", "strategy", F.col("sharpe").alias("train_sharpe"), F.col("total_return").alias("train_return")), "candidates")
     best = W.partitionBy("fold").orderBy(F.col("train_sharpe").desc_nulls_last(), "strategy")
     chosen = candidates.withColumn("_p", F.row_number().over(best)).filter("_p = 1").drop("_p")
 
-    first = cal.agg(F.min("date").alias("_first"))
     # only the chosen runs are traded in the second pass
     test = _runs(folds, strategies, cfg, F.lit("test")).join(chosen.select("fold", "strategy"), ["fold", "strategy"], "left_semi")
-    through = folds.crossJoin(F.broadcast(first)).select(  # one row
-        F.concat_ws("|", F.lit("test"), "fold").alias("schedule_id"), F.lit(cfg.rebalance).alias("rule"),
-        F.col("_first").alias("start"), F.col("test_end").alias("end"))
-    out = _backtest(study, cal, through, test, strategies, cfg, largest).returns
+    out = _backtest(study, choices, test, cfg).returns
     scored = materialise(out.join(test.select("run_id", "fold", "test_start"), "run_id").filter(F.col("date") >= F.col("test_start"))
-              .select("run_id", "fold", "date", "ret"), "oos")
+                         .select("run_id", "fold", "date", "ret"), "oos")
     oos_stats = metrics.summarise(scored).join(test.select("run_id", "fold"), "run_id").select(
         "fold", F.col("sharpe").alias("oos_sharpe"), F.col("total_return").alias("oos_return"), F.col("max_dd").alias("oos_maxdd"))
     table = folds.join(chosen, "fold").join(oos_stats, "fold").select(
@@ -143,9 +164,8 @@ def evaluate_holdout(study: DataFrame, strategy, cfg: BacktestConfig = BacktestC
         raise ValueError("holdout too short to evaluate")
     folds = last.select(F.lit(1).alias("fold"), "holdout_start", "_f")
     runs = _runs(folds, [strategy], cfg, F.lit("holdout"))
-    window = folds.select(F.lit("holdout|1").alias("schedule_id"), F.lit(cfg.rebalance).alias("rule"),
-                          F.col("_f").alias("start"), F.lit(None).cast("date").alias("end"))
-    out = _backtest(study, cal, window, runs, [strategy], cfg, largest).returns
+    window = _window(folds, "holdout", cfg.rebalance, "_f", F.lit(None).cast("date"))
+    out = _backtest(study, _choices(study, cal, window, [strategy], largest), runs, cfg).returns
     kept = out.crossJoin(F.broadcast(last)).filter(F.col("date") >= F.col("holdout_start"))  # one row
     stats = metrics.summarise(kept.select("run_id", "date", "ret"))
     stats = metrics.deflate(stats, n_trials)

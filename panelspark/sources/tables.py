@@ -32,31 +32,40 @@ def ticker_of(suppkey: Column) -> Column:
 
 
 def line_ticks(lines: DataFrame) -> DataFrame:
-    """Order lines as trades; ``seq`` orders the trades of a ticker."""
+    """Order lines as trades; ``seq`` orders the trades of a supplier."""
     return lines.select(
-        ticker_of(F.col("l_suppkey")).alias("ticker"), F.col("l_shipdate").alias("ts"),
+        "l_suppkey", F.col("l_shipdate").alias("ts"),
         (F.col("l_extendedprice") / F.col("l_quantity") / 100).alias("price"), F.col("l_quantity").alias("quantity"),
         F.round(F.col("l_discount") * 100).cast("bigint").alias("discount_pct"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("seq"))
 
 
-def ticks_to_bars(ticks: DataFrame, width: str = "7 days", offset: str | None = "4 days") -> DataFrame:
+def ticks_to_bars(ticks: DataFrame, key: str = "ticker", name=lambda k: k, width: str = "7 days",
+                  offset: str | None = "4 days", extra: dict[str, Column] | None = None) -> DataFrame:
     """Tumbling OHLCV bars, the same code for a table and a stream.
 
     All aggregates merge, so a bar with very many trades is combined map-side.
-    The default week starts on Monday.
+    Grouping is on the raw key; ``name`` spells the ticker once per bar.  The
+    default week starts on Monday.
     """
+    extra = extra or {}
     week = F.window("ts", width, width, offset) if offset else F.window("ts", width)
-    bars = ticks.groupBy("ticker", week.alias("w")).agg(
+    bars = ticks.groupBy(key, week.alias("w")).agg(
+        *[c.alias(n) for n, c in extra.items()],
         F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", "seq").alias("close"), F.sum("discount_pct").alias("_d"), F.count("*").alias("_n"),
         F.sum("quantity").alias("volume"))
     adjusted = F.col("close") * (1 - F.col("_d") / F.col("_n") / 100)
-    return bars.withColumn("date", F.col("w.start").cast("date")).withColumn("adj_close", adjusted).select(*BAR_COLUMNS)
+    return bars.withColumns({"ticker": name(F.col(key)), "date": F.col("w.start").cast("date"), "adj_close": adjusted}).select(
+        *BAR_COLUMNS, *extra)
+
+
+def line_bars(ticks: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
+    return ticks_to_bars(ticks, "l_suppkey", ticker_of, extra=extra)
 
 
 def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks_to_bars(line_ticks(table(spark, sf_dir, "lineitem")))
+    return line_bars(line_ticks(table(spark, sf_dir, "lineitem")))
 
 
 def supplier_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,11 +130,8 @@ def stored_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def arrival_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars with ``seq``, the order in which their last trades were booked."""
-    lines = table(spark, sf_dir, "lineitem")
-    booked = (line_ticks(lines).groupBy("ticker", F.date_trunc("week", "ts").cast("date").alias("date"))
-              .agg(F.max("seq.l_orderkey").alias("_o")))
-    return (weekly_bars(spark, sf_dir).join(booked, ["ticker", "date"])
-            .withColumn("seq", F.struct("_o", "date")).select(*BAR_COLUMNS, "seq"))
+    bars = line_bars(line_ticks(table(spark, sf_dir, "lineitem")), {"_o": F.max("seq.l_orderkey")})
+    return bars.withColumn("seq", F.struct("_o", "date")).drop("_o")
 
 
 def flawed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

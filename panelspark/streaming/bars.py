@@ -8,7 +8,7 @@ from panelspark.operators.quality import bad_brackets, has_missing, not_positive
 from panelspark.scratch import scratch_path
 from panelspark.schemas import BARS, BAR_COLUMNS
 from panelspark.sources.ingest import upsert_fresh_wins
-from panelspark.sources.tables import line_ticks, ticks_to_bars
+from panelspark.sources.tables import line_bars, line_ticks, ticker_of
 
 
 def ticks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def read_upserted(spark: SparkSession, path: str, before: int | None = None) ->
 def run_bars_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drain the trades available now into the upserted bar table and read it."""
     path, checkpoint = scratch_path(spark, "bars"), scratch_path(spark, "bars-progress")
-    upsert_batches(ticks_to_bars(ticks_stream(spark, sf_dir)), path, checkpoint, spark).awaitTermination()
+    upsert_batches(line_bars(ticks_stream(spark, sf_dir)), path, checkpoint, spark).awaitTermination()
     return read_upserted(spark, path)
 
 
@@ -73,7 +73,7 @@ def run_checks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = ticks_stream(spark, sf_dir)
     bad = F.col("discount_pct") == 0
     bars = ticks.select(
-        F.col("ts").cast("date").alias("date"), "ticker", F.col("price").alias("open"), F.col("price").alias("high"),
+        F.col("ts").cast("date").alias("date"), ticker_of(F.col("l_suppkey")).alias("ticker"), F.col("price").alias("open"), F.col("price").alias("high"),
         F.when(bad, F.col("price") + 1).otherwise(F.col("price")).alias("low"), F.col("price").alias("close"),
         F.when(F.col("quantity") == 1, None).otherwise(F.col("price")).alias("adj_close"), F.col("quantity").alias("volume"))
     path, checkpoint = scratch_path(spark, "violations"), scratch_path(spark, "violations-progress")

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from panelspark.functions.costs import broker_breadth
 from panelspark.functions.draws import sample_positions
 from panelspark.operators import metrics
-from panelspark.operators.backtest import BacktestResult, eligible_on, run_backtests, run_row, RUN_SCHEMA
+from panelspark.operators.backtest import BacktestResult, eligible_on, RUN_COLUMNS, RUN_SCHEMA, run_backtests, run_row
 from panelspark.operators.calendar import calendar, schedules
 from panelspark.operators.factors import Strategy, composite_scores, factor_values, percentile_ranks, top_n
-from panelspark.operators.literals import rows
+from panelspark.operators.literals import rows, setting_rows
 from panelspark.operators.ordering import exact_quantiles, ordinal
 from panelspark.schemas import BacktestConfig
 from panelspark.scratch import materialise
@@ -48,9 +48,9 @@ def random_signals(live: DataFrame, schedule_id: str, n_trials: int, n_names: in
     mine = live.filter(F.col("schedule_id") == schedule_id)
     numbered = ordinal(mine, ["decision_date"], [F.col("ticker")], "pos", "m", largest)
     numbered = numbered.select("decision_date", "ticker", "pos", "m")
-    sizes = numbered.groupBy("decision_date").agg(F.max("m").alias("m"))
-    trials = live.sparkSession.range(n_trials).select(F.col("id").alias("trial"))
-    draws = sizes.crossJoin(F.broadcast(trials)).select(  # n_trials rows
+    sizes = mine.groupBy("decision_date").agg(F.count("*").alias("m"))
+    trials = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_trials - 1).cast("bigint"))).alias("trial")
+    draws = sizes.select("*", trials).select(
         F.concat(F.lit("random_"), F.col("trial").cast("string")).alias("run_id"), "decision_date",
         F.explode(sample_positions(F.col("m"), n_names, F.lit(seed), F.col("trial"), F.col("decision_date"))).alias("pos"))
     return draws.join(numbered.drop("m"), ["decision_date", "pos"]).select(
@@ -82,16 +82,17 @@ def random_backtests(study: DataFrame, cfg: BacktestConfig, n_names: int, n_tria
 
 
 def _trial_runs(spark, n_trials: int, row: tuple, n_names: int) -> DataFrame:
-    one = rows(spark, RUN_SCHEMA, [row])
-    return spark.range(n_trials).select(
-        F.concat(F.lit("random_"), F.col("id").cast("string")).alias("run_id")).crossJoin(
-        F.broadcast(one.drop("run_id", "max_positions"))).withColumn("max_positions", F.lit(n_names))
+    settings = setting_rows(RUN_SCHEMA, [(*row[:-1], n_names)])[0]
+    return spark.range(n_trials).select(F.concat(F.lit("random_"), F.col("id").cast("string")).alias("_id"), settings.alias("s")).select(
+        F.col("_id").alias("run_id"), *[F.col(f"s.{c}").alias(c) for c in RUN_COLUMNS[1:]])
 
 
 def percentile_vs_random(value: DataFrame, randoms: DataFrame) -> DataFrame:
     """100 times the share of random values strictly below each strategy value (run_id, value)."""
-    return value.join(randoms.select(F.col("value").alias("_r"))).groupBy("run_id").agg(
-        (F.avg((F.col("_r") < F.col("value")).cast("int")) * 100.0).alias("pctile_vs_random"))
+    drawn = randoms.agg(F.collect_list("value")).scalar()  # one number per trial
+    below = F.size(F.filter(F.col("_r"), lambda r: r < F.col("value")))
+    return value.withColumn("_r", drawn).select(
+        "run_id", F.try_divide(below * 100.0, F.size("_r")).alias("pctile_vs_random"))
 
 
 def baseline_runs(study: DataFrame, strategy: Strategy, cfg: BacktestConfig, n_random: int, n_names: int,

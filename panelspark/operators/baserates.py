@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.functions.prices import by_ticker, change, row_return
+from panelspark.scratch import materialise
 from panelspark.operators.ordering import exact_quantiles, largest_group, ordinal
 
 THIN = 100
@@ -42,6 +43,8 @@ def bucket_cross_sectionally(panel: DataFrame, n_buckets: int = 10, largest: int
 
 def summarise_buckets(bucketed: DataFrame, horizon: int = 21, largest: int | None = None) -> DataFrame:
     """Distribution of forward returns per bucket, with the number of independent periods."""
+    # three narrow columns, read by the counts and by the quantiles: the windows behind them run once
+    bucketed = materialise(bucketed.select("bucket", "date", "fwd_return"), "buckets")
     r = F.col("fwd_return")
     per_date = bucketed.groupBy("bucket", "date").agg(
         F.count("*").alias("n"), F.sum(r).alias("s"), F.sum((r > 0).cast("bigint")).alias("up"),

@@ -13,6 +13,7 @@ from panelspark.functions.costs import BOARD_LOT, affordable_lots, round_trip_pc
 from panelspark.functions.draws import hash48, sample_positions, unit_draw
 from panelspark.functions.prices import at_calendar_offset, change
 from panelspark.operators.ordering import exact_quantiles, ordinal
+from panelspark.scratch import materialise
 from panelspark.schemas import ZERO_COMMISSION, Broker, ContestConfig
 
 RULES = ("random", "high_vol", "low_vol", "momentum", "reversal")
@@ -64,8 +65,8 @@ def spans_all(study: DataFrame) -> DataFrame:
 
 def spans_by_years(study: DataFrame, years: int = 2, min_dates: int = MIN_SLICE_DATES) -> DataFrame:
     """Consecutive slices of history long enough to hold a study."""
-    first = study.agg(F.min(F.year("date")).alias("_y0"))
-    days = study.select("date", "date_idx").distinct().crossJoin(F.broadcast(first))  # one row
+    first = study.agg(F.min(F.year("date"))).scalar()
+    days = study.select("date", "date_idx").distinct().withColumn("_y0", first)
     y0 = F.col("_y0") + F.floor((F.year("date") - F.col("_y0")) / years).cast("int") * years
     return (days.groupBy(F.concat_ws("-", y0, y0 + years - 1).alias("span")).agg(
         F.count("*").alias("_n"), F.min("date_idx").alias("first_idx"), (F.max("date_idx") + 1).alias("end_idx"))
@@ -119,9 +120,9 @@ def leaderboard(portfolios: DataFrame, start: tuple[str, ...] = ("span", "date_i
 
 def trial_starts(starts: DataFrame, n_trials: int, seed: int) -> DataFrame:
     """A start drawn for every trial and span."""
-    trials = starts.sparkSession.range(n_trials).select(F.col("id").alias("trial"))
+    trials = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_trials - 1).cast("bigint"))).alias("trial")
     drawn = F.col("lo") + F.pmod(hash48(F.lit(seed), F.lit("start"), F.col("span"), F.col("trial")), F.col("hi") - F.col("lo"))
-    return starts.crossJoin(trials).select("span", "trial", drawn.cast("int").alias("date_idx"))
+    return starts.select("*", trials).select("span", "trial", drawn.cast("int").alias("date_idx"))
 
 
 def field_pool(names: DataFrame, cfg: ContestConfig, largest: int | None = None) -> DataFrame:
@@ -206,7 +207,9 @@ def contest_trials(study: DataFrame, cfg: ContestConfig, ks: tuple[int, ...] | N
     if unknown:
         raise ValueError(f"unknown rule(s) {unknown}")
     starts = start_range(spans_all(study) if spans is None else spans, cfg.horizon, cfg.lookback)
-    names = candidates(window_rows_table(study, cfg.horizon, cfg.lookback), starts, max(*ks, cfg.field_k) + SPARE_NAMES)
+    # the pool, our own picks and their counts all read these names: the windows run once
+    names = materialise(candidates(window_rows_table(study, cfg.horizon, cfg.lookback), starts,
+                                   max(*ks, cfg.field_k) + SPARE_NAMES), "names")
     trials = trial_starts(starts, cfg.n_trials, cfg.seed)
     field = field_results(trials, field_pool(names, cfg, largest), cfg)
     mine = my_results(trials, names, cfg, ks, rules, largest)
@@ -221,7 +224,7 @@ def contest_trials(study: DataFrame, cfg: ContestConfig, ks: tuple[int, ...] | N
 
 
 def contest_summary(trials: DataFrame, by: tuple[str, ...] = ("span", "rule", "k"), largest: int | None = None) -> DataFrame:
-    by = list(by)
+    by, trials = list(by), materialise(trials, "trials")  # trials x rules x sizes, read three times
     main = trials.groupBy(*by).agg(
         F.avg("win_credit").alias("p_win"), F.avg(F.col("top3").cast("int")).alias("p_top3"),
         F.avg("my_return").alias("mean_return"), F.avg((F.col("my_return") < -0.5).cast("int")).alias("p_lose_half"),

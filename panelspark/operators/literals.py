@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def _sql(value) -> str:
@@ -17,6 +17,12 @@ def _sql(value) -> str:
     return f"{value!r}D" if isinstance(value, float) else str(value)
 
 
+def setting_rows(schema: str, values: Sequence[Sequence]) -> Column:
+    """The same settings as an array of structs, to explode onto every row of another table."""
+    fields = T.StructType.fromDDL(schema).fields
+    return F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields)]) for r in values])
+
+
 def rows(spark: SparkSession, schema: str, values: Sequence[Sequence]) -> DataFrame:
     """A literal table; ``schema`` is DDL.  Meant for settings, not for data.
 

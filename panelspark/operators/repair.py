@@ -99,14 +99,16 @@ def detect_splits(panel: DataFrame, events: DataFrame | None = None) -> DataFram
     if events is None:
         return big.select("*", F.lit(False).alias("confirmed"), F.lit(None).cast("double").alias("recorded_ratio"),
                           gates.alias("is_split"))
-    ev = clean_events(events).select(F.col("ticker").alias("_t"), "recorded_date", "value",
-                                     _ratio(F.col("value")).alias("implied"))
-    fits = ((F.col("_t") == F.col("ticker"))
-            & (F.abs(F.date_diff("recorded_date", "date")) <= CONFIRM_DAYS)
-            & F.when(F.col("value") > 1.0, F.col("move") < 0).otherwise(F.col("move") > 0)
-            & (F.abs(F.col("ratio") - F.col("implied")) / F.col("implied") < RATIO_TOL))
-    matched = big.join(ev, fits, "left").groupBy(*big.columns).agg(
-        F.min(F.struct("recorded_date", "implied")).alias("_m"))
+    # one row per ticker with its distinct actions, so a candidate joins once and keeps its row
+    ev = clean_events(events).groupBy("ticker").agg(F.collect_list(F.struct(
+        "recorded_date", _ratio(F.col("value")).alias("implied"), "value")).alias("_ev"))
+
+    def fits(e: Column) -> Column:
+        return ((F.abs(F.date_diff(e["recorded_date"], "date")) <= CONFIRM_DAYS)
+                & F.when(e["value"] > 1.0, F.col("move") < 0).otherwise(F.col("move") > 0)
+                & (F.abs(F.col("ratio") - e["implied"]) / e["implied"] < RATIO_TOL))
+
+    matched = big.join(ev, "ticker", "left").withColumn("_m", F.array_min(F.filter("_ev", fits)))
     confirmed = F.col("_m.implied").isNotNull()
     return matched.select(*big.columns, confirmed.alias("confirmed"), F.col("_m.implied").alias("recorded_ratio"),
                           (gates & confirmed).alias("is_split"))

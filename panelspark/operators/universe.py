@@ -106,17 +106,16 @@ def latest_tradable(screened: DataFrame, min_names: int = MIN_NAMES) -> DataFram
 
 def freshness(screened: DataFrame, today: str, max_age_days: int, min_names: int = MIN_NAMES) -> DataFrame:
     """Age of the newest usable date, and whether newer partial dates exist."""
-    newest = screened.agg(F.max("date").alias("newest"))
+    newest = screened.agg(F.max("date").alias("newest")).scalar()
     age = F.date_diff(F.lit(today).cast("date"), "as_of")
-    return latest_tradable(screened, min_names).crossJoin(newest).select(  # one row each
+    return latest_tradable(screened, min_names).withColumn("newest", newest).select(
         "as_of", "newest", age.alias("age_days"), is_true(age <= max_age_days).alias("fresh"),
         (F.col("newest") > F.col("as_of")).alias("ragged_edge"))
 
 
 def backfilled_share(screened: DataFrame, lists: DataFrame) -> DataFrame:
     """Eligible bars that rest on a list actually in force, and those that do not."""
-    first = lists.agg(F.min("list_date").alias("first_release"))
-    real = F.col("date") >= F.col("first_release")
-    return screened.filter("eligible").crossJoin(F.broadcast(first)).agg(  # one row
-        F.count("*").alias("n_eligible"), F.sum(real.cast("bigint")).alias("n_point_in_time"),
-        F.sum((~real).cast("bigint")).alias("n_backfilled"), F.countDistinct("ticker").alias("n_names"))
+    real = F.col("date") >= lists.agg(F.min("list_date")).scalar()
+    return screened.filter("eligible").withColumn("_real", real.cast("bigint")).agg(
+        F.count("*").alias("n_eligible"), F.sum("_real").alias("n_point_in_time"),
+        F.sum(1 - F.col("_real")).alias("n_backfilled"), F.countDistinct("ticker").alias("n_names"))

@@ -7,17 +7,16 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.operators import metrics
-from panelspark.operators.backtest import RUN_SCHEMA, run_backtests, run_row
+from panelspark.operators.backtest import RUN_COLUMNS, RUN_SCHEMA, run_backtests, run_row
 from panelspark.operators.baselines import strategy_signals
 from panelspark.operators.calendar import calendar, schedules
-from panelspark.operators.literals import rows
+from panelspark.operators.literals import setting_rows
 from panelspark.schemas import BacktestConfig
 from panelspark.scratch import materialise
 
 MIN_DATES = 100
 MIN_TRAIN, MIN_TEST, MIN_HOLDOUT = 60, 10, 20
 MIN_MEANINGFUL_IS = 0.20
-RUN_COLUMNS = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
 
 
 class WalkForward(NamedTuple):
@@ -27,12 +26,15 @@ class WalkForward(NamedTuple):
     summary: DataFrame
 
 
+def holdout_start(cal: DataFrame, months: int) -> Column:
+    """The first date no fold may see, as a scalar."""
+    return cal.agg(F.add_months(F.max("date"), -months)).scalar()
+
+
 def _require(cal: DataFrame, holdout_months: int) -> None:
     """Two numbers reach the driver: dates in all and before the holdout."""
-    last = cal.agg(F.max("date").alias("_l"))
-    n = cal.crossJoin(F.broadcast(last)).agg(  # one row
-        F.count("*").alias("n"),
-        F.sum((F.col("date") < F.add_months("_l", -holdout_months)).cast("int")).alias("usable")).first()
+    n = cal.withColumn("_h", holdout_start(cal, holdout_months)).agg(
+        F.count("*").alias("n"), F.sum((F.col("date") < F.col("_h")).cast("int")).alias("usable")).first()
     if n.n < MIN_DATES:
         raise ValueError("not enough history to walk forward")
     if n.usable < MIN_DATES:
@@ -43,8 +45,7 @@ def make_splits(cal: DataFrame, n_folds: int = 5, train_months: int = 24, test_m
                 expanding: bool = True, holdout_months: int = 12) -> DataFrame:
     """Half-open train and test windows stepping back from the last usable date."""
     _require(cal, holdout_months)
-    last = cal.agg(F.max("date").alias("_l")).select(F.add_months("_l", -holdout_months).alias("holdout_start"))
-    usable = cal.crossJoin(F.broadcast(last)).filter(F.col("date") < F.col("holdout_start"))  # one row
+    usable = cal.withColumn("holdout_start", holdout_start(cal, holdout_months)).filter(F.col("date") < F.col("holdout_start"))
     span = usable.groupBy("holdout_start").agg(F.min("date").alias("first"), F.max("date").alias("last"))
     k = span.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("k"))
     k = k.withColumn("test_end", F.add_months("last", -test_months * F.col("k")))
@@ -67,11 +68,9 @@ def usable_folds(cal: DataFrame, splits: DataFrame) -> DataFrame:
 
 def _runs(folds: DataFrame, strategies, cfg: BacktestConfig, key: Column) -> DataFrame:
     """One run per fold and strategy; its schedule is the fold's window."""
-    names = rows(folds.sparkSession, "strategy STRING", [(s.name,) for s in strategies])
-    base = rows(folds.sparkSession, RUN_SCHEMA, [run_row("", "", cfg)]).drop("run_id", "schedule_id")
-    return folds.crossJoin(F.broadcast(names)).crossJoin(F.broadcast(base)).withColumn(  # settings tables
-        "run_id", F.concat_ws("|", key, "fold", "strategy")).withColumn(
-        "schedule_id", F.concat_ws("|", key, "fold"))
+    settings = setting_rows("strategy STRING, " + RUN_SCHEMA, [(s.name, *run_row("", "", cfg)) for s in strategies])
+    return folds.select("*", F.inline(settings)).withColumns({
+        "run_id": F.concat_ws("|", key, "fold", "strategy"), "schedule_id": F.concat_ws("|", key, "fold")})
 
 
 class _Choices(NamedTuple):
@@ -115,9 +114,9 @@ def walk_forward(study: DataFrame, strategies, cfg: BacktestConfig = BacktestCon
     cal = materialise(calendar(study), "calendar")
     splits = make_splits(cal, n_folds, train_months, test_months, expanding, holdout_months)
     folds = materialise(usable_folds(cal, splits), "folds")
-    first = cal.agg(F.min("date").alias("_first"))
+    first = cal.agg(F.min("date")).scalar()
     windows = _window(folds, "train", cfg.rebalance, "train_start", F.col("train_end")).unionByName(
-        _window(folds.crossJoin(F.broadcast(first)), "test", cfg.rebalance, "_first", F.col("test_end")))  # one row
+        _window(folds.withColumn("_first", first), "test", cfg.rebalance, "_first", F.col("test_end")))
     choices = _choices(study, cal, windows, strategies, largest)
 
     train = _runs(folds, strategies, cfg, F.lit("train"))
@@ -149,26 +148,25 @@ def _summary(folds: DataFrame, stitched: DataFrame) -> DataFrame:
     whole = metrics.summarise(stitched.select(F.lit("oos").alias("run_id"), "date", "ret")).select(
         F.col("sharpe").alias("stitched_sharpe"), F.col("total_return").alias("stitched_return"),
         F.col("max_dd").alias("stitched_maxdd"))
-    return means.withColumn("degradation", ratio).crossJoin(whole)  # one row each
+    return means.select("*", ratio.alias("degradation"), whole.select(F.struct("*")).scalar().alias("_w")).select("*", "_w.*").drop("_w")
 
 
 def evaluate_holdout(study: DataFrame, strategy, cfg: BacktestConfig = BacktestConfig(), holdout_months: int = 12,
                      n_trials: int = 1, largest: int | None = None) -> DataFrame:
     """One strategy over all history, scored on the final months only."""
     cal = materialise(calendar(study), "calendar")
-    last = cal.agg(F.max("date").alias("_l"), F.min("date").alias("_f")).select(
-        F.add_months("_l", -holdout_months).alias("holdout_start"), F.col("_f"))
-    held = cal.crossJoin(F.broadcast(last)).filter(F.col("date") >= F.col("holdout_start"))  # one row
-    span = held.agg(F.count("*").alias("n"), F.min("date").alias("start"), F.max("date").alias("end"))
-    if span.first().n < MIN_HOLDOUT:  # one number
+    begins = holdout_start(cal, holdout_months)
+    held = cal.filter(F.col("date") >= begins)
+    span = held.agg(F.count("*").alias("n"), F.min("date").alias("start"), F.max("date").alias("end")).first()  # one row
+    if span.n < MIN_HOLDOUT:
         raise ValueError("holdout too short to evaluate")
-    folds = last.select(F.lit(1).alias("fold"), "holdout_start", "_f")
+    folds = cal.agg(F.min("date").alias("_f")).select(F.lit(1).alias("fold"), "_f")
     runs = _runs(folds, [strategy], cfg, F.lit("holdout"))
     window = _window(folds, "holdout", cfg.rebalance, "_f", F.lit(None).cast("date"))
     out = _backtest(study, _choices(study, cal, window, [strategy], largest), runs, cfg).returns
-    kept = out.crossJoin(F.broadcast(last)).filter(F.col("date") >= F.col("holdout_start"))  # one row
+    kept = out.filter(F.col("date") >= F.lit(span.start))
     stats = metrics.summarise(kept.select("run_id", "date", "ret"))
     stats = metrics.deflate(stats, n_trials)
-    return span.crossJoin(stats).select(  # one row each
-        "start", "end", F.lit(strategy.name).alias("strategy"), "sharpe", "total_return", "max_dd", "dsr_z", "dsr",
+    return stats.select(
+        F.lit(span.start).alias("start"), F.lit(span.end).alias("end"), F.lit(strategy.name).alias("strategy"), "sharpe", "total_return", "max_dd", "dsr_z", "dsr",
         F.lit(n_trials).alias("n_trials_declared"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from panelspark.functions import costs, prices, symbols
 from panelspark.operators import (backtest, baselines, baserates, calendar as cal_ops, concentration, factors, metrics,
                                   ordering, positions, quality, reconcile, repair, universe, walkforward)
-from panelspark.operators.literals import rows
+from panelspark.operators.literals import rows, setting_rows
 from panelspark.scratch import materialise
 from panelspark.schemas import BANK_LOW, BROKERS, BacktestConfig, ContestConfig
 from panelspark.sources import ingest, listtext, payload, tables
@@ -179,10 +179,10 @@ def bar_returns(spark, sf):
 @query
 def trade_costs(spark, sf):
     orders = tables.table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("value"))
-    brokers = rows(spark, "broker STRING, rate_pct DOUBLE, min_fee DOUBLE, sst DOUBLE",
-                   [(b.name, b.rate_pct, b.min_fee, b.sst) for b in BROKERS])
+    brokers = setting_rows("broker STRING, rate_pct DOUBLE, min_fee DOUBLE, sst DOUBLE",
+                           [(b.name, b.rate_pct, b.min_fee, b.sst) for b in BROKERS])
     v, fee = F.col("value"), (F.col("rate_pct"), F.col("min_fee"), F.col("sst"))
-    out = orders.crossJoin(F.broadcast(brokers)).select(  # three schedules
+    out = orders.select("*", F.inline(brokers)).select(
         "o_orderkey", "broker", costs.brokerage(v, *fee).alias("brokerage"), costs.stamp_duty(v).alias("stamp_duty"),
         costs.clearing_fee(v).alias("clearing_fee"), costs.slippage(v).alias("slippage"),
         costs.total_cost(v, *fee).alias("total"), costs.round_trip_pct(v, *fee).alias("round_trip_pct"))

@@ -108,9 +108,9 @@ def load_summary(requested: DataFrame, bars: DataFrame) -> DataFrame:
 
 def coverage_profile(bars: DataFrame, days: int = 90, floor: float = 500_000.0) -> DataFrame:
     """Per ticker: bars, and median traded value over the last ``days`` before the newest date."""
-    newest = bars.agg((F.date_sub(F.max("date"), days)).alias("_from"))
-    traded = F.when(F.col("date") > F.col("_from"), F.col("close") * F.col("volume"))
-    return (bars.crossJoin(F.broadcast(newest))  # one row
+    since = bars.agg(F.date_sub(F.max("date"), days)).scalar()
+    traded = F.when(F.col("_recent"), F.col("close") * F.col("volume"))
+    return (bars.withColumn("_recent", F.col("date") > since)
             .groupBy("ticker")
             .agg(F.count("*").alias("n_bars"), F.percentile(traded, F.lit(0.5)).alias("median_recent_dtv"))
             .withColumn("above_floor", F.coalesce(F.col("median_recent_dtv") >= floor, F.lit(False))))

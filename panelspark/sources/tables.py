@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from panelspark.operators.factors import study_panel
-from panelspark.operators.literals import rows
+from panelspark.operators.literals import rows, setting_rows
 from panelspark.operators.universe import screen
 from panelspark.scratch import stored_by_ticker
 from panelspark.schemas import BAR_COLUMNS, PRICE_COLUMNS, ScreenConfig
@@ -160,9 +160,9 @@ def list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("list_date", (F.col("p") + 10).alias("line_no"),
                     F.when(F.col("a.n") == F.col("b.n"), F.col("a.e"))
                     .otherwise(F.concat(F.col("a.e"), F.lit("    "), F.col("b.e"))).alias("line")))
-    fixed = rows(spark, "line_no BIGINT, line STRING", [
+    fixed = setting_rows("line_no BIGINT, line STRING", [
         (1, "NEWLY ADDED SECURITIES"), (2, "  1.   9901   Delta One      2.   9902   Delta Two"),
         (5, "LIST OF SHARIAH-COMPLIANT SECURITIES - MAIN MARKET"),
         (9_000_000_000, "ADDITIONAL LIST OF FUNDS"), (9_000_000_001, "  1.   9801   Fund One")])
-    frame = listed.select("list_date").distinct().crossJoin(F.broadcast(fixed))  # five lines
+    frame = listed.select("list_date").distinct().select("list_date", F.inline(fixed))
     return body.unionByName(frame).withColumn("doc_id", F.date_format("list_date", "yyyy-MM-dd"))

@@ -11,10 +11,16 @@ from panelspark.sources.ingest import upsert_fresh_wins
 from panelspark.sources.tables import line_bars, line_ticks, ticker_of
 
 
-def ticks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ticks_stream(spark: SparkSession, sf_dir: str, late: str | None = None) -> DataFrame:
+    """Order lines as a stream of trades.
+
+    ``late`` sets a watermark for a live feed, which frees the state of closed
+    bars; a replay of unordered files has none, so that no trade is dropped.
+    """
     schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
     lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
-    return line_ticks(lines)
+    ticks = line_ticks(lines)
+    return ticks.withWatermark("ts", late) if late else ticks
 
 
 def upsert_batches(bars: DataFrame, path: str, checkpoint: str, spark: SparkSession):

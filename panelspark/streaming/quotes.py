@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from panelspark.operators.positions import latest_quotes, quote_status
 from panelspark.scratch import scratch_path
 
-LATE = "1 hour"
-
 
 def quotes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema

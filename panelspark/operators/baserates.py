@@ -67,8 +67,8 @@ def base_rates(panel: DataFrame, factor: str = "momentum", horizon: int = 21, lo
 
 def current_buckets(panel: DataFrame, as_of: DataFrame, factor: str = "momentum", lookback: int = 60,
                     n_buckets: int = 10, largest: int | None = None) -> DataFrame:
-    """Rank, bucket and percentile of every eligible name on the ``as_of`` date(s)."""
-    today = add_factor(panel, factor, lookback).join(as_of.select(F.col("as_of").alias("date")), "date", "left_semi")
+    """Rank, bucket and percentile of every eligible name on the one ``as_of`` date."""
+    today = add_factor(panel, factor, lookback).filter(F.col("date") == as_of.select("as_of").scalar())
     if "eligible" in panel.columns:
         today = today.filter("eligible")
     today = today.filter(F.col("factor").isNotNull())

@@ -81,8 +81,9 @@ def start_range(spans: DataFrame, horizon: int, lookback: int) -> DataFrame:
 
 def candidates(windows: DataFrame, starts: DataFrame, min_names: int) -> DataFrame:
     """Names on offer per start, where there are enough of them."""
-    inside = windows.join(starts.select("span", "lo", "hi"),
-                          (F.col("date_idx") >= F.col("lo")) & (F.col("date_idx") < F.col("hi"))).drop("lo", "hi")
+    # a row per start date, stored so that Spark sees it is small
+    days = materialise(starts.select("span", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("date_idx")), "starts")
+    inside = windows.join(days, "date_idx")
     enough = inside.groupBy("span", "date_idx").agg(F.count("*").alias("n")).filter(F.col("n") >= min_names)
     return inside.join(enough.select("span", "date_idx"), ["span", "date_idx"], "left_semi")
 
@@ -255,7 +256,7 @@ def rule_ranges(stability: DataFrame) -> DataFrame:
 def rank_universe(study: DataFrame, as_of: DataFrame, rule: str = "momentum", lookback: int = 60, seed: int = 0) -> DataFrame:
     """Live ranking on the ``as_of`` date: history includes it, eligibility gates only what is buyable."""
     scored = study.select("*", prior_momentum(lookback, 1).alias("mom"), prior_vol(lookback, 1).alias("vol"))
-    today = scored.join(as_of.select(F.col("as_of").alias("date")), "date", "left_semi").filter("eligible")
+    today = scored.filter((F.col("date") == as_of.select("as_of").scalar()) & F.col("eligible"))
     return today.withColumn("score", rule_score(F.lit(rule), seed)).filter(F.col("score").isNotNull())
 
 

@@ -14,6 +14,7 @@ from panelspark.functions.prices import at_calendar_offset, change, row_return
 from panelspark.operators.calendar import calendar
 from panelspark.operators.ordering import average_rank_pcts
 from panelspark.schemas import PERIODS_PER_YEAR
+from panelspark.scratch import materialise
 
 
 @dataclass(frozen=True)
@@ -34,9 +35,13 @@ class Strategy:
             raise ValueError("weights must not be negative; use the negated factor")
 
 
-def study_panel(screened: DataFrame, price: str = "adj_close", price_scope: str = "all") -> DataFrame:
+def study_panel(screened: DataFrame, price: str = "adj_close", price_scope: str = "all",
+                cal: DataFrame | None = None) -> DataFrame:
     """Panel with calendar index and row return.
 
+    ``cal`` is the panel's calendar as a stored table, small enough for Spark to
+    broadcast by its size; without it the dates are gathered and stored first.
+
     ``price_scope`` "eligible" drops ineligible bars before prices are compared,
     "all" keeps the whole price history and lets eligibility gate choices only.
     """
@@ -47,7 +52,9 @@ def study_panel(screened: DataFrame, price: str = "adj_close", price_scope: str
     if price_scope == "eligible":
         screened = screened.filter("eligible")
     priced = screened.filter(F.col(price).isNotNull())
-    return priced.join(calendar(priced), "date").withColumn("ret", row_return(price))
+    if cal is None:
+        cal = materialise(calendar(priced), "calendar")
+    return priced.join(cal, "date").withColumn("ret", row_return(price))
 
 
 def _span(first: int, last: int = 0):

@@ -31,14 +31,20 @@ def members_on(lists: DataFrame, date: str, backfill: bool = False) -> DataFrame
 
 
 def add_membership(panel: DataFrame, lists: DataFrame, backfill: bool = False) -> DataFrame:
-    """As-of join: the panel's distinct dates find their release, rows then join on equality."""
-    spans = release_spans(lists, backfill)
-    releases = (panel.select("date").distinct()
-                .join(spans, (F.col("date") >= F.col("starts")) & (F.col("ends").isNull() | (F.col("date") < F.col("ends"))))
-                .select("date", "release"))
-    listed = lists.select(F.col("list_date").alias("release"), "ticker", F.lit(True).alias("_m")).dropDuplicates()
-    return (panel.join(releases, "date", "left").join(listed, ["release", "ticker"], "left")
-            .withColumn("member", F.col("_m").isNotNull()).select(*panel.columns, "member"))
+    """As-of membership: is the ticker on the latest list at its date?
+
+    The release dates (one entry per release) are a scalar each row looks its
+    release up in; a ticker's own releases come by a join on ticker, which keeps
+    the partitioning the per-ticker windows need.  The panel is never shuffled
+    by date, where one date may hold much of it.
+    """
+    releases = lists.agg(F.array_sort(F.collect_set("list_date"))).scalar()
+    mine = lists.groupBy("ticker").agg(F.collect_set("list_date").alias("_mine"))
+    out = panel.join(mine, "ticker", "left").withColumn("_all", releases)
+    latest = F.array_max(F.filter("_all", lambda r: r <= F.col("date")))
+    if backfill:
+        latest = F.coalesce(latest, F.array_min("_all"))
+    return out.select(*[F.col(c) for c in panel.columns], is_true(F.array_contains("_mine", latest)).alias("member"))
 
 
 def add_liquidity(panel: DataFrame, cfg: ScreenConfig = ScreenConfig()) -> DataFrame:

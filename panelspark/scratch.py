@@ -44,15 +44,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def stored_by_ticker(spark: SparkSession, key: tuple, build) -> DataFrame:
     """A panel kept as a table bucketed by ticker, built once per application.
 
-    Per-ticker windows and ticker joins on it need no further exchange.
+    Per-ticker windows and ticker joins on it need no further exchange.  ``build``
+    ends partitioned by ticker, so each task writes whole buckets.
     """
     full_key = (spark.sparkContext.applicationId, *key)
     name = _stored.get(full_key)
     if name is None or not spark.catalog.tableExists(name):
         name = f"panelspark_{key[0]}_{uuid.uuid4().hex}"
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        (build().repartition(buckets, "ticker")
-         .write.bucketBy(buckets, "ticker").sortBy("ticker", "date")
+        (build().write.bucketBy(buckets, "ticker").sortBy("ticker", "date")
          .option("path", scratch_path(spark, key[0]))
          .saveAsTable(name))
         _stored[full_key] = name

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from panelspark.operators.calendar import calendar
 from panelspark.operators.factors import study_panel
-from panelspark.operators.literals import rows, setting_rows
+from panelspark.operators.literals import setting_rows
 from panelspark.operators.universe import screen
-from panelspark.scratch import stored_by_ticker
+from panelspark.scratch import materialise, stored_by_ticker
 from panelspark.schemas import BAR_COLUMNS, PRICE_COLUMNS, ScreenConfig
 
 # Settings of the derived study: weekly prices are thinner than daily ones.
@@ -68,6 +69,12 @@ def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_bars(line_ticks(table(spark, sf_dir, "lineitem")))
 
 
+def weekly_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weeks that have bars, from one column of the lines."""
+    weeks = table(spark, sf_dir, "lineitem").select(F.date_trunc("week", "l_shipdate").cast("date").alias("date"))
+    return materialise(calendar(weeks.filter(F.col("date").isNotNull())), "calendar")
+
+
 def supplier_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
     return (table(spark, sf_dir, "supplier").join(nation, "s_nationkey")
@@ -76,9 +83,9 @@ def supplier_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete snapshots: each release lists every supplier outside one region."""
-    lists = rows(spark, "list_date DATE, out_region INT", RELEASES)
-    return (supplier_regions(spark, sf_dir).join(lists, F.col("n_regionkey") != F.col("out_region"))
-            .select("list_date", "ticker"))
+    lists = setting_rows("list_date DATE, out_region INT", RELEASES)
+    return (supplier_regions(spark, sf_dir).select("ticker", "n_regionkey", F.inline(lists))
+            .filter(F.col("n_regionkey") != F.col("out_region")).select("list_date", "ticker"))
 
 
 def corporate_events(spark: SparkSession, sf_dir: str, bars: DataFrame) -> DataFrame:
@@ -125,7 +132,8 @@ def stored_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     Studies read it many times; building it inside each would repeat the scan,
     the framed median and the as-of join.
     """
-    return stored_by_ticker(spark, ("study", sf_dir), lambda: study_panel(screened_weekly(spark, sf_dir)))
+    return stored_by_ticker(spark, ("study", sf_dir), lambda: study_panel(
+        screened_weekly(spark, sf_dir), cal=weekly_calendar(spark, sf_dir)))
 
 
 def arrival_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

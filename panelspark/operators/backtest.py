@@ -14,7 +14,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.functions.costs import total_cost
-from panelspark.schemas import BacktestConfig
+from panelspark.operators.calendar import calendar, schedules, whole_history
+from panelspark.operators.literals import rows
+from panelspark.schemas import BacktestConfig, require_columns
 from panelspark.scratch import materialise
 
 RUN_SCHEMA = ("run_id STRING, schedule_id STRING, capital DOUBLE, rate_pct DOUBLE, min_fee DOUBLE, sst DOUBLE, "
@@ -132,6 +134,9 @@ def run_backtests(study: DataFrame, cal: DataFrame, runs: DataFrame, decisions:
     ``decisions`` comes from calendar.schedules; ``signals`` carries run_id.
     Signals built here choose among eligible names already, others are checked.
     """
+    require_columns(study, ["date", "ticker", "date_idx", "ret", "eligible"], "study panel")
+    if cal.limit(3).count() < 3:  # the calendar is one row per trading day
+        raise ValueError("need at least 3 dates to backtest")
     run_steps = runs.select("run_id", "schedule_id").join(decisions, "schedule_id").drop("schedule_id")
     weights = normalise_weights(signals, runs, max_positions)
     if check_eligible:
@@ -180,3 +185,17 @@ def run_backtests(study: DataFrame, cal: DataFrame, runs: DataFrame, decisions:
                .select("run_id", "n_rebalances", (F.col("_paid") / F.col("capital")).alias("cost_drag"), "avg_turnover",
                        "ruined_on"))
     return BacktestResult(returns, targets, turnover, steps, trades, summary)
+
+
+def run_signal(study: DataFrame, signal: Signal, cfg: BacktestConfig = BacktestConfig(), run_id: str = "strategy") -> BacktestResult:
+    """One signal over all history.
+
+    ``signal`` receives the study panel and the decision dates and returns
+    decision_date, ticker, weight, signal_rank for all of them at once; it must
+    read only bars up to each decision, as the factors here do.
+    """
+    cal = materialise(calendar(study), "calendar")
+    decisions = materialise(schedules(cal, whole_history(cal, [cfg.rebalance])), "decisions")
+    runs = rows(study.sparkSession, RUN_SCHEMA, [run_row(run_id, cfg.rebalance, cfg)])
+    signals = signal(study, decisions).select(F.lit(run_id).alias("run_id"), "decision_date", "ticker", "weight", "signal_rank")
+    return run_backtests(study, cal, runs, decisions, signals, cfg.max_positions)

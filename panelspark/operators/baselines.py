@@ -8,7 +8,7 @@ from panelspark.functions.costs import broker_breadth
 from panelspark.functions.draws import sample_positions
 from panelspark.operators import metrics
 from panelspark.operators.backtest import BacktestResult, eligible_on, RUN_COLUMNS, RUN_SCHEMA, run_backtests, run_row
-from panelspark.operators.calendar import calendar, schedules
+from panelspark.operators.calendar import calendar, schedules, whole_history
 from panelspark.operators.factors import Strategy, composite_scores, factor_values, percentile_ranks, top_n
 from panelspark.operators.literals import rows, setting_rows
 from panelspark.operators.ordering import exact_quantiles, ordinal
@@ -16,13 +16,6 @@ from panelspark.schemas import BacktestConfig
 from panelspark.scratch import materialise
 
 
-def schedule_specs(cal: DataFrame, rules: list[str]) -> DataFrame:
-    """Whole-history schedules, one per rebalance rule and named after it."""
-    first = cal.agg(F.min("date").alias("start"))
-    return first.select("start", F.explode(F.array(*[F.lit(r) for r in rules])).alias("rule")).select(
-        F.col("rule").alias("schedule_id"), "rule", "start", F.lit(None).cast("date").alias("end"))
-
-
 def strategy_signals(study: DataFrame, strategies, dates: DataFrame, largest: int | None = None) -> DataFrame:
     """Equal weight across each strategy's top names on the decision dates (date, first_idx)."""
     names = sorted({f for s in strategies for f, _ in s.weights})
@@ -73,7 +66,7 @@ def random_backtests(study: DataFrame, cfg: BacktestConfig, n_names: int, n_tria
                      largest: int | None = None) -> BacktestResult:
     spark = study.sparkSession
     cal = materialise(calendar(study), "calendar")
-    decisions = materialise(schedules(cal, schedule_specs(cal, [cfg.rebalance])), "decisions")
+    decisions = materialise(schedules(cal, whole_history(cal, [cfg.rebalance])), "decisions")
     live = eligible_on(study, decisions)
     row = run_row("", cfg.rebalance, cfg)
     runs = _trial_runs(spark, n_trials, row, n_names)
@@ -100,7 +93,7 @@ def baseline_runs(study: DataFrame, strategy: Strategy, cfg: BacktestConfig, n_r
     """Strategy, buy and hold, equal weight and all random trials as one job."""
     spark = study.sparkSession
     cal = materialise(calendar(study), "calendar")
-    decisions = materialise(schedules(cal, schedule_specs(cal, sorted({cfg.rebalance, "YE"}))), "decisions")
+    decisions = materialise(schedules(cal, whole_history(cal, sorted({cfg.rebalance, "YE"}))), "decisions")
     breadth = broker_breadth(cfg.capital, cfg.broker)
     base = run_row("", cfg.rebalance, cfg)
     named = rows(spark, RUN_SCHEMA, [

@@ -60,9 +60,13 @@ def schedules(cal: DataFrame, specs: DataFrame, rules: tuple[str, ...] = ("ME",
         F.lead("exec_idx").over(ordered).alias("next_exec_idx"))
 
 
+def whole_history(cal: DataFrame, rules: list[str]) -> DataFrame:
+    """Whole-history schedules, one per rebalance rule and named after it."""
+    first = cal.agg(F.min("date").alias("start"))
+    return first.select("start", F.explode(F.array(*[F.lit(r) for r in rules])).alias("rule")).select(
+        F.col("rule").alias("schedule_id"), "rule", "start", F.lit(None).cast("date").alias("end"))
+
+
 def rebalance_dates(panel: DataFrame, rule: str) -> DataFrame:
     cal = calendar(panel)
-    spec = cal.agg(F.min("date").alias("start")).select(
-        F.lit("all").alias("schedule_id"), F.lit(rule).alias("rule"), "start",
-        F.lit(None).cast("date").alias("end"))
-    return schedules(cal, spec).select("step", "decision_date", "exec_date")
+    return schedules(cal, whole_history(cal, [rule])).select("step", "decision_date", "exec_date")

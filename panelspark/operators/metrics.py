@@ -23,6 +23,11 @@ def probabilistic_z(sr: Column, benchmark: Column, n: Column, skew: Column, kurt
     return F.when((n >= 2) & (spread > 0), (sr - benchmark) * F.sqrt(n - 1) / F.sqrt(spread))
 
 
+def probabilistic_sharpe(sr: Column, benchmark: Column, n: Column, skew: Column, kurt: Column) -> Column:
+    """Probability the true Sharpe exceeds a benchmark; 0 when undefined."""
+    return F.coalesce(normal_cdf(probabilistic_z(sr, benchmark, n, skew, kurt)), F.lit(0.0))
+
+
 def summarise(returns: DataFrame, rf: float = 0.0, n_trials: int = 1,
               periods: int = PERIODS_PER_YEAR) -> DataFrame:
     """One row per run with every statistic; a run is one row per trading day."""

@@ -520,7 +520,7 @@ def decile_report(spark, sf):
 def rebalance_dates(spark, sf):
     bars = tables.weekly_bars(spark, sf)
     cal = cal_ops.calendar(bars)
-    return cal_ops.schedules(cal, baselines.schedule_specs(cal, ["ME", "W-FRI", "YE"])).select(
+    return cal_ops.schedules(cal, cal_ops.whole_history(cal, ["ME", "W-FRI", "YE"])).select(
         "schedule_id", "step", "decision_date", "exec_date")
 
 
@@ -528,7 +528,7 @@ def _backtest(spark, sf) -> backtest.BacktestResult:
     """All presets traded monthly as one job."""
     panel = study(spark, sf)
     cal = materialise(cal_ops.calendar(panel), "calendar")
-    decisions = materialise(cal_ops.schedules(cal, baselines.schedule_specs(cal, ["ME"])), "decisions")
+    decisions = materialise(cal_ops.schedules(cal, cal_ops.whole_history(cal, ["ME"])), "decisions")
     runs = rows(spark, backtest.RUN_SCHEMA, [backtest.run_row(s.name, "ME", TRADING) for s in factors.PRESETS])
     signals = baselines.strategy_signals(panel, factors.PRESETS, decisions.select(F.col("decision_date").alias("date"), "first_idx"),
                                          names_bound(spark, sf))
@@ -746,7 +746,7 @@ def live_pick(spark, sf):
 def rebalance_leaders(spark, sf):
     panel = study(spark, sf)
     cal = cal_ops.calendar(panel)
-    dates = cal_ops.schedules(cal, baselines.schedule_specs(cal, ["ME"])).select(F.col("decision_date").alias("date"))
+    dates = cal_ops.schedules(cal, cal_ops.whole_history(cal, ["ME"])).select(F.col("decision_date").alias("date"))
     ranked = panel.withColumn("score", concentration.prior_momentum(60)).filter("eligible and score is not null")
     order = W.partitionBy("date").orderBy(F.col("score").desc(), "ticker")
     led = ranked.join(dates, "date", "left_semi").withColumn("place", F.row_number().over(order)).filter("place <= 3")

@@ -37,6 +37,14 @@ def list_section(lines: DataFrame, doc: str = "doc_id", start: str = START, end:
             .select(doc, "line_no", "line"))
 
 
+def assert_plausible(codes: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Refuse a list too short to be the full one."""
+    short = codes.filter("not plausible").select(doc, "n_codes").distinct().limit(1).collect()
+    if short:
+        raise ValueError(f"list {short[0][0]} holds only {short[0].n_codes} codes: a table of changes was read instead")
+    return codes
+
+
 def list_codes(section: DataFrame, doc: str = "doc_id", entry: str = ENTRY,
                min_plausible: int = MIN_PLAUSIBLE) -> DataFrame:
     """Each code once, at its first position, with the list's size and whether it is believable."""

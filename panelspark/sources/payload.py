@@ -51,6 +51,14 @@ def payload_events(payloads: DataFrame, kind: str = "splits", utc_offset_hours:
                        "ticker", value.alias("value"))
 
 
+def landed_panel(payloads: DataFrame, utc_offset_hours: int = 0) -> DataFrame:
+    """Bars of all successful fetches; fails when there are none."""
+    bars = payload_bars(payloads, utc_offset_hours)
+    if bars.isEmpty():
+        raise ValueError("no payload holds any bars")
+    return bars
+
+
 def to_payloads(bars: DataFrame, events: DataFrame) -> DataFrame:
     """The inverse, one payload per ticker and year: how a landing job would store them.
 

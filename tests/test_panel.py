@@ -221,3 +221,24 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "log")).count() == 2
     sinks.write_verified(ingest.load_summary(panel.select("ticker").distinct(), panel), str(tmp_path / "v"))
     assert spark.read.option("header", True).csv(str(tmp_path / "v")).first().code == "AAA"
+
+
+def test_build_writes_clean_and_screened_tables(spark, tmp_path):
+    from panelspark.plans.build import build_panel
+
+    panel = bars(spark, {"AAA": [c / 2 if i >= 150 else c for i, c in enumerate(ramp())], "BBB": ramp()})
+    members = spark.createDataFrame([(days(300)[200], "AAA")], "list_date DATE, ticker STRING")
+    built = build_panel(panel, str(tmp_path / "clean"), events(spark, ("AAA", 150, 3, 2.0)), members, str(tmp_path / "screened"))
+    assert built.clean.count() == 600 and built.checks.filter("not passed").count() == 0
+    share = built.backfilled.first()
+    assert (share.n_eligible, share.n_point_in_time, share.n_names) == (180, 100, 1)
+    assert spark.read.parquet(str(tmp_path / "screened")).filter("eligible").count() == 180
+
+
+def test_refusals(spark):
+    empty = spark.createDataFrame([("B", None, "timeout")], "ticker STRING, payload STRING, error STRING")
+    with pytest.raises(ValueError, match="no payload"):
+        payload.landed_panel(empty)
+    short = listtext.list_codes(spark.createDataFrame([("d", 1, "  1.   0001   Alpha")], "doc_id STRING, line_no INT, line STRING"))
+    with pytest.raises(ValueError, match="only 1 codes"):
+        listtext.assert_plausible(short)

@@ -126,7 +126,7 @@ def test_current_bucket_and_reasons(spark):
 
 def run(spark, panel, signals, cfg, rule="ME"):
     cal = calendar.calendar(panel)
-    decisions = calendar.schedules(cal, baselines.schedule_specs(cal, [rule]))
+    decisions = calendar.schedules(cal, calendar.whole_history(cal, [rule]))
     runs = rows(spark, backtest.RUN_SCHEMA, [backtest.run_row("r", rule, cfg)])
     return backtest.run_backtests(panel, cal, runs, decisions, signals(decisions), cfg.max_positions), decisions
 
@@ -287,3 +287,25 @@ def test_partition_count_does_not_change_results(spark, partitions):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     pd.testing.assert_frame_equal(got, want)
+
+
+def test_custom_signal(spark):
+    panel = study(spark, {"A": ramp(60), "B": ramp(60)})
+
+    def best(p, decisions):
+        return decisions.select("decision_date", F.lit("A").alias("ticker"), F.lit(2.0).alias("weight"), F.lit("1").alias("signal_rank"))
+
+    res = backtest.run_signal(panel, best)
+    assert {(r.ticker, r.weight) for r in res.targets.collect()} == {("A", 1.0)}
+    with pytest.raises(ValueError, match="3 dates"):
+        backtest.run_signal(study(spark, {"A": [1.0, 2.0]}), best)
+
+
+@pytest.mark.parametrize("name", ["screened", "top_n_signal", "base_rates", "split_detect", "bootstrap_pwin"])
+def test_plans_have_no_cross_join_and_prune_columns(spark, name):
+    from conftest import SF
+    from panelspark.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert "l_tax" not in plan and "l_returnflag" not in plan

@@ -10,6 +10,7 @@ total of the slices before it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -31,17 +32,24 @@ def largest_group(df: DataFrame, group: Sequence[str]) -> int:
     return sizes.agg(F.max("count")).first()[0] or 0
 
 
+def _bounded(df: DataFrame, group: Sequence[str], largest: int | None) -> tuple[DataFrame, int]:
+    """Without a known bound, store the rows so that counting them does not run their plan twice."""
+    if largest is not None:
+        return df, largest
+    df = materialise(df, "counted")
+    return df, largest_group(df, group)
+
+
 def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
                 weight: Column, before: str, total: str | None = None,
                 largest: int | None = None) -> DataFrame:
     """Add ``before``: sum of weight over the rows ordered earlier in the group.
 
     ``order`` has to be unique within the group.  ``total`` names the group sum.
-    ``largest`` is a proven bound on group size; it is counted when absent.
+    ``largest`` is a proven bound on the rows of a group; they are counted when absent.
     """
     group = list(group)
-    if largest is None:
-        largest = largest_group(df, group)
+    df, largest = _bounded(df, group, largest)
     keys = [F.col(g) for g in group]
     if largest <= window_rows(df):
         ordered = W.partitionBy(*keys).orderBy(*order)
@@ -50,10 +58,11 @@ def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
                                F.lit(0).cast("bigint")))
         return out.withColumn(total, F.sum(weight).over(W.partitionBy(*keys))) if total else out
 
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.withColumn("_w", weight)
-              .repartitionByRange(parts, *keys, *order)
+    # stored first: the range bounds are sampled from it, and its row count sizes the slices
+    weighed = materialise(df.withColumn("_w", weight), "weighed")
+    slices_needed = math.ceil(weighed.count() / window_rows(df))
+    parts = max(slices_needed, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = (weighed.repartitionByRange(parts, *keys, *order)
               .withColumn("_slice", F.spark_partition_id()))
     ranged = materialise(ranged, "ordered")
     slices = ranged.groupBy(*group, "_slice").agg(F.sum("_w").alias("_sw"))
@@ -85,8 +94,7 @@ def average_rank_pcts(df: DataFrame, group: Sequence[str], values: Sequence[str]
     Adds pct_<value> (null for a null value) and n_<value>, the non-null count.
     """
     group = list(group)
-    if largest is None:
-        largest = largest_group(df, group)
+    df, largest = _bounded(df, group, largest)
     keys = [F.col(g) for g in group]
     if largest <= window_rows(df):
         cols = []
@@ -115,8 +123,7 @@ def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
     """Exact linearly interpolated quantiles per group, one column per name."""
     group = list(group)
     df = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
-    if largest is None:
-        largest = largest_group(df, group)
+    df, largest = _bounded(df, group, largest)
     names, probs = list(quantiles), list(quantiles.values())
     if largest <= window_rows(df):
         wanted = F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_q")

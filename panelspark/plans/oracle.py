@@ -215,7 +215,7 @@ MISSED = BARS + ", " + EVENTS + missed("bars")
 sql("split_locate", MISSED + LOCATE, f"""SELECT ticker, date, recorded_date, ratio, {q6('r')} AS observed_step, {r6('expected_step')}, needs_repair
   FROM located""")
 KNOWN = " OR ".join(f"abs(ratio - {k}::DOUBLE) / {k} < 0.015" for k in (1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 10.0))
-sql("split_detect", MISSED + """, d0 AS (SELECT date, ticker, adj_close / lag(adj_close) OVER t - 1 AS move,
+DETECT = (""", d0 AS (SELECT date, ticker, adj_close / lag(adj_close) OVER t - 1 AS move,
     volume / CASE WHEN count(volume) OVER p >= 5 THEN quantile_cont(volume, 0.5) OVER p END AS vol_x,
     lead(adj_close, 3) OVER t / adj_close - 1 AS drift_after, lag(adj_close) OVER t AS prev_close
   FROM missed WINDOW t AS (PARTITION BY ticker ORDER BY date), p AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
@@ -223,8 +223,8 @@ d1 AS (SELECT *, CASE WHEN move < 0 THEN 1 / (1 + move) ELSE 1 + move END AS rat
 d2 AS (SELECT *, (%s) AS ratio_ok, NOT coalesce(vol_x > 10, false) AS volume_ok, NOT coalesce(abs(drift_after) > 0.1, false) AS stable_after,
     prev_close >= 0.5 AND abs(prev_close - prev_close / ratio) >= 0.005::DOUBLE * 20 AS price_ok,
     EXISTS (SELECT 1 FROM ev WHERE ev.ticker = d1.ticker AND abs(ev.date - d1.date) <= 45
-      AND CASE WHEN value > 1 THEN move < 0 ELSE move > 0 END AND abs(ratio - (%s)) / (%s) < 0.015) AS confirmed FROM d1)""" % (KNOWN, RATIO, RATIO),
-    f"""SELECT date, ticker, {r6('move', 'ratio', 'vol_x', 'drift_after')}, ratio_ok, volume_ok, stable_after, price_ok, confirmed,
+      AND CASE WHEN value > 1 THEN move < 0 ELSE move > 0 END AND abs(ratio - (%s)) / (%s) < 0.015) AS confirmed FROM d1)""" % (KNOWN, RATIO, RATIO))
+sql("split_detect", MISSED + DETECT, f"""SELECT date, ticker, {r6('move', 'ratio', 'vol_x', 'drift_after')}, ratio_ok, volume_ok, stable_after, price_ok, confirmed,
   ratio_ok AND volume_ok AND stable_after AND price_ok AND confirmed AS is_split FROM d2""")
 ADJUST = """, fx AS (SELECT ticker, date AS split_on, CASE WHEN r < 0 THEN ratio ELSE 1 / ratio END AS f FROM located WHERE needs_repair),
 adjusted AS (SELECT m.date, m.ticker, open / k AS open, high / k AS high, low / k AS low, close / k AS close, adj_close / k AS adj_close, volume * k AS volume
@@ -238,6 +238,13 @@ LANDED = (FLAWED + ", " + EVENTS.replace(REGIONS + ", ", "") + ", fl AS (SELECT
 bad AS (SELECT date, ticker FROM adjusted WHERE {BRACKETS} OR {POSITIVE})""")
 sql("repaired_panel", LANDED, f"""SELECT date, ticker, {PRICES6} FROM adjusted
   WHERE ticker NOT IN (SELECT ticker FROM un) AND (date, ticker) NOT IN (SELECT (date, ticker) FROM bad)""")
+sql("repair_report", LANDED + DETECT.replace("FROM missed WINDOW", "FROM adjusted WINDOW"), """
+SELECT 'splits fixed' AS outcome, count(*) AS n FROM located WHERE needs_repair
+UNION ALL SELECT 'suspect moves', count(*) FROM d2 WHERE NOT (ratio_ok AND volume_ok AND stable_after AND price_ok AND confirmed)
+UNION ALL SELECT 'near misses', count(*) FROM d2 WHERE ratio_ok AND NOT confirmed
+UNION ALL SELECT 'unadjusted tickers', count(*) FROM un UNION ALL SELECT 'quarantined tickers', 0 UNION ALL SELECT 'bad bars', (
+  SELECT count(*) FROM adjusted WHERE (date, ticker) IN (SELECT (date, ticker) FROM bad))
+UNION ALL SELECT 'actions checked', count(*) FROM located UNION ALL SELECT 'already applied', count(*) FROM located WHERE NOT needs_repair""")
 
 # ---- two sources
 SOURCES = BARS + ", " + REGIONS + """, b2 AS (SELECT date, ticker, close * CASE WHEN n_regionkey = 3 THEN 1.2::DOUBLE ELSE 1.003::DOUBLE END AS close_b, adj_close AS adj_b

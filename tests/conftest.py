@@ -24,7 +24,7 @@ def spark():
 @pytest.fixture
 def small_windows(spark):
     """Force the distributed ordering path."""
-    spark.conf.set("panelspark.window.rows", "10")
+    spark.conf.set("panelspark.window.rows", "30")
     yield
     spark.conf.unset("panelspark.window.rows")
 

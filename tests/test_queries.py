@@ -18,7 +18,7 @@ def con():
 
 def test_registry():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) <= {"deflated_sharpe_probability", "repair_report"}
+    assert set(QUERIES) - set(ORACLES) <= {"deflated_sharpe_probability"}
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES and n not in SLOW])

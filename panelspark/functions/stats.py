@@ -24,13 +24,17 @@ def expected_max_sharpe(n_trials: int, variance: Column) -> Column:
     return F.sqrt(variance) * F.lit(expected_max_normal(n_trials))
 
 
-def _phi(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: None if pd.isna(x) else 0.5 * math.erfc(-x / math.sqrt(2.0)))
+def normal_cdf(z: Column) -> Column:
+    """Arrow-batched; applied to one row per return series.
 
+    The function is local so that it travels by value: workers need not have
+    this package installed.
+    """
 
-def normal_cdf(z: Column) -> Column:
-    """Arrow-batched; applied to one row per return series."""
-    return F.pandas_udf(_phi, "double")(z)
+    def phi(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if pd.isna(x) else 0.5 * math.erfc(-x / math.sqrt(2.0)))
+
+    return F.pandas_udf(phi, "double")(z)
 
 
 def required_vol(gap: Column, confidence: float = 0.33) -> Column:

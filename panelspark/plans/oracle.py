@@ -84,7 +84,7 @@ stops AS (SELECT doc_id, min(line_no) AS e FROM begun WHERE regexp_matches(line,
 kept AS (
   SELECT doc_id, line_no, CASE WHEN line_no = e THEN regexp_replace(line, '(?i)\bwith\b.*\bby\b.*$', '') ELSE line END AS line
   FROM begun LEFT JOIN stops USING (doc_id) WHERE e IS NULL OR line_no <= e)""",
-    "SELECT doc_id, count(*) AS n_lines, max(line_no) AS last_line, sum(length(line)) AS n_chars FROM kept GROUP BY doc_id")
+    "SELECT doc_id, count(*) AS n_lines, max(line_no) AS last_line, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM kept GROUP BY doc_id")
 sql("candidate_codes", "", "SELECT DISTINCT printf('%04d', s_suppkey) AS code FROM supplier")
 sql("fetch_worklist", "", """SELECT 'P' || p_partkey AS ticker FROM part
   WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45)""")
@@ -273,13 +273,13 @@ sql("feed_agreement", QUOTES, f"""SELECT ticker, {q6('abs(price / nullif(prev_cl
 sql("membership_asof", SCREEN, "SELECT date, ticker, member FROM screened")
 sql("membership_backfilled", BARS + ", " + REGIONS + ", " + RELEASE + """, d AS (SELECT date, ticker,
   coalesce((SELECT max(list_date) FROM rel WHERE list_date <= b.date), (SELECT min(list_date) FROM rel)) AS list_date FROM bars b)""",
-    "SELECT date, sum(CAST(l.ticker IS NOT NULL AS INT)) AS n_members FROM d LEFT JOIN lists l USING (list_date, ticker) GROUP BY date")
+    "SELECT date, CAST(sum(CAST(l.ticker IS NOT NULL AS INT)) AS BIGINT) AS n_members FROM d LEFT JOIN lists l USING (list_date, ticker) GROUP BY date")
 sql("members_on", REGIONS + ", " + RELEASE, "SELECT ticker FROM lists WHERE list_date = (SELECT max(list_date) FROM rel WHERE list_date <= DATE '1999-06-30')")
 sql("liquidity", SCREEN, f"SELECT date, ticker, {r6('dtv', 'median_dtv')}, bars_available FROM screened")
 FLAGS = "member, liquid, priced, seasoned, eligible"
 sql("screened", SCREEN, f"SELECT date, ticker, bars_available, {FLAGS} FROM screened")
 sql("screen_summary", SCREEN, "SELECT date, count(DISTINCT ticker) AS n_listed, " + ", ".join(
-    f"sum(CAST({f} AS INT)) AS n_{f}" for f in FLAGS.split(", ")) + " FROM screened GROUP BY date")
+    f"CAST(sum(CAST({f} AS INT)) AS BIGINT) AS n_{f}" for f in FLAGS.split(", ")) + " FROM screened GROUP BY date")
 sql("rejections", SCREEN, f"SELECT date, ticker, {r6('median_dtv')}, bars_available, {FLAGS} FROM screened")
 sql("eligibility", SCREEN, f"""SELECT date, ticker, condition, passed, {q6('detail')} AS detail FROM (
   SELECT date, ticker, 'member' AS condition, member AS passed, NULL::DOUBLE AS detail FROM screened
@@ -674,3 +674,15 @@ sql("live_pick", LIVE + f""", lp AS (SELECT *, row_number() OVER (ORDER BY score
 sql("rebalance_leaders", STUDY + schedule(WHOLE.format("('ME')")) + f""", ld AS (SELECT *, {at('adj_close', -1)} / {at('adj_close', -60)} - 1 AS score FROM study),
 le AS (SELECT date, ticker, score, row_number() OVER (PARTITION BY date ORDER BY score DESC, ticker) AS place FROM ld JOIN dec ON decision_date = date
   WHERE eligible AND score IS NOT NULL)""", f"SELECT date, ticker, place, {r6('score')} FROM le WHERE place <= 3")
+
+# Positions that are 32-bit in the queries.
+_NARROW = {
+    "place": ("source_worst_rows", "top_n_signal", "live_pick", "rebalance_leaders"),
+    "step": ("rebalance_dates", "target_weights", "turnover", "backtest_costs", "trades"),
+    "fold": ("wf_splits", "wf_candidates", "wf_folds", "wf_rolling"),
+    "bars_available": ("liquidity", "screened", "rejections"),
+    "beaten_by": ("leaderboard",), "last_line": ("text_sections",),
+}
+for _column, _names in _NARROW.items():
+    for _name in _names:
+        ORACLES[_name] = f"SELECT * REPLACE (CAST({_column} AS INTEGER) AS {_column}) FROM (\n{ORACLES[_name]})"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.functions.symbols import pad_code, to_symbol
-from panelspark.schemas import BARS, BAR_COLUMNS, CODES, EVENTS, require_columns
+from panelspark.schemas import BARS, BAR_COLUMNS, EVENTS, require_columns
 
 # Vendor column spellings.
 VENDOR_NAMES = {"Date": "date", "Datetime": "date", "Open": "open", "High": "high", "Low": "low",

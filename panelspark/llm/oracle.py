@@ -38,3 +38,5 @@ FROM m GROUP BY doc_id
 """
 
 ORACLES["op9_line_dedup"] = OP9
+
+# Exact near-duplicate groups by a walk over all linked texts: too slow for SQL on whole tables (brute force in tests).

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontaminate, line_dedup, packing, quality_rules
+from panelspark.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
 from panelspark.llm.ship import ship
 
 
@@ -41,5 +41,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.class_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op5_decontamination, op7_packing, op9_line_dedup)}
+    f.__name__: f for f in (op3_quality_rules, op5_decontamination, op7_packing, op9_line_dedup, op10_ngram_join)}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
+from panelspark.llm import decontaminate, interpolation_lm, line_dedup, ngram_join, packing, quality_rules
 from panelspark.llm.ship import ship
 
 
@@ -25,6 +25,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_interpolation_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_digest(table(spark, sf_dir, "documents"))
 
@@ -46,4 +50,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op5_decontamination, op7_packing, op9_line_dedup, op10_ngram_join)}
+    f.__name__: f for f in (op1_interpolation_lm, op3_quality_rules, op5_decontamination, op7_packing, op9_line_dedup, op10_ngram_join)}

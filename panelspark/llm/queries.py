@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontaminate, interpolation_lm, line_dedup, ngram_join, packing, quality_rules
+from panelspark.llm import decontaminate, interpolation_lm, line_dedup, ngram_join, packing, quality_rules, suffix_dedup
 from panelspark.llm.ship import ship
 
 
@@ -37,6 +37,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -50,4 +54,4 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_interpolation_lm, op3_quality_rules, op5_decontamination, op7_packing, op9_line_dedup, op10_ngram_join)}
+    f.__name__: f for f in (op1_interpolation_lm, op3_quality_rules, op5_decontamination, op6_suffix_dedup, op7_packing, op9_line_dedup, op10_ngram_join)}

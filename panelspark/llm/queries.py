@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontaminate, interpolation_lm, line_dedup, ngram_join, packing, quality_rules, suffix_dedup
+from panelspark.llm import (decontaminate, interpolation_lm, line_dedup, ngram_join, packing, personal_data, quality_rules,
+                            secret_scan, suffix_dedup, url_templates)
 from panelspark.llm.ship import ship
 
 
@@ -29,10 +30,18 @@ def op1_interpolation_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolation_lm.scores(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.url_digest(table(spark, sf_dir, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,6 +54,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
@@ -54,4 +67,5 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_interpolation_lm, op3_quality_rules, op5_decontamination, op6_suffix_dedup, op7_packing, op9_line_dedup, op10_ngram_join)}
+    f.__name__: f for f in (op1_interpolation_lm, op2_secret_scan, op3_quality_rules, op4_url_templates, op5_decontamination, op6_suffix_dedup,
+                            op7_packing, op8_personal_data, op9_line_dedup, op10_ngram_join)}

@@ -238,7 +238,7 @@ def mixture_weights(bucket: np.ndarray, q2: np.ndarray, q1: np.ndarray, n: np.nd
     for _ in range(rounds):
         share = weights[bucket] * p
         share *= (n / np.maximum(share.sum(axis=1), 1e-300))[:, None]
-        sums = np.stack([np.bincount(bucket, weights=share[:, k], minlength=BUCKETS) for k in range(3)], axis=1)
+        sums = np.stack([np.bincount(bucket, weights=share[:, k], minlength=BUCKETS) for k in range(3)], axis=1).astype(float)
         sums[:, 2] += 1e-3  # no bucket rules out what it has not seen
         weights = np.where(some[:, None], sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-300), weights)
     for b in range(1, BUCKETS):

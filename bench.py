@@ -20,7 +20,7 @@ from panelspark.sources.tables import stored_study
 
 HEADLINE = ["weekly_bars", "upsert_fresh_wins", "trade_costs", "dq_summary", "split_detect", "repaired_panel", "source_compare", "screened",
             "factor_vol", "pct_rank", "top_n_signal", "base_rates", "rebalance_leaders", "equity_curve", "metrics_summary", "random_trials",
-            "wf_folds", "leaderboard", "bootstrap_pwin", "rule_stability"]
+            "wf_folds", "leaderboard", "repair_report"]
 
 
 def timed(action) -> float:

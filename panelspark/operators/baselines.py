@@ -16,10 +16,10 @@ from panelspark.schemas import BacktestConfig
 from panelspark.scratch import materialise
 
 
-def strategy_signals(study: DataFrame, strategies, dates: DataFrame, largest: int | None = None) -> DataFrame:
+def strategy_signals(study: DataFrame, strategies, dates: DataFrame) -> DataFrame:
     """Equal weight across each strategy's top names on the decision dates (date, first_idx)."""
     names = sorted({f for s in strategies for f, _ in s.weights})
-    ranked = percentile_ranks(factor_values(study, names, dates), names, largest)
+    ranked = percentile_ranks(factor_values(study, names, dates), names)
     picks = top_n(composite_scores(ranked, strategies), strategies)
     return picks.select("strategy", "first_idx", F.col("date").alias("decision_date"), "ticker", F.lit(1.0).alias("weight"),
                         F.format_string("%06d", "place").alias("signal_rank"))
@@ -31,15 +31,14 @@ def broad_signals(live: DataFrame, runs: DataFrame) -> DataFrame:
         "run_id", "decision_date", "ticker", F.lit(1.0).alias("weight"), F.col("ticker").alias("signal_rank"))
 
 
-def random_signals(live: DataFrame, schedule_id: str, n_trials: int, n_names: int, seed: int,
-                   largest: int | None = None) -> DataFrame:
+def random_signals(live: DataFrame, schedule_id: str, n_trials: int, n_names: int, seed: int) -> DataFrame:
     """``n_names`` eligible names without replacement per trial and decision.
 
     Positions are drawn first and joined to the numbered names, so the work is
     trials times positions plus one pass over the names, not trials times names.
     """
     mine = live.filter(F.col("schedule_id") == schedule_id)
-    numbered = ordinal(mine, ["decision_date"], [F.col("ticker")], "pos", "m", largest)
+    numbered = ordinal(mine, ["decision_date"], [F.col("ticker")], "pos", "m")
     numbered = numbered.select("decision_date", "ticker", "pos", "m")
     sizes = mine.groupBy("decision_date").agg(F.count("*").alias("m"))
     trials = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_trials - 1).cast("bigint"))).alias("trial")
@@ -51,9 +50,9 @@ def random_signals(live: DataFrame, schedule_id: str, n_trials: int, n_names: in
 
 
 def random_trials(study: DataFrame, cfg: BacktestConfig, n_names: int, n_trials: int = 200, seed: int = 0,
-                  measure_from: str | None = None, largest: int | None = None) -> DataFrame:
+                  measure_from: str | None = None) -> DataFrame:
     """One row of statistics per random run; scoring may start later than trading."""
-    result = random_backtests(study, cfg, n_names, n_trials, seed, largest)
+    result = random_backtests(study, cfg, n_names, n_trials, seed)
     stats = metrics.summarise(scored_from(result.returns, measure_from))
     return stats.select(F.substring("run_id", 8, 20).cast("int").alias("trial"), "total_return", "cagr", "sharpe", "max_dd", "vol")
 
@@ -62,15 +61,14 @@ def scored_from(returns: DataFrame, start: str | None) -> DataFrame:
     return returns if start is None else returns.filter(F.col("date") >= F.lit(start).cast("date"))
 
 
-def random_backtests(study: DataFrame, cfg: BacktestConfig, n_names: int, n_trials: int, seed: int,
-                     largest: int | None = None) -> BacktestResult:
+def random_backtests(study: DataFrame, cfg: BacktestConfig, n_names: int, n_trials: int, seed: int) -> BacktestResult:
     spark = study.sparkSession
     cal = materialise(calendar(study), "calendar")
     decisions = materialise(schedules(cal, whole_history(cal, [cfg.rebalance])), "decisions")
     live = eligible_on(study, decisions)
     row = run_row("", cfg.rebalance, cfg)
     runs = _trial_runs(spark, n_trials, row, n_names)
-    signals = random_signals(live, cfg.rebalance, n_trials, n_names, seed, largest)
+    signals = random_signals(live, cfg.rebalance, n_trials, n_names, seed)
     return run_backtests(study, cal, runs, decisions, signals, n_names, check_eligible=False)
 
 
@@ -89,7 +87,7 @@ def percentile_vs_random(value: DataFrame, randoms: DataFrame) -> DataFrame:
 
 
 def baseline_runs(study: DataFrame, strategy: Strategy, cfg: BacktestConfig, n_random: int, n_names: int,
-                  seed: int = 0, largest: int | None = None) -> BacktestResult:
+                  seed: int = 0) -> BacktestResult:
     """Strategy, buy and hold, equal weight and all random trials as one job."""
     spark = study.sparkSession
     cal = materialise(calendar(study), "calendar")
@@ -103,16 +101,16 @@ def baseline_runs(study: DataFrame, strategy: Strategy, cfg: BacktestConfig, n_r
     runs = named.unionByName(_trial_runs(spark, n_random, base, n_names))
     live = eligible_on(study, decisions)
     mine = decisions.filter(F.col("schedule_id") == cfg.rebalance).select(F.col("decision_date").alias("date"), "first_idx")
-    signals = (strategy_signals(study, [strategy], mine, largest).withColumnRenamed("strategy", "run_id").drop("first_idx")
+    signals = (strategy_signals(study, [strategy], mine).withColumnRenamed("strategy", "run_id").drop("first_idx")
                .unionByName(broad_signals(live, named.filter(F.col("run_id").isin("buy & hold", "equal weight"))))
-               .unionByName(random_signals(live, cfg.rebalance, n_random, n_names, seed, largest)))
+               .unionByName(random_signals(live, cfg.rebalance, n_random, n_names, seed)))
     return run_backtests(study, cal, runs, decisions, signals, max(breadth, cfg.max_positions, n_names), check_eligible=False)
 
 
 def baseline_table(study: DataFrame, strategy: Strategy, cfg: BacktestConfig = BacktestConfig(), n_random: int = 100,
-                   n_names: int = 3, seed: int = 0, largest: int | None = None) -> DataFrame:
+                   n_names: int = 3, seed: int = 0) -> DataFrame:
     """Four rows: strategy, two baskets, median of random; and the strategy's percentile among the random."""
-    result = baseline_runs(study, strategy, cfg, n_random, n_names, seed, largest)
+    result = baseline_runs(study, strategy, cfg, n_random, n_names, seed)
     shown = ["total_return", "cagr", "vol", "sharpe", "max_dd"]
     stats = materialise(metrics.summarise(result.returns).select("run_id", *shown).join(
         result.summary.select("run_id", "avg_turnover", "cost_drag"), "run_id"), "stats")  # one row per run

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelspark.functions.prices import by_ticker, change, row_return
 from panelspark.scratch import materialise
-from panelspark.operators.ordering import exact_quantiles, largest_group, ordinal
+from panelspark.operators.ordering import exact_quantiles, ordinal
 
 THIN = 100
 QUANTILES = {"median": 0.5, "p05": 0.05, "p25": 0.25, "p75": 0.75, "p95": 0.95}
@@ -32,16 +32,16 @@ def forward_returns(panel: DataFrame, horizon: int = 21, price: str = "adj_close
     return panel.withColumn("fwd_return", change(leave, entry))
 
 
-def bucket_cross_sectionally(panel: DataFrame, n_buckets: int = 10, largest: int | None = None) -> DataFrame:
+def bucket_cross_sectionally(panel: DataFrame, n_buckets: int = 10) -> DataFrame:
     """Rank each date's eligible names against each other and cut into equal buckets."""
     rows = panel.filter("eligible") if "eligible" in panel.columns else panel
     rows = rows.filter(F.col("factor").isNotNull() & F.col("fwd_return").isNotNull())
-    ranked = ordinal(rows, ["date"], [F.col("factor"), F.col("ticker")], "_rn", "_m", largest)
+    ranked = ordinal(rows, ["date"], [F.col("factor"), F.col("ticker")], "_rn", "_m")
     bucket = F.greatest(F.lit(1), F.expr(f"((_rn - 1) * {n_buckets} + _m - 2) div (_m - 1)").cast("int"))
     return ranked.filter(F.col("_m") >= 2 * n_buckets).withColumn("bucket", bucket).drop("_rn", "_m")
 
 
-def summarise_buckets(bucketed: DataFrame, horizon: int = 21, largest: int | None = None) -> DataFrame:
+def summarise_buckets(bucketed: DataFrame, horizon: int = 21) -> DataFrame:
     """Distribution of forward returns per bucket, with the number of independent periods."""
     # three narrow columns, read by the counts and by the quantiles: the windows behind them run once
     bucketed = materialise(bucketed.select("bucket", "date", "fwd_return"), "buckets")
@@ -55,24 +55,24 @@ def summarise_buckets(bucketed: DataFrame, horizon: int = 21, largest: int | Non
         n.alias("n"), (F.count("*") / horizon).alias("independent_periods"), (F.sum("s") / n).alias("mean"),
         (F.sum("up") / n).alias("p_positive"), (F.sum("g20") / n).alias("p_gain_20"),
         (F.sum("l20") / n).alias("p_loss_20"), (F.sum("l30") / n).alias("p_loss_30"))
-    places = exact_quantiles(bucketed, ["bucket"], "fwd_return", QUANTILES, largest)
+    places = exact_quantiles(bucketed, ["bucket"], "fwd_return", QUANTILES)
     return stats.join(places, "bucket").withColumn("thin", F.col("n") < THIN)
 
 
 def base_rates(panel: DataFrame, factor: str = "momentum", horizon: int = 21, lookback: int = 60,
-               n_buckets: int = 10, largest_date: int | None = None, largest_bucket: int | None = None) -> DataFrame:
+               n_buckets: int = 10) -> DataFrame:
     ready = forward_returns(add_factor(panel, factor, lookback), horizon)
-    return summarise_buckets(bucket_cross_sectionally(ready, n_buckets, largest_date), horizon, largest_bucket)
+    return summarise_buckets(bucket_cross_sectionally(ready, n_buckets), horizon)
 
 
 def current_buckets(panel: DataFrame, as_of: DataFrame, factor: str = "momentum", lookback: int = 60,
-                    n_buckets: int = 10, largest: int | None = None) -> DataFrame:
+                    n_buckets: int = 10) -> DataFrame:
     """Rank, bucket and percentile of every eligible name on the one ``as_of`` date."""
     today = add_factor(panel, factor, lookback).filter(F.col("date") == as_of.select("as_of").scalar())
     if "eligible" in panel.columns:
         today = today.filter("eligible")
     today = today.filter(F.col("factor").isNotNull())
-    ranked = ordinal(today, ["date"], [F.col("factor").desc(), F.col("ticker")], "rank", "n_universe", largest)
+    ranked = ordinal(today, ["date"], [F.col("factor").desc(), F.col("ticker")], "rank", "n_universe")
     above = F.col("n_universe") - F.col("rank") + 1
     bucket = F.greatest(F.lit(1), F.ceil(above / F.col("n_universe") * n_buckets).cast("int"))
     return ranked.select("date", "ticker", "rank", "n_universe", bucket.alias("bucket"),
@@ -93,8 +93,3 @@ def locate(buckets: DataFrame, ticker: str, as_of: DataFrame) -> DataFrame:
 def decile_report(buckets: DataFrame, rates: DataFrame) -> DataFrame:
     """Today's names next to the history of their bucket."""
     return buckets.join(rates, "bucket")
-
-
-def fits_one_task(panel: DataFrame) -> int:
-    """Bound on any date's rows, from one cheap pass over the date column."""
-    return largest_group(panel, ["date"])

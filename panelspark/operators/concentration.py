@@ -10,20 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.functions.costs import BOARD_LOT, affordable_lots, round_trip_pct
-from panelspark.functions.draws import hash48, sample_positions, unit_draw
+from panelspark.functions.draws import unit_draw
 from panelspark.functions.prices import at_calendar_offset, change
-from panelspark.operators.ordering import exact_quantiles, ordinal
 from panelspark.scratch import materialise
 from panelspark.schemas import ZERO_COMMISSION, Broker, ContestConfig
 
+# The rules' names.
 RULES = ("random", "high_vol", "low_vol", "momentum", "reversal")
 SPARE_NAMES = 5
-MIN_SLICE_DATES = 150
-STABLE_RANGE = 0.02
-
-# A plausible spread of position counts in an amateur field.
-FIELD_MIX = ((1, 0.05), (2, 0.10), (3, 0.15), (5, 0.30), (8, 0.20), (12, 0.12), (20, 0.08))
-
 
 def window_return(horizon: int, price: str = "adj_close") -> Column:
     """Return from this calendar date to ``horizon`` dates later."""
@@ -63,16 +57,6 @@ def spans_all(study: DataFrame) -> DataFrame:
         F.lit("all").alias("span"), "first_idx", "end_idx")
 
 
-def spans_by_years(study: DataFrame, years: int = 2, min_dates: int = MIN_SLICE_DATES) -> DataFrame:
-    """Consecutive slices of history long enough to hold a study."""
-    first = study.agg(F.min(F.year("date"))).scalar()
-    days = study.select("date", "date_idx").distinct().withColumn("_y0", first)
-    y0 = F.col("_y0") + F.floor((F.year("date") - F.col("_y0")) / years).cast("int") * years
-    return (days.groupBy(F.concat_ws("-", y0, y0 + years - 1).alias("span")).agg(
-        F.count("*").alias("_n"), F.min("date_idx").alias("first_idx"), (F.max("date_idx") + 1).alias("end_idx"))
-        .filter(F.col("_n") >= min_dates).drop("_n"))
-
-
 def start_range(spans: DataFrame, horizon: int, lookback: int) -> DataFrame:
     """Starts lie lookback+1 dates into the span and horizon+1 before its end."""
     return spans.select("span", (F.col("first_idx") + lookback + 1).alias("lo"),
@@ -119,140 +103,6 @@ def leaderboard(portfolios: DataFrame, start: tuple[str, ...] = ("span", "date_i
                          (F.col("beaten_by") < 3).alias("top3"))
 
 
-def trial_starts(starts: DataFrame, n_trials: int, seed: int) -> DataFrame:
-    """A start drawn for every trial and span."""
-    trials = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_trials - 1).cast("bigint"))).alias("trial")
-    drawn = F.col("lo") + F.pmod(hash48(F.lit(seed), F.lit("start"), F.col("span"), F.col("trial")), F.col("hi") - F.col("lo"))
-    return starts.select("*", trials).select("span", "trial", drawn.cast("int").alias("date_idx"))
-
-
-def field_pool(names: DataFrame, cfg: ContestConfig, largest: int | None = None) -> DataFrame:
-    """Numbered names opponents draw from: all of them, or the better half by the field's rule."""
-    scored = names.withColumn("score", rule_score(F.lit(cfg.field_rule), cfg.seed)).filter(F.col("score").isNotNull())
-    order = [F.col("ticker")] if cfg.field_rule == "random" else [F.col("score").desc(), F.col("ticker")]
-    pool = ordinal(scored, ["span", "date_idx"], order, "pos", "n_pool", largest)
-    if cfg.field_rule != "random":
-        half = F.greatest(F.lit(cfg.field_k), F.floor(F.col("n_pool") / 2))
-        pool = pool.filter(F.col("pos") <= half).withColumn("n_pool", F.least("n_pool", half))
-    return pool.select("span", "date_idx", "ticker", F.col("pos").cast("bigint").alias("pos"), F.col("n_pool").cast("bigint").alias("n_pool"), "fwd")
-
-
-def _opponent_size(cfg: ContestConfig) -> Column:
-    if not cfg.field_mix:
-        return F.lit(cfg.field_k)
-    u = unit_draw(F.lit(cfg.seed), F.lit("size"), F.col("span"), F.col("trial"), F.col("entrant"))
-    total = sum(w for _, w in cfg.field_mix)
-    size, reached = F.lit(cfg.field_mix[-1][0]), []
-    acc = 0.0
-    for k, w in cfg.field_mix[:-1]:
-        acc += w / total
-        reached.append((acc, k))
-    for edge, k in reversed(reached):
-        size = F.when(u < edge, k).otherwise(size)
-    return size
-
-
-def field_results(trials: DataFrame, pool: DataFrame, cfg: ContestConfig) -> DataFrame:
-    """Every opponent's return: names drawn with replacement from the pool at the trial's start."""
-    sizes = pool.groupBy("span", "date_idx").agg(F.max("n_pool").alias("n_pool"))
-    held = F.least(F.col("size").cast("bigint"), F.col("n_pool"))
-    draws = (trials.join(sizes, ["span", "date_idx"])
-             .select("*", F.explode(F.sequence(F.lit(1), F.lit(cfg.n_entrants - 1))).alias("entrant"))
-             .withColumn("size", _opponent_size(cfg))
-             .select("span", "trial", "date_idx", "entrant", "n_pool",
-                     F.explode(F.sequence(F.lit(1).cast("bigint"), held)).alias("slot"))
-             .select("span", "trial", "date_idx", "entrant",
-                     (F.pmod(hash48(F.lit(cfg.seed), F.col("span"), F.col("trial"), F.col("entrant"), F.col("slot")),
-                             F.col("n_pool")) + 1).alias("pos")))
-    return (draws.join(pool.select("span", "date_idx", "pos", "fwd"), ["span", "date_idx", "pos"])
-            .groupBy("span", "trial", "entrant").agg(F.round(F.avg("fwd"), 10).alias("field_return")))
-
-
-def my_results(trials: DataFrame, names: DataFrame, cfg: ContestConfig, ks: tuple[int, ...], rules: tuple[str, ...],
-               largest: int | None = None) -> DataFrame:
-    """Our own return per trial, rule and k.
-
-    A ranking rule holds the same names at every visit of a start, so those
-    portfolios are formed once per start; the random rule draws anew per trial.
-    """
-    fixed = [r for r in rules if r != "random"]
-    visited = names.join(trials.select("span", "date_idx").distinct(), ["span", "date_idx"], "left_semi")
-    keyed = ["span", "trial", "rule", "k", "my_return"]
-    out = None
-    if fixed:
-        held = top_k_portfolios(rule_scores(visited, fixed, cfg.seed), ks)
-        out = trials.join(held, ["span", "date_idx"]).withColumnRenamed("portfolio_return", "my_return").select(*keyed)
-    if "random" in rules:
-        numbered = ordinal(visited, ["span", "date_idx"], [F.col("ticker")], "pos", "m", largest)
-        sizes = numbered.groupBy("span", "date_idx").agg(F.max("m").alias("m"))
-        picks = trials.join(sizes, ["span", "date_idx"]).select(
-            "span", "trial", "date_idx", "m", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")).select(
-            "span", "trial", "date_idx", "k", F.explode(sample_positions(
-                F.col("m"), F.col("k"), F.lit(cfg.seed), F.lit("mine"), F.col("span"), F.col("trial"))).alias("pos"))
-        drawn = (picks.join(numbered.select("span", "date_idx", "pos", "fwd"), ["span", "date_idx", "pos"])
-                 .groupBy("span", "trial", "k").agg(F.round(F.avg("fwd"), 10).alias("my_return"))
-                 .withColumn("rule", F.lit("random")).select(*keyed))
-        out = drawn if out is None else out.unionByName(drawn)
-    return out
-
-
-def contest_trials(study: DataFrame, cfg: ContestConfig, ks: tuple[int, ...] | None = None,
-                   rules: tuple[str, ...] | None = None, spans: DataFrame | None = None,
-                   largest: int | None = None) -> DataFrame:
-    """One row per span, trial, rule and k: our return, the winning score, who beat us.
-
-    The field of a trial is drawn once and every rule and k is scored against it.
-    """
-    ks, rules = ks or (cfg.k,), rules or (cfg.rule,)
-    unknown = sorted(set(rules) - set(RULES))
-    if unknown:
-        raise ValueError(f"unknown rule(s) {unknown}")
-    starts = start_range(spans_all(study) if spans is None else spans, cfg.horizon, cfg.lookback)
-    # the pool, our own picks and their counts all read these names: the windows run once
-    names = materialise(candidates(window_rows_table(study, cfg.horizon, cfg.lookback), starts,
-                                   max(*ks, cfg.field_k) + SPARE_NAMES), "names")
-    trials = trial_starts(starts, cfg.n_trials, cfg.seed)
-    field = field_results(trials, field_pool(names, cfg, largest), cfg)
-    mine = my_results(trials, names, cfg, ks, rules, largest)
-    scored = mine.join(field, ["span", "trial"]).groupBy("span", "trial", "rule", "k", "my_return").agg(
-        F.max("field_return").alias("_best"),
-        F.sum((F.col("field_return") > F.col("my_return")).cast("int")).alias("beaten_by"),
-        F.sum((F.col("field_return") == F.col("my_return")).cast("int")).alias("tied"))
-    return scored.select(
-        "span", "trial", "rule", "k", "my_return", F.greatest("_best", "my_return").alias("winning_score"), "beaten_by",
-        F.when(F.col("beaten_by") == 0, 1.0 / (F.col("tied") + 1)).otherwise(0.0).alias("win_credit"),
-        (F.col("beaten_by") < 3).alias("top3"))
-
-
-def contest_summary(trials: DataFrame, by: tuple[str, ...] = ("span", "rule", "k"), largest: int | None = None) -> DataFrame:
-    by, trials = list(by), materialise(trials, "trials")  # trials x rules x sizes, read three times
-    main = trials.groupBy(*by).agg(
-        F.avg("win_credit").alias("p_win"), F.avg(F.col("top3").cast("int")).alias("p_top3"),
-        F.avg("my_return").alias("mean_return"), F.avg((F.col("my_return") < -0.5).cast("int")).alias("p_lose_half"),
-        F.count("*").alias("n_trials"))
-    mine = exact_quantiles(trials, by, "my_return", {"median_return": 0.5, "p95_return": 0.95}, largest)
-    best = exact_quantiles(trials, by, "winning_score", {"median_winning_score": 0.5}, largest)
-    return main.join(mine, by).join(best, by)
-
-
-def stability_table(study: DataFrame, cfg: ContestConfig, years: int = 2, rules: tuple[str, ...] = RULES,
-                    min_dates: int = MIN_SLICE_DATES, largest: int | None = None) -> DataFrame:
-    """Winning share of every rule in consecutive slices, with each slice's best rule flagged."""
-    spans = spans_by_years(study, years, min_dates)
-    trials = contest_trials(study, cfg, (cfg.k,), rules, spans, largest)
-    shares = trials.groupBy("span", "rule").agg(F.avg("win_credit").alias("p_win"))
-    order = F.array_position(F.array(*[F.lit(r) for r in rules]), F.col("rule"))
-    best = F.row_number().over(W.partitionBy("span").orderBy(F.col("p_win").desc(), order)) == 1
-    return shares.withColumn("best", best)
-
-
-def rule_ranges(stability: DataFrame) -> DataFrame:
-    out = stability.groupBy("rule").agg(
-        F.min("p_win").alias("min_p_win"), F.max("p_win").alias("max_p_win"), F.avg("p_win").alias("mean_p_win"),
-        F.sum(F.col("best").cast("int")).alias("wins"))
-    return out.withColumn("stable", F.col("max_p_win") - F.col("min_p_win") < STABLE_RANGE)
-
-
 def rank_universe(study: DataFrame, as_of: DataFrame, rule: str = "momentum", lookback: int = 60, seed: int = 0) -> DataFrame:
     """Live ranking on the ``as_of`` date: history includes it, eligibility gates only what is buyable."""
     scored = study.select("*", prior_momentum(lookback, 1).alias("mom"), prior_vol(lookback, 1).alias("vol"))

@@ -136,12 +136,12 @@ def factor_values(study: DataFrame, names: list[str], dates: DataFrame | None =
 CROSS_SECTION = ["first_idx", "date"]
 
 
-def percentile_ranks(values: DataFrame, names: list[str], largest: int | None = None) -> DataFrame:
+def percentile_ranks(values: DataFrame, names: list[str]) -> DataFrame:
     """Add pct_<factor> and n_<factor>, the number of names that have it that date.
 
     All factors rank on the date, so one exchange serves them all.
     """
-    return average_rank_pcts(values, CROSS_SECTION, names, largest)
+    return average_rank_pcts(values, CROSS_SECTION, names)
 
 
 def long_ranks(ranked: DataFrame, names: list[str]) -> DataFrame:

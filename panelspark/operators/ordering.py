@@ -2,67 +2,30 @@
 
 A date's cross-section, or one decile of all history, can hold a large share of
 all rows, so ``row_number() over (partition by date ...)`` would put it in one
-task.  Groups known to be small use that plain window.  Larger ones are
-range-partitioned by (group, order) across the cluster, written to the
-checkpoint folder so both passes see the same split, and every slice adds the
-total of the slices before it.
+task.  There is one path for groups of every size: rows are range-partitioned by
+(group, order) across the cluster, written to the checkpoint folder so that both
+passes see the same split, and every slice adds the total of the slices before it.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.scratch import materialise
 
-WINDOW_ROWS = 1_000_000
-_LIMIT_KEY = "panelspark.window.rows"
-
-
-def window_rows(df: DataFrame) -> int:
-    """Largest group a single window task may hold."""
-    return int(df.sparkSession.conf.get(_LIMIT_KEY, str(WINDOW_ROWS)))
-
-
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    """Rows in the biggest group; one partially aggregated pass over the group columns."""
-    sizes = df.groupBy(*group).count() if group else df.agg(F.count("*").alias("count"))
-    return sizes.agg(F.max("count")).first()[0] or 0
-
-
-def _bounded(df: DataFrame, group: Sequence[str], largest: int | None) -> tuple[DataFrame, int]:
-    """Without a known bound, store the rows so that counting them does not run their plan twice."""
-    if largest is not None:
-        return df, largest
-    df = materialise(df, "counted")
-    return df, largest_group(df, group)
-
 
 def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
-                weight: Column, before: str, total: str | None = None,
-                largest: int | None = None) -> DataFrame:
+                weight: Column, before: str, total: str | None = None) -> DataFrame:
     """Add ``before``: sum of weight over the rows ordered earlier in the group.
 
     ``order`` has to be unique within the group.  ``total`` names the group sum.
-    ``largest`` is a proven bound on the rows of a group; they are counted when absent.
     """
     group = list(group)
-    df, largest = _bounded(df, group, largest)
     keys = [F.col(g) for g in group]
-    if largest <= window_rows(df):
-        ordered = W.partitionBy(*keys).orderBy(*order)
-        out = df.withColumn(
-            before, F.coalesce(F.sum(weight).over(ordered.rowsBetween(W.unboundedPreceding, -1)),
-                               F.lit(0).cast("bigint")))
-        return out.withColumn(total, F.sum(weight).over(W.partitionBy(*keys))) if total else out
-
-    # stored first: the range bounds are sampled from it, and its row count sizes the slices
-    weighed = materialise(df.withColumn("_w", weight), "weighed")
-    slices_needed = math.ceil(weighed.count() / window_rows(df))
-    parts = max(slices_needed, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = (weighed.repartitionByRange(parts, *keys, *order)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.withColumn("_w", weight).repartitionByRange(parts, *keys, *order)
               .withColumn("_slice", F.spark_partition_id()))
     ranged = materialise(ranged, "ordered")
     slices = ranged.groupBy(*group, "_slice").agg(F.sum("_w").alias("_sw"))
@@ -73,74 +36,62 @@ def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
         F.sum("_sw").over(W.partitionBy(*keys)).alias("_total"))
     local = (W.partitionBy(*keys, "_slice").orderBy(*order)
              .rowsBetween(W.unboundedPreceding, -1))
-    out = ranged.join(slices, [*group, "_slice"]).withColumn(
-        before, F.col("_base") + F.coalesce(F.sum("_w").over(local), F.lit(0).cast("bigint")))
-    if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.select(*df.columns, before, *([total] if total else []))
+    placed = ranged.withColumn("_local", F.coalesce(F.sum("_w").over(local), F.lit(0).cast("bigint")))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*group, "_slice"]]
+    out = placed.alias("r").join(slices.alias("s"), same)
+    added = [(F.col("_base") + F.col("_local")).alias(before)] + [F.col("_total").alias(total)] * bool(total)
+    return out.select(*[F.col(f"r.{c}") for c in df.columns], *added)
 
 
 def ordinal(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
-            position: str, total: str | None = None, largest: int | None = None) -> DataFrame:
+            position: str, total: str | None = None) -> DataFrame:
     """1-based row number within the group, in a unique order."""
-    out = running_sum(df, group, order, F.lit(1).cast("bigint"), "_before", total, largest)
+    out = running_sum(df, group, order, F.lit(1).cast("bigint"), "_before", total)
     return out.withColumn(position, F.col("_before") + 1).drop("_before")
 
 
-def average_rank_pcts(df: DataFrame, group: Sequence[str], values: Sequence[str],
-                      largest: int | None = None) -> DataFrame:
+def average_rank_pcts(df: DataFrame, group: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Percentile ranks 0-100 of several columns, ties sharing their average rank.
 
     Adds pct_<value> (null for a null value) and n_<value>, the non-null count.
     """
-    group = list(group)
-    df, largest = _bounded(df, group, largest)
-    keys = [F.col(g) for g in group]
-    if largest <= window_rows(df):
-        cols = []
-        for v in values:
-            # first and last rank of a tie come from one ordered window
-            upto = W.partitionBy(*keys).orderBy(F.col(v).asc_nulls_last())
-            last = F.count(v).over(upto.rangeBetween(W.unboundedPreceding, W.currentRow))
-            n = F.count(v).over(W.partitionBy(*keys))
-            pct = (F.rank().over(upto) + last) / 2 / n * 100
-            cols += [F.when(F.col(v).isNotNull(), pct).alias(f"pct_{v}"), n.alias(f"n_{v}")]
-        return df.select("*", *cols)
+    group, values = list(group), list(values)
     df = materialise(df, "ranked")
     sizes = df.groupBy(*group).agg(*[F.count(v).alias(f"n_{v}") for v in values])
     out = df.join(sizes, group)
-    for v in values:
-        # ties collapse before any ordering, so one value held by many rows is one row here
-        counts = df.filter(F.col(v).isNotNull()).groupBy(*group, v).agg(F.count("*").alias("_n"))
-        placed = running_sum(counts, group, [F.col(v)], F.col("_n"), "_below", "_all", largest)
-        pct = (F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_all") * 100
-        out = out.join(placed.select(*group, v, pct.alias(f"pct_{v}")), [*group, v], "left")
+    # All columns are ordered in one pass; ties collapse before any ordering, so one value held by many rows is one row.
+    long = df.select(*group, F.explode(F.array(*[F.struct(F.lit(i).alias("_which"), F.col(v).cast("double").alias("_v"))
+                                                 for i, v in enumerate(values)])).alias("_x")).select(*group, "_x.*")
+    counts = long.filter(F.col("_v").isNotNull()).groupBy(*group, "_which", "_v").agg(F.count("*").alias("_n"))
+    placed = running_sum(counts, [*group, "_which"], [F.col("_v")], F.col("_n"), "_below", "_all")
+    placed = materialise(placed.select(*group, "_which", "_v", ((F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_all") * 100).alias("_pct")), "placed")
+    for i, v in enumerate(values):
+        mine = placed.filter(F.col("_which") == i).select(*group, F.col("_v").alias(f"_{v}"), F.col("_pct").alias(f"pct_{v}"))
+        out = out.withColumn(f"_{v}", F.col(v).cast("double")).join(mine, [*group, f"_{v}"], "left")
     return out.select(*df.columns, *[c for v in values for c in (f"pct_{v}", f"n_{v}")])
 
 
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,
-                    quantiles: dict[str, float], largest: int | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, one column per name."""
+                    quantiles: dict[str, float]) -> DataFrame:
+    """Exact quantiles per group, interpolated as ``percentile`` does, one column per name."""
     group = list(group)
-    df = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
-    df, largest = _bounded(df, group, largest)
-    names, probs = list(quantiles), list(quantiles.values())
-    if largest <= window_rows(df):
-        wanted = F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_q")
-        return df.groupBy(*group).agg(wanted).select(
-            *group, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    counts = df.groupBy(*group, "_v").agg(F.count("*").alias("_n"))
-    placed = running_sum(counts, group, [F.col("_v")], F.col("_n"), "_below", "_all", largest)
+    counts = (df.filter(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
+              .groupBy(*group, "_v").agg(F.count("*").alias("_n")))
+    placed = running_sum(counts, group, [F.col("_v")], F.col("_n"), "_below", "_all")
 
     def at(position: Column) -> Column:
         inside = (F.col("_below") <= position) & (position < F.col("_below") + F.col("_n"))
-        return F.max(F.when(inside, F.col("_v")))
+        return F.max(F.when(inside, F.col("_v").cast("double")))
 
     picks = []
-    for i, p in enumerate(probs):
+    for i, p in enumerate(quantiles.values()):
         place = (F.col("_all") - 1) * F.lit(p)
-        picks += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}"),
-                  F.max(place - F.floor(place)).alias(f"_f{i}")]
-    return placed.groupBy(*group).agg(*picks).select(
-        *group, *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_f{i}")).alias(n)
-                  for i, n in enumerate(names)])
+        picks += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}"), F.max(place).alias(f"_at{i}")]
+    found = placed.groupBy(*group).agg(*picks)
+
+    def between(i: int) -> Column:
+        lo, hi, place = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_at{i}")
+        mixed = (F.ceil(place) - place) * lo + (place - F.floor(place)) * hi
+        return F.when((F.ceil(place) == F.floor(place)) | (lo == hi), lo).otherwise(mixed)
+
+    return found.select(*group, *[between(i).alias(n) for i, n in enumerate(quantiles)])

@@ -81,11 +81,11 @@ class _Choices(NamedTuple):
     signals: DataFrame
 
 
-def _choices(study: DataFrame, cal: DataFrame, windows: DataFrame, strategies, largest: int | None) -> _Choices:
+def _choices(study: DataFrame, cal: DataFrame, windows: DataFrame, strategies) -> _Choices:
     """Factors and ranks once for all windows; a decision needs its history inside its own window."""
     decisions = materialise(schedules(cal, windows), "decisions")
     dates = decisions.select(F.col("decision_date").alias("date"), "first_idx")
-    return _Choices(cal, decisions, materialise(strategy_signals(study, strategies, dates, largest), "signals"))
+    return _Choices(cal, decisions, materialise(strategy_signals(study, strategies, dates), "signals"))
 
 
 def _backtest(study: DataFrame, choices: _Choices, runs: DataFrame, cfg: BacktestConfig):
@@ -103,8 +103,7 @@ def _window(folds: DataFrame, key: str, rule: str, start: str, end: Column) -> D
 
 
 def walk_forward(study: DataFrame, strategies, cfg: BacktestConfig = BacktestConfig(), n_folds: int = 5,
-                 train_months: int = 24, test_months: int = 6, expanding: bool = True, holdout_months: int = 12,
-                 largest: int | None = None) -> WalkForward:
+                 train_months: int = 24, test_months: int = 6, expanding: bool = True, holdout_months: int = 12) -> WalkForward:
     """Every strategy on every training window in one job, the chosen ones through their test windows in a second.
 
     With rolling windows the history a factor may use starts with the window; the
@@ -117,7 +116,7 @@ def walk_forward(study: DataFrame, strategies, cfg: BacktestConfig = BacktestCon
     first = cal.agg(F.min("date")).scalar()
     windows = _window(folds, "train", cfg.rebalance, "train_start", F.col("train_end")).unionByName(
         _window(folds.withColumn("_first", first), "test", cfg.rebalance, "_first", F.col("test_end")))
-    choices = _choices(study, cal, windows, strategies, largest)
+    choices = _choices(study, cal, windows, strategies)
 
     train = _runs(folds, strategies, cfg, F.lit("train"))
     fitted = metrics.summarise(_backtest(study, choices, train, cfg).returns)
@@ -152,7 +151,7 @@ def _summary(folds: DataFrame, stitched: DataFrame) -> DataFrame:
 
 
 def evaluate_holdout(study: DataFrame, strategy, cfg: BacktestConfig = BacktestConfig(), holdout_months: int = 12,
-                     n_trials: int = 1, largest: int | None = None) -> DataFrame:
+                     n_trials: int = 1) -> DataFrame:
     """One strategy over all history, scored on the final months only."""
     cal = materialise(calendar(study), "calendar")
     begins = holdout_start(cal, holdout_months)
@@ -163,7 +162,7 @@ def evaluate_holdout(study: DataFrame, strategy, cfg: BacktestConfig = BacktestC
     folds = cal.agg(F.min("date").alias("_f")).select(F.lit(1).alias("fold"), "_f")
     runs = _runs(folds, [strategy], cfg, F.lit("holdout"))
     window = _window(folds, "holdout", cfg.rebalance, "_f", F.lit(None).cast("date"))
-    out = _backtest(study, _choices(study, cal, window, [strategy], largest), runs, cfg).returns
+    out = _backtest(study, _choices(study, cal, window, [strategy]), runs, cfg).returns
     kept = out.filter(F.col("date") >= F.lit(span.start))
     stats = metrics.summarise(kept.select("run_id", "date", "ret"))
     stats = metrics.deflate(stats, n_trials)

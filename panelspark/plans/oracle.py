@@ -613,55 +613,6 @@ sql("leaderboard", WINDOWS + offers(ALL_SPAN, CONTEST.field_k + 5) + folios((1,
   beaten_by < 3 AS top3 FROM lb""")
 
 
-def contest(spans: str, ks: tuple, rules: tuple, mix, field_rule: str) -> str:
-    n_opp, big = CONTEST.n_entrants - 1, max(*ks, CONTEST.field_k)
-    if mix:
-        total, acc, size = sum(w for _, w in mix), 0.0, "CASE "
-        for k, w in mix[:-1]:
-            acc += w / total
-            size += f"WHEN {unit(str(_seed), chr(39) + 'size' + chr(39), 'span', 'trial', 'entrant')} < {acc!r}::DOUBLE THEN {k} "
-        size += f"ELSE {mix[-1][0]} END"
-    else:
-        size = str(CONTEST.field_k)
-    if field_rule == "random":
-        pool = "SELECT span, i, fwd, row_number() OVER (PARTITION BY span, i ORDER BY ticker) AS pos, count(*) OVER (PARTITION BY span, i) AS m FROM cd"
-    else:
-        pool = f"""SELECT span, i, fwd, pos, least(m, greatest({CONTEST.field_k}, m // 2)) AS m FROM (
-    SELECT span, i, fwd, row_number() OVER (PARTITION BY span, i ORDER BY score DESC, ticker) AS pos, count(*) OVER (PARTITION BY span, i) AS m
-    FROM rsc WHERE rule = '{field_rule}') WHERE pos <= greatest({CONTEST.field_k}, m // 2)"""
-    ranked_rules = ", ".join(f"'{r}'" for r in rules if r != "random") or "''"
-    return WINDOWS + offers(spans, big + 5) + folios(ks) + f""",
-tri AS (SELECT span, trial, lo + {h48(str(_seed), "'start'", 'span', 'trial')} % (hi - lo) AS i FROM starts, range({CONTEST.n_trials}) x(trial)),
-pool AS ({pool}), psz AS (SELECT span, i, max(m) AS m FROM pool GROUP BY span, i),
-opp AS (SELECT span, trial, i, entrant, m, least({size}, m) AS held FROM tri JOIN psz USING (span, i), range(1, {n_opp + 1}) y(entrant)),
-slots AS (SELECT *, unnest(generate_series(1, held)) AS slot FROM opp),
-drw AS (SELECT span, trial, i, entrant, {h48(str(_seed), 'span', 'trial', 'entrant', 'slot')} % m + 1 AS pos FROM slots),
-fld AS (SELECT span, trial, entrant, {r10('avg(fwd)')} AS fr FROM drw JOIN pool USING (span, i, pos) GROUP BY span, trial, entrant),
-rp AS (SELECT span, i, fwd, row_number() OVER (PARTITION BY span, i ORDER BY ticker) AS pos, count(*) OVER (PARTITION BY span, i) AS m FROM cd),
-rz AS (SELECT span, i, max(m) AS m FROM rp GROUP BY span, i),
-rd AS (SELECT span, trial, i, k, unnest({floyd('m', 'k', str(_seed), "'mine'", 'span', 'trial')}) AS pos FROM tri JOIN rz USING (span, i), (VALUES {', '.join(f'({k})' for k in ks)}) v(k)),
-mine AS (SELECT span, trial, rule, k, pr AS my FROM tri JOIN pf USING (span, i) WHERE rule IN ({ranked_rules})
-  {"UNION ALL SELECT span, trial, 'random', k, " + r10('avg(fwd)') + " FROM rd JOIN rp USING (span, i, pos) GROUP BY span, trial, k" if "random" in rules else ""}),
-ct AS (SELECT span, trial, rule, k, my, greatest(max(fr), my) AS win, sum(CAST(fr > my AS INT)) AS beaten, sum(CAST(fr = my AS INT)) AS tied
-  FROM mine JOIN fld USING (span, trial) GROUP BY span, trial, rule, k, my)"""
-
-
-SUMMARY = f"""SELECT span, rule, k, {q6('avg(CASE WHEN beaten = 0 THEN 1.0::DOUBLE / (tied + 1) ELSE 0 END)')} AS p_win,
-  {q6('avg(CAST(beaten < 3 AS INT))')} AS p_top3, {q6('avg(my)')} AS mean_return, {q6('avg(CAST(my < -0.5 AS INT))')} AS p_lose_half, count(*) AS n_trials,
-  {q6('quantile_cont(my, 0.5)')} AS median_return, {q6('quantile_cont(my, 0.95)')} AS p95_return, {q6('quantile_cont(win, 0.5)')} AS median_winning_score
-  FROM ct GROUP BY span, rule, k"""
-sql("bootstrap_pwin", contest(ALL_SPAN, (CONTEST.k,), (CONTEST.rule,), CONTEST.field_mix, "random"), SUMMARY)
-sql("concentration_sweep", contest(ALL_SPAN, (1, 2, 3, 5), (CONTEST.rule,), CONTEST.field_mix, "random"), SUMMARY)
-sql("rule_sweep", contest(ALL_SPAN, (CONTEST.k,), RULES, (), "momentum"), SUMMARY)
-YEARS = """SELECT y0 || '-' || (y0 + 1) AS span, min(i) AS a, max(i) + 1 AS b FROM (
-  SELECT DISTINCT i, (SELECT min(year(date)) FROM study) + (year(date) - (SELECT min(year(date)) FROM study)) // 2 * 2 AS y0 FROM study)
-  GROUP BY y0 HAVING count(*) >= 60"""
-STABLE = contest(YEARS, (CONTEST.k,), RULES, CONTEST.field_mix, "random") + f""",
-sb AS (SELECT span, rule, avg(CASE WHEN beaten = 0 THEN 1.0::DOUBLE / (tied + 1) ELSE 0 END) AS p FROM ct GROUP BY span, rule),
-sbest AS (SELECT *, row_number() OVER (PARTITION BY span ORDER BY p DESC, list_position([{', '.join(f"'{r}'" for r in RULES)}], rule)) = 1 AS best FROM sb)"""
-sql("rule_stability", STABLE, f"SELECT span, rule, {q6('p')} AS p_win, best FROM sbest")
-sql("rule_ranges", STABLE, f"""SELECT rule, {q6('min(p)')} AS min_p_win, {q6('max(p)')} AS max_p_win, {q6('avg(p)')} AS mean_p_win,
-  CAST(sum(CAST(best AS INT)) AS BIGINT) AS wins, max(p) - min(p) < 0.02 AS stable FROM sbest GROUP BY rule""")
 LIVE = STUDY + ASOF + f""", lv AS (SELECT *, adj_close / {at('adj_close', -(_lb - 1))} - 1 AS score FROM study),
 lr AS (SELECT * FROM lv WHERE date = (SELECT as_of FROM tradable) AND eligible AND score IS NOT NULL)"""
 sql("live_ranking", LIVE, f"SELECT ticker, {r6('score')} FROM lr")

@@ -50,11 +50,6 @@ def study(spark: SparkSession, sf: str) -> DataFrame:
     return tables.stored_study(spark, sf)
 
 
-def names_bound(spark: SparkSession, sf: str) -> int:
-    """Most names on any date of the stored panel: a scan of one column."""
-    return ordering.largest_group(tables.stored_study(spark, sf), ["date"])
-
-
 # ---- scans, ingest, sinks
 
 @query
@@ -443,7 +438,7 @@ _factor("factor_surge", "volume_surge")
 
 def _ranked(spark, sf, names=None):
     names = names or list(factors.FACTORS)
-    return factors.percentile_ranks(factors.factor_values(study(spark, sf), names), names, names_bound(spark, sf))
+    return factors.percentile_ranks(factors.factor_values(study(spark, sf), names), names)
 
 
 @query
@@ -476,7 +471,7 @@ def forward_returns(spark, sf):
 
 def _bucketed(spark, sf):
     ready = baserates.forward_returns(baserates.add_factor(tables.stored_study(spark, sf)))
-    return baserates.bucket_cross_sectionally(ready, 10, names_bound(spark, sf))
+    return baserates.bucket_cross_sectionally(ready, 10)
 
 
 @query
@@ -495,12 +490,12 @@ def base_rates(spark, sf):
 @query
 def base_rates_volatility(spark, sf):
     panel = tables.stored_study(spark, sf)
-    return rounded(baserates.base_rates(panel, "volatility", largest_date=names_bound(spark, sf)), *RATES)
+    return rounded(baserates.base_rates(panel, "volatility"), *RATES)
 
 
 def _today(spark, sf):
     panel = tables.stored_study(spark, sf)
-    return baserates.current_buckets(panel, universe.latest_tradable(panel, 5), largest=names_bound(spark, sf))
+    return baserates.current_buckets(panel, universe.latest_tradable(panel, 5))
 
 
 @query
@@ -530,8 +525,7 @@ def _backtest(spark, sf) -> backtest.BacktestResult:
     cal = materialise(cal_ops.calendar(panel), "calendar")
     decisions = materialise(cal_ops.schedules(cal, cal_ops.whole_history(cal, ["ME"])), "decisions")
     runs = rows(spark, backtest.RUN_SCHEMA, [backtest.run_row(s.name, "ME", TRADING) for s in factors.PRESETS])
-    signals = baselines.strategy_signals(panel, factors.PRESETS, decisions.select(F.col("decision_date").alias("date"), "first_idx"),
-                                         names_bound(spark, sf))
+    signals = baselines.strategy_signals(panel, factors.PRESETS, decisions.select(F.col("decision_date").alias("date"), "first_idx"))
     return backtest.run_backtests(panel, cal, runs, decisions, signals.withColumnRenamed("strategy", "run_id"),
                                   TRADING.max_positions)
 
@@ -605,13 +599,13 @@ def deflated_sharpe_probability(spark, sf):
 
 @query
 def random_trials(spark, sf):
-    out = baselines.random_trials(study(spark, sf), TRADING, N_NAMES, N_RANDOM, 7, "1998-01-05", names_bound(spark, sf))
+    out = baselines.random_trials(study(spark, sf), TRADING, N_NAMES, N_RANDOM, 7, "1998-01-05")
     return rounded(logged(out, total_return="log_growth", cagr="log_cagr"), "log_growth", "log_cagr", "sharpe", "max_dd", "vol")
 
 
 @query
 def baseline_table(spark, sf):
-    table = baselines.baseline_table(study(spark, sf), factors.PRESETS[1], TRADING, N_RANDOM, N_NAMES, 7, names_bound(spark, sf))
+    table = baselines.baseline_table(study(spark, sf), factors.PRESETS[1], TRADING, N_RANDOM, N_NAMES, 7)
     return rounded(logged(table, total_return="log_growth", cagr="log_cagr"), "log_growth", "log_cagr", "vol", "sharpe", "max_dd",
                    "avg_turnover", "cost_drag", "pctile_vs_random")
 
@@ -619,7 +613,7 @@ def baseline_table(spark, sf):
 # ---- walk-forward
 
 def _walk(spark, sf):
-    return walkforward.walk_forward(study(spark, sf), factors.PRESETS, TRADING, largest=names_bound(spark, sf), **WF)
+    return walkforward.walk_forward(study(spark, sf), factors.PRESETS, TRADING, **WF)
 
 
 @query
@@ -650,14 +644,13 @@ def wf_summary(spark, sf):
 
 @query
 def wf_rolling(spark, sf):
-    walk = walkforward.walk_forward(study(spark, sf), factors.PRESETS[1:2], TRADING, expanding=False,
-                                    largest=names_bound(spark, sf), **{**WF, "train_months": 48})
+    walk = walkforward.walk_forward(study(spark, sf), factors.PRESETS[1:2], TRADING, expanding=False, **{**WF, "train_months": 48})
     return rounded(logged(walk.folds, oos_return="oos_log_growth"), "is_sharpe", "oos_sharpe", "oos_log_growth", "oos_maxdd")
 
 
 @query
 def holdout(spark, sf):
-    out = walkforward.evaluate_holdout(study(spark, sf), factors.PRESETS[1], TRADING, 12, 3, names_bound(spark, sf))
+    out = walkforward.evaluate_holdout(study(spark, sf), factors.PRESETS[1], TRADING, 12, 3)
     return rounded(logged(out.drop("dsr"), total_return="log_growth"), "sharpe", "log_growth", "max_dd", "dsr_z")
 
 
@@ -687,42 +680,6 @@ def leaderboard(spark, sf):
     return rounded(concentration.leaderboard(held).drop("span", "date_idx"), "portfolio_return", "win_credit")
 
 
-CONTEST_STATS = ["p_win", "p_top3", "mean_return", "p_lose_half", "median_return", "p95_return", "median_winning_score"]
-
-
-@query
-def bootstrap_pwin(spark, sf):
-    trials = concentration.contest_trials(study(spark, sf), CONTEST, largest=names_bound(spark, sf))
-    return rounded(concentration.contest_summary(trials, largest=CONTEST.n_trials), *CONTEST_STATS)
-
-
-@query
-def concentration_sweep(spark, sf):
-    trials = concentration.contest_trials(study(spark, sf), CONTEST, ks=(1, 2, 3, 5), largest=names_bound(spark, sf))
-    return rounded(concentration.contest_summary(trials, largest=CONTEST.n_trials), *CONTEST_STATS)
-
-
-@query
-def rule_sweep(spark, sf):
-    cfg = ContestConfig(**{**CONTEST.__dict__, "field_mix": (), "field_rule": "momentum"})
-    trials = concentration.contest_trials(study(spark, sf), cfg, rules=concentration.RULES, largest=names_bound(spark, sf))
-    return rounded(concentration.contest_summary(trials, largest=cfg.n_trials), *CONTEST_STATS)
-
-
-def _stability(spark, sf):
-    return concentration.stability_table(study(spark, sf), CONTEST, 2, min_dates=60, largest=names_bound(spark, sf))
-
-
-@query
-def rule_stability(spark, sf):
-    return rounded(_stability(spark, sf), "p_win")
-
-
-@query
-def rule_ranges(spark, sf):
-    return rounded(concentration.rule_ranges(_stability(spark, sf)), "min_p_win", "max_p_win", "mean_p_win")
-
-
 def _live(spark, sf):
     panel = study(spark, sf)
     return concentration.rank_universe(panel, universe.latest_tradable(panel, 5), "momentum", 26)

@@ -21,14 +21,6 @@ def spark():
     yield session
 
 
-@pytest.fixture
-def small_windows(spark):
-    """Force the distributed ordering path."""
-    spark.conf.set("panelspark.window.rows", "30")
-    yield
-    spark.conf.unset("panelspark.window.rows")
-
-
 def days(n: int, start: str = "2020-01-01") -> list[dt.date]:
     return [d.date() for d in pd.bdate_range(start, periods=n)]
 

@@ -75,8 +75,14 @@ def adjustment_applied(panel: DataFrame) -> DataFrame:
             .filter("_same").drop("_same"))
 
 
-def extreme_moves(panel: DataFrame) -> DataFrame:
-    moves = panel.withColumn("adj_ret", row_return()).filter(F.abs("adj_ret") > EXTREME_MOVE)
+def _arrival(panel: DataFrame, seq: str | None) -> list[str]:
+    """Date, and the arrival order of copies of a date where the panel records it."""
+    return ["date"] + [seq] * (seq is not None and seq in panel.columns)
+
+
+def extreme_moves(panel: DataFrame, seq: str | None = "seq") -> DataFrame:
+    before = F.lag("adj_close").over(W.partitionBy("ticker").orderBy(*_arrival(panel, seq)))
+    moves = panel.withColumn("adj_ret", F.try_divide(F.col("adj_close"), before) - 1.0).filter(F.abs("adj_ret") > EXTREME_MOVE)
     near = F.exists(F.array(*[F.lit(s) for s in SPLIT_SIGNATURES]), lambda s: F.abs(F.col("adj_ret") - s) < SPLIT_TOL)
     return moves.withColumn("near_split_ratio", near)
 
@@ -96,6 +102,7 @@ def history_depth(panel: DataFrame, min_bars: int = MIN_BARS) -> DataFrame:
     return panel.groupBy("ticker").agg(F.count("*").alias("n_bars")).filter(F.col("n_bars") < min_bars)
 
 
+# The names of the checks.
 ALL_CHECKS = {
     "OHLC brackets": ohlc_brackets,
     "positive prices": positive_prices,
@@ -114,10 +121,14 @@ def validate(panel: DataFrame, seq: str | None = "seq", max_gap_days: int = MAX_
              max_zero_share: float = MAX_ZERO_SHARE, min_bars: int = MIN_BARS) -> DataFrame:
     """One row per check: check, passed, n_bad.  Never fails on bad data.
 
+    The order of arrival is checked where the panel has the column ``seq``; else that check's row is null, for it did
+    not run.
+
     All ten share one exchange on ticker: row flags and lags are computed in one
     pass, rolled up per (ticker, date), per ticker, and then to a single row.
     """
-    ordered = W.partitionBy("ticker").orderBy("date", *([seq] if seq else []))
+    seq = seq if seq in panel.columns else None
+    ordered = W.partitionBy("ticker").orderBy(*_arrival(panel, seq))
     back = (is_true(F.lag("date").over(W.partitionBy("ticker").orderBy(seq)) > F.col("date"))
             if seq else F.lit(False))
     prev_adj = F.lag("adj_close").over(ordered)
@@ -155,8 +166,20 @@ def validate(panel: DataFrame, seq: str | None = "seq", max_gap_days: int = MAX_
     one = per_ticker.agg(F.map_from_arrays(
         F.array(*[F.lit(k) for k in bad]),
         F.array(*[F.coalesce(v, F.lit(0)).cast("bigint") for v in bad.values()])).alias("m"))
-    return one.select(F.explode("m").alias("check", "n_bad")).select(
-        "check", (F.col("n_bad") == 0).alias("passed"), "n_bad")
+    rows = one.select(F.explode("m").alias("check", "n_bad"))
+    if seq is None:
+        rows = rows.withColumn("n_bad", F.when(F.col("check") != "monotonic dates", F.col("n_bad")))
+    return rows.select("check", (F.col("n_bad") == 0).alias("passed"), "n_bad")
+
+
+def samples(panel: DataFrame, n: int = 3) -> DataFrame:
+    """A few offending rows of each check that points at rows: check, ticker, date; the smallest by ticker and date."""
+    out = None
+    for name in ("OHLC brackets", "positive prices", "no duplicates", "no missing values", "extreme moves", "calendar gaps"):
+        rows = ALL_CHECKS[name](panel).select("ticker", "date").distinct().orderBy("ticker", "date").limit(n)
+        rows = rows.select(F.lit(name).alias("check"), "ticker", "date")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def panel_span(panel: DataFrame) -> DataFrame:

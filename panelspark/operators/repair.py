@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from panelspark.functions.prices import by_ticker, row_return
 from panelspark.operators.quality import bad_brackets, is_true, not_positive
 from panelspark.schemas import PRICE_COLUMNS
+from panelspark.scratch import materialise
 
 # Gates a price step has to pass to count as a split.
 SPLIT_MIN_MOVE = 0.30
@@ -92,8 +93,8 @@ def split_candidates(panel: DataFrame) -> DataFrame:
         is_true((F.col("prev_close") >= MIN_SPLIT_PRICE) & (moved >= TICK * MIN_TICKS_MOVED)).alias("price_ok"))
 
 
-def detect_splits(panel: DataFrame, events: DataFrame | None = None) -> DataFrame:
-    """Candidates with ``is_split``; with a record, only confirmed steps qualify."""
+def detect_splits(panel: DataFrame, events: DataFrame | None = None, recorded: Column | None = None) -> DataFrame:
+    """Candidates with ``is_split``; with a record, only confirmed steps qualify (where ``recorded``, if given)."""
     big = split_candidates(panel)
     gates = F.col("ratio_ok") & F.col("volume_ok") & F.col("stable_after") & F.col("price_ok")
     if events is None:
@@ -111,7 +112,7 @@ def detect_splits(panel: DataFrame, events: DataFrame | None = None) -> DataFram
     matched = big.join(ev, "ticker", "left").withColumn("_m", F.array_min(F.filter("_ev", fits)))
     confirmed = F.col("_m.implied").isNotNull()
     return matched.select(*big.columns, confirmed.alias("confirmed"), F.col("_m.implied").alias("recorded_ratio"),
-                          (gates & confirmed).alias("is_split"))
+                          (gates & (confirmed if recorded is None else confirmed | ~recorded)).alias("is_split"))
 
 
 def apply_split_adjustment(panel: DataFrame, splits: DataFrame) -> DataFrame:
@@ -153,21 +154,27 @@ def repair(panel: DataFrame, events: DataFrame | None = None, fix_splits: bool =
     """The repaired panel and everything that was changed or refused.
 
     With a record of corporate actions exactly those are fixed and the pattern
-    detector only reports; without one the detector decides.
+    detector only reports; without one, or with an empty one, the detector decides.
     """
     out = panel
     located = None
     if events is not None:
-        located = locate_recorded_splits(out, events)
-        fixed = located.filter("needs_repair").withColumnRenamed("observed_step", "move")
-        if fix_splits:
-            out = apply_split_adjustment(out, fixed)
-        suspects = detect_splits(out, events).filter(~F.col("is_split"))
+        # A record without a usable action is no record: the detector decides.  Which of the two holds is a scalar of the
+        # plan, so nothing runs while it is built.
+        recorded = clean_events(events).agg(F.count("*").alias("n")).select((F.col("n") > 0).alias("has")).scalar()
+        located = materialise(locate_recorded_splits(out, events), "located")
+        confirmed = located.filter("needs_repair").select("ticker", "date", "ratio", F.col("observed_step").alias("move"))
+        detected = detect_splits(out).filter("is_split").filter(~recorded).select("ticker", "date", "ratio", "move")
+        fixed = confirmed.unionByName(detected)
+        if fix_splits:  # stored: everything below reads the adjusted panel, and none of it adjusts again
+            out = materialise(apply_split_adjustment(out, fixed), "adjusted")
+        judged = detect_splits(out, events, recorded)
+        suspects = judged.filter(~F.col("is_split"))
     else:
         found = detect_splits(out)
         fixed, suspects = found.filter("is_split"), found.filter(~F.col("is_split"))
         if fix_splits:
-            out = apply_split_adjustment(out, fixed)
+            out = materialise(apply_split_adjustment(out, fixed), "adjusted")
     unadjusted = find_unadjusted(out)
     quarantined = unadjusted if quarantine_unadjusted else unadjusted.limit(0)
     # flags on the ticker partitioning the adjustment leaves behind: no further exchange
@@ -184,15 +191,20 @@ def repair(panel: DataFrame, events: DataFrame | None = None, fix_splits: bool =
 
 
 def repair_report(result: RepairResult) -> DataFrame:
-    """Counts per outcome, including clean ratios with no action on record."""
-    parts = [("splits fixed", result.fixed), ("suspect moves", result.suspects),
-             ("near misses", result.suspects.filter("ratio_ok and not confirmed")),
-             ("unadjusted tickers", result.unadjusted), ("quarantined tickers", result.quarantined),
-             ("bad bars", result.dropped)]
+    """Counts per outcome, including clean ratios with no action on record; each table is counted in one pass."""
+    def counted(df: DataFrame, **outcomes) -> DataFrame:
+        names = {k.replace("_", " "): v for k, v in outcomes.items()}
+        one = df.agg(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.count_if(v) for v in names.values()])).alias("m"))
+        return one.select(F.explode("m").alias("outcome", "n"))
+
+    every = F.lit(True)
+    parts = [counted(result.fixed, splits_fixed=every),
+             counted(result.suspects, suspect_moves=every, near_misses=F.col("ratio_ok") & ~F.col("confirmed")),
+             counted(result.unadjusted, unadjusted_tickers=every), counted(result.quarantined, quarantined_tickers=every),
+             counted(result.dropped, bad_bars=every)]
     if result.located is not None:
-        parts += [("actions checked", result.located), ("already applied", result.located.filter("not needs_repair"))]
-    rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("outcome"), "n") for name, df in parts]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+        parts.append(counted(result.located, actions_checked=every, already_applied=~F.col("needs_repair")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out

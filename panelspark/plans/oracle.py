@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from panelspark.functions.stats import expected_max_normal
 from panelspark.operators import factors
 from panelspark.operators.concentration import RULES
 from panelspark.operators.positions import AGGRESSIVE_VOL, CURRENT_VOL, FIELD_VOL
@@ -10,6 +9,9 @@ from panelspark.plans.queries import CONTEST, N_NAMES, N_RANDOM, TRADING, WF
 
 ORACLES: dict[str, str] = {}
 
+# Expected maximum of n standard normals, by bisection on the error function.
+EXPECTED_MAX = {3: 0.8528044961506948, 100: 2.530602893201681, 400: 2.984801504812923}
+
 
 def q6(x: str) -> str:
     return f"floor(({x})*1e6+0.5)/1e6"
@@ -58,6 +60,9 @@ study AS (
 
 # ---- scans and ingest
 sql("weekly_bars", BARS, "SELECT date, ticker, open, high, low, close, adj_close, volume FROM bars")
+for _name in ("streamed_bars_late", "panel_written_by_year"):
+    sql(_name, BARS, "SELECT date, ticker, open, high, low, close, adj_close, volume FROM bars")
+sql("panel_span", BARS, "SELECT count(*) AS n_bars, count(DISTINCT ticker) AS n_tickers, min(date) AS first_date, max(date) AS last_date FROM bars")
 sql("streamed_bars", BARS, "SELECT date, ticker, open, high, low, close, adj_close, volume FROM bars")
 sql("upsert_fresh_wins", BARS, """SELECT date, ticker, open, high, low, CASE WHEN volume >= 20 THEN close + 1 ELSE close END AS close,
   adj_close, volume FROM bars""")
@@ -147,7 +152,7 @@ sql("position_verdicts", SITUATION + """, r AS (SELECT *, CASE WHEN event_type =
   WHEN days_left <= 3 THEN 'endgame' WHEN giveback >= 0.6 THEN 'momentum_spent' WHEN my_return < 0.29 THEN 'behind' ELSE 'ahead' END AS reason FROM s)""",
     f"""SELECT event_id, CAST(days_left AS INT) AS days_left, {r6('giveback')},
   CASE WHEN reason IN ('halted', 'not_eligible', 'momentum_spent') THEN 'SWITCH' ELSE 'HOLD' END AS action, reason FROM r""")
-TARGET = FIELD_VOL * expected_max_normal(400)
+TARGET = FIELD_VOL * EXPECTED_MAX[400]
 Z67 = 0.4399131656732338
 sql("account_assessment", SITUATION + f""", a AS (SELECT event_id, days_left, {TARGET!r} - my_return AS gap,
     sqrt(days_left / 252.0::DOUBLE) * {CURRENT_VOL} AS vol_now, sqrt(days_left / 252.0::DOUBLE) * {AGGRESSIVE_VOL} AS vol_max FROM s),
@@ -161,7 +166,7 @@ FLAWED = BARS + ", " + REGIONS + """, f0 AS (
   SELECT date, ticker, open, CASE WHEN volume = 17 THEN low - 1 ELSE high END AS high, CASE WHEN volume = 13 THEN -low ELSE low END AS low,
     CASE WHEN volume <> 7 THEN close END AS close,
     CASE WHEN n_regionkey = 2 THEN CASE WHEN volume <> 7 THEN close END ELSE adj_close END AS adj_close,
-    CASE WHEN volume < 12 THEN 0 ELSE volume END AS volume, seq, volume = 21 AS twice FROM bars JOIN sup USING (ticker)),
+    CASE WHEN volume < 12 OR (n_regionkey = 4 AND volume < 26) THEN 0 ELSE volume END AS volume, seq, volume = 21 AS twice FROM bars JOIN sup USING (ticker)),
 flawed AS (SELECT * FROM f0 UNION ALL SELECT * FROM f0 WHERE twice)"""
 BRACKETS = "(high < low OR high < greatest(open, close) OR low > least(open, close))"
 POSITIVE = "(open <= 0 OR high <= 0 OR low <= 0 OR close <= 0 OR adj_close <= 0)"
@@ -179,15 +184,17 @@ sql("dq_zero_volume", FLAWED, f"""SELECT ticker, {q6('avg(CAST(coalesce(volume,
   GROUP BY ticker HAVING avg(CAST(coalesce(volume, 0) <= 0 AS INT)) > 0.2::DOUBLE""")
 sql("dq_depth", FLAWED, "SELECT ticker, count(*) AS n_bars FROM flawed GROUP BY ticker HAVING count(*) < 290")
 NEAR = " OR ".join(f"abs(adj_ret - ({s})::DOUBLE) < 0.02" for s in (-0.5, -0.667, -0.75, -0.8, 1.0, 2.0))
-sql("dq_extreme_moves", BARS + """, m AS (SELECT date, ticker, adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS adj_ret
-  FROM bars)""", f"SELECT date, ticker, {r6('adj_ret')}, ({NEAR}) AS near_split_ratio FROM m WHERE abs(adj_ret) > 0.35")
-sql("dq_summary", BARS + f""", m AS (SELECT *, adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r,
-    date - lag(date) OVER (PARTITION BY ticker ORDER BY date) AS gap, lag(date) OVER (PARTITION BY ticker ORDER BY seq, date) AS p FROM bars),
+sql("dq_extreme_moves", FLAWED + """, m AS (SELECT date, ticker, adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date, seq) - 1 AS adj_ret
+  FROM flawed)""", f"SELECT date, ticker, {r6('adj_ret')}, ({NEAR}) AS near_split_ratio FROM m WHERE abs(adj_ret) > 0.35")
+sql("dq_summary", FLAWED + f""", m AS (SELECT *, adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date, seq) - 1 AS r,
+    count(*) OVER (PARTITION BY ticker, date) AS copies,
+    date - lag(date) OVER (PARTITION BY ticker ORDER BY date, seq) AS gap, lag(date) OVER (PARTITION BY ticker ORDER BY seq, date) AS p FROM flawed),
 t AS (SELECT ticker, count(*) AS n, bool_and({SAME}) AS same, count(*) FILTER (WHERE p > date) AS back,
-    avg(CAST(volume <= 0 AS INT)) AS idle FROM m GROUP BY ticker),
+    avg(CAST(coalesce(volume, 0) <= 0 AS INT)) AS idle FROM m GROUP BY ticker),
 c(check_name, n_bad) AS (
   SELECT 'OHLC brackets', count(*) FILTER (WHERE {BRACKETS}) FROM m UNION ALL SELECT 'positive prices', count(*) FILTER (WHERE {POSITIVE}) FROM m
-  UNION ALL SELECT 'no duplicates', 0 UNION ALL SELECT 'no missing values', 0
+  UNION ALL SELECT 'no duplicates', count(*) FILTER (WHERE copies > 1) FROM m
+  UNION ALL SELECT 'no missing values', count(*) FILTER (WHERE close IS NULL OR adj_close IS NULL OR volume IS NULL) FROM m
   UNION ALL SELECT 'monotonic dates', count(*) FILTER (WHERE back > 0) FROM t UNION ALL SELECT 'adjustment applied', count(*) FILTER (WHERE same) FROM t
   UNION ALL SELECT 'extreme moves', count(*) FILTER (WHERE abs(r) > 0.35) FROM m UNION ALL SELECT 'calendar gaps', count(*) FILTER (WHERE gap > 21) FROM m
   UNION ALL SELECT 'zero-volume bars', count(*) FILTER (WHERE idle > 0.2) FROM t UNION ALL SELECT 'history depth', count(*) FILTER (WHERE n < 290) FROM t)""",
@@ -432,7 +439,7 @@ def metrics(src: str, p: str = "") -> str:
 
 
 def psr_z(n_trials: int) -> str:
-    return (f"(sharpe / sqrt(252.0::DOUBLE) - sqrt(1.0::DOUBLE / (n - 1)) * {expected_max_normal(n_trials)!r}) * sqrt(n - 1) / "
+    return (f"(sharpe / sqrt(252.0::DOUBLE) - sqrt(1.0::DOUBLE / (n - 1)) * {EXPECTED_MAX[n_trials]!r}) * sqrt(n - 1) / "
             "sqrt(1 - skew * sharpe / sqrt(252.0::DOUBLE) + (kurt - 1) / 4 * (sharpe * sharpe / 252))")
 
 
@@ -453,6 +460,10 @@ STATS = r6("total_return", "cagr", "vol", "sharpe", "sortino", "max_dd", "calmar
 sql("metrics_summary", OWN, f"SELECT run_id, n_periods, {STATS} FROM mt")
 sql("drawdown_series", OWN.split(",\neqy AS")[0] + """, c AS (SELECT run_id, date, product(1 + coalesce(ret, 0)) OVER (PARTITION BY run_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS e
   FROM own)""", f"SELECT run_id, date, {q6('e / max(e) OVER (PARTITION BY run_id ORDER BY date ROWS UNBOUNDED PRECEDING) - 1')} AS drawdown FROM c")
+# The distribution function as a series in odd powers over double factorials; beyond 6 it is 0 or 1 to six digits.
+PHI = """CASE WHEN dsr_z IS NULL OR dsr_z < -6 THEN 0 WHEN dsr_z > 6 THEN 1 ELSE 0.5::DOUBLE + sign(dsr_z) * exp(-dsr_z * dsr_z / 2) / sqrt(2 * pi()) *
+  coalesce(list_sum([exp((2 * k + 1) * ln(greatest(abs(dsr_z), 1e-300)) - (k + 1) * ln(2) - lgamma(k + 1.5::DOUBLE) + ln(pi()) / 2) for k in range(0, 120)]), 0) END"""
+sql("deflated_sharpe_probability", OWN + f", zs AS (SELECT run_id, {psr_z(100)} AS dsr_z FROM mt)", f"SELECT run_id, {q6(PHI)} AS dsr FROM zs")
 sql("deflated_sharpe", OWN, f"SELECT run_id, {r6('sharpe')}, {q6(psr_z(100))} AS dsr_z FROM mt")
 
 

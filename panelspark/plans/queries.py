@@ -10,9 +10,9 @@ from panelspark.functions import costs, prices, symbols
 from panelspark.operators import (backtest, baselines, baserates, calendar as cal_ops, concentration, factors, metrics,
                                   ordering, positions, quality, reconcile, repair, universe, walkforward)
 from panelspark.operators.literals import rows, setting_rows
-from panelspark.scratch import materialise
+from panelspark.scratch import materialise, scratch_path
 from panelspark.schemas import BANK_LOW, BROKERS, BacktestConfig, ContestConfig
-from panelspark.sources import ingest, listtext, payload, tables
+from panelspark.sources import ingest, listtext, payload, sinks, tables
 from panelspark.streaming import bars as stream_bars, quotes as stream_quotes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,6 +154,24 @@ def streamed_bars(spark, sf):
     return stream_bars.run_bars_stream(spark, sf)
 
 
+@query
+def streamed_bars_late(spark, sf):
+    """The same with a watermark: trades may come up to twenty years late in a replay of unordered files."""
+    return stream_bars.run_bars_stream(spark, sf, late="7300 days")
+
+
+@query
+def panel_written_by_year(spark, sf):
+    path = scratch_path(spark, "panel-by-year")
+    sinks.write_panel(tables.weekly_bars(spark, sf), path, by_year=True)
+    return ingest.load_panel(spark, path)
+
+
+@query
+def panel_span(spark, sf):
+    return quality.panel_span(tables.weekly_bars(spark, sf))
+
+
 @query
 def streamed_bad_bars(spark, sf):
     return stream_bars.run_checks_stream(spark, sf).groupBy("violation").agg(F.count("*").alias("n_rows"))
@@ -270,12 +288,12 @@ _check("dq_depth", lambda p: quality.history_depth(p, MIN_BARS), ["ticker", "n_b
 
 @query
 def dq_extreme_moves(spark, sf):
-    return rounded(quality.extreme_moves(tables.weekly_bars(spark, sf)).select(*KEY, "adj_ret", "near_split_ratio"), "adj_ret")
+    return rounded(quality.extreme_moves(tables.flawed_bars(spark, sf)).select(*KEY, "adj_ret", "near_split_ratio"), "adj_ret")
 
 
 @query
 def dq_summary(spark, sf):
-    return quality.validate(tables.arrival_bars(spark, sf), max_gap_days=GAP_DAYS, min_bars=MIN_BARS)
+    return quality.validate(tables.flawed_bars(spark, sf), max_gap_days=GAP_DAYS, min_bars=MIN_BARS)
 
 
 # ---- repair

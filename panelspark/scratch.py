@@ -2,12 +2,16 @@
 
 Lineage is cut by writing a Parquet table to the folder named in
 ``spark.checkpoint.dir``, never to executor-local storage, so a lost executor
-costs a re-read and not a different answer.  A folder of our own is made only
-when the setting is absent and the master is local.
+costs a re-read and not a different answer.  A folder of our own is set only
+when the setting is absent and the master is local, as in tests; what this
+application wrote is removed when the interpreter ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -15,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_roots: dict[str, str] = {}
 _stored: dict[tuple, str] = {}
+_written: dict[str, SparkSession] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -22,15 +27,47 @@ def scratch_root(spark: SparkSession) -> str:
     if root:
         return root
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if context.applicationId not in _own_roots:
-        _own_roots[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        root = _own_roots[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     return _own_roots[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/panelspark/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/panelspark/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
+def table_state(spark: SparkSession, path: str) -> tuple:
+    """What tells a stored table from a later one at the same place: files, bytes, and when it was changed."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = files.getContentSummary(where)
+    return path, held.getFileCount(), held.getLength(), files.getFileStatus(where).getModificationTime()
+
+
+def remove(path: str) -> None:
+    """Delete one scratch table, wherever the checkpoint folder is."""
+    spark = _written.pop(path, None)
+    if spark is not None:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def remove_all() -> None:
+    """Delete every scratch table of this process; results that still read them can't be used after."""
+    for path in list(_written):
+        try:
+            remove(path)
+        except Exception:  # the session has ended: its folder is its owner's to clear
+            _written.pop(path, None)
+
+
+atexit.register(remove_all)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -48,6 +85,8 @@ def stored_by_ticker(spark: SparkSession, key: tuple, build) -> DataFrame:
     ends partitioned by ticker, so each task writes whole buckets.
     """
     full_key = (spark.sparkContext.applicationId, *key)
+    for old in [k for k in _stored if k[:3] == full_key[:3] and k != full_key]:  # the same folder with other files in it
+        spark.sql(f"DROP TABLE IF EXISTS {_stored.pop(old)}")
     name = _stored.get(full_key)
     if name is None or not spark.catalog.tableExists(name):
         name = f"panelspark_{key[0]}_{uuid.uuid4().hex}"

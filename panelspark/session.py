@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
 def local_session(cpus: str | int = 8, app: str = "panelspark") -> SparkSession:
+    shared = tempfile.mkdtemp(prefix="spark-")
+    atexit.register(shutil.rmtree, shared, ignore_errors=True)
     builder = (
         SparkSession.builder.master(f"local[{cpus}]").appName(app)
+        .config("spark.checkpoint.dir", f"file://{shared}")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")

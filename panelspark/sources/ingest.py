@@ -14,7 +14,7 @@ VENDOR_NAMES = {"Date": "date", "Datetime": "date", "Open": "open", "High": "hig
 
 def load_panel(spark: SparkSession, path: str | list[str], tickers: list[str] | DataFrame | None = None) -> DataFrame:
     """Parquet bars; a ticker list becomes a pushed-down filter, a table a semi join."""
-    bars = spark.read.schema(BARS).parquet(*([path] if isinstance(path, str) else path))
+    bars = spark.read.schema(BARS).parquet(*([path] if isinstance(path, str) else path)).select(*BAR_COLUMNS)
     if isinstance(tickers, DataFrame):
         return bars.join(tickers.select("ticker"), "ticker", "left_semi")
     return bars if tickers is None else bars.filter(F.col("ticker").isin(list(tickers)))

@@ -13,7 +13,7 @@ from panelspark.operators.calendar import calendar
 from panelspark.operators.factors import study_panel
 from panelspark.operators.literals import setting_rows
 from panelspark.operators.universe import screen
-from panelspark.scratch import materialise, stored_by_ticker
+from panelspark.scratch import materialise, stored_by_ticker, table_state
 from panelspark.schemas import BAR_COLUMNS, PRICE_COLUMNS, ScreenConfig
 
 # Settings of the derived study: weekly prices are thinner than daily ones.
@@ -127,12 +127,14 @@ def screened_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The screened panel with calendar index and return, bucketed by ticker, built once per application.
+    """The screened panel with calendar index and return, bucketed by ticker, built once per application
+    and again when its tables have changed.
 
     Studies read it many times; building it inside each would repeat the scan,
     the framed median and the as-of join.
     """
-    return stored_by_ticker(spark, ("study", sf_dir), lambda: study_panel(
+    state = tuple(table_state(spark, f"{sf_dir}/{t}.parquet") for t in ("lineitem", "supplier", "nation"))
+    return stored_by_ticker(spark, ("study", sf_dir, state), lambda: study_panel(
         screened_weekly(spark, sf_dir), cal=weekly_calendar(spark, sf_dir)))
 
 
@@ -152,7 +154,7 @@ def flawed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date", "ticker", "open", F.when(v == 17, F.col("low") - 1).otherwise(F.col("high")).alias("high"),
         F.when(v == 13, -F.col("low")).otherwise(F.col("low")).alias("low"), close.alias("close"),
         F.when(F.col("n_regionkey") == 2, close).otherwise(F.col("adj_close")).alias("adj_close"),
-        F.when(v < 12, 0.0).otherwise(v).alias("volume"), "seq", (v == 21).alias("_twice"))
+        F.when((v < 12) | ((F.col("n_regionkey") == 4) & (v < 26)), 0.0).otherwise(v).alias("volume"), "seq", (v == 21).alias("_twice"))
     return faulty.select(*BAR_COLUMNS, "seq", F.explode(F.when(F.col("_twice"), F.array(F.lit(1), F.lit(2)))
                                                         .otherwise(F.array(F.lit(1)))).alias("_c")).drop("_c")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.operators.quality import bad_brackets, has_missing, not_positive
-from panelspark.scratch import scratch_path
+from panelspark.scratch import materialise, scratch_path
 from panelspark.schemas import BARS, BAR_COLUMNS
 from panelspark.sources.ingest import upsert_fresh_wins
 from panelspark.sources.tables import line_bars, line_ticks, ticker_of
@@ -18,9 +19,9 @@ def ticks_stream(spark: SparkSession, sf_dir: str, late: str | None = None) -> D
     bars; a replay of unordered files has none, so that no trade is dropped.
     """
     schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    lines = spark.readStream.schema(schema).parquet(f"{sf_dir}/lineitem.parquet*")  # a file, or a folder of files
     ticks = line_ticks(lines)
-    return ticks.withWatermark("ts", late) if late else ticks
+    return ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else ticks
 
 
 def upsert_batches(bars: DataFrame, path: str, checkpoint: str, spark: SparkSession):
@@ -31,39 +32,53 @@ def upsert_batches(bars: DataFrame, path: str, checkpoint: str, spark: SparkSess
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.select(*BAR_COLUMNS).withColumn("year", F.year("date")).persist()
+        fresh = materialise(batch.select(*BAR_COLUMNS).withColumn("year", F.year("date")), "batch")
         session = batch.sparkSession
         years = [r.year for r in fresh.select("year").distinct().collect()]  # one value per touched year
         held = read_upserted(session, path, before=batch_id)
-        cached = held.filter(F.year("date").isin(years)) if held is not None else None
-        new = fresh.drop("year")
-        merged = new if cached is None else upsert_fresh_wins(cached, new)
+        merged = upsert_fresh_wins(held.filter(F.year("date").isin(years)), fresh.drop("year"))
         (merged.withColumn("year", F.year("date")).withColumn("batch", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "year").parquet(path))
-        fresh.unpersist()
+        drop_superseded(session, path, batch_id)
 
     return (bars.writeStream.outputMode("update").foreachBatch(merge)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def read_upserted(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of every year, optionally as of before a batch."""
+def read_upserted(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The newest version of every year, optionally as of before a batch; empty before the first one."""
+    schema = f"{BARS}, batch INT, year INT"
     try:
-        stored = spark.read.schema(f"{BARS}, batch INT, year INT").parquet(path)
-    except Exception as missing:  # first batch: nothing written yet
-        if "PATH_NOT_FOUND" not in str(missing):
+        stored = spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:  # first batch: nothing written yet
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return None
+        stored = spark.createDataFrame([], schema)
     if before is not None:
         stored = stored.filter(F.col("batch") < before)
     newest = stored.groupBy("year").agg(F.max("batch").alias("batch"))
     return stored.join(newest, ["year", "batch"], "left_semi").select(*BAR_COLUMNS)
 
 
-def run_bars_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def drop_superseded(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Remove versions that a finished batch has replaced, but for the one before it, which a retry would read."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions: dict[str, list] = {}
+    for s in files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "batch=*/year=*")) or []:  # one folder a year and version
+        batch = int(s.getPath().getParent().getName().split("=")[1])
+        versions.setdefault(s.getPath().getName(), []).append((batch, s.getPath()))
+    for held in versions.values():
+        older = sorted((v for v in held if v[0] < batch_id), key=lambda v: v[0])
+        for _, folder in older[:-1]:
+            files.delete(folder, True)
+
+
+def run_bars_stream(spark: SparkSession, sf_dir: str, late: str | None = None) -> DataFrame:
     """Drain the trades available now into the upserted bar table and read it."""
     path, checkpoint = scratch_path(spark, "bars"), scratch_path(spark, "bars-progress")
-    upsert_batches(line_bars(ticks_stream(spark, sf_dir)), path, checkpoint, spark).awaitTermination()
+    upsert_batches(line_bars(ticks_stream(spark, sf_dir, late)), path, checkpoint, spark).awaitTermination()
     return read_upserted(spark, path)
 
 

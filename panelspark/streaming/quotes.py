@@ -10,7 +10,7 @@ from panelspark.scratch import scratch_path
 
 def quotes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")  # a file, or a folder of files
     failed = F.col("event_type") == "error"
     return events.select(
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), "event_id",

@@ -242,3 +242,21 @@ def test_refusals(spark):
     short = listtext.list_codes(spark.createDataFrame([("d", 1, "  1.   0001   Alpha")], "doc_id STRING, line_no INT, line STRING"))
     with pytest.raises(ValueError, match="only 1 codes"):
         listtext.assert_plausible(short)
+
+
+def test_clean_panel_without_arrival_order(spark):
+    panel = clean(spark).drop("seq")
+    quality.assert_clean(panel, allow=("extreme moves", "calendar gaps", "monotonic dates"))
+    unrun = quality.validate(panel).filter("check = 'monotonic dates'").first()
+    assert unrun.passed is None and unrun.n_bad is None
+
+
+def test_repair_with_an_empty_record_lets_the_detector_decide(spark):
+    from conftest import bars
+    from panelspark.operators import repair
+
+    level = [10.0 + 0.01 * (i % 5) for i in range(80)]
+    panel = bars(spark, {"A": level[:40] + [v / 2 for v in level[40:]], "B": level})
+    none = spark.createDataFrame([], "date DATE, ticker STRING, value DOUBLE")
+    fixed = [{r.ticker for r in repair.repair(panel, events).fixed.collect()} for events in (None, none)]
+    assert fixed[0] == fixed[1] == {"A"}

@@ -8,7 +8,6 @@ from panelspark.plans.oracle import ORACLES
 from panelspark.plans.queries import QUERIES
 from panelspark.streaming import bars as stream_bars
 
-SLOW = {"wf_candidates", "wf_oos", "wf_summary", "wf_rolling", "target_weights", "turnover", "trades", "gross_returns", "backtest_summary", "rule_ranges"}
 
 
 @pytest.fixture(scope="module")
@@ -18,10 +17,10 @@ def con():
 
 def test_registry():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) <= {"deflated_sharpe_probability"}
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES])
 def test_against_sql(spark, con, name):
     got = QUERIES[name](spark, SF).toPandas()
     assert not differences(got, con.execute(ORACLES[name]).fetchdf())
@@ -51,3 +50,24 @@ def test_streamed_upsert_replaces_and_keeps_other_years(spark, tmp_path):
     bars(spark, {"A": [1.0] * 299 + [7.0, 8.0]}).filter("close > 1").coalesce(1).write.parquet(str(src / "two"))
     got = drain()
     assert got.count() == 301 and got.filter("close > 1").count() == 2
+
+
+def test_streams_read_tables_of_many_files(spark, tmp_path):
+    for name in ("lineitem", "events"):
+        spark.read.parquet(f"{SF}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("streamed_bars", "streamed_bad_bars", "streamed_quotes"):
+        one, many = (QUERIES[name](spark, d).toPandas() for d in (SF, str(tmp_path)))
+        assert len(one) and not differences(many, one), name
+
+
+def test_upserted_table_before_the_first_batch_is_empty(spark, tmp_path):
+    assert stream_bars.read_upserted(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_stored_study_follows_its_tables(spark, tmp_path):
+    for name in ("lineitem", "supplier", "nation", "part", "orders", "customer", "region", "events", "documents"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    before = QUERIES["rejections"](spark, str(tmp_path)).count()
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet")
+    rows.where("l_orderkey % 2 = 0").write.mode("overwrite").parquet(str(tmp_path / "lineitem.parquet"))
+    assert 0 < QUERIES["rejections"](spark, str(tmp_path)).count() < before

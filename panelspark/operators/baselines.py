@@ -11,7 +11,7 @@ from panelspark.operators.backtest import BacktestResult, eligible_on, RUN_COLUM
 from panelspark.operators.calendar import calendar, schedules, whole_history
 from panelspark.operators.factors import Strategy, composite_scores, factor_values, percentile_ranks, top_n
 from panelspark.operators.literals import rows, setting_rows
-from panelspark.operators.ordering import exact_quantiles, ordinal
+from panelspark.operators.ordering import exact_quantiles, ordinal, running_sum
 from panelspark.schemas import BacktestConfig
 from panelspark.scratch import materialise
 
@@ -80,10 +80,12 @@ def _trial_runs(spark, n_trials: int, row: tuple, n_names: int) -> DataFrame:
 
 def percentile_vs_random(value: DataFrame, randoms: DataFrame) -> DataFrame:
     """100 times the share of random values strictly below each strategy value (run_id, value)."""
-    drawn = randoms.agg(F.collect_list("value")).scalar()  # one number per trial
-    below = F.size(F.filter(F.col("_r"), lambda r: r < F.col("value")))
-    return value.withColumn("_r", drawn).select(
-        "run_id", F.try_divide(below * 100.0, F.size("_r")).alias("pctile_vs_random"))
+    one = F.lit(1).alias("g")
+    drawn = randoms.filter(F.col("value").isNotNull()).select(one, F.lit(None).cast("string").alias("run_id"), "value", F.lit(1).cast("bigint").alias("w"))
+    asked = value.select(one, "run_id", "value", F.lit(0).cast("bigint").alias("w"))
+    # A strategy comes before the trials that equal it, so what is summed before it lies strictly below.
+    placed = running_sum(asked.unionByName(drawn), ["g"], ["value", "w", "run_id"], F.col("w"), "below", "n")
+    return placed.filter("w = 0").select("run_id", F.try_divide(F.col("below") * 100.0, F.col("n")).alias("pctile_vs_random"))
 
 
 def baseline_runs(study: DataFrame, strategy: Strategy, cfg: BacktestConfig, n_random: int, n_names: int,
@@ -116,10 +118,10 @@ def baseline_table(study: DataFrame, strategy: Strategy, cfg: BacktestConfig = B
         result.summary.select("run_id", "avg_turnover", "cost_drag"), "run_id"), "stats")  # one row per run
     is_random = F.col("run_id").startswith("random_")
     randoms = stats.filter(is_random)
-    median = None
-    for c in shown:
-        q = exact_quantiles(randoms.select(F.lit("random entry (median)").alias("run_id"), c), ["run_id"], c, {c: 0.5}, n_random)
-        median = q if median is None else median.join(q, "run_id")
+    long = randoms.select(F.explode(F.array(*[F.struct(F.lit(c).alias("stat"), F.col(c).cast("double").alias("value")) for c in shown])).alias("x"))
+    mids = exact_quantiles(long.select("x.*"), ["stat"], "value", {"mid": 0.5})
+    median = mids.agg(*[F.max(F.when(F.col("stat") == c, F.col("mid"))).alias(c) for c in shown]).withColumn(
+        "run_id", F.lit("random entry (median)"))
     place = percentile_vs_random(stats.filter(F.col("run_id") == strategy.name).select("run_id", F.col("sharpe").alias("value")),
                                  randoms.select(F.col("sharpe").alias("value")))
     none = F.lit(None).cast("double")

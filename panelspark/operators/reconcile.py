@@ -11,17 +11,15 @@ ADJ_TOL = 0.02
 MATERIAL = 0.10
 
 
-def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Both sources side by side, for tickers present in each."""
+def aligned(a: DataFrame, b: DataFrame, how: str = "full") -> DataFrame:
+    """Both sources side by side: all bars, or those that both have (``how`` inner)."""
     cols = ["ticker", "date", "close", "adj_close"]
     left = a.select(*cols, F.lit(True).alias("in_a"))
     right = b.select("ticker", "date", F.col("close").alias("close_b"), F.col("adj_close").alias("adj_close_b"),
                      F.lit(True).alias("in_b"))
-    both = left.join(right, ["ticker", "date"], "full")
-    per = W.partitionBy("ticker")
-    both = both.select("*", F.count("in_a").over(per).alias("_na"), F.count("in_b").over(per).alias("_nb"))
+    both = left.join(right, ["ticker", "date"], how)
     diff = lambda x, y: F.abs(F.try_divide(F.col(x), F.col(y)) - 1.0)
-    return both.filter("_na > 0 and _nb > 0").drop("_na", "_nb").select(
+    return both.select(
         "*", diff("close", "close_b").alias("close_diff"), diff("adj_close", "adj_close_b").alias("adj_diff"))
 
 
@@ -30,11 +28,12 @@ def compare_panels(a: DataFrame, b: DataFrame, close_tol: float = CLOSE_TOL, adj
     both = F.col("in_a") & F.col("in_b")
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("bigint")
     out = aligned(a, b).groupBy("ticker").agg(
+        F.count("in_a").alias("_na"), F.count("in_b").alias("_nb"),
         n(both).alias("common_bars"), n(F.col("in_b").isNull()).alias("only_a"), n(F.col("in_a").isNull()).alias("only_b"),
         F.coalesce(F.max("close_diff"), F.lit(0.0)).alias("max_close_diff"),
         F.coalesce(F.max("adj_diff"), F.lit(0.0)).alias("max_adj_diff"),
         n(F.col("close_diff") > close_tol).alias("close_mismatches"),
-        n(F.col("adj_diff") > adj_tol).alias("adj_mismatches"))
+        n(F.col("adj_diff") > adj_tol).alias("adj_mismatches")).filter("_na > 0 and _nb > 0").drop("_na", "_nb")
     return out.select(
         "*", ((F.col("close_mismatches") == 0) & (F.col("adj_mismatches") == 0)).alias("clean"),
         (F.greatest("max_close_diff", "max_adj_diff") > MATERIAL).alias("material"))
@@ -42,7 +41,7 @@ def compare_panels(a: DataFrame, b: DataFrame, close_tol: float = CLOSE_TOL, adj
 
 def worst_rows(a: DataFrame, b: DataFrame, k: int = 5, close_tol: float = CLOSE_TOL, adj_tol: float = ADJ_TOL) -> DataFrame:
     """Top k mismatching bars per ticker: by adjusted gap where there is one, else by close gap."""
-    rows = aligned(a, b).select(
+    rows = aligned(a, b, "inner").select(  # a gap needs both
         "*", F.max((F.col("adj_diff") > adj_tol).cast("int")).over(W.partitionBy("ticker")).alias("_adj"))
     by_adj = F.coalesce(F.col("_adj"), F.lit(0)) == 1
     rows = rows.select("ticker", "date", "close_diff", "adj_diff",

@@ -109,7 +109,7 @@ def text_codes(spark, sf):
 def text_sections(spark, sf):
     """Text between the first and the next marker line of every document."""
     docs = tables.table(spark, sf, "documents")
-    section = listtext.list_section(listtext.text_lines(docs), start=r"(?i)\bthe\b", end=r"(?i)\bwith\b.*\bby\b")
+    section = listtext.document_section(docs, start=r"(?i)\bthe\b", end=r"(?i)\bwith\b.*\bby\b")
     return section.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max("line_no").alias("last_line"),
                                          F.sum(F.length("line")).alias("n_chars"))
 

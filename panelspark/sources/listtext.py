@@ -37,6 +37,23 @@ def list_section(lines: DataFrame, doc: str = "doc_id", start: str = START, end:
             .select(doc, "line_no", "line"))
 
 
+def document_section(documents: DataFrame, doc: str = "doc_id", text: str = "text", start: str = START, end: str = END) -> DataFrame:
+    """The same for whole texts: a document is one row, so its lines are cut where they are and nothing is shuffled."""
+    def place(lines, pattern):
+        return F.array_position(F.transform(lines, lambda line: line.rlike(pattern)), True).cast("int")
+
+    def tail(lines, first):
+        return F.slice(lines, first, F.size(lines))
+
+    rows = documents.select(doc, F.split(text, r"\r\n|\n|\r").alias("_l")).withColumn("_s", place(F.col("_l"), start)).filter("_s > 0")
+    opened = F.regexp_replace(F.element_at("_l", F.col("_s")), "^.*?" + start, "")
+    rows = rows.select(doc, "_s", F.concat(F.array(opened), tail(F.col("_l"), F.col("_s") + 1)).alias("_l"))
+    rows = rows.withColumn("_e", place(F.col("_l"), end))
+    closed = F.concat(F.slice("_l", 1, F.col("_e") - 1), F.array(F.regexp_replace(F.element_at("_l", F.col("_e")), end + ".*$", "")))
+    kept = F.when(F.col("_e") > 0, closed).otherwise(F.col("_l"))
+    return rows.select(doc, "_s", F.posexplode(kept).alias("_p", "line")).select(doc, (F.col("_s") - 1 + F.col("_p")).alias("line_no"), "line")
+
+
 def assert_plausible(codes: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Refuse a list too short to be the full one."""
     short = codes.filter("not plausible").select(doc, "n_codes").distinct().limit(1).collect()

@@ -26,11 +26,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.rows import HASH, ID, keyed, keyed_whole, parts
-from panelspark.llm.textbytes import Slice, frames, ranges, span_hash
+from panelspark.llm.rows import HASH, ID, keyed, keyed_whole
+from panelspark.llm.textbytes import Slice, frames, give_back, ranges, span_hash
 from panelspark.scratch import materialise
 
 GRAM = 150
+BUCKET_SUFFIXES = 12_000
 SECTION = 1 << 21
 _PLACE_BITS = np.uint64(24)
 
@@ -161,9 +162,10 @@ def _events(kind, doc, text, a, b, window) -> pa.RecordBatch:
 
 def bucket(batches, length: int) -> Iterator[pa.RecordBatch]:
     """One range of suffixes: spans that repeat inside it, and the windows of its first and last class."""
-    table = pa.Table.from_batches(list(batches))  # one bucket: the rows between two splitters
-    if not table.num_rows:
+    rows = [b for b in batches if b.num_rows]  # one bucket: the rows between two splitters
+    if not rows:
         return
+    table = pa.Table.from_batches(rows)
     doc, text, low, lead = (table.column(i).to_numpy() for i in range(4))
     own = table.column(4).combine_chunks().cast(pa.large_binary())
     own = own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own
@@ -200,15 +202,17 @@ def bucket(batches, length: int) -> Iterator[pa.RecordBatch]:
         got = span_hash(Slice(chunk, begin, 0).prefix(fold=False), s, s + length)
         hashes[done:done + len(got)] = got.view(np.int64)
         done, at = done + len(got), to
-    owner = np.repeat(np.arange(len(look)), n_windows)
-    start = low[look][owner] + ranges(n_windows)
+    del leading, words, same
+    owner = np.repeat(np.arange(len(look), dtype=np.int32), n_windows)
+    start = low[look][owner] + ranges(n_windows).astype(np.int32)
     by = np.argsort(hashes)
     ordered = hashes[by]
-    new = np.ones(len(by), bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    copies = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+    new = np.ones(len(by) + 1, bool)
+    new[1:-1] = ordered[1:] != ordered[:-1]
     repeated = np.zeros(len(by), bool)
-    repeated[by] = copies > 1
+    repeated[by] = ~(new[:-1] & new[1:])
+    new = new[:-1]
+    del ordered
     hit = np.flatnonzero(repeated)
     if len(hit):
         first = np.ones(len(hit), bool)
@@ -222,18 +226,20 @@ def bucket(batches, length: int) -> Iterator[pa.RecordBatch]:
     if len(pick):
         row = look[owner[pick]]
         yield _events(np.where(repeated[pick], SEEN, WINDOW), doc[row], text[row], start[pick], start[pick] + length, hashes[pick])
+    del table, own, data, hashes, owner, start, by, repeated, new
+    give_back()
 
 
-def repeated_spans(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, length: int = 400, bucket_suffixes: int = BUCKET_SUFFIXES) -> tuple[DataFrame, DataFrame]:
     """(id, text hash, a, b) spans of bytes to remove, overlapping; and (id, text hash, packed) of the texts they may be in."""
-    spark = docs.sparkSession
     found = materialise(anchor_rows(docs, length), "anchors")
     often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     runs = found.join(often, "gram", "left_semi").groupBy(ID, HASH).agg(F.collect_list(F.struct("place", "low", "high")).alias("runs"))
     touched = materialise(packed_texts(docs).join(runs, [ID, HASH]).select(ID, HASH, "packed", "runs"), "touched")
     suffixes = touched.mapInArrow(lambda b: suffix_rows(b, length), _SUFFIX)
     leading = F.substring("bytes", F.col("lead") + 1, F.lit(length))
-    ranged = suffixes.repartitionByRange(parts(spark), leading, ID, HASH, "low")
+    n = touched.agg(F.sum(F.size("runs"))).first()[0] or 0
+    ranged = suffixes.repartitionByRange(max(1, -(-n // bucket_suffixes)), leading, ID, HASH, "low")
     events = materialise(ranged.mapInArrow(lambda b: bucket(b, length), _EVENT), "repeats")
     shared = events.where(F.col("kind") != SPAN).groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     across = events.where(F.col("kind") == WINDOW).join(shared, "window", "left_semi")
@@ -253,9 +259,9 @@ def joined_spans(spans: list[dict]) -> list[tuple[int, int]]:
 _CUT = f"{ID} BIGINT, {HASH} BIGINT, n_removed BIGINT, n_spans BIGINT, removed ARRAY<STRUCT<a: INT, b: INT>>, kept BINARY"
 
 
-def cut_texts(docs: DataFrame, length: int = 400) -> DataFrame:
+def cut_texts(docs: DataFrame, length: int = 400, bucket_suffixes: int = BUCKET_SUFFIXES) -> DataFrame:
     """Of the texts that lose bytes: how many, in how many runs, which, and the bytes that remain."""
-    spans, touched = repeated_spans(docs, length)
+    spans, touched = repeated_spans(docs, length, bucket_suffixes)
     per_text = spans.groupBy(ID, HASH).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
     def scan(batches) -> Iterator[pa.RecordBatch]:
@@ -276,9 +282,9 @@ def cut_texts(docs: DataFrame, length: int = 400) -> DataFrame:
     return rows.mapInArrow(scan, _CUT).dropDuplicates([ID, HASH])
 
 
-def repeat_digest(docs: DataFrame, length: int = 400) -> DataFrame:
+def repeat_digest(docs: DataFrame, length: int = 400, bucket_suffixes: int = BUCKET_SUFFIXES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
-    cut = cut_texts(docs, length).select(ID, HASH, "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha256"))
+    cut = cut_texts(docs, length, bucket_suffixes).select(ID, HASH, "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha256"))
     text = F.coalesce(F.col("text"), F.lit(""))
     whole = keyed(docs).select("doc_id", ID, HASH, F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
     zero = F.lit(0).cast("bigint")

@@ -7,6 +7,7 @@ than the slice makes a larger one.  Nothing here knows of Spark's driver or of t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -124,11 +125,20 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
         at = to
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: Python workers live on, and an executor's tasks share it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; others need no asking
+    if trim is not None:
+        trim(0)
+
+
 def frames(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, Slice]]:
     """Each slice of a stream of batches with the rows it stands for."""
     for batch in batches:
         for part in slices(batch.column(batch.schema.get_field_index(text))):
             yield batch.slice(part.first, len(part)), part
+    give_back()
 
 
 def ranges(counts: np.ndarray) -> np.ndarray:

@@ -26,11 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.rows import HASH, ID, NULL_ID, keyed, keyed_whole, parts
-from panelspark.llm.textbytes import ALNUM, Slice, frames, gram_hash, powers, span_hash
+from panelspark.llm.suffix_dedup import packed_texts
+from panelspark.llm.textbytes import ALNUM, Slice, frames, give_back, gram_hash, powers, slices, span_hash
 from panelspark.scratch import materialise
 
 HASHES, ROWS_PER_BAND, STEP = 128, 4, 16
@@ -107,15 +109,22 @@ def signatures(docs: DataFrame, n: int = 5) -> DataFrame:
     return keyed(docs).select(ID, HASH, "text").mapInArrow(scan, _SIGNED)
 
 
-def shingle_sets(docs: DataFrame, n: int = 5) -> DataFrame:
-    """The sorted distinct shingle hashes of every row of docs (which has the pair that names it, and text)."""
+def shingle_sets(packed: DataFrame, n: int = 5) -> DataFrame:
+    """The sorted distinct shingle hashes of texts that come compressed, under the pair that names their row."""
     def scan(batches) -> Iterator[pa.RecordBatch]:
-        for rows, part in frames(batches):
-            hashes, at, _, _ = shingle_rows(part, n)
-            sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sets, pa.binary())], names=[ID, HASH, "shingles"])
+        unpress = zstandard.ZstdDecompressor()
+        for batch in batches:
+            ids, hashes, texts = (batch.column(i) for i in range(3))
+            for at in range(0, len(texts), 256):
+                own = pa.array([unpress.decompress(t.as_py()) for t in texts[at:at + 256]], pa.large_binary())
+                for part in slices(own):
+                    found, first, _, _ = shingle_rows(part, n)
+                    sets = [np.unique(found[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
+                    place = at + part.first
+                    yield pa.RecordBatch.from_arrays([ids.slice(place, len(part)), hashes.slice(place, len(part)), pa.array(sets, pa.binary())],
+                                                     names=[ID, HASH, "shingles"])
 
-    return docs.select(ID, HASH, "text").mapInArrow(scan, f"{ID} BIGINT, {HASH} BIGINT, shingles BINARY")
+    return packed.select(ID, HASH, "packed").mapInArrow(scan, f"{ID} BIGINT, {HASH} BIGINT, shingles BINARY")
 
 
 def least_agreement(threshold: float, tolerance: float) -> np.ndarray:
@@ -224,6 +233,7 @@ def members(batches) -> Iterator[tuple[tuple, list]]:
             rows.append(row[4:])
     if rows:
         yield key, rows
+    give_back()
 
 
 def distinct_sorted(rows: list) -> list:
@@ -285,19 +295,22 @@ class Join:
     def units(self) -> DataFrame:
         """(key, band, i, j, id, hash, block, signature, shingles): the members of every pair of blocks to be resolved."""
         reps = self.copies.select("rep.*", "n_words", "signature")
-        banded = reps.select(ID, HASH, "n_words", F.posexplode("signature").alias("band", "value"))
+        banded = reps.select(ID, HASH, "n_words", F.posexplode("signature").alias("band", "value")).withColumn("band", F.col("band").cast("tinyint"))
+        # Most values are one text's: they go by a count of values alone, before rows move.
+        often = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
+        met = materialise(banded.join(often, ["band", "value"], "left_semi"), "bucket-members")
         mark = F.xxhash64(ID, HASH).cast("decimal(38,0)")
-        buckets = (banded.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.sum(mark).alias("mark"),
-                                                       F.min(F.struct(ID, HASH)).alias("least"))
-                   .where("n > 1").groupBy("n", "mark", "least").agg(F.min(F.struct("band", "value")).alias("b"), F.first("words").alias("words")))
+        buckets = (met.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.sum(mark).alias("mark"),
+                                                    F.min(F.struct(ID, HASH)).alias("least"))
+                   .groupBy("n", "mark", "least").agg(F.min(F.struct("band", "value")).alias("b"), F.first("words").alias("words")))
         blocks = F.greatest(F.ceil(F.col("n") / self.block_docs), F.ceil(F.col("words") / self.block_words)).cast("int")
         buckets = buckets.select(F.col("b.band").alias("band"), F.col("b.value").alias("value"), blocks.alias("blocks"))
-        placed = (banded.join(buckets, ["band", "value"])
+        placed = (met.join(buckets, ["band", "value"])
                   .withColumn("block", F.pmod(F.xxhash64(F.lit(3), F.col(ID), F.col(HASH)), F.col("blocks")).cast("int")))
         placed = materialise(placed.select(ID, HASH, "band", "value", "block", "blocks"), "buckets")
         some = placed.select(ID, HASH).distinct()
-        rows = keyed(self.docs).select(ID, HASH, "text").join(some, [ID, HASH], "left_semi")
-        payload = materialise(shingle_sets(rows, self.n).join(reps, [ID, HASH]).select(ID, HASH, "signature", "shingles"), "shingle-sets")
+        sets = shingle_sets(packed_texts(self.docs).join(some, [ID, HASH], "left_semi"), self.n)
+        payload = materialise(sets.join(reps, [ID, HASH]).select(ID, HASH, "signature", "shingles"), "shingle-sets")
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         return (placed.select(ID, HASH, "band", "value", "block", other.alias("other"))
                 .select(F.col("value").alias("key"), "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),

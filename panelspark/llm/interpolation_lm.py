@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.textbytes import PLAIN, frames, gram_hash, slices, span_hash
+from panelspark.llm.textbytes import PLAIN, frames, give_back, gram_hash, slices, span_hash
 from panelspark.scratch import materialise
 
-BLOCK_BYTES, RANGE_BYTES = 1 << 23, 1 << 24
+BLOCK_BYTES, RANGE_BYTES = 1 << 22, 1 << 23
 HELD_OUT, DELETED = 1, 0
 BUCKETS = 66
 CELLS_PER_OCTAVE, FARTHEST = 4, 60
@@ -49,6 +49,14 @@ def _unpacked(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
+def rows_of(batches) -> Iterator[dict]:
+    """One row at a time, so that a task holds one block and not a batch of them."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+    give_back()
+
+
 _BLOCK = "block BIGINT, deleted BOOLEAN, n_bytes BIGINT, n_train BIGINT, doc_ids ARRAY<BIGINT>, folds ARRAY<INT>, sizes ARRAY<BIGINT>, texts BINARY"
 
 
@@ -131,21 +139,20 @@ _ASKED = "gram INT, part INT, block BIGINT, deleted BOOLEAN, keys BINARY, counts
 
 def ask(batches, n_ranges: int) -> Iterator[pa.RecordBatch]:
     """Each block's distinct words and pairs with its training counts, by hash range."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            tokens, first = tokens_of(row["sizes"], row["texts"])
-            train = np.repeat(np.array(row["folds"]) != HELD_OUT, np.diff(first))
-            for gram, keys in ((1, tokens), (2, grams(tokens, first))):
-                own, place = distinct(keys)
-                counts = np.bincount(place[train], minlength=len(own)).astype(np.uint32)
-                bounds = range_bounds(own, n_ranges)
-                some = [r for r in range(n_ranges) if bounds[r] < bounds[r + 1]]
-                cut = [slice(bounds[r], bounds[r + 1]) for r in some]
-                n = len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([gram] * n, pa.int32()), pa.array(some, pa.int32()), pa.array([row["block"]] * n, pa.int64()), pa.array([row["deleted"]] * n),
-                     pa.array([_packed(np.diff(own[c], prepend=np.uint64(0))) for c in cut], pa.binary()), pa.array([_packed(counts[c]) for c in cut], pa.binary())],
-                    names=["gram", "part", "block", "deleted", "keys", "counts"])
+    for row in rows_of(batches):
+        tokens, first = tokens_of(row["sizes"], row["texts"])
+        train = np.repeat(np.array(row["folds"]) != HELD_OUT, np.diff(first))
+        for gram, keys in ((1, tokens), (2, grams(tokens, first))):
+            own, place = distinct(keys)
+            counts = np.bincount(place[train], minlength=len(own)).astype(np.uint32)
+            bounds = range_bounds(own, n_ranges)
+            some = [r for r in range(n_ranges) if bounds[r] < bounds[r + 1]]
+            cut = [slice(bounds[r], bounds[r + 1]) for r in some]
+            n = len(some)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([gram] * n, pa.int32()), pa.array(some, pa.int32()), pa.array([row["block"]] * n, pa.int64()), pa.array([row["deleted"]] * n),
+                 pa.array([_packed(np.diff(own[c], prepend=np.uint64(0))) for c in cut], pa.binary()), pa.array([_packed(counts[c]) for c in cut], pa.binary())],
+                names=["gram", "part", "block", "deleted", "keys", "counts"])
 
 
 _ANSWER = "gram INT, part INT, block BIGINT, kept BINARY, held BINARY, v_all BIGINT, n_all BIGINT, v_kept BIGINT, n_kept BIGINT"
@@ -168,6 +175,8 @@ def answer(table: pa.Table) -> pa.Table:
     columns = [pa.array([r["gram"] for r in rows], pa.int32()), pa.array([r["part"] for r in rows], pa.int32()), pa.array([r["block"] for r in rows], pa.int64()),
                pa.array([_packed(kept[c]) for c in cut], pa.binary()), pa.array([_packed(held[c]) for c in cut], pa.binary()),
                *(pa.array([v] + [0] * (n - 1), pa.int64()) for v in stats)]
+    del keys, own, place, counts, held, kept, total, cut
+    give_back()
     return pa.Table.from_arrays(columns, names=[c.split()[0] for c in _ANSWER.split(", ")])
 
 
@@ -214,19 +223,18 @@ _CELL = "bucket INT, q2 INT, q1 INT, n BIGINT"
 
 def held_out_cells(batches, totals: Totals) -> Iterator[pa.RecordBatch]:
     """Held-out tokens by context bucket and by how far the two estimates lie above the uniform one (null: estimate 0)."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            first, word, _, pair, _ = block_counts(row)
-            p2, p1, p0, bucket = estimates(word, pair, contexts(word, first, totals.docs_kept), totals.n_kept, totals.v_kept)
+    for row in rows_of(batches):
+        first, word, _, pair, _ = block_counts(row)
+        p2, p1, p0, bucket = estimates(word, pair, contexts(word, first, totals.docs_kept), totals.n_kept, totals.v_kept)
 
-            def cell(p):
-                q = np.rint(np.log2(np.maximum(p, 1e-300) / p0) * CELLS_PER_OCTAVE)
-                return np.where(p > 0, np.clip(q, -FARTHEST * CELLS_PER_OCTAVE, FARTHEST * CELLS_PER_OCTAVE), -10_000).astype(np.int64) + 10_000
+        def cell(p):
+            q = np.rint(np.log2(np.maximum(p, 1e-300) / p0) * CELLS_PER_OCTAVE)
+            return np.where(p > 0, np.clip(q, -FARTHEST * CELLS_PER_OCTAVE, FARTHEST * CELLS_PER_OCTAVE), -10_000).astype(np.int64) + 10_000
 
-            key, n = np.unique((bucket.astype(np.int64) << 40) | (cell(p2) << 20) | cell(p1), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array((key >> 40).astype(np.int32)), *(pa.array((((key >> s) & 0xFFFFF) - 10_000).astype(np.int32)) for s in (20, 0)), pa.array(n)],
-                names=["bucket", "q2", "q1", "n"])
+        key, n = np.unique((bucket.astype(np.int64) << 40) | (cell(p2) << 20) | cell(p1), return_counts=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array((key >> 40).astype(np.int32)), *(pa.array((((key >> s) & 0xFFFFF) - 10_000).astype(np.int32)) for s in (20, 0)), pa.array(n)],
+            names=["bucket", "q2", "q1", "n"])
 
 
 def mixture_weights(bucket: np.ndarray, q2: np.ndarray, q1: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -251,19 +259,18 @@ _SCORED = ("doc_id BIGINT, held_out BOOLEAN, n_tokens BIGINT, n_known BIGINT, tr
 
 
 def score_block(batches, totals: Totals, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            first, _, word, _, pair = block_counts(row)
-            base = np.log10((word + 0.5) / (totals.n_all + 0.5 * (totals.v_all + 1)))
-            p2, p1, p0, bucket = estimates(word, pair, contexts(word, first, totals.docs_all), totals.n_all, totals.v_all)
-            w = weights[bucket]
-            model = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0)
-            heads, n = first[:-1], len(first) - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row["doc_ids"], pa.int64()), pa.array(np.array(row["folds"]) == HELD_OUT), pa.array(np.diff(first)),
-                 pa.array(np.add.reduceat((word > 0).astype(np.int64), heads)), pa.array(np.full(n, totals.n_all, np.int64)),
-                 pa.array(np.add.reduceat(base, heads)), pa.array(np.add.reduceat(model, heads))],
-                names=[c.split()[0] for c in _SCORED.split(", ")])
+    for row in rows_of(batches):
+        first, _, word, _, pair = block_counts(row)
+        base = np.log10((word + 0.5) / (totals.n_all + 0.5 * (totals.v_all + 1)))
+        p2, p1, p0, bucket = estimates(word, pair, contexts(word, first, totals.docs_all), totals.n_all, totals.v_all)
+        w = weights[bucket]
+        model = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0)
+        heads, n = first[:-1], len(first) - 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(row["doc_ids"], pa.int64()), pa.array(np.array(row["folds"]) == HELD_OUT), pa.array(np.diff(first)),
+             pa.array(np.add.reduceat((word > 0).astype(np.int64), heads)), pa.array(np.full(n, totals.n_all, np.int64)),
+             pa.array(np.add.reduceat(base, heads)), pa.array(np.add.reduceat(model, heads))],
+            names=[c.split()[0] for c in _SCORED.split(", ")])
 
 
 class Model:

@@ -109,8 +109,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     n_lines = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
     counted = keyed(docs).select(ID, HASH, n_lines.cast("bigint").alias("n_lines")).distinct()
     joined = counted.join(drops, [ID, HASH], "left")
-    return joined.select(ID, HASH, "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
-                         F.when(F.col("dropped").isNotNull(), _pack("n_lines", "dropped")).alias("keep"))
+    return materialise(joined.select(ID, HASH, "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
+                         F.when(F.col("dropped").isNotNull(), _pack("n_lines", "dropped")).alias("keep")), "bitmaps")
 
 
 def unpack(keep: bytes | None, n_lines: int) -> np.ndarray:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.rows import HASH, ID, keyed
+from panelspark.llm.textbytes import give_back
 from panelspark.scratch import materialise
 
 SHARD_PIECES = 100_000
@@ -39,7 +40,7 @@ _own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _BYTE_LETTER = {b: chr(b) for b in _own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _own)}
 
 
-def chunk_encoder(path: str, cache_size: int = 700_000) -> Callable[[str], bytes]:
+def chunk_encoder(path: str, cache_size: int = 400_000) -> Callable[[str], bytes]:
     """Text to token ids, little-endian 32-bit: chunks between spaces and line ends are encoded once and remembered.
 
     The tokenizer drops white space and no token spans it, so a text's ids are its chunks' ids one after another
@@ -48,33 +49,32 @@ def chunk_encoder(path: str, cache_size: int = 700_000) -> Callable[[str], bytes
 
     tokenizer = Tokenizer.from_file(path)
     model = tokenizer.model
-    chunks_known: dict[str, bytes] = {}
-    words_known: dict[str, bytes] = {}
+    known: dict[str, bytes] = {}  # chunks, and the words in them: a plain word is a chunk too
 
     def word(pre: str) -> bytes:
-        ids = words_known.get(pre)
+        ids = known.get(pre)
         if ids is None:
             letters = pre if pre.isascii() else "".join([_BYTE_LETTER[b] for b in pre.encode()])
             ids = [t.id for t in model.tokenize(letters)]
-            ids = words_known[pre] = struct.pack(f"<{len(ids)}I", *ids)
+            ids = known[pre] = struct.pack(f"<{len(ids)}I", *ids)
         return ids
 
     def encode(text: str) -> bytes:
         chunks = text.replace("\n", " ").split(" ")
-        new = {c for c in chunks if c not in chunks_known}
-        if len(chunks_known) + len(new) > cache_size:
-            chunks_known.clear()
-            words_known.clear()
+        new = {c for c in chunks if c not in known}
+        if len(known) + len(new) > cache_size:
+            known.clear()
             new = set(chunks)
         odd = []
         for c in new:
             if _PLAIN_CHUNK.fullmatch(c) and "<|" not in c:
-                chunks_known[c] = b"".join([word(w) for w in _PRE_TOKEN.findall(c.lower())])
+                known[c] = b"".join([word(w) for w in _PRE_TOKEN.findall(c.lower())])
             else:
                 odd.append(c)
-        for c, e in zip(odd, tokenizer.encode_batch(odd, add_special_tokens=False)):
-            chunks_known[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([chunks_known[c] for c in chunks])
+        if odd:
+            for c, e in zip(odd, tokenizer.encode_batch(odd, add_special_tokens=False)):
+                known[c] = np.array(e.ids, "<u4").tobytes()
+        return b"".join([known[c] for c in chunks])
 
     return encode
 
@@ -108,6 +108,7 @@ def piece_rows(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int
                 [*(batch.column(i).take(pa.array(keep, pa.int64())) for i in range(3)), pa.array(piece, pa.int32()),
                  *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 names=["doc_id", ID, HASH, "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return keyed(docs).select("doc_id", ID, HASH, "text").mapInArrow(cut, _PIECE)
 

@@ -180,12 +180,11 @@ def grouped(rows: DataFrame, min_group: int) -> DataFrame:
     own = F.to_json(F.struct("lang", "source"))
     counts = rows.groupBy("lang", "source").count().withColumn("own", F.col("count") >= min_group)
     small = counts.where(~F.col("own")).groupBy("lang").agg(F.sum("count").alias("in_lang"))
-    rest = small.where(F.col("in_lang") < min_group).agg(F.sum("in_lang").alias("in_all"))
+    rest = small.where(F.col("in_lang") < min_group).agg(F.sum("in_lang").alias("in_all")).scalar()
     keys = (counts.alias("c").join(small.alias("s"), F.col("c.lang").eqNullSafe(F.col("s.lang")), "left")
-            .join(F.broadcast(rest))  # one row
             .select("c.lang", "c.source", F.when(F.col("own"), own_name("c", True))
                     .when(F.col("in_lang") >= min_group, own_name("c", False))
-                    .when(F.col("in_all") >= min_group, F.lit("all")).alias("grp")))
+                    .when(rest >= min_group, F.lit("all")).alias("grp")))
     return (rows.alias("r").join(keys.alias("k"), F.col("r.lang").eqNullSafe(F.col("k.lang")) & F.col("r.source").eqNullSafe(F.col("k.source")), "left")
             .select("r.*", "k.grp"))
 

@@ -93,10 +93,10 @@ def judged(pages: DataFrame, rules=RULES, **options) -> DataFrame:
     read = read_pages(pages, rules)
     counts = read.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     paths = templates(materialise(counts, "url-paths"), **options)
-    prior = paths.agg((F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0))).alias("prior"))
+    prior = paths.agg((F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0))).alias("prior")).scalar()
     node = paths.groupBy("host", "node").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    purity = (F.col("blocked") + SMOOTHING * F.coalesce("prior", F.lit(0.0))) / (F.col("labelled") + SMOOTHING)
-    node = node.join(F.broadcast(prior)).withColumn("purity", purity)  # one row
+    purity = (F.col("blocked") + SMOOTHING * F.coalesce(prior, F.lit(0.0))) / (F.col("labelled") + SMOOTHING)
+    node = node.withColumn("purity", purity)
     node = node.withColumn("rejected", (F.col("labelled") >= LEAST_LABELLED) & (F.col("purity") > PURITY))
     by_path = paths.select("host", "path", "node").join(node.select("host", "node", "purity", "rejected"), ["host", "node"])
     verdict = F.coalesce("ruled", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))

@@ -7,7 +7,7 @@ than one in ten million never meet); buckets with the same members are kept once
 bucket, a pair belongs to the first band on which it agrees, so it is looked at once; its
 MinHash values are compared 16 at a time, and it is dropped as soon as the posterior
 probability (uniform prior) of reaching the threshold falls below ``tolerance``.  What is
-left is verified on the sets themselves.
+left is verified on the sets themselves (of 48-bit hashes).
 
 A bucket is dealt into blocks of bounded size and bounded text, and a task resolves one pair
 of blocks, so that a bucket with a third of all rows is shared by many.  Tasks return one row
@@ -109,6 +109,17 @@ def signatures(docs: DataFrame, n: int = 5) -> DataFrame:
     return keyed(docs).select(ID, HASH, "text").mapInArrow(scan, _SIGNED)
 
 
+def six_bytes(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of each distinct hash, sorted: enough to tell a pair's shingles apart, and a quarter less to move."""
+    return (np.unique(hashes >> np.uint64(16))).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def from_six_bytes(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
+
+
 def shingle_sets(packed: DataFrame, n: int = 5) -> DataFrame:
     """The sorted distinct shingle hashes of texts that come compressed, under the pair that names their row."""
     def scan(batches) -> Iterator[pa.RecordBatch]:
@@ -119,7 +130,7 @@ def shingle_sets(packed: DataFrame, n: int = 5) -> DataFrame:
                 own = pa.array([unpress.decompress(t.as_py()) for t in texts[at:at + 256]], pa.large_binary())
                 for part in slices(own):
                     found, first, _, _ = shingle_rows(part, n)
-                    sets = [np.unique(found[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
+                    sets = [six_bytes(found[a:b]) for a, b in zip(first[:-1], first[1:])]
                     place = at + part.first
                     yield pa.RecordBatch.from_arrays([ids.slice(place, len(part)), hashes.slice(place, len(part)), pa.array(sets, pa.binary())],
                                                      names=[ID, HASH, "shingles"])
@@ -242,7 +253,7 @@ def distinct_sorted(rows: list) -> list:
 
 def _resolved(key: tuple, rows: list, threshold: float, least: np.ndarray):
     signs = np.array([r[3] for r in rows], np.int64).view(np.uint16)
-    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+    sets = [from_six_bytes(r[4]) for r in rows]
     block = np.array([r[2] for r in rows])
     _, band, i, j = key
     left = np.flatnonzero(block == i)

@@ -93,6 +93,12 @@ def sequence_hashes(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def signature_lists(values: np.ndarray) -> pa.ListArray:
+    """Each text's values as 32 longs, one for each band."""
+    wide = values.view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, wide.size + 1, BANDS, dtype=np.int32)), pa.array(wide.ravel()))
+
+
 _SIGNED = f"{ID} BIGINT, {HASH} BIGINT, n_words INT, s1 BIGINT, s2 BIGINT, signature ARRAY<BIGINT>"
 
 
@@ -100,8 +106,7 @@ def signatures(docs: DataFrame, n: int = 5) -> DataFrame:
     def scan(batches) -> Iterator[pa.RecordBatch]:
         for rows, part in frames(batches):
             hashes, at, words, first = shingle_rows(part, n)
-            signs = minhash(hashes, at).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, signs.size + 1, BANDS, dtype=np.int32)), pa.array(signs.ravel()))
+            lists = signature_lists(minhash(hashes, at))
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), rows.column(1), pa.array(np.diff(first).astype(np.int32)), *map(pa.array, sequence_hashes(words, first)),
                  lists], names=[ID, HASH, "n_words", "s1", "s2", "signature"])
@@ -121,7 +126,9 @@ def from_six_bytes(data: bytes) -> np.ndarray:
 
 
 def shingle_sets(packed: DataFrame, n: int = 5) -> DataFrame:
-    """The sorted distinct shingle hashes of texts that come compressed, under the pair that names their row."""
+    """Signatures and sorted distinct shingle hashes of texts that come compressed, under the pair that names their row.
+
+    The few texts that are needed get their signature anew: cheaper than to move all texts' signatures to them."""
     def scan(batches) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -132,10 +139,11 @@ def shingle_sets(packed: DataFrame, n: int = 5) -> DataFrame:
                     found, first, _, _ = shingle_rows(part, n)
                     sets = [six_bytes(found[a:b]) for a, b in zip(first[:-1], first[1:])]
                     place = at + part.first
-                    yield pa.RecordBatch.from_arrays([ids.slice(place, len(part)), hashes.slice(place, len(part)), pa.array(sets, pa.binary())],
-                                                     names=[ID, HASH, "shingles"])
+                    yield pa.RecordBatch.from_arrays([ids.slice(place, len(part)), hashes.slice(place, len(part)), signature_lists(minhash(found, first)),
+                                                      pa.array(sets, pa.binary())], names=[ID, HASH, "signature", "shingles"])
+        give_back()
 
-    return packed.select(ID, HASH, "packed").mapInArrow(scan, f"{ID} BIGINT, {HASH} BIGINT, shingles BINARY")
+    return packed.select(ID, HASH, "packed").mapInArrow(scan, f"{ID} BIGINT, {HASH} BIGINT, signature ARRAY<BIGINT>, shingles BINARY")
 
 
 def least_agreement(threshold: float, tolerance: float) -> np.ndarray:
@@ -320,8 +328,7 @@ class Join:
                   .withColumn("block", F.pmod(F.xxhash64(F.lit(3), F.col(ID), F.col(HASH)), F.col("blocks")).cast("int")))
         placed = materialise(placed.select(ID, HASH, "band", "value", "block", "blocks"), "buckets")
         some = placed.select(ID, HASH).distinct()
-        sets = shingle_sets(packed_texts(self.docs).join(some, [ID, HASH], "left_semi"), self.n)
-        payload = materialise(sets.join(reps, [ID, HASH]).select(ID, HASH, "signature", "shingles"), "shingle-sets")
+        payload = materialise(shingle_sets(packed_texts(self.docs).join(some, [ID, HASH], "left_semi"), self.n), "shingle-sets")
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         return (placed.select(ID, HASH, "band", "value", "block", other.alias("other"))
                 .select(F.col("value").alias("key"), "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),

@@ -5,7 +5,7 @@ bytes with the smallest hash is its anchor (the last one of equals), so equal wi
 anchors at equal distances, and every repeated string is found from its anchor: one suffix for about
 125 bytes.  Anchors whose substring occurs once are dropped by a count.  The others carry the bytes
 of the windows they stand for; sampled splitters range-partition them by their suffixes' leading
-bytes (then by place, so that equal suffixes may be split); each bucket sorts its suffixes by multikey
+bytes (then by the substring and the place, so that equal suffixes may be split); each bucket sorts its suffixes by multikey
 quicksort, neighbours that share the whole substring form a class, and windows are compared inside
 classes.  The first and last class of a bucket may go on in the next one: their distinct windows,
 one row each however many suffixes hold them, are compared across all boundaries in a second
@@ -32,6 +32,8 @@ from panelspark.scratch import materialise
 
 GRAM = 150
 BUCKET_SUFFIXES = 12_000
+#: Bytes of a suffix by which ranges are split; then its substring's hash, so that a class stays together, then its place.
+LEADING = 16
 SECTION = 1 << 21
 _PLACE_BITS = np.uint64(24)
 
@@ -108,7 +110,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return keyed(docs).select(ID, HASH, "text").mapInArrow(scan, f"{ID} BIGINT, {HASH} BIGINT, packed BINARY")
 
 
-_SUFFIX = f"{ID} BIGINT, {HASH} BIGINT, low INT, lead INT, bytes BINARY"
+_SUFFIX = f"{ID} BIGINT, {HASH} BIGINT, low INT, lead INT, bytes BINARY, gram BIGINT"
 
 
 def suffix_rows(batches, length: int) -> Iterator[pa.RecordBatch]:
@@ -121,7 +123,8 @@ def suffix_rows(batches, length: int) -> Iterator[pa.RecordBatch]:
             own = [text[r["low"]:r["high"] + length] for r in runs]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([d] * len(runs), pa.int64()), pa.array([h] * len(runs), pa.int64()), pa.array([r["low"] for r in runs], pa.int32()),
-                 pa.array([r["place"] - r["low"] for r in runs], pa.int32()), pa.array(own, pa.binary())], names=[ID, HASH, "low", "lead", "bytes"])
+                 pa.array([r["place"] - r["low"] for r in runs], pa.int32()), pa.array(own, pa.binary()), pa.array([r["gram"] for r in runs], pa.int64())],
+                names=[ID, HASH, "low", "lead", "bytes", "gram"])
 
 
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
@@ -167,6 +170,7 @@ def bucket(batches, length: int) -> Iterator[pa.RecordBatch]:
         return
     table = pa.Table.from_batches(rows)
     doc, text, low, lead = (table.column(i).to_numpy() for i in range(4))
+    grams = table.column(5).to_numpy()
     own = table.column(4).combine_chunks().cast(pa.large_binary())
     own = own.combine_chunks() if isinstance(own, pa.ChunkedArray) else own
     _, offsets, data = own.buffers()
@@ -183,9 +187,28 @@ def bucket(batches, length: int) -> Iterator[pa.RecordBatch]:
     same = (words[order[1:]] == words[order[:-1]]).all(axis=1)
     class_of = np.concatenate([[0], np.cumsum(~same)])
     size = np.bincount(class_of)
-    edge = (class_of == 0) | (class_of == class_of[-1])
-    look = order[(size[class_of] > 1) | edge]
-    on_edge = edge[(size[class_of] > 1) | edge]
+    # The classes that the splitters may have cut: those of the smallest and of the largest key of the range.
+    ranked = np.lexsort((grams[order], words[order, 1], words[order, 0]))
+    edge = (class_of == class_of[ranked[0]]) | (class_of == class_of[ranked[-1]])
+    picked = (size[class_of] > 1) | edge
+    look, on_edge = order[picked], edge[picked]
+    # Suffixes with the same bytes around them repeat whole; one of each goes on, to be compared with the others.
+    whole = np.empty(len(look), np.int64)
+    at = 0
+    while at < len(look):
+        to = max(at + 1, at + int(np.searchsorted(np.cumsum((offsets[1:] - offsets[:-1])[look[at:at + 8192]]), 1 << 20)))
+        sizes = (offsets[1:] - offsets[:-1])[look[at:to]]
+        begin = np.concatenate([[0], np.cumsum(sizes)])
+        chunk = data[np.repeat(offsets[:-1][look[at:to]], sizes) + ranges(sizes)]
+        got = span_hash(Slice(chunk, begin, 0).prefix(fold=False), begin[:-1], begin[1:])
+        whole[at:to] = (got + lead[look[at:to]].astype(np.uint64)).view(np.int64)
+        at = to
+    _, one, same_as, copies = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+    copied = copies[same_as] > 1
+    if copied.any():
+        row = look[copied]
+        yield _events(SPAN, doc[row], text[row], low[row], low[row] + (offsets[1:] - offsets[:-1])[row], np.zeros(len(row)))
+    look, on_edge, copied = look[one], on_edge[one], copied[one]
     # Hashes of all windows of these suffixes, a stretch at a time.
     n_windows = (offsets[1:] - offsets[:-1])[look] - length + 1
     hashes = np.empty(int(n_windows.sum()), np.int64)
@@ -211,9 +234,10 @@ def bucket(batches, length: int) -> Iterator[pa.RecordBatch]:
     new[1:-1] = ordered[1:] != ordered[:-1]
     repeated = np.zeros(len(by), bool)
     repeated[by] = ~(new[:-1] & new[1:])
+    repeated |= copied[owner]
     new = new[:-1]
     del ordered
-    hit = np.flatnonzero(repeated)
+    hit = np.flatnonzero(repeated & ~copied[owner])  # copied suffixes have had their spans
     if len(hit):
         first = np.ones(len(hit), bool)
         first[1:] = owner[hit][1:] != owner[hit][:-1]
@@ -234,12 +258,12 @@ def repeated_spans(docs: DataFrame, length: int = 400, bucket_suffixes: int = BU
     """(id, text hash, a, b) spans of bytes to remove, overlapping; and (id, text hash, packed) of the texts they may be in."""
     found = materialise(anchor_rows(docs, length), "anchors")
     often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    runs = found.join(often, "gram", "left_semi").groupBy(ID, HASH).agg(F.collect_list(F.struct("place", "low", "high")).alias("runs"))
+    runs = found.join(often, "gram", "left_semi").groupBy(ID, HASH).agg(F.collect_list(F.struct("place", "low", "high", "gram")).alias("runs"))
     touched = materialise(packed_texts(docs).join(runs, [ID, HASH]).select(ID, HASH, "packed", "runs"), "touched")
     suffixes = touched.mapInArrow(lambda b: suffix_rows(b, length), _SUFFIX)
-    leading = F.substring("bytes", F.col("lead") + 1, F.lit(length))
+    leading = F.substring("bytes", F.col("lead") + 1, F.lit(LEADING))
     n = touched.agg(F.sum(F.size("runs"))).first()[0] or 0
-    ranged = suffixes.repartitionByRange(max(1, -(-n // bucket_suffixes)), leading, ID, HASH, "low")
+    ranged = suffixes.repartitionByRange(max(1, -(-n // bucket_suffixes)), leading, "gram", ID, HASH, "low")
     events = materialise(ranged.mapInArrow(lambda b: bucket(b, length), _EVENT), "repeats")
     shared = events.where(F.col("kind") != SPAN).groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     across = events.where(F.col("kind") == WINDOW).join(shared, "window", "left_semi")
@@ -261,6 +285,8 @@ _CUT = f"{ID} BIGINT, {HASH} BIGINT, n_removed BIGINT, n_spans BIGINT, removed A
 
 def cut_texts(docs: DataFrame, length: int = 400, bucket_suffixes: int = BUCKET_SUFFIXES) -> DataFrame:
     """Of the texts that lose bytes: how many, in how many runs, which, and the bytes that remain."""
+    if length < LEADING:
+        raise ValueError(f"strings of {length} bytes: ranges are split by {LEADING}")
     spans, touched = repeated_spans(docs, length, bucket_suffixes)
     per_text = spans.groupBy(ID, HASH).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 

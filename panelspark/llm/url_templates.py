@@ -2,9 +2,11 @@
 
 Level by level, under each (host, template so far), a segment that is one of many rare ones becomes the wildcard
 ``*``; literal branches whose share of blocked pages does not differ from their siblings' (two-proportion test) are
-merged into ``~``; a last ``$`` closes a path.  A template is rejected if its smoothed purity, the blocked share of
-its labelled pages drawn towards the share over all labelled pages, exceeds a half; one with too few labelled pages
-of its own is allowed.  A page's verdict is its longest rule's, else its template's.
+merged into ``~``; a last ``$`` closes a path.  A template is rejected if its purity exceeds a half.  Purity is the
+blocked share of labelled pages, backed off along a chain: all pages, the template's ancestors and the template itself
+over all hosts, the host, the template's ancestors there, the template; each is drawn towards the one before, so one
+without labels has that one's.  Over all hosts a merged branch counts by its segment.  A page's verdict is its longest
+rule's, else its template's.
 
 What is joined back to pages at each level is the list of a node's literal branches, at most ``1 / RARE`` of them, so
 hosts of any size are aggregated and never gathered; a host with a third of all pages is spread by its segments.
@@ -25,7 +27,7 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 DEPTH = 6
 #: A segment is variable if its node has this many different ones or more, and it makes up no more than this share of them.
 MANY, RARE = 8, 0.05
-SAME_Z, SMOOTHING, LEAST_LABELLED, PURITY = 1.96, 4.0, 3, 0.5
+SAME_Z, SMOOTHING, PURITY = 1.96, 4.0, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -75,31 +77,53 @@ def branches(rows: DataFrame, many: int, rare: float, z: float) -> DataFrame:
 
 
 def templates(paths: DataFrame, depth: int = DEPTH, many: int = MANY, rare: float = RARE, z: float = SAME_Z) -> DataFrame:
-    """paths (host, path, n, labelled, blocked) with their template ``node``."""
-    rows = paths.withColumns({"segs": segments(depth), "node": F.lit("")})
+    """paths (host, path, n, labelled, blocked) with their template ``node``, and ``shape``, the same without merging."""
+    rows = paths.withColumns({"segs": segments(depth), "node": F.lit(""), "shape": F.lit("")})
     for level in range(1, depth + 2):
         seg = F.get("segs", F.lit(level - 1))
         inner = rows.withColumn("seg", seg)
         known = branches(inner.where(F.col("seg").isNotNull()), many, rare, z)
         joined = inner.join(known, ["host", "node"], "left")
-        name = (F.when(F.col("seg").isNull(), F.lit(None)).when(F.array_contains("merged", F.col("seg")), F.lit("~"))
-                .when(F.array_contains("kept", F.col("seg")), F.col("seg")).otherwise(F.lit("*")))
-        rows = materialise(joined.withColumn("node", F.concat_ws("/", F.col("node"), name)).select(rows.columns), "url-level")
+        own = F.when(F.col("seg").isNotNull(), F.when(F.array_contains("kept", F.col("seg")), F.col("seg")).otherwise(F.lit("*")))
+        name = F.when(F.array_contains("merged", F.col("seg")), F.lit("~")).otherwise(own)
+        named = joined.withColumns({"node": F.concat_ws("/", F.col("node"), name), "shape": F.concat_ws("/", F.col("shape"), own)})
+        rows = materialise(named.select(rows.columns), "url-level")
     return rows
 
 
+def backed_off(nodes: DataFrame, within: list[str], name: str, depth: int) -> DataFrame:
+    """within, name and purity of nodes (within, name, labelled, blocked, start): ``start`` drawn towards the blocked share
+    of each ancestor in turn, and last of the node itself."""
+    parts = F.split(name, "/", depth + 1)
+    line = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("at"), F.array_join(F.slice(parts, 1, i), "/").alias("above")))
+    lines = nodes.select(*within, name, "labelled", "blocked", "start", F.inline(line))
+    tree = lines.groupBy(*within, "above").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    chains = (lines.drop("labelled", "blocked").join(tree, [*within, "above"]).groupBy(*within, name)
+              .agg(F.first("start").alias("start"), F.sort_array(F.collect_list(F.struct("at", "labelled", "blocked"))).alias("chain")))
+    purity = F.aggregate("chain", F.col("start"), lambda p, c: (c.blocked + SMOOTHING * p) / (c.labelled + SMOOTHING))
+    return chains.select(*within, name, F.round(purity, 9).alias("purity"))
+
+
+def purities(paths: DataFrame, depth: int) -> DataFrame:
+    """host, node and purity of every template of paths."""
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+    leaves = materialise(paths.groupBy("host", "node", "shape").agg(*sums), "url-leaves")
+    prior = leaves.agg((F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0))).alias("prior")).scalar()
+    shapes = leaves.groupBy("shape").agg(*sums[1:]).withColumn("start", F.coalesce(prior, F.lit(0.0)))
+    anywhere = backed_off(materialise(shapes, "url-shapes"), [], "shape", depth).withColumnRenamed("purity", "anywhere")
+    start = (F.sum(F.col("n") * F.col("anywhere")) / F.sum("n")).alias("start")
+    nodes = leaves.join(anywhere, "shape").groupBy("host", "node").agg(*sums[1:], start)
+    return backed_off(materialise(nodes, "url-nodes"), ["host"], "node", depth)
+
+
 def judged(pages: DataFrame, rules=RULES, **options) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of every row of pages."""
     read = read_pages(pages, rules)
     counts = read.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     paths = templates(materialise(counts, "url-paths"), **options)
-    prior = paths.agg((F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0))).alias("prior")).scalar()
-    node = paths.groupBy("host", "node").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    purity = (F.col("blocked") + SMOOTHING * F.coalesce(prior, F.lit(0.0))) / (F.col("labelled") + SMOOTHING)
-    node = node.withColumn("purity", purity)
-    node = node.withColumn("rejected", (F.col("labelled") >= LEAST_LABELLED) & (F.col("purity") > PURITY))
-    by_path = paths.select("host", "path", "node").join(node.select("host", "node", "purity", "rejected"), ["host", "node"])
-    verdict = F.coalesce("ruled", F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow")))
+    node = purities(paths, options.get("depth", DEPTH))
+    by_path = paths.select("host", "path", "node").join(node, ["host", "node"])
+    verdict = F.coalesce("ruled", F.when(F.col("purity") > PURITY, F.lit("block")).otherwise(F.lit("allow")))
     return (read.join(by_path, ["host", "path"], "left")
             .select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("node").alias("template"), "purity"))
 

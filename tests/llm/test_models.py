@@ -165,6 +165,16 @@ def test_template_mostly_blocked_is_rejected(spark):
     assert {(r.template, r.verdict) for r in got} == {("/bad/*/$", "block"), ("/good/*/$", "allow")}
 
 
+def test_unruled_pages_get_both_verdicts(spark):
+    """Under the rules as they are: where a host has labels they decide, else the same path's labels on other hosts."""
+    paths = {"h.example.com": ("en", "de", "es", "fr"), "b.net": ("en", "de", "es", "fr"), "c.org": ("en", "de")}
+    urls = [f"http://{h}/{s}/{i}" for h, own in paths.items() for s in own for i in range(40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id BIGINT, url STRING")
+    got = url_templates.judged(pages).where("rule is null").groupBy("host", "template", "verdict").count().collect()
+    assert {(r.host, r.template): r.verdict for r in got} == {
+        ("b.net", "/en/*/$"): "block", ("b.net", "/de/*/$"): "block", ("c.org", "/en/*/$"): "block", ("c.org", "/de/*/$"): "allow"}
+
+
 def test_crf_gradient_and_best_path():
     rng = np.random.default_rng(8)
     tagger = bilstm_crf.Tagger(3, hidden=3)

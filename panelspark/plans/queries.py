@@ -20,8 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TRADING = BacktestConfig(capital=10_000.0, rebalance="ME", broker=BANK_LOW, max_positions=5)
 CONTEST = ContestConfig(n_entrants=50, horizon=13, k=1, field_k=5, rule="momentum", n_trials=200, lookback=26, seed=41,
                         field_mix=((1, 0.1), (3, 0.4), (5, 0.5)))
-N_RANDOM, N_NAMES = 40, 3
-WF = {"n_folds": 4, "train_months": 24, "test_months": 6, "holdout_months": 12}
+N_RANDOM, N_NAMES = 200, 3
+WF = {"n_folds": 5, "train_months": 24, "test_months": 6, "holdout_months": 12}
 GAP_DAYS, MIN_BARS = tables.WEEKLY_GAP_DAYS, 290
 
 

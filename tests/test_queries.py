@@ -26,6 +26,11 @@ def test_against_sql(spark, con, name):
     assert not differences(got, con.execute(ORACLES[name]).fetchdf())
 
 
+def test_trials_and_folds_are_all_there(spark):
+    assert QUERIES["random_trials"](spark, SF).count() == 200
+    assert QUERIES["wf_splits"](spark, SF).count() == 5
+
+
 def test_entry(spark):
     import __spark_entry__
 

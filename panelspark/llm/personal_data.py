@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and a character tagger (BiLSTM with a CRF) that adds what looks like them.
 
-Labelled spans are the patterns' own matches in a bounded sample of rows (at most about ``SAMPLE_ROWS``, by
-hash of the row); the tagger is trained on windows around them and elsewhere, and goes to the tasks by value (a
-few thousand numbers).  Every whole text is then tagged in overlapping windows; where two overlap, each has
+Labelled spans are the patterns' own matches in whole texts of about ``SAMPLE_ROWS`` of the rows that hold a digit or
+@, or of all if there are fewer, by hash of the row; of the windows around them and elsewhere, which tasks cut, those of
+the smallest hashes train the tagger (``QUOTAS``, the one bound on what reaches the driver).  The tagger goes to the
+tasks by value (a few thousand numbers).  Every whole text is then tagged in overlapping windows; where two overlap, each has
 the half away from its edge, and spans are read off the text's joined tags.  A span that the patterns have not
 touched is added if it holds what its kind needs (see ``plausible``).
 
@@ -24,10 +25,15 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.bilstm_crf import PAD, Tagger, symbols
 from panelspark.llm.textbytes import Slice, frames, ranges
+from panelspark.scratch import materialise
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS = 20_000
 TRAIN_WINDOWS, TRAIN_STEPS = 2_400, 96
+#: Windows of each kind, and of places that no pattern touches.
+QUOTAS = (*[TRAIN_WINDOWS // 8] * len(KINDS), TRAIN_WINDOWS // 2)
+#: Windows cut around a place, each at an offset of its own.
+CUTS = 3
 WINDOW, OVERLAP, BATCH = 256, 32, 2048
 _PATTERNS = (
     re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -92,45 +98,63 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def training_windows(texts: list[str], seed: int = 17) -> tuple[np.ndarray, np.ndarray] | None:
-    """Symbols and tags (windows, steps): around labelled spans at chance places, and as many elsewhere."""
-    rng = np.random.default_rng(seed)
-    coded, spots, others = [], [], []
-    for t in texts:
-        spans = base_spans(t)
-        codes = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-        tags = np.zeros(len(codes), np.uint8)
-        for a, k, b in reversed(spans):  # the kind listed first wins where two overlap
-            tags[a:b] = k + 1
-        n = len(coded)
-        coded.append((symbols(codes), tags))
-        spots += [(n, a, b, k) for a, k, b in spans]
-        others += [(n, m.start(), m.end(), -1) for m in re.finditer(r"[0-9][0-9 .()-]{2,}", t) if not tags[m.start():m.end()].any()]
-        others.append((n, int(rng.integers(0, max(1, len(codes)))), 0, -1))
-    if not spots:
+def training_windows(text: str, seed: int = 17) -> list[tuple[int, int, bytes, bytes]]:
+    """(kind, key, symbols, tags) of windows around a text's labelled spans, and elsewhere; those of the smallest keys."""
+    rng = np.random.default_rng([seed, int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big")])
+    spans = base_spans(text)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    sym, tags = symbols(codes), np.zeros(len(codes), np.uint8)
+    for a, k, b in reversed(spans):  # the kind listed first wins where two overlap
+        tags[a:b] = k + 1
+    spots = [(a, k) for a, k, _ in spans]
+    spots += [(m.start(), len(KINDS)) for m in re.finditer(r"[0-9][0-9 .()-]{2,}", text) if not tags[m.start():m.end()].any()]
+    spots.append((int(rng.integers(0, max(1, len(codes)))), len(KINDS)))
+    place, kind = np.repeat(np.array(spots, np.int64), CUTS, axis=0).T
+    keys, back = rng.integers(0, 2**63 - 1, len(place)), rng.integers(0, TRAIN_STEPS - 30, len(place))
+    out = []
+    for k, quota in enumerate(QUOTAS):
+        own = np.flatnonzero(kind == k)
+        for i in own[np.argsort(keys[own])[:quota]]:
+            at = max(0, min(int(place[i] - back[i]), len(sym) - TRAIN_STEPS))
+            x, y = np.full(TRAIN_STEPS, PAD, np.uint8), np.zeros(TRAIN_STEPS, np.uint8)
+            part = slice(at, at + TRAIN_STEPS)
+            x[:len(sym[part])], y[:len(sym[part])] = sym[part], tags[part]
+            out.append((k, int(keys[i]), x.tobytes(), y.tobytes()))
+    return out
+
+
+_WINDOWS = "kind INT, key BIGINT, x BINARY, y BINARY"
+
+
+def cut_windows(batches) -> Iterator[pa.RecordBatch]:
+    """A task's training windows of the smallest keys, at most ``QUOTAS`` of them."""
+    best: list[list] = [[] for _ in QUOTAS]
+    for _, part in frames(batches):
+        for i in range(len(part)):
+            for window in training_windows(part.text(i).decode("utf-8", "replace")):
+                best[window[0]].append(window)
+            best = [sorted(set(b))[:q] if len(b) > 4 * q else b for b, q in zip(best, QUOTAS)]
+    rows = [w for b, q in zip(best, QUOTAS) for w in sorted(set(b))[:q]]
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array([w[c] for w in rows], t) for c, t in enumerate(kinds)], names=[c.split()[0] for c in _WINDOWS.split(", ")])
+
+
+def training_set(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray] | None:
+    """Symbols and tags (windows, steps), as many as ``QUOTAS`` of each kind that docs hold; None without labelled spans."""
+    marked = docs.select(F.col("doc_id").cast("bigint"), "text").where(F.col("text").rlike("[0-9@]"))
+    cut = int(min(1.0, sample_rows / max(1, marked.count())) * 2**63)
+    chosen = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) <= F.lit(min(cut, 2**63 - 1))
+    windows = materialise(marked.where(chosen).mapInArrow(cut_windows, _WINDOWS).dropDuplicates(["kind", "key"]), "windows")
+    drawn = [windows.where(F.col("kind") == k).orderBy("key").limit(q).collect() for k, q in enumerate(QUOTAS)]
+    if not any(drawn[:-1]):
         return None
-    by_kind = [[s for s in spots if s[3] == k] for k in range(4)]
-    chosen = [some[i] for some in by_kind if some for i in rng.integers(0, len(some), TRAIN_WINDOWS // 8)]
-    chosen += [others[i] for i in rng.integers(0, len(others), TRAIN_WINDOWS // 2)]
-    x = np.full((len(chosen), TRAIN_STEPS), PAD, np.uint8)
-    y = np.zeros((len(chosen), TRAIN_STEPS), np.uint8)
-    for i, (n, a, _, _) in enumerate(chosen):
-        sym, tags = coded[n]
-        at = max(0, min(a - int(rng.integers(0, TRAIN_STEPS - 30)), len(sym) - TRAIN_STEPS))
-        own = slice(at, at + TRAIN_STEPS)
-        x[i, :len(sym[own])], y[i, :len(sym[own])] = sym[own], tags[own]
-    return x, y
+    rows = [own[i % len(own)] for own, q in zip(drawn, QUOTAS) if own for i in range(q)]
+    return tuple(np.frombuffer(b"".join(bytes(r[c]) for r in rows), np.uint8).reshape(-1, TRAIN_STEPS) for c in ("x", "y"))
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Tagger | None:
     """A tagger trained on the labelled spans of a sample that doesn't grow with docs; None if it has none."""
-    rows = docs.count()
-    share = min(1.0, sample_rows / max(1, rows))
-    cut = int(share * 2**63)
-    chosen = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("text")), 1) < F.lit(min(cut, 2**63 - 1))
-    sample = docs.select("doc_id", "text").where(chosen & F.col("text").rlike("[0-9@]")).select("text")
-    texts = sorted(r[0][:20_000] for r in sample.limit(sample_rows // 4).collect())
-    windows = training_windows(texts)
+    windows = training_set(docs, sample_rows)
     if windows is None:
         return None
     tagger = Tagger(len(KINDS) + 1)

@@ -243,6 +243,18 @@ def test_personal_data(docs_of):
     assert personal_data.personal_spans(docs_of([])).count() == 0
 
 
+def test_tagger_learns_from_all_files_and_whole_texts(docs_of):
+    """Phones only in the last file's rows and behind 20,000 characters, more marked rows before them than a quarter of the sample."""
+    rows = labelled_rows(400)
+    first = [(i, t) for i, t in rows if "+1 (" not in t]
+    last = [(i, "word " * 4_100 + t) for i, t in rows if "+1 (" in t]
+    docs = docs_of(first, 1).union(docs_of(last, 1))
+    tagger = personal_data.train(docs, 4 * len(first))
+    fresh = [t.replace("+1 (", "(") for _, t in labelled_rows(800)[400:] if "+1 (" in t]
+    found = personal_data.personal_spans(docs_of(list(enumerate(fresh))), tagger).collect()
+    assert sum("phone:" in r.spans for r in found) >= len(fresh) // 4
+
+
 def test_windows_join_to_the_text():
     """A tagger that marks digits: joined tags are the same as over the whole text."""
     class Digits:

@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import bars, days, ramp
+from panels import bars, days, ramp
 from pyspark.sql import functions as F
 
 from panelspark.operators import quality, reconcile, repair, universe
@@ -252,7 +252,7 @@ def test_clean_panel_without_arrival_order(spark):
 
 
 def test_repair_with_an_empty_record_lets_the_detector_decide(spark):
-    from conftest import bars
+    from panels import bars
     from panelspark.operators import repair
 
     level = [10.0 + 0.01 * (i % 5) for i in range(80)]

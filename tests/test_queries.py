@@ -1,7 +1,7 @@
 """Every registered query against its SQL on the small tables, plus the streaming twins."""
 
 import pytest
-from conftest import SF
+from panels import SF
 from oracle_check import connection, differences
 
 from panelspark.plans.oracle import ORACLES
@@ -38,7 +38,7 @@ def test_entry(spark):
 
 
 def test_streamed_upsert_replaces_and_keeps_other_years(spark, tmp_path):
-    from conftest import bars
+    from panels import bars
     from panelspark.schemas import BARS
 
     src = tmp_path / "in"

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import bars, days, ramp
+from panels import bars, days, ramp
 from pyspark.sql import functions as F
 
 from panelspark.operators import backtest, baselines, baserates, calendar, concentration, factors, metrics, walkforward
@@ -293,7 +293,7 @@ def test_custom_signal(spark):
 
 @pytest.mark.parametrize("name", ["screened", "top_n_signal", "base_rates", "split_detect", "leaderboard"])
 def test_plans_have_no_cross_join_and_prune_columns(spark, name):
-    from conftest import SF
+    from panels import SF
     from panelspark.plans.queries import QUERIES
 
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

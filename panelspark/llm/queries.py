@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import (decontaminate, interpolation_lm, line_dedup, ngram_join, packing, personal_data, quality_rules,
+from panelspark.llm import (byte_bpe, decontaminate, interpolation_lm, line_dedup, ngram_join, packing, personal_data, quality_rules,
                             secret_scan, suffix_dedup, url_templates)
 from panelspark.llm.ship import ship
 
@@ -66,6 +66,17 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.class_digest(table(spark, sf_dir, "documents"))
 
 
+def bpe_files() -> tuple[str, str]:
+    """The rank file and the pattern of pre-tokens: ``BPE_RANKS`` and the public package's."""
+    import public_tokenizers
+
+    return os.environ.get("BPE_RANKS") or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.bpe_digest(table(spark, sf_dir, "documents"), *bpe_files())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_interpolation_lm, op2_secret_scan, op3_quality_rules, op4_url_templates, op5_decontamination, op6_suffix_dedup,
-                            op7_packing, op8_personal_data, op9_line_dedup, op10_ngram_join)}
+                            op7_packing, op8_personal_data, op9_line_dedup, op10_ngram_join, op13_byte_bpe)}

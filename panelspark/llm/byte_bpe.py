@@ -34,9 +34,9 @@ from panelspark.llm.rows import parts
 from panelspark.llm.textbytes import give_back
 from panelspark.scratch import scratch_path
 
-BLOCK_BYTES = 12 << 20
-RANGE_WORDS = 400_000
-DECODE_IDS = 1 << 21
+BLOCK_BYTES = 8 << 20
+RANGE_WORDS = 200_000
+DECODE_IDS = 1 << 20
 
 _BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("seq", pa.binary()),
                     ("words", pa.binary()), ("words_bytes", pa.int64()), ("n_words", pa.int32())])
@@ -259,8 +259,12 @@ def _encoded_words(path: str):
     return encode
 
 
-def _assembled(n: int):
-    """One block and its answers: ids at their positions, a row for each document."""
+def _id_rows(doc_ids: list, ids: list[np.ndarray]) -> pa.Table:
+    return pa.table([pa.array(doc_ids, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], schema=_IDS)
+
+
+def _assembled(n: int, rows):
+    """One block and its answers: ids at their positions, handed to ``rows`` with their documents."""
 
     def assemble(block: pa.Table, answers: pa.Table) -> pa.Table:
         (row,) = block.to_pylist()
@@ -294,14 +298,15 @@ def _assembled(n: int):
             ends = np.cumsum(size)
             total = int(ends[-1]) if count else 0
             places = np.arange(total) + np.repeat(begins[own] - ends + size, size)
-            out.append(flat[places].tobytes())
-        return pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], schema=_IDS)
+            out.append(flat[places])
+        table = rows(row["doc_ids"], out)
+        give_back()
+        return table
 
     return assemble
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES, range_words: int = RANGE_WORDS) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every row of docs."""
+def _encoded(docs: DataFrame, path: str, pattern: str, block_bytes: int, range_words: int, rows, schema: str) -> DataFrame:
     spark = docs.sparkSession
     blocks = _stored_by_block(word_blocks(docs, pattern, block_bytes))
     entries = blocks.agg(F.sum("n_words")).first()[0] or 0
@@ -309,8 +314,12 @@ def encoded(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_B
     asked = blocks.select("block", "words", "words_bytes", "n_words").mapInArrow(_asked(n), _ASK)
     answers = asked.repartition(parts(spark), "part").sortWithinPartitions("part").mapInArrow(_encoded_words(path), _ANSWER)
     # A block without a word, of empty texts alone, has no answers: the blocks decide which groups there are.
-    return (blocks.groupBy("block").cogroup(answers.groupBy("block"))
-            .applyInArrow(_assembled(n), "doc_id BIGINT, n_tokens BIGINT, ids BINARY"))
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_assembled(n, rows), schema)
+
+
+def encoded(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES, range_words: int = RANGE_WORDS) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every row of docs."""
+    return _encoded(docs, path, pattern, block_bytes, range_words, _id_rows, "doc_id BIGINT, n_tokens BIGINT, ids BINARY")
 
 
 def token_table(spark: SparkSession, path: str) -> DataFrame:
@@ -324,35 +333,40 @@ _PLACED_ARROW = pa.schema([("token", pa.int64()), ("at", pa.binary()), ("doc_ids
 _DECODED = "doc_id BIGINT, n_tokens BIGINT, ids_sha256 STRING, text BINARY"
 
 
-def _runs(batch: pa.RecordBatch) -> Iterable[tuple[list, list[np.ndarray]]]:
-    """Rows of a batch, in runs of bounded size."""
-    doc_ids, ids, size = [], [], 0
-    for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-        own = np.frombuffer(value.as_py() or b"", "<u4")
-        doc_ids.append(doc_id)
-        ids.append(own)
-        size += len(own)
+def _runs(doc_ids: list, ids: Iterable[np.ndarray]) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """Documents in runs of a bounded number of ids."""
+    run, own, size = [], [], 0
+    for doc_id, value in zip(doc_ids, ids):
+        run.append(doc_id)
+        own.append(value)
+        size += len(value)
         if size >= DECODE_IDS:
-            yield doc_ids, ids
-            doc_ids, ids, size = [], [], 0
-    if doc_ids:
-        yield doc_ids, ids
+            yield run, own
+            run, own, size = [], [], 0
+    if run:
+        yield run, own
+
+
+def _placed(doc_ids: list, ids: Iterable[np.ndarray]) -> pa.Table:
+    """Each run: a row that tells its documents, then one row for each distinct id with the positions where it stands."""
+    out = []
+    for run, own in _runs(doc_ids, ids):
+        flat = np.concatenate([np.empty(0, "<u4"), *own])
+        order = np.argsort(flat.astype(np.uint16) if len(flat) and flat.max() < 1 << 16 else flat, kind="stable").astype("<u4")
+        cuts = np.flatnonzero(np.diff(flat[order].astype(np.int64), prepend=-1))
+        tokens = [None, *flat[order[cuts]].tolist()]
+        at = [None, *(part.tobytes() for part in np.split(order, cuts[1:]) if len(part))]
+        n = len(tokens) - 1
+        out.append(pa.RecordBatch.from_arrays(
+            [pa.array(tokens, pa.int64()), pa.array(at, pa.binary()), pa.array([run] + [None] * n, pa.list_(pa.int64())),
+             pa.array([[len(x) for x in own]] + [None] * n, pa.list_(pa.int64())),
+             pa.array([[hashlib.sha256(x.tobytes()).hexdigest() for x in own]] + [None] * n, pa.list_(pa.string()))], schema=_PLACED_ARROW))
+    return pa.Table.from_batches(out, _PLACED_ARROW)
 
 
 def _explode_ids(batches) -> Iterator[pa.RecordBatch]:
-    """A row that tells the documents of a run, then one row for each distinct id with the positions where it stands."""
     for batch in batches:
-        for doc_ids, ids in _runs(batch):
-            flat = np.concatenate([np.empty(0, "<u4"), *ids])
-            order = np.argsort(flat.astype(np.uint16) if len(flat) and flat.max() < 1 << 16 else flat, kind="stable").astype("<u4")
-            cuts = np.flatnonzero(np.diff(flat[order].astype(np.int64), prepend=-1))
-            tokens = [None, *flat[order[cuts]].tolist()]
-            at = [None, *(own.tobytes() for own in np.split(order, cuts[1:]) if len(own))]
-            n = len(tokens) - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens, pa.int64()), pa.array(at, pa.binary()), pa.array([doc_ids] + [None] * n, pa.list_(pa.int64())),
-                 pa.array([[len(x) for x in ids]] + [None] * n, pa.list_(pa.int64())),
-                 pa.array([[hashlib.sha256(x.tobytes()).hexdigest() for x in ids]] + [None] * n, pa.list_(pa.string()))], schema=_PLACED_ARROW)
+        yield from _placed(batch.column(0).to_pylist(), (np.frombuffer(v.as_py() or b"", "<u4") for v in batch.column(1))).to_batches()
     give_back()
 
 
@@ -393,14 +407,18 @@ def _reassemble(digest: bool):
     return texts
 
 
+def _joined(exploded: DataFrame, path: str, digest: bool) -> DataFrame:
+    joined = exploded.join(F.broadcast(token_table(exploded.sparkSession, path)), "token", "left")
+    return joined.select("at", "doc_ids", "counts", "ids_sha256", "bytes", "token").mapInArrow(_reassemble(digest), _DECODED)
+
+
 def decoded(ids: DataFrame, path: str, digest: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and text (bytes; with ``digest`` their SHA-256) of rows (doc_id, ids)."""
-    exploded = ids.select("doc_id", "ids").mapInArrow(_explode_ids, _PLACED)
-    joined = exploded.join(F.broadcast(token_table(ids.sparkSession, path)), "token", "left")
-    return joined.select("at", "doc_ids", "counts", "ids_sha256", "bytes", "token").mapInArrow(_reassemble(digest), _DECODED)
+    return _joined(ids.select("doc_id", "ids").mapInArrow(_explode_ids, _PLACED), path, digest)
 
 
 def bpe_digest(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES, range_words: int = RANGE_WORDS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs: encoded, then decoded from the ids."""
-    back = decoded(encoded(docs, path, pattern, block_bytes, range_words), path, digest=True)
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of docs: encoded, then decoded from the ids, which
+    blocks hand over exploded."""
+    back = _joined(_encoded(docs, path, pattern, block_bytes, range_words, _placed, _PLACED), path, True)
     return back.select("doc_id", "n_tokens", "ids_sha256", F.col("text").cast("string").alias("decoded_sha256"))

@@ -40,3 +40,62 @@ FROM m GROUP BY doc_id
 ORACLES["op9_line_dedup"] = OP9
 
 # Exact near-duplicate groups by a walk over all linked texts: too slow for SQL on whole tables (brute force in tests).
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a short ASCII string: -1 shifts by a bit, other numbers are bytes to take in."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: list_value(ord(substr({text}, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1)))"
+    return (f"xor(4294967295, list_reduce(list_concat(list_value(4294967295), {steps}), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) "
+            "WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))")
+
+
+def _field(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({column}::VARCHAR) || ':' || {column}::VARCHAR END"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _levels(name: str, tree: str, count: int) -> str:
+    """Nodes of each level above the table ``name``0 (tree, i, h, n), and the runs that they stand for."""
+    out = []
+    for k in range(count):
+        out.append(f"""{name}r{k} AS (SELECT {tree}, i // 16 AS i, any_value(n) AS n, list(h ORDER BY i) AS run FROM {name}{k} GROUP BY {tree}, i // 16),
+{name}{k + 1} AS (SELECT {tree}, i, CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS h, (n + 15) // 16 AS n FROM {name}r{k})""")
+    return ",\n".join(out)
+
+
+def _proof(levels: list[tuple[str, str, str]]) -> str:
+    """CTEs p0 .. pk that walk up the runs: siblings so far, and the digest folded from the leaf."""
+    out = []
+    for k, (runs, tree, place) in enumerate(levels):
+        at = f"(({place}) % 16)"
+        others = f"array_to_string(list_concat(r.run[1:{at}], r.run[{at} + 2:]), '')"
+        folded = f"sha256(array_to_string(list_concat(r.run[1:{at}], list_value(p.folded), r.run[{at} + 2:]), ''))"
+        out.append(f"""p{k + 1} AS (SELECT p.* EXCLUDE (sib, folded), CASE WHEN r.n > 1 THEN p.sib || {others} ELSE p.sib END AS sib,
+CASE WHEN r.n > 1 THEN {folded} ELSE p.folded END AS folded FROM p{k} p JOIN {runs} r ON {tree} AND r.i = ({place}) // 16)""")
+    return ",\n".join(out)
+
+
+_LEAF_LEVELS, _SOURCE_LEVELS = 8, 5  # 16 to the power of these: more leaves and sources than any table here has
+
+OP11 = f"""
+WITH leaves AS (SELECT doc_id, coalesce('s' || source, '') AS src, {_leaf("text")} AS leaf,
+                CASE WHEN coalesce({_crc32("coalesce(doc_id, 0)::VARCHAR")} % 5 = 0 AND doc_id IS NOT NULL, false)
+                THEN {_leaf(_LOWER.format("text"))} ELSE {_leaf("text")} END AS changed FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY src) AS n FROM leaves),
+a0 AS (SELECT src, i, leaf AS h, n FROM placed),
+{_levels("a", "src", _LEAF_LEVELS)},
+subroots AS (SELECT src, h, row_number() OVER (ORDER BY src) - 1 AS i, count(*) OVER () AS n FROM a{_LEAF_LEVELS}),
+b0 AS (SELECT 0 AS one, i, h, n FROM subroots),
+{_levels("b", "one", _SOURCE_LEVELS)},
+p0 AS (SELECT placed.doc_id, placed.src, placed.i, placed.leaf, s.h AS subroot, s.i AS j, '' AS sib, placed.changed AS folded
+       FROM placed JOIN subroots s ON placed.src = s.src),
+{_proof([(f"ar{k}", "r.src = p.src", f"p.i // {16 ** k}") for k in range(_LEAF_LEVELS)]
+        + [(f"br{k}", "r.one = 0", f"p.j // {16 ** k}") for k in range(_SOURCE_LEVELS)])}
+SELECT doc_id, leaf, subroot, b.h AS root, sha256(sib) AS proof_sha256, folded AS folded_root, folded = b.h AS verified
+FROM p{_LEAF_LEVELS + _SOURCE_LEVELS}, b{_SOURCE_LEVELS} b
+"""
+
+ORACLES["op11_merkle"] = OP11

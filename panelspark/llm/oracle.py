@@ -99,3 +99,51 @@ FROM p{_LEAF_LEVELS + _SOURCE_LEVELS}, b{_SOURCE_LEVELS} b
 """
 
 ORACLES["op11_merkle"] = OP11
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _edit(state: int, cost: str, edit: str) -> str:
+    return f"{{'c': st[{state}].c + ({cost}), 'e': st[{state}].e || {edit}}}"
+
+
+# States of the grammar: 1 nothing yet, 2 after s, 3 after u, 4 after a; each the cheapest cost and its ASCII-least audit.
+_EXTRA = "CASE r.f WHEN 'truncated' THEN 3 WHEN 'gone' THEN 100000000 ELSE 0 END"
+_AS = {role: (f"{_EXTRA} + CASE WHEN r.i = '{role}' THEN 0 ELSE 3 END", f"CASE WHEN r.i = '{role}' THEN 'K' ELSE 'R' END") for role in "ua"}
+_SYSTEM_KEPT = f"{_EXTRA} + CASE WHEN r.i = 's' THEN 0 ELSE 100000000 END"
+_INSERTS = f"[st[1], st[2], {_least('st[3]', *(_edit(k, '3', repr('I')) for k in (1, 2, 4)))}, {_least('st[4]', _edit(3, '3', repr('I')), *(_edit(k, '6', repr('II')) for k in (1, 2)))}]"
+_TURN = (f"[{_edit(1, '4', repr('D'))}, {_least(_edit(2, '4', repr('D')), _edit(1, _SYSTEM_KEPT, repr('K')))}, "
+         f"{_least(_edit(3, '4', repr('D')), *(_edit(k, *_AS['u']) for k in (1, 2, 4)))}, {_least(_edit(4, '4', repr('D')), _edit(3, *_AS['a']))}]")
+
+OP12 = f"""
+WITH c AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+      CASE WHEN code = 1 THEN '' WHEN code = 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+      unnest(range(CASE WHEN code = 3 THEN 2 ELSE 1 END)) AS copy
+      FROM (SELECT *, {_crc32("k")} % 20 AS code FROM c) WHERE code <> 0),
+o AS (SELECT coalesce(conv_id::VARCHAR, '') AS ck, turn, role, text, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t,
+      sha256(length(role) || ':' || role || text) AS h, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS rn FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY ck, h ORDER BY rn) AS nth, substr(role, 1, 1) AS i FROM o),
+f AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN substr(t, -1, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+      lag(i) OVER (PARTITION BY ck ORDER BY rn) || i NOT IN ('su', 'ua', 'au') AS bad FROM n),
+s AS (SELECT ck, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank')::BIGINT AS blank,
+      count(*) FILTER (fault = 'duplicate')::BIGINT AS duplicate, count(*) FILTER (fault = 'truncated')::BIGINT AS truncated, count(*) FILTER (bad)::BIGINT AS illegal,
+      list({{'i': i, 'f': CASE WHEN fault IN ('blank', 'duplicate') THEN 'gone' ELSE fault END}} ORDER BY rn) AS turns FROM f GROUP BY ck),
+w AS (SELECT * EXCLUDE (turns), list_reduce(list_concat(flatten(list_transform(turns, lambda t: [{{'i': '', 'f': 'insert'}}, t])), [{{'i': '', 'f': 'insert'}}]),
+      lambda st, r: CASE WHEN r.f = 'insert' THEN {_INSERTS} ELSE {_TURN} END,
+      [{{'c': 0::BIGINT, 'e': ''}}, {{'c': 100000000::BIGINT, 'e': ''}}, {{'c': 100000000::BIGINT, 'e': ''}}, {{'c': 100000000::BIGINT, 'e': ''}}]) AS st FROM s),
+b AS (SELECT * EXCLUDE (st), {_least("st[1]", "st[4]")} AS best FROM w),
+e AS (SELECT ck, idx, substr(best.e, idx, 1) AS e FROM (SELECT ck, best, unnest(range(1, length(best.e) + 1)) AS idx FROM b)),
+p AS (SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY ck ORDER BY idx) AS rn, count(*) FILTER (e <> 'D') OVER (PARTITION BY ck ORDER BY idx)
+      - (count(*) FILTER (e <> 'D') OVER (PARTITION BY ck)) % 2 AS place FROM e),
+r AS (SELECT p.ck, string_agg(CASE WHEN e = 'K' THEN f.role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE f.text END,
+      chr(10) ORDER BY idx) AS whole FROM p LEFT JOIN f ON p.ck = f.ck AND p.rn = f.rn WHERE e <> 'D' GROUP BY p.ck),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.e, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM ids LEFT JOIN b ON coalesce(conv_id::VARCHAR, '') = b.ck LEFT JOIN r ON b.ck = r.ck
+"""
+
+ORACLES["op12_conversation_repair"] = OP12

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import (byte_bpe, decontaminate, interpolation_lm, line_dedup, merkle, ngram_join, packing, personal_data, quality_rules,
+from panelspark.llm import (byte_bpe, conversation_repair, decontaminate, interpolation_lm, line_dedup, merkle, ngram_join, packing, personal_data, quality_rules,
                             secret_scan, suffix_dedup, url_templates)
 from panelspark.llm.ship import ship
 
@@ -70,6 +70,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.merkle_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.conversation_digest(table(spark, sf_dir, "conversations"))
+
+
 def bpe_files() -> tuple[str, str]:
     """The rank file and the pattern of pre-tokens: ``BPE_RANKS`` and the public package's."""
     import public_tokenizers
@@ -83,4 +87,5 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_interpolation_lm, op2_secret_scan, op3_quality_rules, op4_url_templates, op5_decontamination, op6_suffix_dedup,
-                            op7_packing, op8_personal_data, op9_line_dedup, op10_ngram_join, op11_merkle, op13_byte_bpe)}
+                            op7_packing, op8_personal_data, op9_line_dedup, op10_ngram_join, op11_merkle, op12_conversation_repair,
+                            op13_byte_bpe)}

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.functions.prices import by_ticker, row_return
 from panelspark.operators.quality import bad_brackets, is_true, not_positive
+from panelspark.operators.timejoin import within_days
 from panelspark.schemas import PRICE_COLUMNS
 from panelspark.scratch import materialise
 
@@ -61,7 +62,7 @@ def locate_recorded_splits(panel: DataFrame, events: DataFrame, tol: float = 0.3
     ev = clean_events(events).select(
         "ticker", "recorded_date", "value", ratio.alias("ratio"),
         F.when(F.col("value") > 1.0, -(1.0 - 1.0 / ratio)).otherwise(ratio - 1.0).alias("expected_step"))
-    near = bars.join(ev, "ticker").filter(F.abs(F.date_diff("date", "recorded_date")) <= CONFIRM_DAYS)
+    near = within_days(bars, ev, "ticker", "date", "recorded_date", CONFIRM_DAYS)
     gap = F.abs(F.col("adj_ret") - F.col("expected_step"))
     best = near.groupBy("ticker", "recorded_date", "value", "ratio", "expected_step").agg(
         F.min(F.struct(gap.alias("gap"), "date", "adj_ret")).alias("b"))
@@ -100,19 +101,17 @@ def detect_splits(panel: DataFrame, events: DataFrame | None = None, recorded: C
     if events is None:
         return big.select("*", F.lit(False).alias("confirmed"), F.lit(None).cast("double").alias("recorded_ratio"),
                           gates.alias("is_split"))
-    # one row per ticker with its distinct actions, so a candidate joins once and keeps its row
-    ev = clean_events(events).groupBy("ticker").agg(F.collect_list(F.struct(
-        "recorded_date", _ratio(F.col("value")).alias("implied"), "value")).alias("_ev"))
-
-    def fits(e: Column) -> Column:
-        return ((F.abs(F.date_diff(e["recorded_date"], "date")) <= CONFIRM_DAYS)
-                & F.when(e["value"] > 1.0, F.col("move") < 0).otherwise(F.col("move") > 0)
-                & (F.abs(F.col("ratio") - e["implied"]) / e["implied"] < RATIO_TOL))
-
-    matched = big.join(ev, "ticker", "left").withColumn("_m", F.array_min(F.filter("_ev", fits)))
+    # a step meets the actions near it, whatever their number; its rows are joined back by what decides the match
+    step = ["ticker", "date", "move", "ratio"]
+    ev = clean_events(events).select("ticker", "recorded_date", "value", _ratio(F.col("value")).alias("implied"))
+    fits = (F.when(F.col("value") > 1.0, F.col("move") < 0).otherwise(F.col("move") > 0)
+            & (F.abs(F.col("ratio") - F.col("implied")) / F.col("implied") < RATIO_TOL))
+    matched = (within_days(big.select(*step).distinct(), ev, "ticker", "date", "recorded_date", CONFIRM_DAYS).filter(fits)
+               .groupBy(*step).agg(F.min(F.struct("recorded_date", "implied", "value")).alias("_m")).drop("ratio"))
+    out = big.join(matched, ["ticker", "date", "move"], "left")
     confirmed = F.col("_m.implied").isNotNull()
-    return matched.select(*big.columns, confirmed.alias("confirmed"), F.col("_m.implied").alias("recorded_ratio"),
-                          (gates & (confirmed if recorded is None else confirmed | ~recorded)).alias("is_split"))
+    return out.select(*big.columns, confirmed.alias("confirmed"), F.col("_m.implied").alias("recorded_ratio"),
+                      (gates & (confirmed if recorded is None else confirmed | ~recorded)).alias("is_split"))
 
 
 def apply_split_adjustment(panel: DataFrame, splits: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.operators.quality import bad_brackets, has_missing, not_positive
@@ -27,52 +29,88 @@ def ticks_stream(spark: SparkSession, sf_dir: str, late: str | None = None) -> D
 def upsert_batches(bars: DataFrame, path: str, checkpoint: str, spark: SparkSession):
     """Merge each micro-batch into a table partitioned by year; only touched years are rewritten.
 
-    Every batch writes a new version folder per year and reads the newest one, so
-    a batch retried after a failure finds its own output and repeats it.
+    Every attempt at a batch writes a version folder of its own; a manifest that names the finished version of each year is
+    written last and appears whole.  Readers follow the newest manifest, so a batch that dies half way leaves the table as it
+    was, and a batch repeated after it was committed changes nothing.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        fresh = materialise(batch.select(*BAR_COLUMNS).withColumn("year", F.year("date")), "batch")
         session = batch.sparkSession
+        held = _manifests(session, path)
+        if batch_id in held:
+            return
+        fresh = materialise(batch.select(*BAR_COLUMNS).withColumn("year", F.year("date")), "batch")
         years = [r.year for r in fresh.select("year").distinct().collect()]  # one value per touched year
-        held = read_upserted(session, path, before=batch_id)
-        merged = upsert_fresh_wins(held.filter(F.year("date").isin(years)), fresh.drop("year"))
-        (merged.withColumn("year", F.year("date")).withColumn("batch", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "year").parquet(path))
-        drop_superseded(session, path, batch_id)
+        last = _read_manifest(session, path, max(held)) if held else {}
+        before = _read_versions(session, path, {y: v for y, v in last.items() if int(y) in years})
+        version = f"version={batch_id}-{uuid.uuid4().hex}"
+        (upsert_fresh_wins(before, fresh.drop("year")).withColumn("year", F.year("date")).repartition("year", F.pmod(F.hash("ticker"), F.lit(8)))
+         .write.partitionBy("year").parquet(f"{path}/{version}"))
+        _commit(session, path, batch_id, last | {str(y): version for y in years})
+        _drop_superseded(session, path, batch_id)
 
     return (bars.writeStream.outputMode("update").foreachBatch(merge)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def read_upserted(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The newest version of every year, optionally as of before a batch; empty before the first one."""
-    schema = f"{BARS}, batch INT, year INT"
-    try:
-        stored = spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:  # first batch: nothing written yet
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        stored = spark.createDataFrame([], schema)
-    if before is not None:
-        stored = stored.filter(F.col("batch") < before)
-    newest = stored.groupBy("year").agg(F.max("batch").alias("batch"))
-    return stored.join(newest, ["year", "batch"], "left_semi").select(*BAR_COLUMNS)
-
-
-def drop_superseded(spark: SparkSession, path: str, batch_id: int) -> None:
-    """Remove versions that a finished batch has replaced, but for the one before it, which a retry would read."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions: dict[str, list] = {}
-    for s in files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "batch=*/year=*")) or []:  # one folder a year and version
-        batch = int(s.getPath().getParent().getName().split("=")[1])
-        versions.setdefault(s.getPath().getName(), []).append((batch, s.getPath()))
-    for held in versions.values():
-        older = sorted((v for v in held if v[0] < batch_id), key=lambda v: v[0])
-        for _, folder in older[:-1]:
-            files.delete(folder, True)
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a function that names paths below it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), lambda *names: hadoop.Path("/".join([path, *names]))
+
+
+def _manifests(spark: SparkSession, path: str) -> list[int]:
+    """The batches that are committed: two at most are kept, and one may be under way."""
+    files, at = _files(spark, path)
+    return sorted(int(s.getPath().getName().removesuffix(".json")) for s in files.globStatus(at("_manifest", "*.json")) or [])
+
+
+def _read_manifest(spark: SparkSession, path: str, batch_id: int) -> dict[str, str]:
+    return json.loads(spark.read.text(f"{path}/_manifest/{batch_id:012d}.json", wholetext=True).first().value)
+
+
+def _commit(spark: SparkSession, path: str, batch_id: int, versions: dict[str, str]) -> None:
+    """Written aside, then renamed: a manifest is there whole or not at all."""
+    files, at = _files(spark, path)
+    aside = at("_manifest", f".{batch_id}-{uuid.uuid4().hex}")
+    out = files.create(aside, False)
+    out.write(bytearray(json.dumps(versions, sort_keys=True).encode()))
+    out.close()
+    if not files.rename(aside, at("_manifest", f"{batch_id:012d}.json")):
+        raise RuntimeError(f"could not commit batch {batch_id} of {path}")
+
+
+def _read_versions(spark: SparkSession, path: str, versions: dict[str, str]) -> DataFrame:
+    where = [f"{path}/{version}/year={year}" for year, version in sorted(versions.items())]
+    return spark.read.schema(BARS).parquet(*where) if where else spark.createDataFrame([], BARS)
+
+
+def read_upserted(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame:
+    """The table as of the last committed batch, or as of one that is still kept; empty before the first one."""
+    held = _manifests(spark, path)
+    if batch_id is None and not held:
+        return spark.createDataFrame([], BARS)
+    return _read_versions(spark, path, _read_manifest(spark, path, max(held) if batch_id is None else batch_id))
+
+
+def _drop_superseded(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Remove what neither this batch nor the one before it names: replaced versions, and what a batch that died left behind."""
+    files, at = _files(spark, path)
+    kept = [b for b in _manifests(spark, path) if b <= batch_id][-2:]
+    named = {f"{version}/year={year}" for b in kept for year, version in _read_manifest(spark, path, b).items()}
+    for folder in files.globStatus(at("version=*")) or []:
+        version = folder.getPath().getName()
+        years = [s.getPath().getName() for s in files.globStatus(at(version, "year=*")) or []]
+        if not any(f"{version}/{year}" in named for year in years):
+            files.delete(folder.getPath(), True)
+            continue
+        for year in years:
+            if f"{version}/{year}" not in named:
+                files.delete(at(version, year), True)
+    for b in _manifests(spark, path):
+        if b < batch_id and b not in kept:
+            files.delete(at("_manifest", f"{b:012d}.json"), False)
 
 
 def run_bars_stream(spark: SparkSession, sf_dir: str, late: str | None = None) -> DataFrame:

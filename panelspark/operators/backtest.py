@@ -123,6 +123,8 @@ def gross_returns(targets: DataFrame, run_steps: DataFrame, study: DataFrame) ->
     days = (held.filter(until > F.col("exec_idx"))
             .select("run_id", "ticker", "weight", F.explode(F.sequence(F.col("exec_idx") + 1, until)).alias("date_idx")))
     bars = study.filter(F.col("ret").isNotNull()).select("ticker", "date_idx", "ret")
+    # dealt by ticker like a stored study, which then is joined where it lies
+    days = days.repartition(int(study.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ticker")
     return (days.join(bars, ["ticker", "date_idx"]).groupBy("run_id", "date_idx")
             .agg(F.sum(F.col("weight") * F.col("ret")).alias("gross")))
 
@@ -199,3 +201,30 @@ def run_signal(study: DataFrame, signal: Signal, cfg: BacktestConfig = BacktestC
     runs = rows(study.sparkSession, RUN_SCHEMA, [run_row(run_id, cfg.rebalance, cfg)])
     signals = signal(study, decisions).select(F.lit(run_id).alias("run_id"), "decision_date", "ticker", "weight", "signal_rank")
     return run_backtests(study, cal, runs, decisions, signals, cfg.max_positions)
+
+
+def lookahead_report(panel: DataFrame, signal: Signal, cuts: list[str], rebalance: str = "ME",
+                     prepare: Callable[[DataFrame], DataFrame] = lambda p: p) -> DataFrame:
+    """Does a signal see the future?  One row per cut: decisions compared, decisions that differ, ``clean``.
+
+    The signal runs on the whole panel and on the panel up to each cut (through ``prepare``, which builds the study from bars); what
+    it decided on a date up to the cut has to be the same.  Decision dates are those of the whole calendar, so only the signal can differ.
+    """
+    whole = prepare(panel)
+    cal = materialise(calendar(whole), "calendar")
+    decisions = materialise(schedules(cal, whole_history(cal, [rebalance])), "decisions")
+    keys = ["decision_date", "ticker"]
+
+    def decided(study: DataFrame, known: DataFrame, name: str) -> DataFrame:
+        return signal(study, known).select(*keys, F.struct("weight", "signal_rank").alias(name))
+
+    full = materialise(decided(whole, decisions, "_full"), "signals")
+    out = None
+    for cut in cuts:
+        known = decisions.filter(F.col("decision_date") <= F.lit(cut).cast("date"))
+        part = decided(prepare(panel.filter(F.col("date") <= F.lit(cut).cast("date"))), known, "_cut")
+        both = full.filter(F.col("decision_date") <= F.lit(cut).cast("date")).join(part, keys, "full")
+        one = both.agg(F.count("*").alias("n_decisions"), F.count_if(~F.col("_full").eqNullSafe(F.col("_cut"))).alias("n_differ"))
+        one = one.select(F.lit(cut).cast("date").alias("cut"), "n_decisions", "n_differ", (F.col("n_differ") == 0).alias("clean"))
+        out = one if out is None else out.unionByName(one)
+    return out

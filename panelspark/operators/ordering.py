@@ -54,21 +54,54 @@ def average_rank_pcts(df: DataFrame, group: Sequence[str], values: Sequence[str]
     """Percentile ranks 0-100 of several columns, ties sharing their average rank.
 
     Adds pct_<value> (null for a null value) and n_<value>, the non-null count.
+
+    All columns are ordered in one range pass that carries the rows, so nothing is joined on a value, and rows of one value may lie in
+    several slices: within a slice a window counts smaller and equal rows, and only the first and last value of a slice can go on in its
+    neighbours.  Those, two a slice and group, are settled in a second pass over slices.
     """
     group, values = list(group), list(values)
-    df = materialise(df, "ranked")
-    sizes = df.groupBy(*group).agg(*[F.count(v).alias(f"n_{v}") for v in values])
-    out = df.join(sizes, group)
-    # All columns are ordered in one pass; ties collapse before any ordering, so one value held by many rows is one row.
-    long = df.select(*group, F.explode(F.array(*[F.struct(F.lit(i).alias("_which"), F.col(v).cast("double").alias("_v"))
-                                                 for i, v in enumerate(values)])).alias("_x")).select(*group, "_x.*")
-    counts = long.filter(F.col("_v").isNotNull()).groupBy(*group, "_which", "_v").agg(F.count("*").alias("_n"))
-    placed = running_sum(counts, [*group, "_which"], [F.col("_v")], F.col("_n"), "_below", "_all")
-    placed = materialise(placed.select(*group, "_which", "_v", ((F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_all") * 100).alias("_pct")), "placed")
-    for i, v in enumerate(values):
-        mine = placed.filter(F.col("_which") == i).select(*group, F.col("_v").alias(f"_{v}"), F.col("_pct").alias(f"pct_{v}"))
-        out = out.withColumn(f"_{v}", F.col(v).cast("double")).join(mine, [*group, f"_{v}"], "left")
-    return out.select(*df.columns, *[c for v in values for c in (f"pct_{v}", f"n_{v}")])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "ranked")
+    # one row for each column to rank; the first carries the whole row
+    copies = F.array(*[F.struct(F.lit(i).alias("_which"), F.col(v).cast("double").alias("_v"), F.when(F.lit(i == 0), F.struct(*df.columns)).alias("_all"))
+                       for i, v in enumerate(values)])
+    key = [*group, "_which"]
+    ranged = (stored.select(*group, "_row", F.explode(copies).alias("_x")).select(*group, "_row", "_x.*")
+              .repartitionByRange(parts, *key, "_v", "_row").withColumn("_slice", F.spark_partition_id()))
+    own = W.partitionBy(*key, "_slice")
+    placed = materialise(ranged.withColumns({"_under": F.rank().over(own.orderBy(F.col("_v").asc_nulls_last())) - 1,
+                                             "_same": F.count("*").over(W.partitionBy(*key, "_slice", "_v"))}), "placed")
+
+    # slices of a group: how many values each holds, and its first and last value with their counts
+    slices = placed.filter(F.col("_v").isNotNull()).groupBy(*key, "_slice").agg(
+        F.min("_v").alias("_first"), F.max("_v").alias("_last"), F.count("*").alias("_size"),
+        F.min_by("_same", "_v").alias("_n_first"), F.max_by("_same", "_v").alias("_n_last"))
+    before = W.partitionBy(*key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    slices = materialise(slices.withColumns({"_base": F.coalesce(F.sum("_size").over(before), F.lit(0)),
+                                             "_n": F.sum("_size").over(W.partitionBy(*key))}), "slices")
+    last_below = F.col("_base") + F.when(F.col("_first") == F.col("_last"), 0).otherwise(F.col("_size") - F.col("_n_last"))
+    edges = slices.select(*key, F.inline(F.array_distinct(F.array(
+        F.struct(F.col("_first").alias("_v"), F.col("_n_first").alias("_ties"), F.col("_base").alias("_below")),
+        F.struct(F.col("_last").alias("_v"), F.col("_n_last").alias("_ties"), last_below.alias("_below"))))))
+    edges = edges.groupBy(*key, "_v").agg(F.sum("_ties").alias("_ties"), F.min("_below").alias("_below"))
+
+    def edge(name: str) -> DataFrame:
+        return edges.select(*key, F.col("_v").alias(name), F.struct("_ties", "_below").alias(f"{name}_is"))
+
+    totals = slices.groupBy(*key).agg(F.max("_n").alias("_n"))  # one row for each group and column
+    slices = slices.drop("_n").join(edge("_first"), [*key, "_first"]).join(edge("_last"), [*key, "_last"])
+    out = (placed.join(slices.select(*key, "_slice", "_first", "_last", "_first_is", "_last_is", "_base"), [*key, "_slice"], "left")
+           .join(totals, key, "left"))
+    settled = (F.when(F.col("_v") == F.col("_first"), F.col("_first_is")).when(F.col("_v") == F.col("_last"), F.col("_last_is"))
+               .otherwise(F.struct(F.col("_same").alias("_ties"), (F.col("_base") + F.col("_under")).alias("_below"))))
+    out = out.withColumn("_is", settled)
+    pct = F.when(F.col("_v").isNotNull(), (F.col("_is._below") + (F.col("_is._ties") + 1) / 2) / F.col("_n") * 100)
+    out = out.withColumns({"_pct": pct, "_n": F.coalesce("_n", F.lit(0).cast("bigint"))})
+    if len(values) == 1:
+        return out.select("_all.*", F.col("_pct").alias(f"pct_{values[0]}"), F.col("_n").alias(f"n_{values[0]}"))
+    picked = [F.max(F.when(F.col("_which") == i, F.col(c))).alias(f"{name}_{v}") for i, v in enumerate(values) for c, name in (("_pct", "pct"), ("_n", "n"))]
+    whole = out.groupBy("_row").agg(F.max_by("_all", -F.col("_which")).alias("_all"), *picked)
+    return whole.select("_all.*", *[f"{name}_{v}" for v in values for name in ("pct", "n")])
 
 
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,

@@ -117,17 +117,11 @@ ALL_CHECKS = {
 }
 
 
-def validate(panel: DataFrame, seq: str | None = "seq", max_gap_days: int = MAX_GAP_DAYS,
-             max_zero_share: float = MAX_ZERO_SHARE, min_bars: int = MIN_BARS) -> DataFrame:
-    """One row per check: check, passed, n_bad.  Never fails on bad data.
+_SUMMED = ["brackets", "positive", "missing", "back", "extreme", "gap", "idle"]
 
-    The order of arrival is checked where the panel has the column ``seq``; else that check's row is null, for it did
-    not run.
 
-    All ten share one exchange on ticker: row flags and lags are computed in one
-    pass, rolled up per (ticker, date), per ticker, and then to a single row.
-    """
-    seq = seq if seq in panel.columns else None
+def _per_key(panel: DataFrame, seq: str | None, max_gap_days: int) -> DataFrame:
+    """What each (ticker, date) adds to the checks: row flags and lags in one pass over the ticker partitioning."""
     ordered = W.partitionBy("ticker").orderBy(*_arrival(panel, seq))
     back = (is_true(F.lag("date").over(W.partitionBy("ticker").orderBy(seq)) > F.col("date"))
             if seq else F.lit(False))
@@ -144,12 +138,25 @@ def validate(panel: DataFrame, seq: str | None = "seq", max_gap_days: int = MAX_
     def count(c: str) -> Column:
         return F.sum(F.col(c).cast("bigint"))
 
-    summed = ["brackets", "positive", "missing", "back", "extreme", "gap", "idle"]
-    per_key = flags.groupBy("ticker", "date").agg(
-        F.count("*").alias("n"), F.bool_and("same").alias("same"), *[count(c).alias(c) for c in summed])
+    return flags.groupBy("ticker", "date").agg(
+        F.count("*").alias("n"), F.bool_and("same").alias("same"), *[count(c).alias(c) for c in _SUMMED])
+
+
+def validate(panel: DataFrame, seq: str | None = "seq", max_gap_days: int = MAX_GAP_DAYS,
+             max_zero_share: float = MAX_ZERO_SHARE, min_bars: int = MIN_BARS) -> DataFrame:
+    """One row per check: check, passed, n_bad.  Never fails on bad data.
+
+    The order of arrival is checked where the panel has the column ``seq``; else that check's row is null, for it did
+    not run.
+
+    All ten share one exchange on ticker: row flags and lags are computed in one
+    pass, rolled up per (ticker, date), per ticker, and then to a single row.
+    """
+    seq = seq if seq in panel.columns else None
+    per_key = _per_key(panel, seq, max_gap_days)
     per_ticker = per_key.groupBy("ticker").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("copies"),
-        F.bool_and("same").alias("same"), *[F.sum(c).alias(c) for c in summed])
+        F.bool_and("same").alias("same"), *[F.sum(c).alias(c) for c in _SUMMED])
     real = F.col("ticker").isNotNull()
     bad = {
         "OHLC brackets": F.sum("brackets"),
@@ -172,14 +179,19 @@ def validate(panel: DataFrame, seq: str | None = "seq", max_gap_days: int = MAX_
     return rows.select("check", (F.col("n_bad") == 0).alias("passed"), "n_bad")
 
 
-def samples(panel: DataFrame, n: int = 3) -> DataFrame:
-    """A few offending rows of each check that points at rows: check, ticker, date; the smallest by ticker and date."""
-    out = None
-    for name in ("OHLC brackets", "positive prices", "no duplicates", "no missing values", "extreme moves", "calendar gaps"):
-        rows = ALL_CHECKS[name](panel).select("ticker", "date").distinct().orderBy("ticker", "date").limit(n)
-        rows = rows.select(F.lit(name).alias("check"), "ticker", "date")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def samples(panel: DataFrame, n: int = 3, seq: str | None = "seq", max_gap_days: int = MAX_GAP_DAYS) -> DataFrame:
+    """A few offending rows of each check that points at rows: check, ticker, date; the smallest by ticker and date.
+
+    One scan and ``validate``'s own exchange give the faults of each (ticker, date); every task keeps its ``n`` smallest of each check
+    before the rest is merged.
+    """
+    faults = {"OHLC brackets": F.col("brackets") > 0, "positive prices": F.col("positive") > 0, "no duplicates": F.col("n") > 1,
+              "no missing values": F.col("missing") > 0, "extreme moves": F.col("extreme") > 0, "calendar gaps": F.col("gap") > 0}
+    per_key = _per_key(panel, seq if seq in panel.columns else None, max_gap_days)
+    found = F.filter(F.array(*[F.when(fault, F.lit(name)) for name, fault in faults.items()]), lambda v: v.isNotNull())
+    rows = per_key.select("ticker", "date", F.explode(found).alias("check"))
+    place = F.row_number().over(W.partitionBy("check").orderBy("ticker", "date"))
+    return rows.withColumn("_p", place).filter(F.col("_p") <= n).select("check", "ticker", "date")
 
 
 def panel_span(panel: DataFrame) -> DataFrame:

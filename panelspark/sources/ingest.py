@@ -57,11 +57,33 @@ def upsert_fresh_wins(cached: DataFrame, fresh: DataFrame) -> DataFrame:
     return _latest_row(["ticker", "date"], both, F.struct("_p", *values), largest=True).select(*BAR_COLUMNS)
 
 
+def load_raw(spark: SparkSession, pattern: str) -> DataFrame:
+    """Landed vendor files under a glob, whatever columns each has: schemas are merged, and spellings of one column made one.
+
+    A column that a file lacks is null in its rows; of two spellings in one row the first that holds a value counts.
+    """
+    found = spark.read.option("mergeSchema", True).parquet(pattern)
+    spellings: dict[str, list[str]] = {}
+    for c in found.columns:
+        spellings.setdefault(VENDOR_NAMES.get(c, c), []).append(c)
+    return found.select(*[F.coalesce(*[F.col(f"`{c}`") for c in held]).alias(name) for name, held in spellings.items()])
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, bad: str = "bad_record") -> DataFrame:
+    """CSV files by a declared schema, so that codes keep their zeros; a line that doesn't fit it is kept whole in ``bad``.
+
+    The header of every file has to name the declared columns.
+    """
+    return (spark.read.schema(f"{schema}, {bad} STRING").option("header", True).option("enforceSchema", False)
+            .option("columnNameOfCorruptRecord", bad).csv(path))
+
+
 def load_membership(spark: SparkSession, path: str) -> DataFrame:
-    """Membership snapshots from CSV; codes stay strings."""
-    found = spark.read.option("header", True).csv(path)
+    """Membership snapshots from CSV; codes stay strings, lines without a date are left out."""
+    found = spark.read.option("header", True).csv(path)  # other columns may stand beside these two, in any order
     require_columns(found, ["list_date", "ticker"], path)
-    return clean_membership(found)
+    dated = found.withColumn("list_date", F.col("list_date").try_cast("date")).filter(F.col("list_date").isNotNull())
+    return clean_membership(dated)
 
 
 def clean_membership(lists: DataFrame) -> DataFrame:
@@ -70,7 +92,15 @@ def clean_membership(lists: DataFrame) -> DataFrame:
 
 
 def load_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENTS).option("header", True).csv(path)
+    """Recorded actions from CSV, with lines that don't fit in ``bad_record``."""
+    return read_csv(spark, path, EVENTS)
+
+
+def events_profile(events: DataFrame) -> DataFrame:
+    """What a record of actions holds: lines, lines that don't read, tickers, usable values, and its span."""
+    good = F.col("bad_record").isNull()
+    return events.agg(F.count("*").alias("n_lines"), F.count_if(~good).alias("n_bad"), F.count_distinct("ticker").alias("n_tickers"),
+                      F.count_if(good & (F.col("value") > 0)).alias("n_usable"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
 def merge_events(recorded: DataFrame, found: DataFrame) -> DataFrame:
@@ -93,8 +123,7 @@ def candidate_codes(codes: DataFrame) -> DataFrame:
 def fetch_worklist(listed: DataFrame, cached: DataFrame, limit: int | None = None) -> DataFrame:
     """Listed tickers with no cached bars yet."""
     todo = listed.select("ticker").join(cached.select("ticker").distinct(), "ticker", "left_anti")
-    todo = todo.orderBy("ticker")
-    return todo.limit(limit) if limit else todo
+    return todo.orderBy("ticker").limit(limit) if limit else todo
 
 
 def load_summary(requested: DataFrame, bars: DataFrame) -> DataFrame:
@@ -114,3 +143,9 @@ def coverage_profile(bars: DataFrame, days: int = 90, floor: float = 500_000.0)
             .groupBy("ticker")
             .agg(F.count("*").alias("n_bars"), F.percentile(traded, F.lit(0.5)).alias("median_recent_dtv"))
             .withColumn("above_floor", F.coalesce(F.col("median_recent_dtv") >= floor, F.lit(False))))
+
+
+def coverage_summary(profile: DataFrame) -> DataFrame:
+    """One row over a coverage profile: tickers, spread of their bars, and how many trade above the floor."""
+    return profile.agg(F.count("*").alias("n_tickers"), F.min("n_bars").alias("min_bars"), F.median("n_bars").alias("median_bars"),
+                       F.max("n_bars").alias("max_bars"), F.count_if("above_floor").alias("n_above_floor"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+JOURNAL = ("decision STRING, decided_at TIMESTAMP, rule STRING, ticker STRING, price DOUBLE, lots BIGINT, notional DOUBLE, capital DOUBLE, "
+           "score DOUBLE")
 
 
 def write_panel(panel: DataFrame, path: str, by_year: bool = False) -> None:
@@ -18,11 +21,18 @@ def replace_snapshot(lists: DataFrame, path: str) -> None:
      .partitionBy("list_date").parquet(path))
 
 
-def append_decision(picks: DataFrame, path: str, rule: str, capital: float) -> None:
-    """Append-only log, stamped when the decision is made."""
-    (picks.select(F.current_timestamp().alias("decided_at"), F.lit(rule).alias("rule"), "ticker", "price",
-                  "lots", "notional", F.lit(float(capital)).alias("capital"), "score")
-     .write.mode("append").option("header", True).csv(path))
+def record_decision(picks: DataFrame, path: str, decision: str, rule: str, capital: float, decided_at: Column | None = None) -> None:
+    """Journal of decisions, one folder each: later decisions are added, and writing one again replaces that one only.
+
+    ``decision`` names the decision (its date, or a run's id), so a job that is tried twice doesn't log it twice.
+    """
+    (picks.select(F.lit(decision).alias("decision"), (F.current_timestamp() if decided_at is None else decided_at).alias("decided_at"),
+                  F.lit(rule).alias("rule"), "ticker", "price", "lots", "notional", F.lit(float(capital)).alias("capital"), "score")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("decision").parquet(path))
+
+
+def read_journal(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(JOURNAL).parquet(path)
 
 
 def write_verified(summary: DataFrame, path: str) -> None:

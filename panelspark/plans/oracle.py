@@ -5,7 +5,7 @@ from __future__ import annotations
 from panelspark.operators import factors
 from panelspark.operators.concentration import RULES
 from panelspark.operators.positions import AGGRESSIVE_VOL, CURRENT_VOL, FIELD_VOL
-from panelspark.plans.queries import CONTEST, N_NAMES, N_RANDOM, TRADING, WF
+from panelspark.plans.queries import CONTEST, LOOKAHEAD_CUTS, N_NAMES, N_RANDOM, TRADING, WF
 
 ORACLES: dict[str, str] = {}
 
@@ -99,6 +99,31 @@ FROM (SELECT DISTINCT ticker FROM lists UNION ALL SELECT 'UNKNOWN') w LEFT JOIN
 sql("coverage_profile", BARS, f"""SELECT ticker, n_bars, {q6('m')} AS median_recent_dtv, coalesce(m >= 500, false) AS above_floor FROM (
   SELECT ticker, count(*) AS n_bars, quantile_cont(close * volume, 0.5) FILTER (WHERE date > (SELECT max(date) FROM bars) - 90) AS m
   FROM bars GROUP BY ticker)""")
+sql("coverage_summary", BARS, """SELECT count(*) AS n_tickers, min(n) AS min_bars, quantile_cont(n, 0.5) AS median_bars, max(n) AS max_bars,
+  count(*) FILTER (m >= 500) AS n_above_floor FROM (SELECT count(*) AS n,
+  quantile_cont(close * volume, 0.5) FILTER (WHERE date > (SELECT max(date) FROM bars) - 90) AS m FROM bars GROUP BY ticker)""")
+sql("raw_glob_bars", BARS, """SELECT date, ticker || '.KL' AS ticker, open, high, low, close,
+  CASE WHEN CAST(substr(ticker, 2) AS BIGINT) % 3 = 0 THEN close ELSE adj_close END AS adj_close, volume FROM bars""")
+CODED = REGIONS + ", " + RELEASE + """, coded AS (SELECT list_date, printf('%05d', s_suppkey) AS ticker, s_suppkey % 7 = 0 AS bad FROM lists)"""
+sql("membership_csv", CODED, "SELECT CASE WHEN NOT bad THEN list_date END AS list_date, ticker, bad FROM coded")
+sql("membership_loaded", CODED, "SELECT DISTINCT list_date, ticker || '.KL' AS ticker FROM coded WHERE NOT bad")
+sql("split_csv_scan", BARS + ", " + EVENTS, """SELECT count(*) AS n_lines, count(*) FILTER (bad) AS n_bad, count(DISTINCT ticker) AS n_tickers, count(*) FILTER (NOT bad) AS n_usable,
+  min(date) AS first_date, max(date) AS last_date FROM (SELECT *, CAST(substr(ticker, 2) AS BIGINT) % 5 = 0 AS bad FROM ev)""")
+sql("landed_panel", BARS, """SELECT date, ticker, open, high, low, close, adj_close, CASE WHEN volume = 11 THEN 0 ELSE volume END AS volume
+  FROM bars WHERE volume <> 7""")
+sql("verified_codes", BARS + ", " + REGIONS + ", " + RELEASE, """SELECT DISTINCT b.ticker AS code FROM bars b JOIN lists USING (ticker) WHERE b.volume >= 45""")
+sql("snapshot_replaced", REGIONS + ", " + RELEASE, """SELECT list_date, ticker FROM lists WHERE list_date <> DATE '1998-01-05' OR s_suppkey % 2 = 0""")
+sql("decision_journal", BARS, f"""SELECT strftime(date, '%Y-%m-%d') AS decision, 'volume' AS rule, ticker, {q6('close')} AS price, CAST(volume AS BIGINT) AS lots,
+  {q6('close * volume')} AS notional, 10000.0::DOUBLE AS capital, volume AS score FROM bars WHERE date IN (DATE '1997-03-03', DATE '1999-06-07')""")
+MOVED = BARS + """, moved AS (SELECT date, ticker FROM (SELECT date, ticker, adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret
+  FROM bars) WHERE abs(ret) > 1 / 3.0::DOUBLE),
+tr AS (SELECT printf('S%06d', l_suppkey) AS ticker, CAST(l_shipdate AS DATE) AS traded_on, l_quantity AS quantity, l_orderkey,
+  l_extendedprice / l_quantity / 100 AS price FROM lineitem)"""
+sql("events_within_days", MOVED, """SELECT date, ticker, count(*) AS n_trades, sum(quantity) AS quantity, CAST(min(abs(date - traded_on)) AS INT) AS nearest_days
+  FROM moved JOIN tr USING (ticker) WHERE traded_on BETWEEN date - 10 AND date + 10 GROUP BY date, ticker""")
+sql("quotes_asof", MOVED + """, kn AS (SELECT ticker, date + 7 AS known_on, date AS bar_date, close AS prior_close FROM bars)""",
+    f"""SELECT tr.ticker, traded_on, {q6('price')} AS price, l_orderkey, bar_date, {q6('prior_close')} AS prior_close
+  FROM tr ASOF LEFT JOIN kn ON tr.ticker = kn.ticker AND tr.traded_on >= kn.known_on""")
 sql("symbol_forms", "", """SELECT lower(printf('S%06d', s_suppkey)) AS code, printf('S%06d', s_suppkey) || '.KL' AS symbol,
   printf('S%06d', s_suppkey) AS bare, 'MY.' || printf('S%06d', s_suppkey) AS prefixed FROM supplier""")
 sql("streamed_bad_bars", "", """SELECT violation, count(*) AS n_rows FROM (
@@ -139,6 +164,11 @@ QUOTES = """q AS (SELECT 'U' || user_id AS ticker, event_id, CASE WHEN event_typ
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY quoted_at DESC, event_id DESC) AS n FROM q) WHERE n = 1),
 first AS (SELECT ticker, arg_min(value, row(quoted_at, event_id)) AS prev_close, count(*) AS shares FROM q GROUP BY ticker)"""
 sql("latest_quote", QUOTES, "SELECT ticker, event_id, price, quoted_at, error FROM last")
+sql("streamed_stale", QUOTES + """, g AS (SELECT *, lag(quoted_at) OVER w AS before FROM q WHERE price IS NOT NULL WINDOW w AS (PARTITION BY ticker ORDER BY quoted_at)),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR quoted_at - before > INTERVAL 2 DAYS THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY quoted_at) AS k FROM g),
+e AS (SELECT ticker, max(quoted_at) AS last_quoted_at, max(quoted_at) + INTERVAL 2 DAYS AS stale_at, arg_max(price, row(quoted_at, event_id)) AS last_price,
+  count(*) AS n_quotes FROM i GROUP BY ticker, k)""", f"""SELECT ticker, last_quoted_at, stale_at, {q6('last_price')} AS last_price, n_quotes FROM e
+  WHERE stale_at <= (SELECT max(quoted_at) - INTERVAL 1 HOUR FROM g)""")
 sql("streamed_quotes", QUOTES, "SELECT ticker, event_id, price, quoted_at FROM last")
 sql("position_standing", QUOTES + """, s AS (SELECT l.ticker, shares, prev_close AS entry_price, price,
     CASE WHEN price IS NOT NULL AND prev_close <> 0 THEN price / prev_close - 1 END AS change_pct,
@@ -200,6 +230,13 @@ c(check_name, n_bad) AS (
   UNION ALL SELECT 'zero-volume bars', count(*) FILTER (WHERE idle > 0.2) FROM t UNION ALL SELECT 'history depth', count(*) FILTER (WHERE n < 290) FROM t)""",
     'SELECT check_name AS "check", n_bad = 0 AS passed, CAST(n_bad AS BIGINT) AS n_bad FROM c')
 
+_SAMPLED = {"OHLC brackets": BRACKETS, "positive prices": POSITIVE, "no duplicates": "copies > 1",
+            "no missing values": "close IS NULL OR adj_close IS NULL OR volume IS NULL", "extreme moves": "abs(r) > 0.35", "calendar gaps": "gap > 21"}
+sql("dq_samples", FLAWED + """, m AS (SELECT *, adj_close / lag(adj_close) OVER (PARTITION BY ticker ORDER BY date, seq) - 1 AS r,
+    count(*) OVER (PARTITION BY ticker, date) AS copies, date - lag(date) OVER (PARTITION BY ticker ORDER BY date, seq) AS gap FROM flawed),
+f AS (""" + " UNION ALL ".join(f"SELECT DISTINCT '{name}' AS c, ticker, date FROM m WHERE {fault}" for name, fault in _SAMPLED.items()) + ")",
+    'SELECT c AS "check", ticker, date FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY ticker, date) AS p FROM f) WHERE p <= 3')
+
 # ---- repair
 RATIO = "CASE WHEN value >= 1 THEN value ELSE 1 / value END"
 
@@ -284,6 +321,9 @@ sql("membership_backfilled", BARS + ", " + REGIONS + ", " + RELEASE + """, d AS
 sql("members_on", REGIONS + ", " + RELEASE, "SELECT ticker FROM lists WHERE list_date = (SELECT max(list_date) FROM rel WHERE list_date <= DATE '1999-06-30')")
 sql("liquidity", SCREEN, f"SELECT date, ticker, {r6('dtv', 'median_dtv')}, bars_available FROM screened")
 FLAGS = "member, liquid, priced, seasoned, eligible"
+sql("universe_members", SCREEN, "SELECT DISTINCT ticker FROM screened WHERE date = DATE '1999-06-07' AND eligible")
+sql("universe_series", SCREEN, """SELECT date, count(DISTINCT ticker) AS n_listed, CAST(sum(CAST(eligible AS INT)) AS BIGINT) AS n_eligible
+  FROM screened GROUP BY date""")
 sql("screened", SCREEN, f"SELECT date, ticker, bars_available, {FLAGS} FROM screened")
 sql("screen_summary", SCREEN, "SELECT date, count(DISTINCT ticker) AS n_listed, " + ", ".join(
     f"CAST(sum(CAST({f} AS INT)) AS BIGINT) AS n_{f}" for f in FLAGS.split(", ")) + " FROM screened GROUP BY date")
@@ -451,6 +491,13 @@ sql("turnover", PICKS, f"SELECT run_id, step, {q6('tn')} AS turnover FROM st JOI
 sql("backtest_costs", PICKS, f"SELECT run_id, step, exec_date, {r6('equity_before', 'cost', 'charged')}, ruined FROM st")
 sql("trades", PICKS, f"""SELECT run_id, step, exec_date, ticker, {r6('from_w', 'to_w')}, {q6('delta * equity_before')} AS notional,
   {q6(COST.replace('d * eq', 'delta * equity_before'))} AS cost FROM ch JOIN st USING (run_id, step) WHERE delta > 1e-9""")
+_CHOSEN = factors.PRESETS[1].name
+sql("run_signal", PICKS, f"SELECT run_id, date, {r6('ret')} FROM dy WHERE run_id = '{_CHOSEN}'")
+sql("signal_lookahead", PICKS, " UNION ALL ".join(
+    f"""SELECT DATE '{cut}' AS cut, count(*) AS n_decisions, 0::BIGINT AS n_differ, true AS clean FROM sig JOIN dec USING (decision_date)
+  WHERE run_id = '{_CHOSEN}' AND decision_date <= DATE '{cut}'""" for cut in LOOKAHEAD_CUTS))
+sql("strategies_compared", PICKS + metrics("dy", "p_"), f"""SELECT m.run_id AS strategy, n_periods, {r6('vol', 'sharpe', 'max_dd', 'hit_rate')}, {q6('avg_turnover')} AS avg_turnover
+  FROM p_mt m JOIN sm USING (run_id)""")
 sql("gross_returns", PICKS, f"SELECT run_id, date, {r6('ret')} FROM dy")
 sql("equity_curve", PICKS, f"""SELECT run_id, date, {log_of(f'CASE WHEN over THEN 0 ELSE {TRADING.capital} * e END', 'log_equity', '')} FROM (
   SELECT *, product(1 + ret) OVER (PARTITION BY run_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM dy)""")
@@ -569,13 +616,13 @@ wn AS (SELECT strategy, first_i, date, count(DISTINCT factor) AS k FROM wc GROUP
 ws AS (SELECT strategy, first_i, date, ticker, sum(contrib ORDER BY factor) AS score, any_value(top_n) AS top_n FROM wc GROUP BY strategy, first_i, date, ticker
   HAVING count(*) = (SELECT k FROM wn l WHERE l.strategy = wc.strategy AND l.date = wc.date AND l.first_i = wc.first_i)),
 wtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy, first_i, date ORDER BY score DESC, ticker) AS place FROM ws) WHERE place <= top_n)"""
-sql("wf_rolling", walk(SCORES, 48, False, [factors.PRESETS[1].name], ROLL), f"SELECT {FOLD6} FROM ft")
+sql("wf_rolling", walk(SCORES, 48, False, [p.name for p in factors.PRESETS], ROLL), f"SELECT {FOLD6} FROM ft")
 sql("holdout", SCORES + schedule(WHOLE.format("('ME')")) + f""",
 runs AS (SELECT 'momentum' AS run_id, 'ME' AS schedule_id, {TRADING.max_positions} AS maxp),
 sig AS (SELECT strategy AS run_id, date AS decision_date, ticker, 1.0::DOUBLE AS weight, printf('%06d', place) AS ord FROM top WHERE strategy = 'momentum')"""
     + trade() + """, hs AS (SELECT CAST(max(date) - INTERVAL 12 MONTHS AS DATE) AS h FROM cal), sc AS (SELECT dy.* FROM dy, hs WHERE date >= h)""" + metrics("sc"),
     f"""SELECT (SELECT min(date) FROM sc) AS start, (SELECT max(date) FROM sc) AS "end", run_id AS strategy, {r6('sharpe', 'max_dd')}, {log_of('total_return', 'log_growth')},
-  {q6(psr_z(3))} AS dsr_z, 3 AS n_trials_declared FROM mt""")
+  {q6('dsr_z')} AS dsr_z, {q6(PHI)} AS dsr, 3 AS n_trials_declared FROM (SELECT *, {psr_z(3)} AS dsr_z FROM mt)""")
 
 # ---- concentrated portfolios
 _h, _lb, _seed = CONTEST.horizon, CONTEST.lookback, CONTEST.seed

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from panelspark.functions import costs, prices, symbols
 from panelspark.operators import (backtest, baselines, baserates, calendar as cal_ops, concentration, factors, metrics,
-                                  ordering, positions, quality, reconcile, repair, universe, walkforward)
+                                  ordering, positions, quality, reconcile, repair, timejoin, universe, walkforward)
 from panelspark.operators.literals import rows, setting_rows
 from panelspark.scratch import materialise, scratch_path
 from panelspark.schemas import BANK_LOW, BROKERS, BacktestConfig, ContestConfig
@@ -139,6 +139,113 @@ def coverage_profile(spark, sf):
     return rounded(ingest.coverage_profile(tables.weekly_bars(spark, sf), 90, 500.0), "median_recent_dtv")
 
 
+@query
+def coverage_summary(spark, sf):
+    return ingest.coverage_summary(ingest.coverage_profile(tables.weekly_bars(spark, sf), 90, 500.0))
+
+
+@query
+def raw_glob_bars(spark, sf):
+    """Files of three vendors under one glob: other spellings, no adjusted close, a column more."""
+    path = scratch_path(spark, "raw")
+    bars = tables.weekly_bars(spark, sf).withColumn("_n", F.substring("ticker", 2, 12).cast("bigint") % 3)
+    bars.filter("_n = 0").select(F.col("date").alias("Date"), "ticker", *[F.col(c).alias(c.capitalize()) for c in ("open", "high", "low", "close", "volume")]
+                                 ).write.parquet(f"{path}/a")
+    bars.filter("_n = 1").drop("_n").withColumnRenamed("adj_close", "Adj Close").write.parquet(f"{path}/b")
+    bars.filter("_n = 2").drop("_n").withColumn("source", F.lit("c")).write.parquet(f"{path}/c")
+    raw = ingest.load_raw(spark, f"{path}/*")
+    return ingest.normalise(raw.withColumn("adj_close", F.coalesce("adj_close", "close")))
+
+
+def _coded(listed: DataFrame) -> DataFrame:
+    """Codes with leading zeros; every seventh line has a date that doesn't read."""
+    code = F.lpad(F.substring("ticker", 2, 12).cast("bigint").cast("string"), 5, "0")
+    date = F.when(F.substring("ticker", 2, 12).cast("bigint") % 7 == 0, "n/a").otherwise(F.col("list_date").cast("string"))
+    return listed.select(date.alias("list_date"), code.alias("ticker"))
+
+
+@query
+def membership_csv(spark, sf):
+    path = scratch_path(spark, "membership-csv")
+    _coded(tables.membership(spark, sf)).write.option("header", True).csv(path)
+    lines = ingest.read_csv(spark, path, "list_date DATE, ticker STRING")
+    return lines.select("list_date", "ticker", F.col("bad_record").isNotNull().alias("bad"))
+
+
+@query
+def membership_loaded(spark, sf):
+    path = scratch_path(spark, "membership-csv")
+    _coded(tables.membership(spark, sf)).write.option("header", True).csv(path)
+    return ingest.load_membership(spark, path)
+
+
+@query
+def split_csv_scan(spark, sf):
+    path = scratch_path(spark, "split-csv")
+    found = tables.corporate_events(spark, sf, tables.weekly_bars(spark, sf))
+    value = F.when(F.substring("ticker", 2, 12).cast("bigint") % 5 == 0, "two for one").otherwise(F.col("value").cast("string"))
+    found.select("date", "ticker", value.alias("value")).write.option("header", True).csv(path)
+    return ingest.events_profile(ingest.load_events(spark, path))
+
+
+@query
+def landed_panel(spark, sf):
+    return payload.landed_panel(_payloads(spark, sf))
+
+
+@query
+def verified_codes(spark, sf):
+    path = scratch_path(spark, "verified")
+    bars = tables.weekly_bars(spark, sf)
+    asked = tables.membership(spark, sf).select("ticker").distinct().unionByName(rows(spark, "ticker STRING", [("UNKNOWN",)]))
+    sinks.write_verified(ingest.load_summary(asked, bars.filter("volume >= 45")), path)
+    return spark.read.schema("code STRING").option("header", True).csv(path)
+
+
+@query
+def snapshot_replaced(spark, sf):
+    """A release written a second time with fewer names: it is replaced, and the others stay."""
+    path = scratch_path(spark, "releases")
+    lists = tables.membership(spark, sf)
+    sinks.replace_snapshot(lists, path)
+    fewer = lists.filter((F.col("list_date") == F.lit(tables.RELEASES[1][0]).cast("date")) & (F.substring("ticker", 2, 12).cast("bigint") % 2 == 0))
+    sinks.replace_snapshot(fewer, path)
+    return spark.read.schema("list_date DATE, ticker STRING").parquet(path)
+
+
+@query
+def decision_journal(spark, sf):
+    """Decisions of two dates, one of them written again by a retry."""
+    path = scratch_path(spark, "journal")
+    bars = tables.weekly_bars(spark, sf)
+    for decision, date in (("1997-03-03", "1997-03-03"), ("1999-06-07", "1999-06-07"), ("1997-03-03", "1997-03-03")):
+        picks = bars.filter(F.col("date") == F.lit(date).cast("date")).select(
+            "ticker", F.col("close").alias("price"), F.col("volume").cast("bigint").alias("lots"),
+            (F.col("close") * F.col("volume")).alias("notional"), F.col("volume").alias("score"))
+        sinks.record_decision(picks, path, decision, "volume", 10_000.0)
+    return rounded(sinks.read_journal(spark, path).drop("decided_at"), "price", "notional")
+
+
+@query
+def events_within_days(spark, sf):
+    """Weekly moves of more than a third, with the trades of their ticker within ten days."""
+    moved = prices.add_returns(tables.weekly_bars(spark, sf)).filter(F.abs("ret") > 1 / 3).select(*KEY)
+    trades = tables.line_ticks(tables.table(spark, sf, "lineitem")).select(
+        tables.ticker_of(F.col("l_suppkey")).alias("ticker"), F.col("ts").cast("date").alias("traded_on"), "quantity")
+    near = timejoin.within_days(moved, trades, "ticker", "date", "traded_on", 10)
+    return near.groupBy(*KEY).agg(F.count("*").alias("n_trades"), F.sum("quantity").alias("quantity"),
+                                  F.min(F.abs(F.date_diff("date", "traded_on"))).alias("nearest_days"))
+
+
+@query
+def quotes_asof(spark, sf):
+    """Every trade with the last weekly bar that was complete on its day."""
+    trades = tables.line_ticks(tables.table(spark, sf, "lineitem")).select(
+        tables.ticker_of(F.col("l_suppkey")).alias("ticker"), F.col("ts").cast("date").alias("traded_on"), "price", F.col("seq.l_orderkey").alias("l_orderkey"))
+    bars = tables.weekly_bars(spark, sf).select("ticker", F.date_add("date", 7).alias("known_on"), F.col("date").alias("bar_date"), F.col("close").alias("prior_close"))
+    return rounded(timejoin.asof(trades, bars, "ticker", "traded_on", "known_on", ["bar_date", "prior_close"]), "price", "prior_close")
+
+
 @query
 def symbol_forms(spark, sf):
     code = F.lower(tables.ticker_of(F.col("s_suppkey")))
@@ -177,6 +284,12 @@ def streamed_bad_bars(spark, sf):
     return stream_bars.run_checks_stream(spark, sf).groupBy("violation").agg(F.count("*").alias("n_rows"))
 
 
+@query
+def streamed_stale(spark, sf):
+    """Tickers without a good quote for two days, each time it happens."""
+    return rounded(stream_quotes.run_stale_stream(spark, sf, "2 days", "1 hour"), "last_price")
+
+
 @query
 def streamed_quotes(spark, sf):
     return stream_quotes.run_quotes_stream(spark, sf).select("ticker", "event_id", "price", "quoted_at")
@@ -296,6 +409,14 @@ def dq_summary(spark, sf):
     return quality.validate(tables.flawed_bars(spark, sf), max_gap_days=GAP_DAYS, min_bars=MIN_BARS)
 
 
+# ---- repair
+
+
+@query
+def dq_samples(spark, sf):
+    return quality.samples(tables.flawed_bars(spark, sf), 3, max_gap_days=GAP_DAYS)
+
+
 # ---- repair
 
 def _missed(spark, sf):
@@ -406,6 +527,16 @@ def liquidity(spark, sf):
     return rounded(out.select(*KEY, "dtv", "median_dtv", "bars_available"), "dtv", "median_dtv")
 
 
+@query
+def universe_members(spark, sf):
+    return universe.universe_on(study(spark, sf), "1999-06-07")
+
+
+@query
+def universe_series(spark, sf):
+    return universe.universe_series(study(spark, sf))
+
+
 @query
 def screened(spark, sf):
     return tables.screened_weekly(spark, sf).select(*KEY, "bars_available", *universe.SCREEN_FLAGS)
@@ -586,6 +717,25 @@ def backtest_summary(spark, sf):
     return rounded(_backtest(spark, sf).summary, "cost_drag", "avg_turnover")
 
 
+def _preset_signal(panel: DataFrame, decisions: DataFrame) -> DataFrame:
+    known = decisions.select(F.col("decision_date").alias("date"), "first_idx")
+    return baselines.strategy_signals(panel, factors.PRESETS[1:2], known)
+
+
+@query
+def run_signal(spark, sf):
+    """One signal over all history, as a user of the backtest calls it."""
+    return rounded(backtest.run_signal(study(spark, sf), _preset_signal, TRADING, factors.PRESETS[1].name).returns.select("run_id", "date", "ret"), "ret")
+
+
+LOOKAHEAD_CUTS = ["1998-06-30", "2000-01-31"]
+
+
+@query
+def signal_lookahead(spark, sf):
+    return backtest.lookahead_report(study(spark, sf), _preset_signal, LOOKAHEAD_CUTS)
+
+
 STATS = ["total_return", "cagr", "vol", "sharpe", "sortino", "max_dd", "calmar", "hit_rate", "skew", "kurt"]
 
 
@@ -599,6 +749,15 @@ def metrics_summary(spark, sf):
     return rounded(metrics.summarise(_ticker_runs(spark, sf)), *STATS)
 
 
+@query
+def strategies_compared(spark, sf):
+    """The presets side by side, with what each turned over."""
+    result = _backtest(spark, sf)
+    traded = result.turnover.groupBy("run_id").agg(F.avg("turnover").alias("avg_turnover"))
+    table = metrics.compare(metrics.summarise(result.returns).select("run_id", "n_periods", "vol", "sharpe", "max_dd", "hit_rate"), traded)
+    return rounded(table, "vol", "sharpe", "max_dd", "hit_rate", "avg_turnover")
+
+
 @query
 def drawdown_series(spark, sf):
     runs = _ticker_runs(spark, sf)
@@ -662,14 +821,14 @@ def wf_summary(spark, sf):
 
 @query
 def wf_rolling(spark, sf):
-    walk = walkforward.walk_forward(study(spark, sf), factors.PRESETS[1:2], TRADING, expanding=False, **{**WF, "train_months": 48})
+    walk = walkforward.walk_forward(study(spark, sf), factors.PRESETS, TRADING, expanding=False, **{**WF, "train_months": 48})
     return rounded(logged(walk.folds, oos_return="oos_log_growth"), "is_sharpe", "oos_sharpe", "oos_log_growth", "oos_maxdd")
 
 
 @query
 def holdout(spark, sf):
     out = walkforward.evaluate_holdout(study(spark, sf), factors.PRESETS[1], TRADING, 12, 3)
-    return rounded(logged(out.drop("dsr"), total_return="log_growth"), "sharpe", "log_growth", "max_dd", "dsr_z")
+    return rounded(logged(out, total_return="log_growth"), "sharpe", "log_growth", "max_dd", "dsr_z", "dsr")
 
 
 # ---- concentrated portfolios

@@ -216,9 +216,9 @@ def test_sinks(spark, tmp_path):
     sinks.write_panel(panel, str(tmp_path / "p"), by_year=True)
     assert ingest.load_panel(spark, str(tmp_path / "p"), ["AAA"]).count() == 20
     pick = spark.createDataFrame([("A", 1.0, 2, 200.0, 0.5)], "ticker STRING, price DOUBLE, lots BIGINT, notional DOUBLE, score DOUBLE")
-    for _ in range(2):
-        sinks.append_decision(pick, str(tmp_path / "log"), "momentum", 1000.0)
-    assert spark.read.option("header", True).csv(str(tmp_path / "log")).count() == 2
+    for decision in ("mon", "tue", "mon"):  # the first is tried twice
+        sinks.record_decision(pick, str(tmp_path / "log"), decision, "momentum", 1000.0)
+    assert sorted(r.decision for r in sinks.read_journal(spark, str(tmp_path / "log")).collect()) == ["mon", "tue"]
     sinks.write_verified(ingest.load_summary(panel.select("ticker").distinct(), panel), str(tmp_path / "v"))
     assert spark.read.option("header", True).csv(str(tmp_path / "v")).first().code == "AAA"
 
@@ -260,3 +260,31 @@ def test_repair_with_an_empty_record_lets_the_detector_decide(spark):
     none = spark.createDataFrame([], "date DATE, ticker STRING, value DOUBLE")
     fixed = [{r.ticker for r in repair.repair(panel, events).fixed.collect()} for events in (None, none)]
     assert fixed[0] == fixed[1] == {"A"}
+
+
+def test_unlike_files_and_broken_lines(spark, tmp_path):
+    days_ = [dt.date(2024, 1, d) for d in (2, 3)]
+    spark.createDataFrame([(d, "1", 1.0, 5) for d in days_], "Date DATE, ticker STRING, Close DOUBLE, volume BIGINT").write.parquet(str(tmp_path / "raw/a"))
+    spark.createDataFrame([(days_[0], "2", 2.0, 1.9)], ["date", "ticker", "close", "Adj Close"]).write.parquet(str(tmp_path / "raw/b"))
+    got = {(r.date, r.ticker): r for r in ingest.load_raw(spark, str(tmp_path / "raw/*")).collect()}
+    assert len(got) == 3 and got[days_[0], "2"].adj_close == 1.9 and got[days_[1], "1"].close == 1.0 and got[days_[1], "1"].adj_close is None
+    (tmp_path / "e.csv").write_text("date,ticker,value\n2024-01-02,0001,2.0\nsoon,0002,1.5\n2024-01-04,0003,half\n")
+    read = ingest.load_events(spark, str(tmp_path / "e.csv"))
+    one = ingest.events_profile(read).first()
+    assert (one.n_lines, one.n_bad, one.n_tickers, one.n_usable) == (3, 2, 3, 1)
+    assert {r.bad_record for r in read.collect()} == {None, "soon,0002,1.5", "2024-01-04,0003,half"}
+
+
+def test_samples_are_the_smallest_of_each_check_in_one_scan(spark):
+    panel = bars(spark, {t: ramp(150) for t in ("A", "B", "C")}).withColumn("seq", F.unix_date("date"))
+    broken = panel.withColumn("high", F.when(F.dayofmonth("date") == 10, 0.1).otherwise(F.col("high")))
+    broken = broken.unionByName(broken.filter("ticker = 'C'"))
+    got = quality.samples(broken, 2)
+    rows = {}
+    for r in got.collect():
+        rows.setdefault(r.check, []).append((r.ticker, r.date))
+    want = sorted((r.ticker, r.date) for r in broken.filter("dayofmonth(date) = 10").select("ticker", "date").distinct().collect())[:2]
+    assert sorted(rows["OHLC brackets"]) == want
+    assert sorted(rows["no duplicates"]) == sorted((r.ticker, r.date) for r in panel.filter("ticker = 'C'").orderBy("date").limit(2).collect())
+    with pytest.raises(ValueError, match="OHLC brackets"):
+        quality.assert_clean(broken)

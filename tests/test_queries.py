@@ -57,6 +57,79 @@ def test_streamed_upsert_replaces_and_keeps_other_years(spark, tmp_path):
     assert got.count() == 301 and got.filter("close > 1").count() == 2
 
 
+def test_a_batch_that_dies_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    from panels import bars
+    from panelspark.schemas import BARS
+
+    src, path, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+
+    def drain():
+        stream = spark.readStream.schema(BARS).option("recursiveFileLookup", True).parquet(str(src))
+        stream_bars.upsert_batches(stream, path, mark, spark).awaitTermination()
+
+    bars(spark, {"A": [1.0] * 300}).coalesce(1).write.parquet(str(src / "one"))
+    drain()
+    before = stream_bars.read_upserted(spark, path)
+    bars(spark, {"A": [2.0] * 300}).coalesce(1).write.parquet(str(src / "two"))
+
+    def killed(*_):
+        raise RuntimeError("killed before the commit")
+
+    with monkeypatch.context() as m:
+        m.setattr(stream_bars, "_commit", killed)
+        with pytest.raises(Exception, match="killed before the commit"):
+            drain()
+    held = len(list((tmp_path / "out").glob("version=*")))
+    assert held == 2 and stream_bars.read_upserted(spark, path).filter("close = 1").count() == 300
+    drain()
+    assert stream_bars.read_upserted(spark, path).filter("close = 2").count() == 300
+    assert before.filter("close = 1").count() == 300  # a reader that was pinned to the version before
+    assert len(list((tmp_path / "out").glob("version=*"))) == 2  # what the dead batch left is gone
+
+
+def test_a_committed_batch_repeated_changes_nothing(spark, tmp_path):
+    from panels import bars
+
+    path = str(tmp_path / "out")
+    src = tmp_path / "in"
+    bars(spark, {"A": [1.0] * 30}).coalesce(1).write.parquet(str(src / "one"))
+    for mark in ("a", "b"):  # a new checkpoint numbers the same batch 0 again
+        stream = spark.readStream.schema("date DATE, ticker STRING, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, adj_close DOUBLE, volume DOUBLE").option(
+            "recursiveFileLookup", True).parquet(str(src))
+        stream_bars.upsert_batches(stream, path, str(tmp_path / mark), spark).awaitTermination()
+    assert stream_bars.read_upserted(spark, path).count() == 30 and len(list((tmp_path / "out").glob("version=*"))) == 1
+
+
+def test_quotes_go_stale_without_a_new_one(spark, tmp_path):
+    """A ticker is reported when time has passed, not when it is quoted again; state holds open sessions only."""
+    import datetime as dt
+    import time
+
+    from panelspark.streaming import quotes as q
+
+    schema = "ticker STRING, event_id BIGINT, price DOUBLE, quoted_at TIMESTAMP, error STRING"
+    src, out, mark = tmp_path / "in", tmp_path / "out", str(tmp_path / "mark")
+    t0 = dt.datetime(2024, 1, 1, 9, 0)
+
+    def land(name, rows):
+        spark.createDataFrame([(t, i, p, t0 + dt.timedelta(minutes=m), None) for i, (t, m, p) in enumerate(rows)], schema).coalesce(1).write.parquet(str(src / name))
+        time.sleep(1.1)
+        stale = q.gone_stale(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(src)), "10 minutes", "1 minute")
+        query = stale.writeStream.outputMode("append").format("parquet").option("path", str(out)).option("checkpointLocation", mark).trigger(availableNow=True).start()
+        query.awaitTermination()
+        state = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+        return state, sorted((r.ticker, r.stale_at, r.last_price) for r in spark.read.schema(stale.schema).parquet(str(out)).collect())
+
+    state, got = land("one", [("A", 0, 1.0), ("A", 5, 2.0), ("B", 0, 3.0), ("C", 20, None)])
+    assert got == []
+    state, got = land("two", [("D", 30, 4.0), ("B", 8, 5.0)])
+    assert got == [("A", t0 + dt.timedelta(minutes=15), 2.0), ("B", t0 + dt.timedelta(minutes=18), 5.0)] and state == 1
+    for n in range(3, 7):  # others go on, A and B are not held
+        state, got = land(f"more{n}", [("D", 10 * n + 5, 1.0)])
+        assert state <= 2
+    assert len([g for g in got if g[0] in "AB"]) == 2
+
+
 def test_streams_read_tables_of_many_files(spark, tmp_path):
     for name in ("lineitem", "events"):
         spark.read.parquet(f"{SF}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from panels import bars, days, ramp
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from panelspark.operators import backtest, baselines, baserates, calendar, concentration, factors, metrics, walkforward
 from panelspark.operators.literals import rows
@@ -299,3 +299,50 @@ def test_plans_have_no_cross_join_and_prune_columns(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert "l_tax" not in plan and "l_returnflag" not in plan
+
+
+def test_lookahead_guard_catches_a_signal_that_sees_the_future(spark):
+    panel = study(spark, {t: walk(i, 400) for i, t in enumerate("ABCDEF")}).withColumn("eligible", F.lit(True))
+    order = W.partitionBy("decision_date").orderBy(F.col("x").desc(), "ticker")
+
+    def best(column):
+        def signal(known, decisions):
+            scored = known.withColumn("x", column).select(F.col("date").alias("decision_date"), "ticker", "x").filter("x is not null")
+            picked = scored.join(decisions.select("decision_date"), "decision_date", "left_semi").withColumn("n", F.row_number().over(order)).filter("n <= 2")
+            return picked.select("decision_date", "ticker", F.lit(1.0).alias("weight"), F.format_string("%06d", "n").alias("signal_rank"))
+        return signal
+
+    by = W.partitionBy("ticker").orderBy("date")
+    cuts = ["2020-09-30", "2021-02-26"]
+    honest = backtest.lookahead_report(panel, best(F.col("close") / F.lag("close", 20).over(by)), cuts).collect()
+    cheat = backtest.lookahead_report(panel, best(F.lead("close", 5).over(by) / F.col("close")), cuts).collect()
+    mean = backtest.lookahead_report(panel, best(F.col("close") / F.avg("close").over(W.partitionBy("ticker"))), cuts).collect()
+    assert all(r.clean and r.n_decisions > 4 for r in honest)
+    assert not any(r.clean for r in cheat) and not any(r.clean for r in mean)
+
+
+def test_a_stored_study_is_joined_where_it_lies(spark):
+    """With broadcasts off, nothing is exchanged above the scan of the study."""
+    from panels import SF
+    from panelspark.sources.tables import stored_study
+
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        panel = stored_study(spark, SF)
+        targets = spark.createDataFrame([("r", 0, "S000001", 1.0)], "run_id STRING, step INT, ticker STRING, weight DOUBLE")
+        steps = spark.createDataFrame([("r", 0, 5, 9, 20)], "run_id STRING, step INT, exec_idx INT, next_exec_idx INT, last_idx INT")
+        plan = backtest.gross_returns(targets, steps, panel)._jdf.queryExecution().executedPlan().toString()
+        lines = plan.split("\n")
+        scan = next(i for i, x in enumerate(lines) if "FileScan" in x and "Bucketed: true" in x)
+        depth = lines[scan].index("FileScan")
+        above = []
+        for x in reversed(lines[:scan]):
+            at = len(x) - len(x.lstrip(" :+-*()0123456789"))
+            if at < depth:
+                above.append(x.strip(" :+-"))
+                depth = at
+        join = next(i for i, x in enumerate(above) if "SortMergeJoin" in x)
+        assert not any(x.startswith("Exchange") for x in above[:join]), above
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)

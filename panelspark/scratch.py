@@ -50,6 +50,12 @@ def table_state(spark: SparkSession, path: str) -> tuple:
     return path, held.getFileCount(), held.getLength(), files.getFileStatus(where).getModificationTime()
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialise` that nothing reads any more."""
+    for df in tables:
+        remove(df._scratch_path)
+
+
 def remove(path: str) -> None:
     """Delete one scratch table, wherever the checkpoint folder is."""
     spark = _written.pop(path, None)
@@ -75,7 +81,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._scratch_path = path
+    return stored
 
 
 def stored_by_ticker(spark: SparkSession, key: tuple, build) -> DataFrame:

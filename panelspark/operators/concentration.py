@@ -1,8 +1,8 @@
-"""How a concentrated portfolio fares against a drawn field, over real windows.
+"""How concentrated portfolios picked by simple rules fare over real windows, and today's ranking by the same rules.
 
 Scores use bars strictly before the start date, returns run from the start date,
-and eligibility on the start date gates what may be bought.  The field is a
-bootstrap of the names on offer; every draw is a hash of its keys.
+and eligibility on the start date gates what may be bought.  Random scores and the
+order of ties are hashes of their keys.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from panelspark.functions.costs import BOARD_LOT, affordable_lots, round_trip_pc
 from panelspark.functions.draws import unit_draw
 from panelspark.functions.prices import at_calendar_offset, change
 from panelspark.scratch import materialise
-from panelspark.schemas import ZERO_COMMISSION, Broker, ContestConfig
+from panelspark.schemas import ZERO_COMMISSION, Broker
 
 # The rules' names.
 RULES = ("random", "high_vol", "low_vol", "momentum", "reversal")
-SPARE_NAMES = 5
+# Fixed value: with fewer dates of history than this, names are scored at random.
+MIN_HISTORY = 10
+
 
 def window_return(horizon: int, price: str = "adj_close") -> Column:
     """Return from this calendar date to ``horizon`` dates later."""
@@ -72,21 +74,24 @@ def candidates(windows: DataFrame, starts: DataFrame, min_names: int) -> DataFra
     return inside.join(enough.select("span", "date_idx"), ["span", "date_idx"], "left_semi")
 
 
-def rule_score(rule: Column, seed: int) -> Column:
-    return (F.when(rule == "momentum", F.col("mom")).when(rule == "reversal", -F.col("mom"))
+def rule_score(rule: Column, seed: int, history: Column) -> Column:
+    """A name's score; ``history``: dates before the start that the rule may look at."""
+    return (F.when(history < MIN_HISTORY, unit_draw(F.lit(seed), F.col("date"), F.col("ticker"))).when(rule == "momentum", F.col("mom")).when(rule == "reversal", -F.col("mom"))
             .when(rule == "high_vol", F.col("vol")).when(rule == "low_vol", -F.col("vol"))
             .otherwise(unit_draw(F.lit(seed), F.col("date"), F.col("ticker"))))
 
 
-def rule_scores(names: DataFrame, rules=RULES, seed: int = 0) -> DataFrame:
+def rule_scores(names: DataFrame, rules=RULES, seed: int = 0, lookback: int = 60) -> DataFrame:
     """One row per start, name and rule with a usable score."""
+    history = F.least(F.lit(lookback), F.col("date_idx"))
     ruled = names.select("*", F.explode(F.array(*[F.lit(r) for r in rules])).alias("rule"))
-    return ruled.withColumn("score", rule_score(F.col("rule"), seed)).filter(F.col("score").isNotNull())
+    return ruled.withColumn("score", rule_score(F.col("rule"), seed, history)).filter(F.col("score").isNotNull())
 
 
-def top_k_portfolios(scores: DataFrame, ks: tuple[int, ...]) -> DataFrame:
-    """Equal-weight forward return of the best k names per start and rule."""
-    order = W.partitionBy("span", "date_idx", "rule").orderBy(F.col("score").desc(), "ticker")
+def top_k_portfolios(scores: DataFrame, ks: tuple[int, ...], seed: int = 0) -> DataFrame:
+    """Equal-weight forward return of the best k names per start and rule; equal scores go in the order of a draw."""
+    tie = unit_draw(F.lit(seed), F.lit("tie"), F.col("rule"), F.col("date"), F.col("ticker"))
+    order = W.partitionBy("span", "date_idx", "rule").orderBy(F.col("score").desc(), tie, "ticker")
     best = scores.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(ks))
     sized = best.select("span", "date", "date_idx", "rule", "place", "fwd", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
     return (sized.filter(F.col("place") <= F.col("k")).groupBy("span", "date", "date_idx", "rule", "k")
@@ -107,7 +112,8 @@ def rank_universe(study: DataFrame, as_of: DataFrame, rule: str = "momentum", lo
     """Live ranking on the ``as_of`` date: history includes it, eligibility gates only what is buyable."""
     scored = study.select("*", prior_momentum(lookback, 1).alias("mom"), prior_vol(lookback, 1).alias("vol"))
     today = scored.filter((F.col("date") == as_of.select("as_of").scalar()) & F.col("eligible"))
-    return today.withColumn("score", rule_score(F.lit(rule), seed)).filter(F.col("score").isNotNull())
+    history = F.least(F.lit(lookback), F.col("date_idx") + 1)
+    return today.withColumn("score", rule_score(F.lit(rule), seed, history)).filter(F.col("score").isNotNull())
 
 
 def enrich(ranked: DataFrame, capital: float, broker: Broker = ZERO_COMMISSION) -> DataFrame:

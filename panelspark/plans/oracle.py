@@ -5,7 +5,7 @@ from __future__ import annotations
 from panelspark.operators import factors
 from panelspark.operators.concentration import RULES
 from panelspark.operators.positions import AGGRESSIVE_VOL, CURRENT_VOL, FIELD_VOL
-from panelspark.plans.queries import CONTEST, LOOKAHEAD_CUTS, N_NAMES, N_RANDOM, TRADING, WF
+from panelspark.plans.queries import LOOKAHEAD_CUTS, N_NAMES, N_RANDOM, SHORT_LOOKBACK, TRADING, WF, WINDOW
 
 ORACLES: dict[str, str] = {}
 
@@ -625,7 +625,7 @@ sig AS (SELECT strategy AS run_id, date AS decision_date, ticker, 1.0::DOUBLE AS
   {q6('dsr_z')} AS dsr_z, {q6(PHI)} AS dsr, 3 AS n_trials_declared FROM (SELECT *, {psr_z(3)} AS dsr_z FROM mt)""")
 
 # ---- concentrated portfolios
-_h, _lb, _seed = CONTEST.horizon, CONTEST.lookback, CONTEST.seed
+_h, _lb, _seed = WINDOW.horizon, WINDOW.lookback, WINDOW.seed
 
 
 def unit(*keys: str) -> str:
@@ -659,13 +659,17 @@ ALL_SPAN = "SELECT 'all' AS span, min(i) AS a, max(i) + 1 AS b FROM study"
 
 def folios(ks) -> str:
     return f""", pf AS (SELECT span, date, i, rule, k, {r10('avg(fwd)')} AS pr FROM (
-  SELECT *, row_number() OVER (PARTITION BY span, i, rule ORDER BY score DESC, ticker) AS pl FROM rsc), (VALUES {', '.join(f'({k})' for k in ks)}) v(k)
+  SELECT *, row_number() OVER (PARTITION BY span, i, rule ORDER BY score DESC, {unit(str(_seed), "'tie'", 'rule', 'date', 'ticker')}, ticker) AS pl FROM rsc), (VALUES {', '.join(f'({k})' for k in ks)}) v(k)
   WHERE pl <= k GROUP BY span, date, i, rule, k)"""
 
 
 sql("window_returns", WINDOWS, f"SELECT date, ticker, {r6('fwd')} FROM pv WHERE fwd IS NOT NULL")
-sql("rule_scores", WINDOWS + offers(ALL_SPAN, CONTEST.field_k + 5), f"SELECT date, ticker, rule, {r6('score')} FROM rsc")
-sql("leaderboard", WINDOWS + offers(ALL_SPAN, CONTEST.field_k + 5) + folios((1, 3, 5)) + """, lb AS (
+sql("rule_scores", WINDOWS + offers(ALL_SPAN, WINDOW.min_names), f"SELECT date, ticker, rule, {r6('score')} FROM rsc")
+sql("rule_scores_short", STUDY + f""", off AS (SELECT date, i, ticker, eligible, fwd FROM (SELECT *, {at('adj_close', _h)} / adj_close - 1 AS fwd FROM study) WHERE eligible AND fwd IS NOT NULL),
+cd AS (SELECT * FROM (SELECT off.*, count(*) OVER (PARTITION BY i) AS nn FROM off, (SELECT min(i) AS a, max(i) + 1 AS b FROM study)
+  WHERE i >= a + {SHORT_LOOKBACK} + 1 AND i < b - {_h} - 1) WHERE nn >= {WINDOW.min_names})""",
+    f"""SELECT date, ticker, rule, {q6(unit(str(_seed), 'date', 'ticker'))} AS score FROM cd, (VALUES {', '.join(f"('{r}')" for r in RULES)}) v(rule)""")
+sql("leaderboard", WINDOWS + offers(ALL_SPAN, WINDOW.min_names) + folios((1, 3, 5)) + """, lb AS (
   SELECT *, rank() OVER (PARTITION BY i ORDER BY pr DESC) - 1 AS beaten_by, count(*) OVER (PARTITION BY i, pr) - 1 AS tied FROM pf)""",
     f"""SELECT date, rule, k, {q6('pr')} AS portfolio_return, beaten_by, tied, {q6('CASE WHEN beaten_by = 0 THEN 1.0::DOUBLE / (tied + 1) ELSE 0 END')} AS win_credit,
   beaten_by < 3 AS top3 FROM lb""")

@@ -11,15 +11,15 @@ from panelspark.operators import (backtest, baselines, baserates, calendar as ca
                                   ordering, positions, quality, reconcile, repair, timejoin, universe, walkforward)
 from panelspark.operators.literals import rows, setting_rows
 from panelspark.scratch import materialise, scratch_path
-from panelspark.schemas import BANK_LOW, BROKERS, BacktestConfig, ContestConfig
+from panelspark.schemas import BANK_LOW, BROKERS, BacktestConfig, WindowConfig
 from panelspark.sources import ingest, listtext, payload, sinks, tables
 from panelspark.streaming import bars as stream_bars, quotes as stream_quotes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 TRADING = BacktestConfig(capital=10_000.0, rebalance="ME", broker=BANK_LOW, max_positions=5)
-CONTEST = ContestConfig(n_entrants=50, horizon=13, k=1, field_k=5, rule="momentum", n_trials=200, lookback=26, seed=41,
-                        field_mix=((1, 0.1), (3, 0.4), (5, 0.5)))
+WINDOW = WindowConfig(horizon=13, lookback=26, min_names=10, seed=41)
+SHORT_LOOKBACK = 8  # too short for any rule
 N_RANDOM, N_NAMES = 200, 3
 WF = {"n_folds": 5, "train_months": 24, "test_months": 6, "holdout_months": 12}
 GAP_DAYS, MIN_BARS = tables.WEEKLY_GAP_DAYS, 290
@@ -833,27 +833,34 @@ def holdout(spark, sf):
 
 # ---- concentrated portfolios
 
-def _offers(spark, sf):
+def _scores(spark, sf, lookback=WINDOW.lookback):
     panel = study(spark, sf)
-    starts = concentration.start_range(concentration.spans_all(panel), CONTEST.horizon, CONTEST.lookback)
-    windows = concentration.window_rows_table(panel, CONTEST.horizon, CONTEST.lookback)
-    return concentration.candidates(windows, starts, CONTEST.field_k + concentration.SPARE_NAMES)
+    starts = concentration.start_range(concentration.spans_all(panel), WINDOW.horizon, lookback)
+    windows = concentration.window_rows_table(panel, WINDOW.horizon, lookback)
+    offers = concentration.candidates(windows, starts, WINDOW.min_names)
+    return concentration.rule_scores(offers, concentration.RULES, WINDOW.seed, lookback)
 
 
 @query
 def window_returns(spark, sf):
-    out = study(spark, sf).withColumn("fwd", concentration.window_return(CONTEST.horizon)).filter(F.col("fwd").isNotNull())
+    out = study(spark, sf).withColumn("fwd", concentration.window_return(WINDOW.horizon)).filter(F.col("fwd").isNotNull())
     return rounded(out.select(*KEY, "fwd"), "fwd")
 
 
 @query
 def rule_scores(spark, sf):
-    return rounded(concentration.rule_scores(_offers(spark, sf), concentration.RULES, CONTEST.seed).select(*KEY, "rule", "score"), "score")
+    return rounded(_scores(spark, sf).select(*KEY, "rule", "score"), "score")
+
+
+@query
+def rule_scores_short(spark, sf):
+    """Under ten dates of history every rule scores at random."""
+    return rounded(_scores(spark, sf, SHORT_LOOKBACK).select(*KEY, "rule", "score"), "score")
 
 
 @query
 def leaderboard(spark, sf):
-    held = concentration.top_k_portfolios(concentration.rule_scores(_offers(spark, sf), concentration.RULES, CONTEST.seed), (1, 3, 5))
+    held = concentration.top_k_portfolios(_scores(spark, sf), (1, 3, 5), WINDOW.seed)
     return rounded(concentration.leaderboard(held).drop("span", "date_idx"), "portfolio_return", "win_credit")
 
 

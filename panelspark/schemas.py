@@ -66,19 +66,13 @@ class BacktestConfig:
 
 
 @dataclass(frozen=True)
-class ContestConfig:
-    """A study of one concentrated portfolio against a drawn field."""
+class WindowConfig:
+    """Concentrated portfolios over windows: dates held and dates of history, names that have to be on offer, seed of draws."""
 
-    n_entrants: int = 400
     horizon: int = 21
-    k: int = 5
-    field_k: int = 10
-    rule: str = "random"
-    field_rule: str = "random"
-    n_trials: int = 2000
     lookback: int = 60
+    min_names: int = 15
     seed: int = 0
-    field_mix: tuple[tuple[int, float], ...] = ()
 
 
 def require_columns(df: DataFrame, columns: Iterable[str], what: str = "table") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W, functions as F
 
 from panelspark.operators import backtest, baselines, baserates, calendar, concentration, factors, metrics, walkforward
 from panelspark.operators.literals import rows
-from panelspark.schemas import BANK_STD, BacktestConfig, ContestConfig
+from panelspark.schemas import BANK_STD, BacktestConfig
 
 
 def study(spark, series, **kw):

@@ -20,11 +20,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
 
 from panelspark.llm.rows import HASH, ID, keyed, keyed_whole, parts
+from panelspark.llm.textbytes import give_back
 from panelspark.scratch import materialise
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -95,11 +96,25 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     return events.where(F.col("kind") == DROP).select(ID, HASH, "pos").unionByName(late.select(ID, HASH, "pos"))
 
 
-@F.udf(BinaryType())
-def _pack(n_lines, dropped):
-    keep = np.ones(n_lines, bool)
-    keep[dropped or []] = False
-    return zlib.compress(np.packbits(keep).tobytes())
+_BITMAP = f"{ID} BIGINT, {HASH} BIGINT, n_lines BIGINT, n_dropped BIGINT, keep BINARY"
+
+
+def _packed(batches):
+    """Bitmaps of documents from their number of lines and the positions that are dropped (null: none)."""
+    for batch in batches:
+        bits = []
+        for n, dropped in zip(batch.column(2).to_pylist(), batch.column(3)):
+            places = dropped.values
+            if places is None:
+                bits.append(None)
+                continue
+            keep = np.ones(n, bool)
+            keep[places.to_numpy(zero_copy_only=False)] = False
+            bits.append(zlib.compress(np.packbits(keep).tobytes()))
+        sizes = pc.fill_null(pc.list_value_length(batch.column(3)), 0).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), sizes, pa.array(bits, pa.binary())],
+                                         names=[ID, HASH, "n_lines", "n_dropped", "keep"])
+    give_back()
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -108,9 +123,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
              .agg(F.collect_set("pos").alias("dropped")))  # as many as the document has lines
     n_lines = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
     counted = keyed(docs).select(ID, HASH, n_lines.cast("bigint").alias("n_lines")).distinct()
-    joined = counted.join(drops, [ID, HASH], "left")
-    return materialise(joined.select(ID, HASH, "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"),
-                         F.when(F.col("dropped").isNotNull(), _pack("n_lines", "dropped")).alias("keep")), "bitmaps")
+    joined = counted.join(drops, [ID, HASH], "left").select(ID, HASH, "n_lines", "dropped")
+    return materialise(joined.mapInArrow(_packed, _BITMAP), "bitmaps")
 
 
 def unpack(keep: bytes | None, n_lines: int) -> np.ndarray:
@@ -125,27 +139,36 @@ def kept_text(text: str | None, keep: bytes | None) -> str:
     return "\n".join(line for line, bit in zip(lines, unpack(keep, len(lines))) if bit)
 
 
-@F.udf(StringType(), useArrow=True)
-def _kept(text, keep):
-    return kept_text(text, keep)
+SLICE_ROWS = 256
+
+
+def _texts(column: int, digest: bool):
+    """Rows whose text loses the lines that its bitmap (the last column) drops, a few rows at a time."""
 
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(at, SLICE_ROWS)
+                out = []
+                for text, keep in zip(rows.column(column), rows.column(rows.num_columns - 1)):
+                    text, keep = text.as_py(), keep.as_py()
+                    kept = text if keep is None else kept_text(text, keep)
+                    out.append(hashlib.sha256((kept or "").encode()).hexdigest() if digest else kept)
+                columns = [*rows.columns[:column], pa.array(out, pa.string()), *rows.columns[column + 1:-1]]
+                yield pa.RecordBatch.from_arrays(columns, names=rows.schema.names[:-1])
+        give_back()
 
-@F.udf(StringType(), useArrow=True)
-def _kept_hash(text, keep):
-    return hashlib.sha256(kept_text(text, keep).encode()).hexdigest()
+    return run
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with the dropped lines out of their texts; a text that loses nothing, null included, stays as it is."""
-    columns = docs.columns
     joined = keyed_whole(docs).join(bitmaps.select(ID, HASH, F.col("keep").alias("__keep")), [ID, HASH], "left")
-    text = F.when(F.col("__keep").isNull(), F.col("text")).otherwise(_kept("text", "__keep"))
-    return joined.withColumn("text", text).select(columns)
+    return joined.select(*docs.columns, "__keep").mapInArrow(_texts(docs.columns.index("text"), False), docs.schema)
 
 
 def line_digest(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of every row of docs."""
     joined = keyed(docs).join(keep_bitmaps(docs, min_chars), [ID, HASH], "left")
-    whole = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    digest = F.when(F.col("keep").isNull(), whole).otherwise(_kept_hash("text", "keep"))
-    return joined.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+    rows = joined.select("doc_id", "n_lines", "n_dropped", F.col("text").alias("kept_sha256"), "keep")
+    return rows.mapInArrow(_texts(3, True), "doc_id BIGINT, n_lines BIGINT, n_dropped BIGINT, kept_sha256 STRING")

@@ -29,7 +29,8 @@ from panelspark.llm.textbytes import give_back
 from panelspark.scratch import materialise
 
 SHARD_PIECES = 100_000
-_PIECE = f"doc_id BIGINT, {ID} BIGINT, {HASH} BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
+_CUT = f"doc_id BIGINT, {ID} BIGINT, {HASH} BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT"
+_PIECE = f"{_CUT}, row BIGINT"
 
 
 # The tokenizer's own pre-tokens on chunks of printable ASCII without an apostrophe and Latin letters: there, and only
@@ -79,22 +80,12 @@ def chunk_encoder(path: str, cache_size: int = 400_000) -> Callable[[str], bytes
     return encode
 
 
-_encoders: dict[str, Callable[[str], bytes]] = {}
-
-
-def encoder(path: str) -> Callable[[str], bytes]:
-    """One encoder for each Python worker, so that tasks go on with what earlier ones have encoded."""
-    if path not in _encoders:
-        _encoders[path] = chunk_encoder(path)
-    return _encoders[path]
-
-
 def piece_rows(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0) -> DataFrame:
     """One row per piece of every row of docs, with the checksum of its ids."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path)
+        encode = chunk_encoder(tokenizer_path)  # what it remembers goes with the task
         for batch in batches:
             keep, out = [], []
             for i, text in enumerate(batch.column(3)):
@@ -108,9 +99,10 @@ def piece_rows(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int
                 [*(batch.column(i).take(pa.array(keep, pa.int64())) for i in range(3)), pa.array(piece, pa.int32()),
                  *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 names=["doc_id", ID, HASH, "piece", "start", "length", "ids_crc32"])
+        del encode
         give_back()
 
-    return keyed(docs).select("doc_id", ID, HASH, "text").mapInArrow(cut, _PIECE)
+    return keyed(docs).select("doc_id", ID, HASH, "text").mapInArrow(cut, _CUT)
 
 
 def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,13 +138,13 @@ _PLACE = f"{_PIECE}, shard BIGINT, sequence_id BIGINT, offset BIGINT, gap BIGINT
 
 
 def _packed(rows: pd.DataFrame, capacity: int, base: int) -> pd.DataFrame:
-    rows = rows.sort_values(["length", ID, HASH, "piece"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+    rows = rows.sort_values(["length", ID, HASH, "piece", "row"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
     bins, offsets, gaps = pack(rows["length"].to_numpy(), capacity)
     return rows.assign(sequence_id=base + bins, offset=offsets, gap=gaps[bins] if len(gaps) else bins)
 
 
 def _in_shards(pieces: DataFrame, n: int, capacity: int, round_: int) -> DataFrame:
-    shard = F.pmod(F.xxhash64(ID, HASH, "piece"), F.lit(n))
+    shard = F.pmod(F.xxhash64(ID, HASH, "piece", "row"), F.lit(n))
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return _packed(rows, capacity, (int(key[0]) * 2 + round_) << 32)
@@ -163,7 +155,8 @@ def _in_shards(pieces: DataFrame, n: int, capacity: int, round_: int) -> DataFra
 def packed_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of docs."""
     result = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    pieces = materialise(piece_rows(docs, tokenizer_path, capacity), "pieces")
+    # numbered, so that rows that repeat are dealt like others
+    pieces = materialise(piece_rows(docs, tokenizer_path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
     n = max(1, -(-pieces.count() // shard_pieces))
     placed = _in_shards(pieces, n, capacity, 0)
     if n == 1:

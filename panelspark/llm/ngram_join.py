@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.rows import HASH, ID, NULL_ID, keyed, keyed_whole, parts
 from panelspark.llm.suffix_dedup import packed_texts
 from panelspark.llm.textbytes import ALNUM, Slice, frames, give_back, gram_hash, powers, slices, span_hash
-from panelspark.scratch import materialise
+from panelspark.scratch import materialise, release
 
 HASHES, ROWS_PER_BAND, STEP = 128, 4, 16
 BANDS = HASHES // ROWS_PER_BAND
@@ -316,29 +316,35 @@ class Join:
         reps = self.copies.select("rep.*", "n_words", "signature")
         banded = reps.select(ID, HASH, "n_words", F.posexplode("signature").alias("band", "value")).withColumn("band", F.col("band").cast("tinyint"))
         # Most values are one text's: they go by a count of values alone, before rows move.
+        # Joins are merges at every size: none of these tables has a bound below which it could be sent to all tasks.
         often = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1").select("band", "value")
-        met = materialise(banded.join(often, ["band", "value"], "left_semi"), "bucket-members")
+        met = materialise(banded.join(often.hint("merge"), ["band", "value"], "left_semi"), "bucket-members")
         mark = F.xxhash64(ID, HASH).cast("decimal(38,0)")
         buckets = (met.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), F.sum(mark).alias("mark"),
                                                     F.min(F.struct(ID, HASH)).alias("least"))
                    .groupBy("n", "mark", "least").agg(F.min(F.struct("band", "value")).alias("b"), F.first("words").alias("words")))
         blocks = F.greatest(F.ceil(F.col("n") / self.block_docs), F.ceil(F.col("words") / self.block_words)).cast("int")
         buckets = buckets.select(F.col("b.band").alias("band"), F.col("b.value").alias("value"), blocks.alias("blocks"))
-        placed = (met.join(buckets, ["band", "value"])
+        placed = (met.join(buckets.hint("merge"), ["band", "value"])
                   .withColumn("block", F.pmod(F.xxhash64(F.lit(3), F.col(ID), F.col(HASH)), F.col("blocks")).cast("int")))
         placed = materialise(placed.select(ID, HASH, "band", "value", "block", "blocks"), "buckets")
-        some = placed.select(ID, HASH).distinct()
+        release(met)
+        some = placed.select(ID, HASH).distinct().hint("merge")
+        self.read = [placed]
         payload = materialise(shingle_sets(packed_texts(self.docs).join(some, [ID, HASH], "left_semi"), self.n), "shingle-sets")
+        self.read.append(payload)
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         return (placed.select(ID, HASH, "band", "value", "block", other.alias("other"))
                 .select(F.col("value").alias("key"), "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                        ID, HASH, "block").join(payload, [ID, HASH])
+                        ID, HASH, "block").join(payload.hint("merge"), [ID, HASH])
                 .select("key", "band", "i", "j", ID, HASH, "block", "signature", "shingles")
                 .repartition(parts(self.docs.sparkSession), "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j"))
 
     def linked(self) -> DataFrame:
         threshold, least = self.threshold, self.least
-        return materialise(self.units().mapInArrow(lambda b: resolve(b, threshold, least), _LINKED), "linked")
+        linked = materialise(self.units().mapInArrow(lambda b: resolve(b, threshold, least), _LINKED), "linked")
+        release(*self.read)
+        return linked
 
     def pairs(self) -> DataFrame:
         threshold, least = self.threshold, self.least
@@ -396,6 +402,9 @@ def linked_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5, **options)
 
 
 def one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
-    """docs with the smallest document of each group; columns as they are."""
+    """docs with the smallest document of each group, one row of it where rows repeat; columns as they are."""
     gone = classes(docs, threshold, n).where((F.col("label")[ID] != F.col(ID)) | (F.col("label")[HASH] != F.col(HASH)))
-    return keyed_whole(docs).join(gone.select(ID, HASH), [ID, HASH], "left_anti").select(docs.columns)
+    left = keyed_whole(docs).join(gone.select(ID, HASH).hint("merge"), [ID, HASH], "left_anti")
+    # The row kept of those that repeat id and text is the least by its other columns; a hot pair is combined map-side.
+    rest = [F.to_json(F.struct(F.col(c).alias(f"c{i}")), {"ignoreNullFields": "false"}) for i, c in enumerate(docs.columns) if c != "text"]
+    return left.groupBy(ID, HASH).agg(F.min_by(F.struct(*docs.columns), F.array(*rest)).alias("row")).select("row.*")

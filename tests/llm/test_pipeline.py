@@ -42,3 +42,25 @@ def test_pipeline_is_its_operators_one_after_another(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_against_sql(spark, name):
     assert differences(QUERIES[name](spark, SF).toPandas(), connection(SF).execute(ORACLES[name]).fetchdf()) == ""
+
+
+def test_one_row_stays_of_rows_that_repeat(docs_of):
+    """Copies with a null id, rows loaded twice, and copies under ids of their own: one of each group."""
+    from samples import prose
+
+    a, b, c = prose(21, 120), prose(22, 90), prose(23, 80)
+    rows = [(None, a)] * 80 + [(7, b)] * 5 + [(i, c) for i in range(20, 30)] + [(40, None)] * 3 + [(41, "")] * 2
+    docs = docs_of(rows, 6)
+    left = ngram_join.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect() if r.doc_id is not None) == [(7, b), (20, c), (40, None), (41, "")]
+    assert left.where("doc_id is null").count() == 1
+
+
+def test_packing_deals_rows_that_repeat(docs_of, monkeypatch):
+    """Copies of one row go to many shards, and all are packed."""
+    rows = [(1, "same words " * 20)] * 300
+    got = packing.packed_pieces(docs_of(rows, 4), tokenizer_path(), 256, 40)
+    assert got.count() == 300
+    shards = {r.sequence_id >> 33: r["count"] for r in got.groupBy("sequence_id").count().collect()}
+    assert len(shards) >= 6  # of eight

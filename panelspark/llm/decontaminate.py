@@ -90,12 +90,13 @@ class TestBlock:
 
     def __init__(self, ids: list[str], texts: list[str | None], n: int):
         hashes, first, self.ids = [], [0], ids
+        self.depth = max(SORTED_WORDS, n)  # words by which suffixes are ordered: windows have to be found in the order
         for part in slices(pa.array(texts, pa.string())):
             h, f = word_hashes(part)
             hashes.append(h)
             first += list(f[1:] + first[-1])
         first = np.array(first, np.int64)
-        self.hashes = np.concatenate([*hashes, np.zeros(SORTED_WORDS, np.uint64)])
+        self.hashes = np.concatenate([*hashes, np.zeros(self.depth, np.uint64)])
         size = np.diff(first)
         self.item = np.repeat(np.arange(len(size)), size)
         self.left = np.repeat(first[1:], size) - np.arange(first[-1])  # words from here to the item's end
@@ -111,17 +112,17 @@ def search(part: Slice, test: TestBlock):
     n = len(words)
     # A zero after each text, so that no match runs over its end.
     place = np.arange(n) + np.repeat(np.arange(len(part)), np.diff(first))
-    full = np.zeros(n + len(part) + SORTED_WORDS + 1, np.uint64)
+    full = np.zeros(n + len(part) + test.depth + 1, np.uint64)
     full[place] = words | np.uint64(1 << 32)
     tokens = full >> np.uint64(32)
-    array = suffix_array(tokens[:n + len(part)])
+    array = suffix_array(tokens[:n + len(part)], test.depth)
     suffixes = len(test.item)
     longest, where = np.zeros(suffixes, np.int64), np.full(suffixes, -1, np.int64)
     alive = np.arange(suffixes)
     lo, hi = np.zeros(suffixes, np.int64), np.full(suffixes, len(array), np.int64)
     places, tests = [], []
     wanted = (test.hashes | np.uint64(1 << 32)) >> np.uint64(32)
-    for depth in range(SORTED_WORDS):
+    for depth in range(test.depth):
         more = test.left[alive] > depth
         alive, lo, hi = alive[more], lo[more], hi[more]
         value = wanted[alive + depth]
@@ -143,7 +144,7 @@ def search(part: Slice, test: TestBlock):
             tests.append(of[same])
     for s, a, b in zip(alive, lo, hi):  # matches longer than the array's order: the few that are left are walked
         for p in array[a:b]:
-            k = SORTED_WORDS
+            k = test.depth
             while k < test.left[s] and tokens[p + k] == wanted[s + k]:
                 k += 1
             if k > longest[s]:
@@ -192,7 +193,7 @@ def merged(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def test_blocks(benchmark: DataFrame, n: int, block_bytes: int) -> Iterator[TestBlock]:
     """The test set, at most about ``block_bytes`` of text at a time; every item is in one block."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), "text")
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"), "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for b in range(blocks):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from panelspark.functions.prices import row_return
+from panelspark.operators.timejoin import within_days
 
 CLOSE_TOL = 0.005
 ADJ_TOL = 0.02
@@ -62,8 +63,7 @@ def splits_missing(panel: DataFrame, events: DataFrame, tol: float = 0.05,
     bars = panel.select("ticker", F.col("date").alias("bar_date"), row_return().alias("adj_ret")).filter(
         F.col("adj_ret").isNotNull())
     ev = events.select("ticker", "date", "value")
-    days = F.date_diff("bar_date", "date")
-    near = bars.join(ev, "ticker").filter(days.between(-45, 5))
+    near = within_days(bars, ev, "ticker", "bar_date", "date", 45, 5)
     step = near.groupBy("ticker", "date", "value").agg(
         F.max_by("adj_ret", F.struct(F.abs("adj_ret"), -F.unix_date("bar_date"))).alias("adj_step"))
     implied = F.when(F.col("adj_step") < 0, F.try_divide(F.lit(1.0), 1.0 + F.col("adj_step"))).otherwise(1.0 + F.col("adj_step"))

@@ -94,8 +94,8 @@ def split_candidates(panel: DataFrame) -> DataFrame:
         is_true((F.col("prev_close") >= MIN_SPLIT_PRICE) & (moved >= TICK * MIN_TICKS_MOVED)).alias("price_ok"))
 
 
-def detect_splits(panel: DataFrame, events: DataFrame | None = None, recorded: Column | None = None) -> DataFrame:
-    """Candidates with ``is_split``; with a record, only confirmed steps qualify (where ``recorded``, if given)."""
+def detect_splits(panel: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Candidates with ``is_split``; with a record, only confirmed steps qualify."""
     big = split_candidates(panel)
     gates = F.col("ratio_ok") & F.col("volume_ok") & F.col("stable_after") & F.col("price_ok")
     if events is None:
@@ -111,7 +111,7 @@ def detect_splits(panel: DataFrame, events: DataFrame | None = None, recorded: C
     out = big.join(matched, ["ticker", "date", "move"], "left")
     confirmed = F.col("_m.implied").isNotNull()
     return out.select(*big.columns, confirmed.alias("confirmed"), F.col("_m.implied").alias("recorded_ratio"),
-                      (gates & (confirmed if recorded is None else confirmed | ~recorded)).alias("is_split"))
+                      (gates & confirmed).alias("is_split"))
 
 
 def apply_split_adjustment(panel: DataFrame, splits: DataFrame) -> DataFrame:
@@ -157,23 +157,22 @@ def repair(panel: DataFrame, events: DataFrame | None = None, fix_splits: bool =
     """
     out = panel
     located = None
+    # A record without a usable action is no record: the detector decides.  One row tells, and spares a record's panel the detector's windows.
+    recorded = events is not None and not clean_events(events).isEmpty()
     if events is not None:
-        # A record without a usable action is no record: the detector decides.  Which of the two holds is a scalar of the
-        # plan, so nothing runs while it is built.
-        recorded = clean_events(events).agg(F.count("*").alias("n")).select((F.col("n") > 0).alias("has")).scalar()
         located = materialise(locate_recorded_splits(out, events), "located")
-        confirmed = located.filter("needs_repair").select("ticker", "date", "ratio", F.col("observed_step").alias("move"))
-        detected = detect_splits(out).filter("is_split").filter(~recorded).select("ticker", "date", "ratio", "move")
-        fixed = confirmed.unionByName(detected)
+    if recorded:
+        fixed = located.filter("needs_repair").select("ticker", "date", "ratio", F.col("observed_step").alias("move"))
         if fix_splits:  # stored: everything below reads the adjusted panel, and none of it adjusts again
             out = materialise(apply_split_adjustment(out, fixed), "adjusted")
-        judged = detect_splits(out, events, recorded)
-        suspects = judged.filter(~F.col("is_split"))
+        suspects = detect_splits(out, events).filter(~F.col("is_split"))
     else:
-        found = detect_splits(out)
+        found = materialise(detect_splits(out), "candidates")
         fixed, suspects = found.filter("is_split"), found.filter(~F.col("is_split"))
         if fix_splits:
             out = materialise(apply_split_adjustment(out, fixed), "adjusted")
+            if events is not None:  # what an empty record leaves in doubt is judged on the adjusted panel
+                suspects = detect_splits(out).filter(~F.col("is_split"))
     unadjusted = find_unadjusted(out)
     quarantined = unadjusted if quarantine_unadjusted else unadjusted.limit(0)
     # flags on the ticker partitioning the adjustment leaves behind: no further exchange

@@ -12,22 +12,24 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from panelspark.scratch import materialise
 
 
-def within_days(left: DataFrame, right: DataFrame, key: str, left_on: str, right_on: str, days: int) -> DataFrame:
-    """Pairs of rows of one key whose dates lie at most ``days`` apart; the columns of both sides have different names.
+def within_days(left: DataFrame, right: DataFrame, key: str, left_on: str, right_on: str, days: int, after: int | None = None) -> DataFrame:
+    """Pairs of rows of one key: the left date lies at most ``days`` before the right one, or ``after`` (else also ``days``) after it.
 
-    Time is cut into bins of 2 * days + 1 days.  A left row lies in one bin, and the reach of a right row in at most two, to which it is
+    The columns of both sides have different names.  Time is cut into bins as long as a right row's reach.  A left row lies in one
+    bin, and the reach of a right row in at most two, to which it is
     copied; so this is an equi-join on (key, bin) with an exact filter, each pair is found once, and a key with very many rows is as many
     groups as there are bins in its history.  A null key or date pairs with nothing.
     """
-    width = 2 * days + 1
+    after = days if after is None else after
+    width = days + after + 1
 
     def bin_of(date: Column) -> Column:
         return F.floor(F.unix_date(date) / width)
 
-    reach = F.array_distinct(F.array(bin_of(F.date_sub(right_on, days)), bin_of(F.date_add(right_on, days))))
+    reach = F.array_distinct(F.array(bin_of(F.date_sub(right_on, days)), bin_of(F.date_add(right_on, after))))
     near = right.withColumn("_bin", F.explode(reach))
     mine = left.withColumn("_bin", bin_of(F.col(left_on)))
-    return (mine.join(near, [key, "_bin"]).filter(F.abs(F.date_diff(left_on, right_on)) <= days)
+    return (mine.join(near, [key, "_bin"]).filter(F.date_diff(left_on, right_on).between(-days, after))
             .select(*left.columns, *[c for c in right.columns if c != key]))
 
 

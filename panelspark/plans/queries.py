@@ -263,8 +263,8 @@ def streamed_bars(spark, sf):
 
 @query
 def streamed_bars_late(spark, sf):
-    """The same with a watermark: trades may come up to twenty years late in a replay of unordered files."""
-    return stream_bars.run_bars_stream(spark, sf, late="7300 days")
+    """Replayed in order of time: bars that no trade within two weeks can change are closed, and their state is freed."""
+    return stream_bars.run_bars_replay(spark, sf, late="14 days")
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,16 +15,10 @@ from panelspark.sources.ingest import upsert_fresh_wins
 from panelspark.sources.tables import line_bars, line_ticks, ticker_of
 
 
-def ticks_stream(spark: SparkSession, sf_dir: str, late: str | None = None) -> DataFrame:
-    """Order lines as a stream of trades.
-
-    ``late`` sets a watermark for a live feed, which frees the state of closed
-    bars; a replay of unordered files has none, so that no trade is dropped.
-    """
+def ticks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as a stream of trades.  Files that hold all times have no watermark, so that no trade is dropped."""
     schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    lines = spark.readStream.schema(schema).parquet(f"{sf_dir}/lineitem.parquet*")  # a file, or a folder of files
-    ticks = line_ticks(lines)
-    return ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else ticks
+    return line_ticks(spark.readStream.schema(schema).parquet(f"{sf_dir}/lineitem.parquet*"))  # a file, or a folder of files
 
 
 def upsert_batches(bars: DataFrame, path: str, checkpoint: str, spark: SparkSession):
@@ -113,10 +108,38 @@ def _drop_superseded(spark: SparkSession, path: str, batch_id: int) -> None:
             files.delete(at("_manifest", f"{b:012d}.json"), False)
 
 
-def run_bars_stream(spark: SparkSession, sf_dir: str, late: str | None = None) -> DataFrame:
+def replay_by_time(spark: SparkSession, sf_dir: str, path: str, late: str, pieces: int) -> Iterator[dict]:
+    """Order lines land in order of time, piece after piece, and each is drained into the table at ``path``; yields each drain's progress.
+
+    As on a live feed, a watermark of ``late`` frees the state of bars that are closed.
+    """
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(F.col("l_shipdate").isNotNull())
+    source, checkpoint = scratch_path(spark, "landed"), scratch_path(spark, "bars-progress")
+    day = F.unix_date(F.col("l_shipdate").cast("date"))
+    first, last = lines.agg(F.min(day), F.max(day)).first()
+    if first is None:
+        return
+    step = -(-(last + 1 - first) // pieces)
+    for i in range(pieces):
+        lines.filter((day >= first + i * step) & (day < first + (i + 1) * step)).write.parquet(f"{source}/{i}")
+        stream = spark.readStream.schema(lines.schema).option("recursiveFileLookup", True).parquet(source)
+        ticks = line_ticks(stream).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+        query = upsert_batches(line_bars(ticks), path, checkpoint, spark)
+        query.awaitTermination()
+        yield query.lastProgress
+
+
+def run_bars_replay(spark: SparkSession, sf_dir: str, late: str, pieces: int = 4) -> DataFrame:
+    path = scratch_path(spark, "bars")
+    for _ in replay_by_time(spark, sf_dir, path, late, pieces):
+        pass
+    return read_upserted(spark, path)
+
+
+def run_bars_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drain the trades available now into the upserted bar table and read it."""
     path, checkpoint = scratch_path(spark, "bars"), scratch_path(spark, "bars-progress")
-    upsert_batches(line_bars(ticks_stream(spark, sf_dir, late)), path, checkpoint, spark).awaitTermination()
+    upsert_batches(line_bars(ticks_stream(spark, sf_dir)), path, checkpoint, spark).awaitTermination()
     return read_upserted(spark, path)
 
 

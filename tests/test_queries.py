@@ -130,6 +130,14 @@ def test_quotes_go_stale_without_a_new_one(spark, tmp_path):
     assert len([g for g in got if g[0] in "AB"]) == 2
 
 
+def test_a_replay_frees_closed_bars(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in stream_bars.replay_by_time(spark, SF, path, "14 days", 4)]
+    table = stream_bars.read_upserted(spark, path)
+    tickers, bars_ = table.select("ticker").distinct().count(), table.count()
+    assert len(held) == 4 and max(held) <= 4 * tickers < bars_ / 4
+
+
 def test_streams_read_tables_of_many_files(spark, tmp_path):
     for name in ("lineitem", "events"):
         spark.read.parquet(f"{SF}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))

@@ -27,6 +27,9 @@ def test_within_days_against_brute_force(spark):
         want = sorted((x[2], y[2]) for x in left for y in right
                       if x[0] and x[0] == y[0] and x[1] and y[1] and abs((x[1] - y[1]).days) <= days)
         assert got == want, days
+    got = sorted((r.l, r.r) for r in timejoin.within_days(a, b, "ticker", "date", "at", 9, 2).collect())
+    assert got == sorted((x[2], y[2]) for x in left for y in right
+                         if x[0] and x[0] == y[0] and x[1] and y[1] and -9 <= (x[1] - y[1]).days <= 2)
 
 
 def test_a_ticker_of_many_events_is_joined_by_bins(spark):

@@ -78,12 +78,13 @@ def read_csv(spark: SparkSession, path: str, schema: str, bad: str = "bad_record
             .option("columnNameOfCorruptRecord", bad).csv(path))
 
 
-def load_membership(spark: SparkSession, path: str) -> DataFrame:
-    """Membership snapshots from CSV; codes stay strings, lines without a date are left out."""
+def load_membership(spark: SparkSession, path: str, skip_undated: bool = False) -> DataFrame:
+    """Membership snapshots from CSV; codes stay strings.  A date that doesn't read is an error, or its line is left out."""
     found = spark.read.option("header", True).csv(path)  # other columns may stand beside these two, in any order
     require_columns(found, ["list_date", "ticker"], path)
-    dated = found.withColumn("list_date", F.col("list_date").try_cast("date")).filter(F.col("list_date").isNotNull())
-    return clean_membership(dated)
+    if skip_undated:
+        found = found.withColumn("list_date", F.col("list_date").try_cast("date")).filter(F.col("list_date").isNotNull())
+    return clean_membership(found)
 
 
 def clean_membership(lists: DataFrame) -> DataFrame:

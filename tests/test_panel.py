@@ -273,6 +273,10 @@ def test_unlike_files_and_broken_lines(spark, tmp_path):
     one = ingest.events_profile(read).first()
     assert (one.n_lines, one.n_bad, one.n_tickers, one.n_usable) == (3, 2, 3, 1)
     assert {r.bad_record for r in read.collect()} == {None, "soon,0002,1.5", "2024-01-04,0003,half"}
+    (tmp_path / "m.csv").write_text("ticker,list_date\n0001,2024-05-30\n0002,n/a\n")
+    assert [r.ticker for r in ingest.load_membership(spark, str(tmp_path / "m.csv"), skip_undated=True).collect()] == ["0001.KL"]
+    with pytest.raises(Exception, match="n/a"):
+        ingest.load_membership(spark, str(tmp_path / "m.csv")).collect()
 
 
 def test_samples_are_the_smallest_of_each_check_in_one_scan(spark):

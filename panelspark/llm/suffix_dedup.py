@@ -13,11 +13,12 @@ exchange.  So neither a passage nor a group of copies with a third of all suffix
 
 Texts are UTF-8 bytes; strings never cross documents.  Defined results: null counts as empty; texts
 shorter than ``length`` lose nothing; rows that repeat are documents of their own, so all their
-windows repeat.  Windows are told apart by 64-bit hashes inside buckets.
+windows repeat: they are met once, and lose all their bytes.  Windows are told apart by 64-bit hashes inside buckets.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +27,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.rows import HASH, ID, keyed, keyed_whole
+from panelspark.llm.rows import HASH, ID, keyed, keyed_whole, parts
 from panelspark.llm.textbytes import Slice, frames, give_back, ranges, span_hash
-from panelspark.scratch import materialise
+from panelspark.scratch import materialise, release
 
 GRAM = 150
 BUCKET_SUFFIXES = 12_000
 #: Bytes of a suffix by which ranges are split; then its substring's hash, so that a class stays together, then its place.
 LEADING = 16
 SECTION = 1 << 21
+#: Ranges for each shuffle partition, suffixes that make it worth a range, suffixes sampled for each range, and the share of all
+#: anchors (one in so many) that makes a substring hot.
+RANGES_PER_PART, LEAST_RANGE, SAMPLE_PER_RANGE, HOT_SHARE = 4, 2000, 300, 1000
 _PLACE_BITS = np.uint64(24)
 
 
@@ -110,11 +114,34 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     return keyed(docs).select(ID, HASH, "text").mapInArrow(scan, f"{ID} BIGINT, {HASH} BIGINT, packed BINARY")
 
 
-_SUFFIX = f"{ID} BIGINT, {HASH} BIGINT, low INT, lead INT, bytes BINARY, gram BIGINT"
+_SUFFIX = f"range INT, {ID} BIGINT, {HASH} BIGINT, low INT, lead INT, bytes BINARY, gram BIGINT"
+_FLIP = 1 << 63
 
 
-def suffix_rows(batches, length: int) -> Iterator[pa.RecordBatch]:
-    """For each anchor the bytes of its windows; ``lead``: bytes before the anchor, ``low``: where the first window starts."""
+def suffix_keys(text: bytes, doc: int, hash_: int, runs: list[dict]) -> list[bytes]:
+    """What orders suffixes: leading bytes, substring, place; as bytes that compare alike."""
+    tail = (doc + _FLIP).to_bytes(8, "big") + (hash_ + _FLIP).to_bytes(8, "big")
+    return [text[r["place"]:r["place"] + LEADING] + (r["gram"] + _FLIP).to_bytes(8, "big") + tail + r["low"].to_bytes(4, "big") for r in runs]
+
+
+def sampled_keys(batches) -> Iterator[pa.RecordBatch]:
+    unpress = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for d, h, z, runs in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            yield pa.RecordBatch.from_arrays([pa.array(suffix_keys(unpress.decompress(z), d, h, runs), pa.binary())], names=["key"])
+    give_back()
+
+
+def splitters(touched: DataFrame, n: int, ranges_: int) -> list[bytes]:
+    """Keys that deal the suffixes into ranges of about one size, from texts chosen by hash: so many for each range."""
+    share = max(1, n // (ranges_ * SAMPLE_PER_RANGE))
+    sample = touched.where(F.pmod(F.xxhash64(F.lit(5), ID, HASH), F.lit(share)) == 0).mapInArrow(sampled_keys, "key BINARY")
+    keys = sorted(bytes(r.key) for r in sample.sort(F.xxhash64("key")).limit(4 * ranges_ * SAMPLE_PER_RANGE).collect())
+    return [keys[len(keys) * i // ranges_] for i in range(1, ranges_)] if keys else []
+
+
+def suffix_rows(batches, length: int, cuts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """For each anchor its range and the bytes of its windows; ``lead``: bytes before the anchor, ``low``: where the first window starts."""
     unpress = zstandard.ZstdDecompressor()
     for batch in batches:
         ids, hashes, packed, found = (batch.column(i).to_pylist() for i in range(4))
@@ -122,9 +149,11 @@ def suffix_rows(batches, length: int) -> Iterator[pa.RecordBatch]:
             text = unpress.decompress(z)
             own = [text[r["low"]:r["high"] + length] for r in runs]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([d] * len(runs), pa.int64()), pa.array([h] * len(runs), pa.int64()), pa.array([r["low"] for r in runs], pa.int32()),
+                [pa.array([bisect_right(cuts, k) for k in suffix_keys(text, d, h, runs)], pa.int32()),
+                 pa.array([d] * len(runs), pa.int64()), pa.array([h] * len(runs), pa.int64()), pa.array([r["low"] for r in runs], pa.int32()),
                  pa.array([r["place"] - r["low"] for r in runs], pa.int32()), pa.array(own, pa.binary()), pa.array([r["gram"] for r in runs], pa.int64())],
-                names=[ID, HASH, "low", "lead", "bytes", "gram"])
+                names=["range", ID, HASH, "low", "lead", "bytes", "gram"])
+    give_back()
 
 
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
@@ -163,11 +192,25 @@ def _events(kind, doc, text, a, b, window) -> pa.RecordBatch:
                                       (np.int8, np.int64, np.int64, np.int32, np.int32, np.int64))], names=["kind", ID, HASH, "a", "b", "window"])
 
 
-def bucket(batches, length: int) -> Iterator[pa.RecordBatch]:
-    """One range of suffixes: spans that repeat inside it, and the windows of its first and last class."""
-    rows = [b for b in batches if b.num_rows]  # one bucket: the rows between two splitters
-    if not rows:
-        return
+def buckets(batches, length: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes in buckets of ``size``: where a bucket ends inside a class, the class goes on in the next one."""
+    held, n = [], 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, min(size - n, batch.num_rows - at))
+            held.append(part)
+            at, n = at + part.num_rows, n + part.num_rows
+            if n == size:
+                yield from bucket(held, length)
+                held, n = [], 0
+    if held:
+        yield from bucket(held, length)
+    give_back()
+
+
+def bucket(rows: list[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive suffixes: spans that repeat among them, and the windows of their first and last class."""
     table = pa.Table.from_batches(rows)
     doc, text, low, lead = (table.column(i).to_numpy() for i in range(4))
     grams = table.column(5).to_numpy()
@@ -251,23 +294,34 @@ def bucket(batches, length: int) -> Iterator[pa.RecordBatch]:
         row = look[owner[pick]]
         yield _events(np.where(repeated[pick], SEEN, WINDOW), doc[row], text[row], start[pick], start[pick] + length, hashes[pick])
     del table, own, data, hashes, owner, start, by, repeated, new
-    give_back()
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, bucket_suffixes: int = BUCKET_SUFFIXES) -> tuple[DataFrame, DataFrame]:
     """(id, text hash, a, b) spans of bytes to remove, overlapping; and (id, text hash, packed) of the texts they may be in."""
+    spark = docs.sparkSession
     found = materialise(anchor_rows(docs, length), "anchors")
-    often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    runs = found.join(often, "gram", "left_semi").groupBy(ID, HASH).agg(F.collect_list(F.struct("place", "low", "high", "gram")).alias("runs"))
-    touched = materialise(packed_texts(docs).join(runs, [ID, HASH]).select(ID, HASH, "packed", "runs"), "touched")
-    suffixes = touched.mapInArrow(lambda b: suffix_rows(b, length), _SUFFIX)
-    leading = F.substring("bytes", F.col("lead") + 1, F.lit(LEADING))
+    often = materialise(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    total = found.count()
+    # Substrings that hold more than a thousandth of all anchors: a thousand at most.  Their rows need no exchange to know it.
+    hot = F.broadcast(often.where(F.col("n") * HOT_SHARE > total).select("gram"))
+    cold = found.join(hot, "gram", "left_anti").join(often.where(F.col("n") * HOT_SHARE <= total).select("gram"), "gram", "left_semi")
+    runs = (found.join(hot, "gram", "left_semi").unionByName(cold).groupBy(ID, HASH)
+            .agg(F.collect_set(F.struct("place", "low", "high", "gram")).alias("runs")))  # a set: of rows that repeat, one
+    touched = materialise(packed_texts(docs).join(runs, [ID, HASH]).select(ID, HASH, "packed", "runs").dropDuplicates([ID, HASH]), "touched")
+    release(found, often)
     n = touched.agg(F.sum(F.size("runs"))).first()[0] or 0
-    ranged = suffixes.repartitionByRange(max(1, -(-n // bucket_suffixes)), leading, "gram", ID, HASH, "low")
-    events = materialise(ranged.mapInArrow(lambda b: bucket(b, length), _EVENT), "repeats")
+    ranges_ = max(1, min(RANGES_PER_PART * parts(spark), n // LEAST_RANGE))
+    cuts = splitters(touched, n, ranges_)
+    leading = F.substring("bytes", F.col("lead") + 1, F.lit(LEADING))
+    suffixes = touched.mapInArrow(lambda b: suffix_rows(b, length, cuts), _SUFFIX)
+    ranged = suffixes.repartition(parts(spark), "range").sortWithinPartitions("range", leading, "gram", ID, HASH, "low").drop("range")
+    events = materialise(ranged.mapInArrow(lambda b: buckets(b, length, bucket_suffixes), _EVENT), "repeats")
+    size = F.max(F.octet_length("text")).alias("b")
+    twice = keyed(docs).groupBy(ID, HASH).agg(F.count("*").alias("n"), size).where((F.col("n") > 1) & (F.col("b") >= length))
     shared = events.where(F.col("kind") != SPAN).groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
     across = events.where(F.col("kind") == WINDOW).join(shared, "window", "left_semi")
-    return events.where(F.col("kind") == SPAN).select(ID, HASH, "a", "b").unionByName(across.select(ID, HASH, "a", "b")), touched
+    spans = events.where(F.col("kind") == SPAN).select(ID, HASH, "a", "b").unionByName(across.select(ID, HASH, "a", "b"))
+    return spans.unionByName(twice.select(ID, HASH, F.lit(0).alias("a"), "b")), touched
 
 
 def joined_spans(spans: list[dict]) -> list[tuple[int, int]]:

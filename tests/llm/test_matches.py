@@ -53,6 +53,15 @@ def test_contamination_against_brute_force(spark, docs_of, block_bytes):
     assert got == expected_contamination(rows, items())
 
 
+@pytest.mark.parametrize("n", [16, 17, 20, 40])
+def test_windows_longer_than_the_order_of_suffixes(spark, docs_of, n):
+    rows = mean_rows()
+    tests = spark.createDataFrame(items(), "item_id BIGINT, text STRING")
+    want = expected_contamination(rows, items(), n)
+    assert sorted(map(tuple, decontaminate.contamination_digest(docs_of(rows), tests, n).collect()), key=str) == want
+    assert any(hit >= n for _, _, hit, *_ in want)
+
+
 def test_contaminated_documents_go(spark, docs_of):
     docs, tests = docs_of(mean_rows()), spark.createDataFrame(items(), "item_id BIGINT, text STRING")
     left = decontaminate.decontaminated(docs, tests)
@@ -109,6 +118,18 @@ def test_repeats_of_nothing_and_whole_texts(docs_of):
     assert left == {1: "", 2: "", 3: "short"}
 
 
+def test_rows_that_repeat_are_met_once(docs_of):
+    """A hundred equal rows: they lose everything, and the work is one row's."""
+    rows = [(None, prose(31, 300))] * 100 + [(i, prose(40 + i, 120)) for i in range(5)] + [(9, "short")] * 4
+    docs = docs_of(rows, 5)
+    got = [tuple(r) for r in suffix_dedup.repeat_digest(docs, 400, 50).collect()]
+    assert len(got) == len(rows)
+    for doc, n_bytes, removed, spans, _ in got:
+        assert (removed, spans) == ((n_bytes, 1) if doc is None else (0, 0)), doc
+    _, touched = suffix_dedup.repeated_spans(docs, 400, 50)
+    assert touched.count() == 1 and len(touched.first().runs) < 60
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(2)
     m = rng.integers(0, 3, (3000, 6)).astype(np.uint64)

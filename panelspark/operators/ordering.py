@@ -55,16 +55,16 @@ def average_rank_pcts(df: DataFrame, group: Sequence[str], values: Sequence[str]
 
     Adds pct_<value> (null for a null value) and n_<value>, the non-null count.
 
-    All columns are ordered in one range pass that carries the rows, so nothing is joined on a value, and rows of one value may lie in
+    All columns are ordered in one range pass that carries the rows (or their numbers), so nothing is joined on a value, and rows of one value may lie in
     several slices: within a slice a window counts smaller and equal rows, and only the first and last value of a slice can go on in its
     neighbours.  Those, two a slice and group, are settled in a second pass over slices.
     """
     group, values = list(group), list(values)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stored = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "ranked")
-    # one row for each column to rank; the first carries the whole row
-    copies = F.array(*[F.struct(F.lit(i).alias("_which"), F.col(v).cast("double").alias("_v"), F.when(F.lit(i == 0), F.struct(*df.columns)).alias("_all"))
-                       for i, v in enumerate(values)])
+    # one row for each column to rank; one column alone carries the whole row, several carry its number
+    carried = [F.struct(*df.columns).alias("_all")] if len(values) == 1 else []
+    copies = F.array(*[F.struct(F.lit(i).alias("_which"), F.col(v).cast("double").alias("_v"), *carried) for i, v in enumerate(values)])
     key = [*group, "_which"]
     ranged = (stored.select(*group, "_row", F.explode(copies).alias("_x")).select(*group, "_row", "_x.*")
               .repartitionByRange(parts, *key, "_v", "_row").withColumn("_slice", F.spark_partition_id()))
@@ -100,8 +100,7 @@ def average_rank_pcts(df: DataFrame, group: Sequence[str], values: Sequence[str]
     if len(values) == 1:
         return out.select("_all.*", F.col("_pct").alias(f"pct_{values[0]}"), F.col("_n").alias(f"n_{values[0]}"))
     picked = [F.max(F.when(F.col("_which") == i, F.col(c))).alias(f"{name}_{v}") for i, v in enumerate(values) for c, name in (("_pct", "pct"), ("_n", "n"))]
-    whole = out.groupBy("_row").agg(F.max_by("_all", -F.col("_which")).alias("_all"), *picked)
-    return whole.select("_all.*", *[f"{name}_{v}" for v in values for name in ("pct", "n")])
+    return stored.join(out.groupBy("_row").agg(*picked), "_row").select(*df.columns, *[f"{name}_{v}" for v in values for name in ("pct", "n")])
 
 
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,

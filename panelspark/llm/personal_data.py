@@ -189,8 +189,14 @@ def tag_slice(tagger: Tagger, sym: np.ndarray, offsets: np.ndarray) -> np.ndarra
     return tags
 
 
+def cut_from_number(text: str, a: int, b: int) -> bool:
+    """Whether a span is a part of a longer run of digits."""
+    return (a > 0 and bool(_DIGIT.match(text[a - 1])) and bool(_DIGIT.match(text[a]))
+            or b < len(text) and bool(_DIGIT.match(text[b])) and bool(_DIGIT.match(text[b - 1])))
+
+
 def added_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs of one tag that no base span touches and that hold what their kind needs."""
+    """Runs of one tag that no base span touches, that hold what their kind needs, and that are no part of a longer number."""
     if not tags.any():
         return []
     taken = np.zeros(len(tags) + 1, bool)
@@ -202,7 +208,7 @@ def added_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) -
         if tags[a] and not taken[a:b].any():
             own = text[a:b]
             a, b = a + len(own) - len(own.lstrip()), b - len(own) + len(own.rstrip())
-            if a < b and plausible(int(tags[a]) - 1, text[a:b]):
+            if a < b and not cut_from_number(text, a, b) and plausible(int(tags[a]) - 1, text[a:b]):
                 out.append((a, int(tags[a]) - 1, b))
     return out
 

@@ -243,6 +243,50 @@ def test_personal_data(docs_of):
     assert personal_data.personal_spans(docs_of([])).count() == 0
 
 
+def contract_spans(text):
+    """Base spans by the wording of the contract, apart from the code under test."""
+    def is_luhn(ds):
+        doubled = [int(c) for c in ds[-2::-2]]
+        return (sum(int(c) for c in ds[-1::-2]) + sum(2 * d - 9 if d > 4 else 2 * d for d in doubled)) % 10 == 0
+
+    number = lambda s: re.sub("[^0-9]", "", s)
+    rules = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", lambda s: True),
+             ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", lambda s: max(int(p) for p in s.split(".")) <= 255),
+             ("card", r"[0-9](?:[ -]?[0-9])+", lambda s: len(number(s)) in range(14, 20) and is_luhn(number(s))),
+             ("phone", r"\+[0-9][ ().0-9-]+[0-9]", lambda s: len(number(s)) in range(10, 16))]
+    found = [(m.start(), k, f"{name}:{m.start()}:{m.end()}") for k, (name, pattern, good) in enumerate(rules) for m in re.finditer(pattern, text) if good(m[0])]
+    return [s for _, _, s in sorted(found)]
+
+
+def test_base_spans_against_the_contract(spark, docs_of):
+    rows = labelled_rows(300) + [(1000 + i, t) for i, t in enumerate(PRIVATE)] + mean_rows() + [
+        (2000, "é 漢 a@b.co 1.2.3.4 1.2.3.256 +1 (555) 123-4567 4111 1111 1111 1111 4111-1111-1111-1112"), (2001, "x" * 50_000 + " 10.0.0.1, q@r.s.t +12345678901"),
+        (2002, "1.2.3.4.5.6.7.8 00123.1.1.1 12.34.56.078 @a.b a@b a@b..c +1-----2 +123456789 123456789012345678901")]
+    rows += [(3000 + r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = {}
+    for r in personal_data.personal_spans(docs_of(rows)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    for doc, text in rows:
+        spans = contract_spans(text or "")
+        sha = hashlib.sha256(",".join(spans).encode()).hexdigest()
+        r = next(r for r in got[doc] if r.base_sha256 == sha)
+        assert set(spans) <= set(filter(None, r.spans.split(",")))
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s.startswith(k) for s in spans) for k in ("email", "ip", "card", "phone"))
+
+
+def test_no_span_is_cut_out_of_a_longer_number():
+    class Card:  # tags the first 14 digits of a number as a card
+        def decode(self, x):
+            out = np.zeros(x.shape, np.uint8)
+            out[3:17] = 3
+            return out
+
+    text = "no 2123465659789240 it"
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    tags = personal_data.tag_slice(Card(), bilstm_crf.symbols(codes), np.array([0, len(text)]))
+    assert personal_data.added_spans(text, tags, []) == []
+
+
 def test_tagger_learns_from_all_files_and_whole_texts(docs_of):
     """Phones only in the last file's rows and behind 20,000 characters, more marked rows before them than a quarter of the sample."""
     rows = labelled_rows(400)

@@ -124,7 +124,8 @@ def gross_returns(targets: DataFrame, run_steps: DataFrame, study: DataFrame) ->
             .select("run_id", "ticker", "weight", F.explode(F.sequence(F.col("exec_idx") + 1, until)).alias("date_idx")))
     bars = study.filter(F.col("ret").isNotNull()).select("ticker", "date_idx", "ret")
     # dealt by ticker like a stored study, which then is joined where it lies
-    days = days.repartition(int(study.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ticker")
+    parts = getattr(study, "_ticker_buckets", None) or int(study.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    days = days.repartition(parts, "ticker")
     return (days.join(bars, ["ticker", "date_idx"]).groupBy("run_id", "date_idx")
             .agg(F.sum(F.col("weight") * F.col("ret")).alias("gross")))
 

@@ -17,8 +17,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Of a table's files; two million order lines, whose rows a task sorts in about 250 MB.
+PARTITION_BYTES = 24 << 20
+
 _own_roots: dict[str, str] = {}
 _stored: dict[tuple, str] = {}
+_buckets: dict[str, int] = {}
 _written: dict[str, SparkSession] = {}
 
 
@@ -50,6 +54,11 @@ def table_state(spark: SparkSession, path: str) -> tuple:
     return path, held.getFileCount(), held.getLength(), files.getFileStatus(where).getModificationTime()
 
 
+def partitions_for(spark: SparkSession, path: str) -> int:
+    """Partitions for work on the rows of a table: the session's number, or more where a task's share would outgrow its memory."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table_state(spark, path)[2] // PARTITION_BYTES))
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by :func:`materialise` that nothing reads any more."""
     for df in tables:
@@ -86,7 +95,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return stored
 
 
-def stored_by_ticker(spark: SparkSession, key: tuple, build) -> DataFrame:
+def stored_by_ticker(spark: SparkSession, key: tuple, build, buckets: int | None = None) -> DataFrame:
     """A panel kept as a table bucketed by ticker, built once per application.
 
     Per-ticker windows and ticker joins on it need no further exchange.  ``build``
@@ -98,12 +107,15 @@ def stored_by_ticker(spark: SparkSession, key: tuple, build) -> DataFrame:
     name = _stored.get(full_key)
     if name is None or not spark.catalog.tableExists(name):
         name = f"panelspark_{key[0]}_{uuid.uuid4().hex}"
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         (build().write.bucketBy(buckets, "ticker").sortBy("ticker", "date")
          .option("path", scratch_path(spark, key[0]))
          .saveAsTable(name))
         _stored[full_key] = name
-    return spark.table(name)
+        _buckets[name] = buckets
+    panel = spark.table(name)
+    panel._ticker_buckets = _buckets[name]
+    return panel
 
 
 def forget_stored(spark: SparkSession) -> None:

@@ -13,7 +13,7 @@ from panelspark.operators.calendar import calendar
 from panelspark.operators.factors import study_panel
 from panelspark.operators.literals import setting_rows
 from panelspark.operators.universe import screen
-from panelspark.scratch import materialise, stored_by_ticker, table_state
+from panelspark.scratch import materialise, partitions_for, stored_by_ticker, table_state
 from panelspark.schemas import BAR_COLUMNS, PRICE_COLUMNS, ScreenConfig
 
 # Settings of the derived study: weekly prices are thinner than daily ones.
@@ -42,37 +42,51 @@ def line_ticks(lines: DataFrame) -> DataFrame:
 
 
 def ticks_to_bars(ticks: DataFrame, key: str = "ticker", name=lambda k: k, width: str = "7 days",
-                  offset: str | None = "4 days", extra: dict[str, Column] | None = None) -> DataFrame:
+                  offset: str | None = "4 days", extra: dict[str, Column] | None = None, parts: int | None = None) -> DataFrame:
     """Tumbling OHLCV bars, the same code for a table and a stream.
 
-    All aggregates merge, so a bar with very many trades is combined map-side.
-    Grouping is on the raw key; ``name`` spells the ticker once per bar.  The
-    default week starts on Monday.
+    All aggregates merge.  Grouping is on the raw key; ``name`` spells the ticker
+    once per bar.  The default week starts on Monday.
+
+    Buffers that hold a struct are merged in sorted order, so combining before
+    the exchange sorts every split of the table.  ``parts`` deals the plain
+    trades by bar instead and sorts them once: right for a table with few trades
+    a bar, where combining saves no rows.  A bar with very many trades is then
+    sorted by one task, which spills and holds one buffer.
     """
     extra = extra or {}
     week = F.window("ts", width, width, offset) if offset else F.window("ts", width)
+    start = F.col("w.start")
+    if parts:  # a week is known by its start: a number is dealt and sorted faster than a pair
+        ticks = ticks.withColumn("w", week).withColumn("w", start).repartition(parts, key, "w")
+        week = start = F.col("w")
     bars = ticks.groupBy(key, week.alias("w")).agg(
         *[c.alias(n) for n, c in extra.items()],
         F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", "seq").alias("close"), F.sum("discount_pct").alias("_d"), F.count("*").alias("_n"),
         F.sum("quantity").alias("volume"))
     adjusted = F.col("close") * (1 - F.col("_d") / F.col("_n") / 100)
-    return bars.withColumns({"ticker": name(F.col(key)), "date": F.col("w.start").cast("date"), "adj_close": adjusted}).select(
+    return bars.withColumns({"ticker": name(F.col(key)), "date": start.cast("date"), "adj_close": adjusted}).select(
         *BAR_COLUMNS, *extra)
 
 
-def line_bars(ticks: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
-    return ticks_to_bars(ticks, "l_suppkey", ticker_of, extra=extra)
+def line_bars(ticks: DataFrame, extra: dict[str, Column] | None = None, parts: int | None = None) -> DataFrame:
+    return ticks_to_bars(ticks, "l_suppkey", ticker_of, extra=extra, parts=parts)
+
+
+def line_partitions(spark: SparkSession, sf_dir: str) -> int:
+    return partitions_for(spark, f"{sf_dir}/lineitem.parquet")
 
 
 def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_bars(line_ticks(table(spark, sf_dir, "lineitem")))
+    return line_bars(line_ticks(table(spark, sf_dir, "lineitem")), parts=line_partitions(spark, sf_dir))
 
 
 def weekly_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weeks that have bars, from one column of the lines."""
-    weeks = table(spark, sf_dir, "lineitem").select(F.date_trunc("week", "l_shipdate").cast("date").alias("date"))
-    return materialise(calendar(weeks.filter(F.col("date").isNotNull())), "calendar")
+    days = table(spark, sf_dir, "lineitem").select("l_shipdate").filter(F.col("l_shipdate").isNotNull()).distinct()
+    # a row a day is truncated and gathered, not a row a line; a test of the week itself would be pushed down to the lines
+    return materialise(calendar(days.select(F.date_trunc("week", "l_shipdate").cast("date").alias("date"))), "calendar")
 
 
 def supplier_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +137,8 @@ def event_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def screened_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screen(weekly_bars(spark, sf_dir), WEEKLY_SCREEN, membership(spark, sf_dir))
+    bars = weekly_bars(spark, sf_dir).repartition(line_partitions(spark, sf_dir), "ticker")  # as the study is stored
+    return screen(bars, WEEKLY_SCREEN, membership(spark, sf_dir))
 
 
 def stored_study(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,19 +150,19 @@ def stored_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     state = tuple(table_state(spark, f"{sf_dir}/{t}.parquet") for t in ("lineitem", "supplier", "nation"))
     return stored_by_ticker(spark, ("study", sf_dir, state), lambda: study_panel(
-        screened_weekly(spark, sf_dir), cal=weekly_calendar(spark, sf_dir)))
+        screened_weekly(spark, sf_dir), cal=weekly_calendar(spark, sf_dir)), line_partitions(spark, sf_dir))
 
 
 def arrival_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly bars with ``seq``, the order in which their last trades were booked."""
-    bars = line_bars(line_ticks(table(spark, sf_dir, "lineitem")), {"_o": F.max("seq.l_orderkey")})
+    bars = line_bars(line_ticks(table(spark, sf_dir, "lineitem")), {"_o": F.max("seq.l_orderkey")}, line_partitions(spark, sf_dir))
     return bars.withColumn("seq", F.struct("_o", "date")).drop("_o")
 
 
 def flawed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrival bars with the faults a vendor feed has: nulls, bad signs, crossed
     ranges, idle bars, copies, and one region never adjusted."""
-    bars = arrival_bars(spark, sf_dir).join(supplier_regions(spark, sf_dir).select("ticker", "n_regionkey"), "ticker")
+    bars = arrival_bars(spark, sf_dir).repartition(line_partitions(spark, sf_dir), "ticker").join(supplier_regions(spark, sf_dir).select("ticker", "n_regionkey"), "ticker")
     v = F.col("volume")
     close = F.when(v == 7, None).otherwise(F.col("close"))
     faulty = bars.select(

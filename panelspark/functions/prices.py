@@ -3,7 +3,7 @@ window is bounded by the length of the calendar."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 def by_ticker():
     return W.partitionBy("ticker").orderBy("date")
@@ -23,6 +23,20 @@ def add_returns(panel: DataFrame, price: str = "adj_close") -> DataFrame:
     return panel.withColumn("ret", row_return(price))
 
 
+def framed_median(value: str, frame: WindowSpec) -> Column:
+    """Median of a frame of few rows, with the bits of ``percentile``, null when it has no value.
+
+    The values are listed and sorted, where ``percentile`` would build a hash table of boxed numbers for every row.
+    """
+    held = F.sort_array(F.collect_list(F.col(value).cast("double")).over(frame))
+
+    def middle(v: Column) -> Column:
+        low, high = F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")), F.get(v, F.floor(F.size(v) / 2).cast("int"))
+        return F.when(low == high, low).otherwise(0.5 * low + 0.5 * high)
+
+    return F.transform(F.array(held), middle)[0]  # the one-element array binds the list, so it is sorted once
+
+
 def at_calendar_offset(value: str, offset: int) -> Column:
     """The ticker's value exactly ``offset`` calendar dates away; null when it has no bar there."""
     exact = W.partitionBy("ticker").orderBy("date_idx").rangeBetween(offset, offset)

@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from panelspark.functions.prices import by_ticker, row_return
+from panelspark.functions.prices import by_ticker, framed_median, row_return
 from panelspark.operators.quality import bad_brackets, is_true, not_positive
 from panelspark.operators.timejoin import within_days
 from panelspark.schemas import PRICE_COLUMNS
@@ -75,7 +75,7 @@ def locate_recorded_splits(panel: DataFrame, events: DataFrame, tol: float = 0.3
 def split_candidates(panel: DataFrame) -> DataFrame:
     """Large adjusted moves with the diagnostics that tell a split from a move."""
     prior = by_ticker().rowsBetween(-20, -1)
-    usual = F.when(F.count("volume").over(prior) >= 5, F.percentile("volume", F.lit(0.5)).over(prior))
+    usual = F.when(F.count("volume").over(prior) >= 5, framed_median("volume", prior))
     out = panel.select(
         "ticker", "date", row_return().alias("move"),
         F.try_divide(F.col("volume"), usual).alias("vol_x"),

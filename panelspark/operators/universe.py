@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.functions.prices import by_ticker
+from panelspark.functions.prices import by_ticker, framed_median
 from panelspark.operators.quality import is_true
 from panelspark.schemas import ScreenConfig
 
@@ -54,7 +54,7 @@ def add_liquidity(panel: DataFrame, cfg: ScreenConfig = ScreenConfig()) -> DataF
     return out.select(
         "*",
         F.when(F.count("dtv").over(prior) >= cfg.lookback_bars // 2,
-               F.percentile("dtv", F.lit(0.5)).over(prior)).alias("median_dtv"),
+               framed_median("dtv", prior)).alias("median_dtv"),
         (F.row_number().over(by_ticker()) - 1).alias("bars_available"))
 
 

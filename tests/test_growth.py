@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark import scratch
-from panelspark.functions.prices import add_returns
+from panelspark.functions.prices import add_returns, by_ticker, framed_median
 from panelspark.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +48,14 @@ def test_hot_bar_and_repeated_lines_make_the_same_bars(spark):
     hot = lines.unionByName(lines.limit(400).withColumns(same_bar))
     ticks = tables.line_ticks(hot.unionByName(hot))
     assert _differ(tables.line_bars(ticks), tables.line_bars(ticks, parts=7)) == 0
+
+
+def test_framed_median_has_the_bits_of_percentile(spark):
+    value = F.when(F.col("id") % 7 != 0, F.round(F.rand(3) * F.pow(F.lit(10.0), F.col("id") % 9), 5))
+    panel = spark.range(4000).select((F.col("id") % 11).cast("string").alias("ticker"), F.col("id").alias("date"), value.alias("v"))
+    for rows in (1, 2, 60):
+        frame = by_ticker().rowsBetween(-rows, -1)
+        both = panel.select(framed_median("v", frame).alias("ours"), F.percentile("v", F.lit(0.5)).over(frame).alias("theirs"))
+        assert both.filter(~F.col("ours").eqNullSafe(F.col("theirs"))).count() == 0
+    liquid = _plan(tables.screened_weekly(spark, SF))
+    assert "percentile(" not in liquid

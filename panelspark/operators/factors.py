@@ -114,7 +114,10 @@ PRESETS = (
 
 def with_factors(study: DataFrame, names: list[str] | None = None) -> DataFrame:
     names = names or list(FACTORS)
-    return study.select("*", *[FACTORS[n]().alias(n) for n in names])
+    # low_vol is volatility with its sign turned: one of them is computed where both are asked for
+    both = {"volatility", "low_vol"} <= set(names)
+    wide = study.select("*", *[FACTORS[n]().alias(n) for n in names if not (both and n == "low_vol")])
+    return wide.select(*study.columns, *[(-F.col("volatility")).alias(n) if both and n == "low_vol" else F.col(n) for n in names])
 
 
 def factor_values(study: DataFrame, names: list[str], dates: DataFrame | None = None) -> DataFrame:

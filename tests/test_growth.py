@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark import scratch
 from panelspark.functions.prices import add_returns, by_ticker, framed_median
+from panelspark.operators import factors
 from panelspark.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +60,12 @@ def test_framed_median_has_the_bits_of_percentile(spark):
         assert both.filter(~F.col("ours").eqNullSafe(F.col("theirs"))).count() == 0
     liquid = _plan(tables.screened_weekly(spark, SF))
     assert "percentile(" not in liquid
+
+
+def test_volatility_and_its_negative_are_one_window(spark):
+    study = tables.stored_study(spark, SF)
+    both = factors.with_factors(study, ["volatility", "low_vol"])
+    assert _plan(both).count("var_pop(") == _plan(factors.with_factors(study, ["volatility"])).count("var_pop(")
+    assert _plan(both).count("var_pop(") < _plan(study.select("*", factors.realised_vol().alias("a"), factors.low_vol().alias("b"))).count("var_pop(")
+    apart = study.select("date", "ticker", factors.realised_vol().alias("volatility"), factors.low_vol().alias("low_vol"))
+    assert _differ(both.select("date", "ticker", "volatility", "low_vol"), apart) == 0

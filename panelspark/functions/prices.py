@@ -37,6 +37,18 @@ def framed_median(value: str, frame: WindowSpec) -> Column:
     return F.transform(F.array(held), middle)[0]  # the one-element array binds the list, so it is sorted once
 
 
+def add_median(df: DataFrame, values: Column, name: str, least: int = 1) -> DataFrame:
+    """Add the median of a list of doubles without nulls, with the bits of ``percentile``; null for fewer than ``least`` values.
+
+    The sorted list is a column of its own for a moment: generated code then sorts plain doubles, once a row, where a
+    function over the list would sort boxed ones, and its size is the count.
+    """
+    low, high = F.get("_held", F.floor((F.size("_held") - 1) / 2).cast("int")), F.get("_held", F.floor(F.size("_held") / 2).cast("int"))
+    median = F.when(low == high, low).otherwise(0.5 * low + 0.5 * high)
+    return (df.withColumn("_held", F.sort_array(values)).withColumn(name, F.when(F.size("_held") >= least, median))
+            .drop("_held"))
+
+
 def at_calendar_offset(value: str, offset: int) -> Column:
     """The ticker's value exactly ``offset`` calendar dates away; null when it has no bar there."""
     exact = W.partitionBy("ticker").orderBy("date_idx").rangeBetween(offset, offset)

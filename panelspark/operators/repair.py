@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from panelspark.functions.prices import by_ticker, framed_median, row_return
+from panelspark.functions.prices import add_median, by_ticker, row_return
 from panelspark.operators.quality import bad_brackets, is_true, not_positive
 from panelspark.operators.timejoin import within_days
 from panelspark.schemas import PRICE_COLUMNS
@@ -74,11 +74,10 @@ def locate_recorded_splits(panel: DataFrame, events: DataFrame, tol: float = 0.3
 
 def split_candidates(panel: DataFrame) -> DataFrame:
     """Large adjusted moves with the diagnostics that tell a split from a move."""
-    prior = by_ticker().rowsBetween(-20, -1)
-    usual = F.when(F.count("volume").over(prior) >= 5, framed_median("volume", prior))
-    out = panel.select(
+    prior = F.array(*[F.lag(F.col("volume").cast("double"), i).over(by_ticker()) for i in range(1, 21)])
+    out = add_median(panel, F.array_compact(prior), "_usual", 5).select(
         "ticker", "date", row_return().alias("move"),
-        F.try_divide(F.col("volume"), usual).alias("vol_x"),
+        F.try_divide(F.col("volume"), F.col("_usual")).alias("vol_x"),
         (F.try_divide(F.lead("adj_close", DRIFT_BARS).over(by_ticker()), F.col("adj_close")) - 1.0).alias("drift_after"),
         F.lag("adj_close").over(by_ticker()).alias("prev_close"))
     big = out.filter(F.abs("move") > SPLIT_MIN_MOVE)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.functions.prices import by_ticker, framed_median
+from panelspark.functions.prices import add_median, by_ticker
 from panelspark.operators.quality import is_true
 from panelspark.schemas import ScreenConfig
 
@@ -51,11 +51,8 @@ def add_liquidity(panel: DataFrame, cfg: ScreenConfig = ScreenConfig()) -> DataF
     """Traded value, its median over the bars before this one, and bars so far."""
     prior = by_ticker().rowsBetween(-cfg.lookback_bars, -1)
     out = panel.withColumn("dtv", F.col("close") * F.col("volume"))
-    return out.select(
-        "*",
-        F.when(F.count("dtv").over(prior) >= cfg.lookback_bars // 2,
-               framed_median("dtv", prior)).alias("median_dtv"),
-        (F.row_number().over(by_ticker()) - 1).alias("bars_available"))
+    out = add_median(out, F.collect_list("dtv").over(prior), "median_dtv", cfg.lookback_bars // 2)
+    return out.withColumn("bars_available", F.row_number().over(by_ticker()) - 1)
 
 
 def screen(panel: DataFrame, cfg: ScreenConfig = ScreenConfig(), lists: DataFrame | None = None) -> DataFrame:

@@ -17,8 +17,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Of a table's files; two million order lines, whose rows a task sorts in about 250 MB.
-PARTITION_BYTES = 24 << 20
+# Of a table's files; half a million to a million order lines, as they compress, whose rows a task sorts in at most 200 MB.
+PARTITION_BYTES = 8 << 20
+PARTITION_ROWS = 1 << 20  # of a stored table of a few numbers a row
 
 _own_roots: dict[str, str] = {}
 _stored: dict[tuple, str] = {}
@@ -59,6 +60,11 @@ def partitions_for(spark: SparkSession, path: str) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table_state(spark, path)[2] // PARTITION_BYTES))
 
 
+def partitions_for_rows(spark: SparkSession, n: int) -> int:
+    """The same for a known number of rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PARTITION_ROWS))
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by :func:`materialise` that nothing reads any more."""
     for df in tables:

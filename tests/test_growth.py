@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark import scratch
-from panelspark.functions.prices import add_returns, by_ticker, framed_median
+from panelspark.functions.prices import add_median, add_returns, by_ticker, framed_median
 from panelspark.operators import factors
 from panelspark.sources import tables
 
@@ -69,3 +69,14 @@ def test_volatility_and_its_negative_are_one_window(spark):
     assert _plan(both).count("var_pop(") < _plan(study.select("*", factors.realised_vol().alias("a"), factors.low_vol().alias("b"))).count("var_pop(")
     apart = study.select("date", "ticker", factors.realised_vol().alias("volatility"), factors.low_vol().alias("low_vol"))
     assert _differ(both.select("date", "ticker", "volatility", "low_vol"), apart) == 0
+
+
+def test_median_column_is_the_framed_median(spark):
+    value = F.when(F.col("id") % 7 != 0, F.round(F.rand(3) * F.pow(F.lit(10.0), F.col("id") % 9), 5))
+    panel = spark.range(4000).select((F.col("id") % 11).cast("string").alias("ticker"), F.col("id").alias("date"), value.alias("v"))
+    for rows, least in ((1, 1), (2, 2), (60, 30)):
+        frame = by_ticker().rowsBetween(-rows, -1)
+        both = add_median(panel, F.collect_list("v").over(frame), "ours", least).select(
+            "ours", F.when(F.count("v").over(frame) >= least, F.percentile("v", F.lit(0.5)).over(frame)).alias("theirs"))
+        assert both.filter(~F.col("ours").eqNullSafe(F.col("theirs"))).count() == 0
+    assert "transform(" not in _plan(tables.screened_weekly(spark, SF))  # no list of boxed numbers

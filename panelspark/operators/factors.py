@@ -72,23 +72,33 @@ def reversal(lookback: int = 21, price: str = "adj_close") -> Column:
     return F.when(F.col("date_idx") >= lookback, value)
 
 
-def realised_vol(lookback: int = 63) -> Column:
+VOL_DATES = 63
+
+
+def _moments(lookback: int) -> dict[str, Column]:
+    w = _span(-(lookback - 1))
+    return {"_m": F.count("ret").over(w), "_var": F.var_pop("ret").over(w), "_avg": F.avg("ret").over(w),
+            "_first": F.min("date_idx").over(W.partitionBy("ticker"))}
+
+
+def _vol(lookback: int, _m: Column, _var: Column, _avg: Column, _first: Column) -> Column:
+    n = F.least(F.lit(lookback), F.col("date_idx") - _first)
+    squares = _var * _m + F.pow(_avg, F.lit(2)) * _m * (n - _m) / n
+    vol = F.sqrt(squares / (n - 1)) * F.sqrt(F.lit(float(PERIODS_PER_YEAR)))
+    return F.when((F.col("date_idx") >= lookback + 1) & (n >= 2), vol)
+
+
+def realised_vol(lookback: int = VOL_DATES) -> Column:
     """Annualised deviation of the last ``lookback`` calendar returns.
 
     A date without a bar is a zero return once the ticker has traded.  Those
     zeros enter by merging moments (m observed returns, n-m zeros), so no dense
     date-by-ticker grid is built.
     """
-    w = _span(-(lookback - 1))
-    m = F.count("ret").over(w)
-    first = F.min("date_idx").over(W.partitionBy("ticker"))
-    n = F.least(F.lit(lookback), F.col("date_idx") - first)
-    squares = F.var_pop("ret").over(w) * m + F.pow(F.avg("ret").over(w), F.lit(2)) * m * (n - m) / n
-    vol = F.sqrt(squares / (n - 1)) * F.sqrt(F.lit(float(PERIODS_PER_YEAR)))
-    return F.when((F.col("date_idx") >= lookback + 1) & (n >= 2), vol)
+    return _vol(lookback, **_moments(lookback))
 
 
-def low_vol(lookback: int = 63) -> Column:
+def low_vol(lookback: int = VOL_DATES) -> Column:
     return -realised_vol(lookback)
 
 
@@ -114,10 +124,13 @@ PRESETS = (
 
 def with_factors(study: DataFrame, names: list[str] | None = None) -> DataFrame:
     names = names or list(FACTORS)
-    # low_vol is volatility with its sign turned: one of them is computed where both are asked for
-    both = {"volatility", "low_vol"} <= set(names)
-    wide = study.select("*", *[FACTORS[n]().alias(n) for n in names if not (both and n == "low_vol")])
-    return wide.select(*study.columns, *[(-F.col("volatility")).alias(n) if both and n == "low_vol" else F.col(n) for n in names])
+    # low_vol is volatility with its sign turned, and a moment is used several times: as columns, each window runs once,
+    # beside the other factors' windows, which share its frame
+    vol = _vol(VOL_DATES, *map(F.col, _moments(VOL_DATES)))
+    known = {n: c for n, c in (("volatility", vol), ("low_vol", -vol)) if n in names}
+    moments = [c.alias(n) for n, c in _moments(VOL_DATES).items()] if known else []
+    held = study.select("*", *moments, *[FACTORS[n]().alias(n) for n in names if n not in known])
+    return held.select(*study.columns, *[known.get(n, F.col(n)).alias(n) for n in names])
 
 
 def factor_values(study: DataFrame, names: list[str], dates: DataFrame | None = None) -> DataFrame:

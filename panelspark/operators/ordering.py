@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from panelspark.scratch import materialise
+from panelspark.scratch import materialise, partitions_for_rows
 
 
 def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
@@ -57,17 +57,17 @@ def average_rank_pcts(df: DataFrame, group: Sequence[str], values: Sequence[str]
 
     All columns are ordered in one range pass that carries the rows (or their numbers), so nothing is joined on a value, and rows of one value may lie in
     several slices: within a slice a window counts smaller and equal rows, and only the first and last value of a slice can go on in its
-    neighbours.  Those, two a slice and group, are settled in a second pass over slices.
+    neighbours.  Those, two a slice and group, are settled in a second pass over slices.  The number of slices follows the rows.
     """
     group, values = list(group), list(values)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stored = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "ranked")
+    parts = partitions_for_rows(df.sparkSession, stored.count() * len(values))  # counted from the files' footers
     # one row for each column to rank; one column alone carries the whole row, several carry its number
     carried = [F.struct(*df.columns).alias("_all")] if len(values) == 1 else []
     copies = F.array(*[F.struct(F.lit(i).alias("_which"), F.col(v).cast("double").alias("_v"), *carried) for i, v in enumerate(values)])
     key = [*group, "_which"]
     ranged = (stored.select(*group, "_row", F.explode(copies).alias("_x")).select(*group, "_row", "_x.*")
-              .repartitionByRange(parts, *key, "_v", "_row").withColumn("_slice", F.spark_partition_id()))
+              .repartitionByRange(parts, *key, "_v", "_row").withColumn("_slice", F.spark_partition_id()).repartition(parts, *key, "_slice"))
     own = W.partitionBy(*key, "_slice")
     placed = materialise(ranged.withColumns({"_under": F.rank().over(own.orderBy(F.col("_v").asc_nulls_last())) - 1,
                                              "_same": F.count("*").over(W.partitionBy(*key, "_slice", "_v"))}), "placed")
@@ -100,7 +100,9 @@ def average_rank_pcts(df: DataFrame, group: Sequence[str], values: Sequence[str]
     if len(values) == 1:
         return out.select("_all.*", F.col("_pct").alias(f"pct_{values[0]}"), F.col("_n").alias(f"n_{values[0]}"))
     picked = [F.max(F.when(F.col("_which") == i, F.col(c))).alias(f"{name}_{v}") for i, v in enumerate(values) for c, name in (("_pct", "pct"), ("_n", "n"))]
-    return stored.join(out.groupBy("_row").agg(*picked), "_row").select(*df.columns, *[f"{name}_{v}" for v in values for name in ("pct", "n")])
+    # both sides are dealt by row number into as many parts, so that the sorts of a task follow no table and nothing is dealt twice
+    wide = out.repartition(parts, "_row").groupBy("_row").agg(*picked)
+    return stored.repartition(parts, "_row").join(wide, "_row").select(*df.columns, *[f"{name}_{v}" for v in values for name in ("pct", "n")])
 
 
 def exact_quantiles(df: DataFrame, group: Sequence[str], value: str,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from panelspark import scratch
 from panelspark.functions.prices import add_median, add_returns, by_ticker, framed_median
 from panelspark.operators import factors
+from panelspark.operators.ordering import average_rank_pcts
 from panelspark.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -71,6 +74,11 @@ def test_volatility_and_its_negative_are_one_window(spark):
     assert _differ(both.select("date", "ticker", "volatility", "low_vol"), apart) == 0
 
 
+def test_moments_of_volatility_are_one_window_each(spark):
+    plan = factors.with_factors(tables.stored_study(spark, SF), ["volatility", "momentum"])._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"count\(ret#\d+\) windowspec", plan)) == len(re.findall(r"min\(date_idx#\d+\) windowspec", plan)) == 1
+
+
 def test_median_column_is_the_framed_median(spark):
     value = F.when(F.col("id") % 7 != 0, F.round(F.rand(3) * F.pow(F.lit(10.0), F.col("id") % 9), 5))
     panel = spark.range(4000).select((F.col("id") % 11).cast("string").alias("ticker"), F.col("id").alias("date"), value.alias("v"))
@@ -80,3 +88,12 @@ def test_median_column_is_the_framed_median(spark):
             "ours", F.when(F.count("v").over(frame) >= least, F.percentile("v", F.lit(0.5)).over(frame)).alias("theirs"))
         assert both.filter(~F.col("ours").eqNullSafe(F.col("theirs"))).count() == 0
     assert "transform(" not in _plan(tables.screened_weekly(spark, SF))  # no list of boxed numbers
+
+
+def test_rank_slices_follow_the_rows(spark, monkeypatch):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), "id", (F.col("id") % 40).cast("double").alias("a"), F.rand(5).alias("b"))
+    few = average_rank_pcts(rows, ["g"], ["a", "b"])
+    monkeypatch.setattr(scratch, "PARTITION_ROWS", 500)
+    many = average_rank_pcts(rows, ["g"], ["a", "b"])
+    assert ", 12), REPARTITION_BY_NUM" in _plan(many) and ", 12), REPARTITION_BY_NUM" not in _plan(few)
+    assert _differ(few, many) == 0

@@ -57,6 +57,15 @@ def upsert_fresh_wins(cached: DataFrame, fresh: DataFrame) -> DataFrame:
     return _latest_row(["ticker", "date"], both, F.struct("_p", *values), largest=True).select(*BAR_COLUMNS)
 
 
+def upsert_by_year(cached: DataFrame, fresh: DataFrame, parts: int) -> DataFrame:
+    """The same, with ``year``: rows are dealt by ticker into ``parts`` and sorted once, by year first, as a table by year is written."""
+    values = [c for c in BAR_COLUMNS if c not in ("ticker", "date")]
+    both = (cached.select(*BAR_COLUMNS).withColumn("_p", F.lit(0))
+            .unionByName(fresh.select(*BAR_COLUMNS).withColumn("_p", F.lit(1)))).repartition(parts, "ticker")
+    return (both.groupBy(F.year("date").alias("year"), "ticker", "date").agg(F.max(F.struct("_p", *values)).alias("_r"))
+            .select("year", "ticker", "date", "_r.*").select(*BAR_COLUMNS, "year"))
+
+
 def load_raw(spark: SparkSession, pattern: str) -> DataFrame:
     """Landed vendor files under a glob, whatever columns each has: schemas are merged, and spellings of one column made one.
 

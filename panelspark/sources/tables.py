@@ -32,6 +32,9 @@ def ticker_of(suppkey: Column) -> Column:
     return F.format_string("S%06d", suppkey)
 
 
+LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"]
+
+
 def line_ticks(lines: DataFrame) -> DataFrame:
     """Order lines as trades; ``seq`` orders the trades of a supplier."""
     return lines.select(
@@ -57,7 +60,10 @@ def ticks_to_bars(ticks: DataFrame, key: str = "ticker", name=lambda k: k, width
     extra = extra or {}
     week = F.window("ts", width, width, offset) if offset else F.window("ts", width)
     start = F.col("w.start")
-    if parts:  # a week is known by its start: a number is dealt and sorted faster than a pair
+    if parts and ticks.isStreaming:  # the pair carries the watermark
+        ticks = ticks.withColumn("w", week).repartition(parts, key, "w")
+        week = F.col("w")
+    elif parts:  # a week is known by its start: a number is dealt and sorted faster than a pair
         ticks = ticks.withColumn("w", week).withColumn("w", start).repartition(parts, key, "w")
         week = start = F.col("w")
     bars = ticks.groupBy(key, week.alias("w")).agg(

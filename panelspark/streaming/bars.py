@@ -9,10 +9,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.operators.quality import bad_brackets, has_missing, not_positive
-from panelspark.scratch import materialise, scratch_path
+from panelspark.scratch import materialise, release, scratch_path
 from panelspark.schemas import BARS, BAR_COLUMNS
-from panelspark.sources.ingest import upsert_fresh_wins
-from panelspark.sources.tables import line_bars, line_ticks, ticker_of
+from panelspark.sources.ingest import upsert_by_year
+from panelspark.sources.tables import LINE_COLUMNS, line_bars, line_ticks, ticker_of
+
+# Bars that one task of an upsert merges, and the fewest tasks of one.
+MERGED_ROWS, LEAST_PARTS = 1 << 18, 8
 
 
 def ticks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +24,11 @@ def ticks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_ticks(spark.readStream.schema(schema).parquet(f"{sf_dir}/lineitem.parquet*"))  # a file, or a folder of files
 
 
+def _state_parts(spark: SparkSession) -> int:
+    """Partitions of a new stream's state: trades dealt by bar into as many lie where their state is."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def upsert_batches(bars: DataFrame, path: str, checkpoint: str, spark: SparkSession):
     """Merge each micro-batch into a table partitioned by year; only touched years are rewritten.
 
@@ -34,14 +42,16 @@ def upsert_batches(bars: DataFrame, path: str, checkpoint: str, spark: SparkSess
         held = _manifests(session, path)
         if batch_id in held:
             return
-        fresh = materialise(batch.select(*BAR_COLUMNS).withColumn("year", F.year("date")), "batch")
-        years = [r.year for r in fresh.select("year").distinct().collect()]  # one value per touched year
+        fresh = materialise(batch.select(*BAR_COLUMNS), "batch")
+        touched = {r.year: r.n for r in fresh.groupBy(F.year("date").alias("year")).agg(F.count("*").alias("n")).collect()}  # one row per touched year
         last = _read_manifest(session, path, max(held)) if held else {}
-        before = _read_versions(session, path, {y: v for y, v in last.items() if int(y) in years})
         version = f"version={batch_id}-{uuid.uuid4().hex}"
-        (upsert_fresh_wins(before, fresh.drop("year")).withColumn("year", F.year("date")).repartition("year", F.pmod(F.hash("ticker"), F.lit(8)))
-         .write.partitionBy("year").parquet(f"{path}/{version}"))
-        _commit(session, path, batch_id, last | {str(y): version for y in years})
+        if touched:  # a batch that only frees state has no bars
+            before = _read_versions(session, path, {y: v for y, v in last.items() if int(y) in touched})
+            parts = max(LEAST_PARTS, -(-(sum(touched.values()) + before.count()) // MERGED_ROWS))
+            upsert_by_year(before, fresh, parts).write.partitionBy("year").parquet(f"{path}/{version}")
+        release(fresh)
+        _commit(session, path, batch_id, last | {str(y): version for y in touched})
         _drop_superseded(session, path, batch_id)
 
     return (bars.writeStream.outputMode("update").foreachBatch(merge)
@@ -113,7 +123,7 @@ def replay_by_time(spark: SparkSession, sf_dir: str, path: str, late: str, piece
 
     As on a live feed, a watermark of ``late`` frees the state of bars that are closed.
     """
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(F.col("l_shipdate").isNotNull())
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter(F.col("l_shipdate").isNotNull()).select(*LINE_COLUMNS)
     source, checkpoint = scratch_path(spark, "landed"), scratch_path(spark, "bars-progress")
     day = F.unix_date(F.col("l_shipdate").cast("date"))
     first, last = lines.agg(F.min(day), F.max(day)).first()
@@ -124,7 +134,7 @@ def replay_by_time(spark: SparkSession, sf_dir: str, path: str, late: str, piece
         lines.filter((day >= first + i * step) & (day < first + (i + 1) * step)).write.parquet(f"{source}/{i}")
         stream = spark.readStream.schema(lines.schema).option("recursiveFileLookup", True).parquet(source)
         ticks = line_ticks(stream).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-        query = upsert_batches(line_bars(ticks), path, checkpoint, spark)
+        query = upsert_batches(line_bars(ticks, parts=_state_parts(spark)), path, checkpoint, spark)
         query.awaitTermination()
         yield query.lastProgress
 
@@ -139,7 +149,7 @@ def run_bars_replay(spark: SparkSession, sf_dir: str, late: str, pieces: int = 4
 def run_bars_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drain the trades available now into the upserted bar table and read it."""
     path, checkpoint = scratch_path(spark, "bars"), scratch_path(spark, "bars-progress")
-    upsert_batches(line_bars(ticks_stream(spark, sf_dir)), path, checkpoint, spark).awaitTermination()
+    upsert_batches(line_bars(ticks_stream(spark, sf_dir), parts=_state_parts(spark)), path, checkpoint, spark).awaitTermination()
     return read_upserted(spark, path)
 
 

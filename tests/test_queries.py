@@ -3,6 +3,7 @@
 import pytest
 from panels import SF
 from oracle_check import connection, differences
+from pyspark.sql import functions as F
 
 from panelspark.plans.oracle import ORACLES
 from panelspark.plans.queries import QUERIES
@@ -157,3 +158,27 @@ def test_stored_study_follows_its_tables(spark, tmp_path):
     rows = spark.read.parquet(f"{SF}/lineitem.parquet")
     rows.where("l_orderkey % 2 = 0").write.mode("overwrite").parquet(str(tmp_path / "lineitem.parquet"))
     assert 0 < QUERIES["rejections"](spark, str(tmp_path)).count() < before
+
+
+def test_a_stream_of_trades_is_exchanged_once_as_it_is(spark):
+    """Trades lie where the state of their bar is: no split is sorted and combined before the exchange."""
+    ticks = stream_bars.ticks_stream(spark, SF).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "14 days")
+    bars = stream_bars.line_bars(ticks, parts=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    query = bars.writeStream.format("noop").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False).splitlines()
+    exchanges = [i for i, line in enumerate(plan) if "Exchange" in line]
+    assert len(exchanges) == 1 and not any("Aggregate" in line for line in plan[exchanges[0]:])
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert held[-1] < max(held) / 4  # the watermark is kept
+
+
+def test_tasks_of_an_upsert_follow_its_rows(spark, con, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_bars, "MERGED_ROWS", 10, raising=False)
+    path = str(tmp_path / "bars")
+    for _ in stream_bars.replay_by_time(spark, SF, path, "14 days", 4):
+        pass
+    files = [len(list(year.glob("*.parquet"))) for year in (tmp_path / "bars").glob("version=*/year=*")]
+    assert max(files) > 8
+    got = stream_bars.read_upserted(spark, path).toPandas()
+    assert not differences(got, con.execute(ORACLES["streamed_bars_late"]).fetchdf())

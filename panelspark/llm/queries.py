@@ -47,7 +47,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeat_digest(table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeat_digest(table(spark, sf_dir, "documents"), passages=True)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

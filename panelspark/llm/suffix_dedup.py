@@ -14,6 +14,10 @@ exchange.  So neither a passage nor a group of copies with a third of all suffix
 Texts are UTF-8 bytes; strings never cross documents.  Defined results: null counts as empty; texts
 shorter than ``length`` lose nothing; rows that repeat are documents of their own, so all their
 windows repeat: they are met once, and lose all their bytes.  Windows are told apart by 64-bit hashes inside buckets.
+
+A passage of more than 50 words can be shorter than ``length`` and then keeps its bytes.  :func:`passage_rows` names the rows
+that share one with another row, by winnowing on words: of every 51 consecutive words the run of ``PRINT`` words with the
+smallest hash is a fingerprint.  Rows that share 51 words share a fingerprint, rows that share fewer than ``PRINT`` share none.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.rows import HASH, ID, keyed, keyed_whole, parts
-from panelspark.llm.textbytes import Slice, frames, give_back, ranges, span_hash
+from panelspark.llm.textbytes import Slice, frames, give_back, powers, ranges, span_hash
 from panelspark.scratch import materialise, release
 
 GRAM = 150
@@ -40,6 +44,8 @@ SECTION = 1 << 21
 #: anchors (one in so many) that makes a substring hot.
 RANGES_PER_PART, LEAST_RANGE, SAMPLE_PER_RANGE, HOT_SHARE = 4, 2000, 300, 1000
 _PLACE_BITS = np.uint64(24)
+#: Words of a passage, and of its fingerprint.
+PASSAGE, PRINT = 51, 30
 
 
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
@@ -362,14 +368,64 @@ def cut_texts(docs: DataFrame, length: int = 400, bucket_suffixes: int = BUCKET_
     return rows.mapInArrow(scan, _CUT).dropDuplicates([ID, HASH])
 
 
-def repeat_digest(docs: DataFrame, length: int = 400, bucket_suffixes: int = BUCKET_SUFFIXES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs."""
+def fingerprints(part: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of its fingerprints, each once a text."""
+    starts, ends, first = part.words()
+    count = np.maximum(np.diff(first) - PASSAGE + 1, 0)
+    if not count.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    words = span_hash(part.prefix(fold=False), starts, ends)
+    prefix = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(len(words) + 1)[0][:-1], out=prefix[1:])
+    at = np.arange(len(words) - PRINT + 1)
+    least = sliding_min(span_hash(prefix, at, at + PRINT), PASSAGE - PRINT + 1)
+    doc = np.repeat(np.arange(len(part)), count)
+    chosen = least[np.repeat(first[:-1], count) + ranges(count)]
+    for again in (False, True):  # neighbours first: few are left to be sorted
+        order = np.lexsort((chosen, doc)) if again else slice(None)
+        doc, chosen = doc[order], chosen[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (chosen[1:] != chosen[:-1])
+        doc, chosen = doc[new], chosen[new]
+    return doc, chosen.view(np.int64)
+
+
+def print_rows(docs: DataFrame) -> DataFrame:
+    def scan(batches) -> Iterator[pa.RecordBatch]:
+        for rows, part in frames(batches):
+            doc, chosen = fingerprints(part)
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(take), rows.column(1).take(take), pa.array(chosen)], names=[ID, HASH, "print"])
+
+    return keyed(docs).select(ID, HASH, "text").mapInArrow(scan, f"{ID} BIGINT, {HASH} BIGINT, print BIGINT")
+
+
+def passage_rows(docs: DataFrame) -> DataFrame:
+    """(id, text hash) of the rows that share a fingerprint with another row; rows that repeat are rows of their own."""
+    prints = materialise(print_rows(docs), "prints")
+    shared = materialise(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"), "shared")  # a row has it once
+    total = prints.count()
+    hot = F.broadcast(shared.where(F.col("n") * HOT_SHARE > total).select("print"))  # a thousand at most
+    cold = prints.join(hot, "print", "left_anti").join(shared.where(F.col("n") * HOT_SHARE <= total).select("print"), "print", "left_semi")
+    found = materialise(prints.join(hot, "print", "left_semi").unionByName(cold).select(ID, HASH).distinct(), "passages")
+    release(prints, shared)
+    return found
+
+
+def repeat_digest(docs: DataFrame, length: int = 400, bucket_suffixes: int = BUCKET_SUFFIXES, passages: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs; with ``passages`` also shares_passage, whether it is one of
+    :func:`passage_rows`."""
     cut = cut_texts(docs, length, bucket_suffixes).select(ID, HASH, "n_removed", "n_spans", F.sha2("kept", 256).alias("cut_sha256"))
     text = F.coalesce(F.col("text"), F.lit(""))
     whole = keyed(docs).select("doc_id", ID, HASH, F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
     zero = F.lit(0).cast("bigint")
-    return whole.join(cut, [ID, HASH], "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"),
-                                                      F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "whole").alias("kept_sha256"))
+    out = [F.col("doc_id"), F.col("n_bytes"), F.coalesce("n_removed", zero).alias("n_removed"),
+           F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "whole").alias("kept_sha256")]
+    digest = whole.join(cut, [ID, HASH], "left")
+    if not passages:
+        return digest.select(*out)
+    shared = passage_rows(docs).withColumn("shares_passage", F.lit(True))
+    return digest.join(shared, [ID, HASH], "left").select(*out, F.coalesce("shares_passage", F.lit(False)).alias("shares_passage"))
 
 
 def deduplicated(docs: DataFrame, length: int = 400) -> DataFrame:

@@ -130,6 +130,39 @@ def test_rows_that_repeat_are_met_once(docs_of):
     assert touched.count() == 1 and len(touched.first().runs) < 60
 
 
+def test_passages_of_over_fifty_words_are_named_though_they_keep_their_bytes(docs_of):
+    short = [f"w{i % 97}x{i // 97}" for i in range(51)]
+    assert len(" ".join(short)) < 400
+    rows = [(1, prose(1, 80) + " " + " ".join(short) + " " + prose(2, 30)), (2, "\n".join(short)), (3, prose(3, 90) + " " + " ".join(short[:29])),
+            (4, prose(4, 200)), (5, prose(5, 45)), (5, prose(5, 45)), (6, None), (7, " \t"),
+            (8, prose(6, 60) + " " + " ".join(short[-29:])), (8, prose(7, 60)), (9, prose(8, 70)), (9, prose(8, 70)), (None, " ".join(short) + " " + prose(9, 5))]
+    got = suffix_dedup.repeat_digest(docs_of(rows, 5), passages=True).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_bytes) for r in got if r.shares_passage} == {(d, len(t.encode())) for d, t in rows if d in (1, 2, 9, None)}
+    assert all(r.n_removed == 0 for r in got if r.doc_id in (1, 2, None))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_against_brute_force(docs_of, seed):
+    rng = np.random.default_rng(seed)
+    pool = prose(500 + seed, 400).split()
+    rows = []
+    for i in range(60):  # runs of 20 to 70 words of one pool among words of their own
+        at, n = int(rng.integers(0, 330)), int(rng.integers(20, 71))
+        rows.append((i, " ".join([f"a{i}n{k}" for k in range(int(rng.integers(0, 60)))] + pool[at:at + n] + [f"z{i}n{k}" for k in range(20)])))
+
+    def sharing(n):
+        seen = {}
+        for i, text in rows:
+            w = text.split()
+            for k in range(len(w) - n + 1):
+                seen.setdefault(tuple(w[k:k + n]), set()).add(i)
+        return {i for s in seen.values() if len(s) > 1 for i in s}
+
+    got = {r.doc_id for r in suffix_dedup.repeat_digest(docs_of(rows, 4), passages=True).collect() if r.shares_passage}
+    assert sharing(51) <= got <= sharing(suffix_dedup.PRINT) and sharing(51)
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(2)
     m = rng.integers(0, 3, (3000, 6)).astype(np.uint64)
